@@ -13,8 +13,11 @@ from pyspark.sql import types as T
 
 from ..config import (CALENDAR_COLS, CITY, FEATURES, LABEL, LABEL_LAG_COLS, LAG_STEPS, METRICS,
                       NUMERIC_LAG_COLS, TARGET, WINDOW_COLS, WINDOW_SIZES, lag_name, window_name)
+from ..config import STORE_COLS
 from ..functions.conditions import classify_description
+from ..functions.scalars import celsius_to_kelvin, kmph_to_mps, parse_timestamp, to_double
 from ..operators import cleaning, metrics, reshape, windows
+from ..sources import files, payloads
 from . import fixtures as fx
 
 DECIMALS = 8
@@ -116,6 +119,90 @@ def q_day_slice(spark, sf_dir):
     return round_doubles(out)
 
 
+# ---------------------------------------------------------------------------
+# Sources, reshaping, joins
+# ---------------------------------------------------------------------------
+
+def _wide_dir(spark, sf_dir) -> str:
+    return fx.write_wide_csvs(spark, sf_dir, fx.scratch(spark, "wide"))
+
+
+def _long_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    wide = files.read_wide_metrics(spark, _wide_dir(spark, sf_dir))
+    cities = reshape.common_columns(wide)
+    return {name: reshape.wide_to_long(df, name, cities) for name, df in wide.items()}
+
+
+def q_src_wide_csv(spark, sf_dir):
+    wide = files.read_wide_metrics(spark, _wide_dir(spark, sf_dir))
+    return round_doubles(wide["temperature"])
+
+
+def q_wide_to_long(spark, sf_dir):
+    return round_doubles(_long_tables(spark, sf_dir)["temperature"])
+
+
+def q_join_metrics(spark, sf_dir):
+    return round_doubles(reshape.join_metrics(_long_tables(spark, sf_dir)))
+
+
+def q_join_places(spark, sf_dir):
+    merged = reshape.join_metrics(_long_tables(spark, sf_dir))
+    return round_doubles(reshape.join_places(merged, fx.places(spark, sf_dir)))
+
+
+def _order_span(spark, sf_dir):
+    row = fx.table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("s"), F.max("o_orderdate").alias("e")).first()
+    return row["s"], row["e"]
+
+
+def q_fetch_plan(spark, sf_dir):
+    start, end = _order_span(spark, sf_dir)
+    prov = fx.places(spark, sf_dir).select(F.col(CITY).alias("province_name"), F.col("Latitude").alias("latitude"),
+                                           F.col("Longitude").alias("longitude"))
+    return round_doubles(reshape.fetch_plan(prov, start, end))
+
+
+def q_month_ranges(spark, sf_dir):
+    req = (fx.table(spark, sf_dir, "orders").groupBy("o_custkey")
+           .agg(F.min("o_orderdate").alias("start"), F.max("o_orderdate").alias("end")))
+    return reshape.explode_month_ranges(req, "start", "end").select("o_custkey", "range_start", "range_end")
+
+
+def q_src_places_csv(spark, sf_dir):
+    path = fx.write_places_csv(spark, sf_dir, fx.scratch(spark, "places_csv"))
+    return round_doubles(files.read_places_csv(spark, path))
+
+
+def q_src_places_json(spark, sf_dir):
+    path = fx.write_provinces_json(spark, sf_dir, fx.scratch(spark, "provinces_json"))
+    return round_doubles(files.read_places_json(spark, path, multi_line=False))
+
+
+def q_parse_history_json(spark, sf_dir):
+    return round_doubles(payloads.parse_history(fx.history_payloads(spark, sf_dir)).select(*STORE_COLS))
+
+
+def q_parse_current_json(spark, sf_dir):
+    return round_doubles(payloads.parse_current(fx.current_payloads(spark, sf_dir), keep=("obs_id",)))
+
+
+def q_parse_timestamps(spark, sf_dir):
+    t = fx.timestamp_texts(spark, sf_dir)
+    return t.select("obs_id", "raw", parse_timestamp("raw").alias("datetime")).where(F.col("datetime").isNotNull())
+
+
+def q_numeric_coercion(spark, sf_dir):
+    t = fx.numeric_texts(spark, sf_dir)
+    return round_doubles(t.select("obs_id", to_double("raw").alias("humidity")))
+
+
+def q_unit_conversions(spark, sf_dir):
+    u = fx.raw_units(spark, sf_dir)
+    return round_doubles(u.select("obs_id", celsius_to_kelvin("temp_c").alias("temperature"),
+                                  kmph_to_mps("wind_kmph").alias("wind_speed")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "classify_description": q_classify_description,
@@ -132,4 +219,17 @@ def queries() -> dict[str, Query]:
         "label_domain": q_label_domain,
         "coverage": q_coverage,
         "day_slice": q_day_slice,
+        "src_wide_csv": q_src_wide_csv,
+        "wide_to_long": q_wide_to_long,
+        "join_metrics": q_join_metrics,
+        "join_places": q_join_places,
+        "fetch_plan": q_fetch_plan,
+        "month_ranges": q_month_ranges,
+        "src_places_csv": q_src_places_csv,
+        "src_places_json": q_src_places_json,
+        "parse_history_json": q_parse_history_json,
+        "parse_current_json": q_parse_current_json,
+        "parse_timestamps": q_parse_timestamps,
+        "numeric_coercion": q_numeric_coercion,
+        "unit_conversions": q_unit_conversions,
     }

@@ -141,3 +141,129 @@ def store_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
+
+
+def hourly_station_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``obs`` per (hour, City): mean of each metric; description = class of the highest obs_id."""
+    o = fx_obs_hourly(spark, sf_dir)
+    metrics = ["humidity", "pressure", "temperature", "wind_direction", "wind_speed"]
+    return o.groupBy("datetime", CITY).agg(
+        *[F.avg(m).alias(m) for m in metrics],
+        F.max_by(classify_description("weather_description"), F.col("obs_id")).alias("weather_condition"))
+
+
+def fx_obs_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return obs(spark, sf_dir).withColumn("datetime", truncate_hour("datetime"))
+
+
+def write_wide_csvs(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """One wide CSV per metric (``datetime`` + one column per station), like the source files."""
+    means = hourly_station_means(spark, sf_dir)
+    for name in ["humidity", "pressure", "temperature", "weather_condition", "wind_direction", "wind_speed"]:
+        agg = F.first(name)
+        wide = means.groupBy("datetime").pivot(CITY).agg(agg)
+        wide.write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}.csv")
+    return out_dir
+
+
+def write_places_csv(spark: SparkSession, sf_dir: str, path: str) -> str:
+    places(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Province records as text; every 7th key (n % 7 = 3) has an unusable latitude."""
+    n = table(spark, sf_dir, "nation")
+    lat = (n.n_nationkey * 1.5).cast("double").cast("string")
+    return n.select(
+        F.concat(F.lit(STATION_PREFIX), F.col("n_nationkey").cast("string")).alias("province_name"),
+        F.when(F.col("n_nationkey") % 7 == 3, F.lit("n/a")).otherwise(lat).alias("latitude"),
+        (F.lit(100.0) + F.col("n_nationkey") * 0.5).cast("double").alias("longitude"))
+
+
+def write_provinces_json(spark: SparkSession, sf_dir: str, path: str) -> str:
+    provinces(spark, sf_dir).write.mode("overwrite").json(path)
+    return path
+
+
+def _text(c: Column) -> Column:
+    return c.cast("string")
+
+
+def history_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One historical payload per (station, day): the station's ``obs`` rows of that day as hourly entries."""
+    o = obs(spark, sf_dir)
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("obs_id"), (F.col("value") / 10).alias("temp_c"))
+    o = o.join(ev, "obs_id")
+    hourly = F.struct(
+        _text(F.hour("datetime") * 100).alias("time"),
+        _text(F.col("humidity")).alias("humidity"),
+        _text(F.col("pressure")).alias("pressure"),
+        _text(F.col("temp_c")).alias("tempC"),
+        _text(F.col("wind_direction")).alias("winddirDegree"),
+        _text(F.col("wind_speed")).alias("windspeedKmph"),
+        F.array(F.struct(F.col("weather_description").alias("value"))).alias("weatherDesc"),
+    )
+    per_day = (o.withColumn("date", F.date_format("datetime", "yyyy-MM-dd"))
+                .groupBy(CITY, "date")
+                .agg(F.sort_array(F.collect_list(F.struct(F.col("datetime").alias("_ts"), F.col("obs_id").alias("_id"),
+                                                          hourly.alias("h")))).alias("hs")))
+    payload = F.to_json(F.struct(F.struct(F.array(F.struct(
+        F.col("date").alias("date"), F.transform("hs", lambda x: x.getField("h")).alias("hourly"))).alias("weather"))
+        .alias("data")))
+    p = places(spark, sf_dir)
+    return (per_day.select(F.col(CITY).alias("province"), payload.alias("payload"))
+            .join(p.select(F.col(CITY).alias("province"), F.col("Latitude").alias("latitude"),
+                           F.col("Longitude").alias("longitude")), "province"))
+
+
+def current_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One current-conditions payload per ``obs`` row. Every 50th has an empty
+    ``current_condition``; n % 50 = 7 carries a non-numeric humidity."""
+    o = obs(spark, sf_dir)
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("obs_id"), (F.col("value") / 10).alias("temp_c"))
+    o = o.join(ev, "obs_id")
+    humidity = F.when(F.col("obs_id") % 50 == 7, F.lit("abc")).otherwise(_text(F.col("humidity")))
+    cond = F.struct(
+        _text(F.col("temp_c")).alias("temp_C"),
+        humidity.alias("humidity"),
+        _text(F.col("pressure")).alias("pressure"),
+        _text(F.col("wind_speed")).alias("windspeedKmph"),
+        _text(F.col("wind_direction")).alias("winddirDegree"),
+        F.date_format("datetime", "hh:mm a").alias("observation_time"),
+        F.array(F.struct(F.col("weather_description").alias("value"))).alias("weatherDesc"),
+    )
+    conds = F.when(F.col("obs_id") % 50 == 0, F.array().cast(f"array<{cond_type()}>")).otherwise(F.array(cond))
+    payload = F.to_json(F.struct(F.struct(conds.alias("current_condition")).alias("data")))
+    p = places(spark, sf_dir).select(CITY, F.col("Latitude").alias("latitude"), F.col("Longitude").alias("longitude"))
+    return o.join(p, CITY).select("obs_id", "latitude", "longitude", payload.alias("payload"))
+
+
+def cond_type() -> str:
+    fields = ["temp_C", "humidity", "pressure", "windspeedKmph", "winddirDegree", "observation_time"]
+    return "struct<" + ",".join(f"{f}:string" for f in fields) + ",weatherDesc:array<struct<value:string>>>"
+
+
+def timestamp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id, raw) timestamp strings; n % 17 = 0 is garbage, n % 17 = 1 an impossible date."""
+    o = obs(spark, sf_dir)
+    raw = (F.when(F.col("obs_id") % 17 == 0, F.lit("not a time"))
+            .when(F.col("obs_id") % 17 == 1, F.lit("2024-02-30 10:00:00"))
+            .otherwise(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")))
+    return o.select("obs_id", raw.alias("raw"))
+
+
+def numeric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id, raw) humidity strings; n % 13 = 0 'abc', 1 'NaN', 2 empty."""
+    o = obs(spark, sf_dir)
+    m = F.col("obs_id") % 13
+    raw = (F.when(m == 0, F.lit("abc")).when(m == 1, F.lit("NaN")).when(m == 2, F.lit(""))
+            .otherwise(F.col("humidity").cast("string")))
+    return o.select("obs_id", raw.alias("raw"))
+
+
+def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id, temp_c, wind_kmph) as measured before conversion."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("obs_id"), (F.col("value") / 10).alias("temp_c"),
+                     ((F.col("event_id") * 11) % 25).cast("double").alias("wind_kmph"))

@@ -169,7 +169,87 @@ FROM obs"""
     return q
 
 
+STATIONS = [f"station_{i}" for i in range(10)]
+
+HOURLY = f"""h AS (
+  SELECT date_trunc('hour', datetime) AS datetime, City, avg(humidity) AS humidity, avg(pressure) AS pressure,
+         avg(temperature) AS temperature, avg(wind_direction) AS wind_direction, avg(wind_speed) AS wind_speed,
+         arg_max({classify_sql('weather_description')}, obs_id) AS weather_condition
+  FROM obs GROUP BY 1, 2)"""
+
+GRID = """g AS (SELECT hh.datetime, s.City FROM (SELECT DISTINCT datetime FROM h) hh, (SELECT DISTINCT City FROM h) s)"""
+
+LONG = """lng AS (SELECT g.datetime, g.City, h.humidity, h.pressure, h.temperature, h.weather_condition,
+                       h.wind_direction, h.wind_speed FROM g LEFT JOIN h USING (datetime, City))"""
+
+MERGED_COLS = ["datetime", "City", "humidity", "pressure", "temperature", "weather_condition", "wind_direction",
+               "wind_speed"]
+_MERGED_DOUBLES = {"humidity", "pressure", "temperature", "wind_direction", "wind_speed", "Latitude", "Longitude",
+                   "latitude", "longitude"}
+
+MONTHS = """(SELECT greatest(CAST(m AS DATE), s) AS range_start, least(CAST(last_day(m) AS DATE), e) AS range_end
+             FROM (SELECT s, e, unnest(generate_series(CAST(date_trunc('month', s) AS TIMESTAMP), CAST(e AS TIMESTAMP),
+                                                      INTERVAL 1 MONTH)) AS m FROM b) t)"""
+
+KMPH = "(10e0 / 36e0)"
+
+
+def source_queries() -> dict[str, str]:
+    q = {}
+    q["src_wide_csv"] = (with_(OBS, HOURLY) + "SELECT datetime, "
+                         + ", ".join(f"{rnd(f'max(temperature) FILTER (WHERE City = {chr(39)}{c}{chr(39)})')} AS {c}"
+                                     for c in STATIONS) + " FROM h GROUP BY datetime")
+    q["wide_to_long"] = (with_(OBS, HOURLY, GRID, LONG)
+                         + f"SELECT datetime, City, {rnd('temperature')} AS temperature FROM lng")
+    q["join_metrics"] = with_(OBS, HOURLY, GRID, LONG) + f"SELECT {_select(MERGED_COLS, _MERGED_DOUBLES)} FROM lng"
+    q["join_places"] = (with_(OBS, HOURLY, GRID, LONG, PLACES)
+                        + f"SELECT {_select(MERGED_COLS + ['Latitude', 'Longitude'], _MERGED_DOUBLES)} "
+                          "FROM lng JOIN places USING (City)")
+    q["fetch_plan"] = (with_(PLACES, "b AS (SELECT CAST(min(o_orderdate) AS DATE) AS s, "
+                                     "CAST(max(o_orderdate) AS DATE) AS e FROM orders)")
+                       + "SELECT p.City AS province_name, round(p.Latitude, 8) AS latitude, "
+                         f"round(p.Longitude, 8) AS longitude, m.range_start, m.range_end FROM places p, {MONTHS} m")
+    q["month_ranges"] = """SELECT o_custkey, greatest(CAST(m AS DATE), s) AS range_start,
+       least(CAST(last_day(m) AS DATE), e) AS range_end
+FROM (SELECT o_custkey, s, e, unnest(generate_series(CAST(date_trunc('month', s) AS TIMESTAMP), CAST(e AS TIMESTAMP),
+                                                     INTERVAL 1 MONTH)) AS m
+      FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e
+            FROM orders GROUP BY o_custkey) b) t"""
+    q["src_places_csv"] = with_(PLACES) + "SELECT City, round(Latitude, 8) AS Latitude, round(Longitude, 8) AS Longitude FROM places"
+    q["src_places_json"] = ("SELECT concat('station_', CAST(n_nationkey AS VARCHAR)) AS province_name, "
+                            "round(CAST(n_nationkey * 1.5 AS DOUBLE), 8) AS latitude, "
+                            "round(CAST(100.0 + n_nationkey * 0.5 AS DOUBLE), 8) AS longitude "
+                            "FROM nation WHERE n_nationkey % 7 <> 3")
+    q["parse_history_json"] = (with_(OBS, PLACES) + f"""SELECT date_trunc('hour', o.datetime) AS datetime, o.City AS province,
+  round(o.humidity, 8) AS humidity, round(p.Latitude, 8) AS latitude, round(p.Longitude, 8) AS longitude,
+  round(o.pressure, 8) AS pressure, round(e.value / 10 + 273.15e0, 8) AS temperature,
+  {classify_sql('o.weather_description')} AS weather_condition, round(o.wind_direction, 8) AS wind_direction,
+  round(round(o.wind_speed * {KMPH}, 2), 8) AS wind_speed
+FROM obs o JOIN events e ON e.event_id = o.obs_id JOIN places p ON p.City = o.City""")
+    q["parse_current_json"] = (with_(OBS, PLACES) + f"""SELECT o.obs_id, round(p.Latitude, 8) AS latitude,
+  round(p.Longitude, 8) AS longitude, strftime(o.datetime, '%I:%M %p') AS observed_time_utc,
+  round(e.value / 10, 8) AS temperature_celsius, round(e.value / 10 + 273.15e0, 8) AS temperature_kelvin,
+  CASE WHEN o.obs_id % 50 = 7 THEN NULL ELSE round(o.humidity, 8) END AS humidity,
+  round(o.pressure, 8) AS pressure, round(round(o.wind_speed * {KMPH}, 2), 8) AS wind_speed_mps,
+  round(o.wind_direction, 8) AS wind_direction_degree,
+  CASE WHEN o.weather_description IS NULL OR o.weather_description = '' THEN 'unknown'
+       ELSE {classify_sql('o.weather_description')} END AS weather_condition
+FROM obs o JOIN events e ON e.event_id = o.obs_id JOIN places p ON p.City = o.City
+WHERE o.obs_id % 50 <> 0""")
+    q["parse_timestamps"] = (with_(OBS) + """SELECT * FROM (
+  SELECT obs_id, raw, try_strptime(raw, '%Y-%m-%d %H:%M:%S') AS datetime FROM (
+    SELECT obs_id, CASE WHEN obs_id % 17 = 0 THEN 'not a time' WHEN obs_id % 17 = 1 THEN '2024-02-30 10:00:00'
+                        ELSE strftime(datetime, '%Y-%m-%d %H:%M:%S') END AS raw FROM obs) t) u
+WHERE datetime IS NOT NULL""")
+    q["numeric_coercion"] = (with_(OBS) + "SELECT obs_id, CASE WHEN obs_id % 13 IN (0, 1, 2) THEN NULL "
+                             "ELSE round(humidity, 8) END AS humidity FROM obs")
+    q["unit_conversions"] = (f"SELECT event_id AS obs_id, round(value / 10 + 273.15e0, 8) AS temperature, "
+                             f"round(round(CAST((event_id * 11) % 25 AS DOUBLE) * {KMPH}, 2), 8) AS wind_speed FROM events")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(obs_queries())
+    q.update(source_queries())
     return q
