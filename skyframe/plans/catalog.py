@@ -16,7 +16,7 @@ from ..config import (CALENDAR_COLS, CITY, FEATURES, LABEL, LABEL_LAG_COLS, LAG_
 from ..config import STORE_COLS
 from ..functions.conditions import classify_description
 from ..functions.scalars import celsius_to_kelvin, kmph_to_mps, parse_timestamp, to_double
-from ..operators import cleaning, metrics, reshape, windows
+from ..operators import cleaning, encoding, metrics, reshape, sampling, store, windows
 from ..sources import files, payloads
 from . import fixtures as fx
 
@@ -203,6 +203,105 @@ def q_unit_conversions(spark, sf_dir):
                                   kmph_to_mps("wind_kmph").alias("wind_speed")))
 
 
+# ---------------------------------------------------------------------------
+# Store: merge, upsert, counters, persisted upsert + scan
+# ---------------------------------------------------------------------------
+
+def q_merge_day_into_base(spark, sf_dir):
+    merged = store.merge_day_into_base(fx.store_base(spark, sf_dir), fx.store_batch(spark, sf_dir), fx.MERGE_DAY)
+    return round_doubles(merged.select(*STORE_COLS))
+
+
+def q_upsert_store(spark, sf_dir):
+    out = store.upsert(fx.store_target(spark, sf_dir), fx.store_batch(spark, sf_dir))
+    return round_doubles(out.select(*STORE_COLS))
+
+
+def q_upsert_counts(spark, sf_dir):
+    return store.upsert_counts(fx.store_target(spark, sf_dir), fx.store_batch(spark, sf_dir))
+
+
+def q_store_scan(spark, sf_dir):
+    """Write the keyed store (day partitions), upsert the batch into it, scan it back."""
+    path = fx.scratch(spark, "store")
+    files.write_store(fx.store_target(spark, sf_dir), path)
+    store.upsert_into_store(spark, path, fx.store_batch(spark, sf_dir), fx.scratch(spark, "store_staging"))
+    return round_doubles(files.read_store(spark, path))
+
+
+# ---------------------------------------------------------------------------
+# Sampling, encoding, scaling
+# ---------------------------------------------------------------------------
+
+def split_table(spark, sf_dir) -> DataFrame:
+    return sampling.stratified_split(training_table(spark, sf_dir), LABEL, "obs_id")
+
+
+def q_stratified_split(spark, sf_dir):
+    return split_table(spark, sf_dir).select("obs_id", LABEL, "split")
+
+
+def q_undersample(spark, sf_dir):
+    return sampling.undersample(training_table(spark, sf_dir), LABEL, "obs_id").select("obs_id", LABEL)
+
+
+ENC_IN = [TARGET, *LABEL_LAG_COLS]
+ENC_OUT = ["target_encoded_24h", *[f"{c}_encoded" for c in LABEL_LAG_COLS]]
+
+
+def _encoded(spark, sf_dir):
+    ff = forecast_frame(spark, sf_dir)
+    labels = encoding.fit_labels(ff, ENC_IN)
+    return encoding.encode_labels(ff, labels, ENC_IN, ENC_OUT, "skip"), labels
+
+
+def q_encode_labels(spark, sf_dir):
+    enc, _ = _encoded(spark, sf_dir)
+    return enc.select("obs_id", *ENC_OUT)
+
+
+def q_decode_labels(spark, sf_dir):
+    enc, labels = _encoded(spark, sf_dir)
+    dec = encoding.decode_labels(enc.select("obs_id", "target_encoded_24h"), labels, "target_encoded_24h",
+                                 "target_decoded")
+    return dec.select("obs_id", "target_decoded")
+
+
+def q_scaler_stats(spark, sf_dir):
+    train = split_table(spark, sf_dir).where(F.col("split") == "train")
+    return round_doubles(encoding.scaler_stats(train, FEATURES))
+
+
+def q_standard_scale(spark, sf_dir):
+    sp = split_table(spark, sf_dir)
+    stats = encoding.fit_scaler(sp.where(F.col("split") == "train"), FEATURES)
+    return round_doubles(encoding.standard_scale(sp, stats).select("obs_id", "split", *FEATURES))
+
+
+# ---------------------------------------------------------------------------
+# Classification metrics
+# ---------------------------------------------------------------------------
+
+def q_classification_report(spark, sf_dir):
+    return round_doubles(metrics.classification_report(fx.predicted_class_obs(spark, sf_dir), "y", "yhat"))
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(fx.predicted_class_obs(spark, sf_dir), "y", "yhat")
+
+
+def q_confusion_matrix_norm(spark, sf_dir):
+    return round_doubles(metrics.confusion_matrix(fx.predicted_class_obs(spark, sf_dir), "y", "yhat", normalize=True))
+
+
+def q_classification_report_binary(spark, sf_dir):
+    return round_doubles(metrics.classification_report(fx.labels_pairs(spark, sf_dir), "y", "yhat"))
+
+
+def q_confusion_matrix_binary(spark, sf_dir):
+    return metrics.confusion_matrix(fx.labels_pairs(spark, sf_dir), "y", "yhat")
+
+
 def queries() -> dict[str, Query]:
     return {
         "classify_description": q_classify_description,
@@ -232,4 +331,19 @@ def queries() -> dict[str, Query]:
         "parse_timestamps": q_parse_timestamps,
         "numeric_coercion": q_numeric_coercion,
         "unit_conversions": q_unit_conversions,
+        "merge_day_into_base": q_merge_day_into_base,
+        "upsert_store": q_upsert_store,
+        "upsert_counts": q_upsert_counts,
+        "store_scan": q_store_scan,
+        "stratified_split": q_stratified_split,
+        "undersample": q_undersample,
+        "encode_labels": q_encode_labels,
+        "decode_labels": q_decode_labels,
+        "scaler_stats": q_scaler_stats,
+        "standard_scale": q_standard_scale,
+        "classification_report": q_classification_report,
+        "confusion_matrix": q_confusion_matrix,
+        "confusion_matrix_norm": q_confusion_matrix_norm,
+        "classification_report_binary": q_classification_report_binary,
+        "confusion_matrix_binary": q_confusion_matrix_binary,
     }

@@ -248,8 +248,131 @@ WHERE datetime IS NOT NULL""")
     return q
 
 
+def store_rows_sql(changed: bool) -> str:
+    value = "(CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END)" if changed else "value"
+    return f"""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS datetime,
+    concat('province_', CAST(user_id AS VARCHAR)) AS province,
+    CAST((event_id * 7) % 101 AS DOUBLE) AS humidity, CAST(user_id % 90 AS DOUBLE) AS latitude,
+    CAST(100 + user_id % 10 AS DOUBLE) AS longitude, CAST(980 + (event_id * 13) % 60 AS DOUBLE) AS pressure,
+    273.15e0 + {value} / 10 AS temperature, {classify_sql(description_sql('event_id'))} AS weather_condition,
+    CAST((event_id * 37) % 360 AS DOUBLE) AS wind_direction, CAST((event_id * 11) % 25 AS DOUBLE) AS wind_speed,
+    event_id AS seq
+  FROM events"""
+
+
+STORE_CTES = [
+    f"base AS (SELECT * FROM ({store_rows_sql(False)}) r WHERE day(datetime) BETWEEN 1 AND 20)",
+    f"batch AS (SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN NULL ELSE province END AS province) "
+    f"FROM ({store_rows_sql(True)}) r WHERE day(datetime) BETWEEN 15 AND 25)",
+    "tgt AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn "
+    "FROM base) x WHERE rn = 1)",
+    "bd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn "
+    "FROM batch WHERE datetime IS NOT NULL AND province IS NOT NULL) x WHERE rn = 1)",
+]
+STORE_VALUE_COLS = ["humidity", "latitude", "longitude", "pressure", "temperature", "weather_condition",
+                    "wind_direction", "wind_speed"]
+_STORE_DOUBLES = {"humidity", "latitude", "longitude", "pressure", "temperature", "wind_direction", "wind_speed"}
+
+
+def _upsert_select() -> str:
+    cols = ["coalesce(b.datetime, t.datetime) AS datetime", "coalesce(b.province, t.province) AS province"]
+    for c in STORE_VALUE_COLS:
+        e = f"CASE WHEN b.province IS NOT NULL THEN b.{c} ELSE t.{c} END"
+        cols.append((rnd(e) if c in _STORE_DOUBLES else e) + f" AS {c}")
+    return ", ".join(cols)
+
+
+SPLIT = """sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY weather_condition
+      ORDER BY md5(concat(CAST(obs_id AS VARCHAR), '#42')), obs_id)
+      <= round(0.2 * count(*) OVER (PARTITION BY weather_condition)) THEN 'test' ELSE 'train' END AS split FROM tt)"""
+
+FEATS = ["humidity", "pressure", "temperature", "wind_direction", "wind_speed", "latitude", "longitude"]
+
+PAIRS_OBS = (f"pairs AS (SELECT {classify_sql(description_sql('event_id'))} AS y, "
+             f"{classify_sql(description_sql('event_id + 1'))} AS yhat FROM events)")
+PAIRS_LABELS = "pairs AS (SELECT CAST(quality AS VARCHAR) AS y, CAST(toxic AS VARCHAR) AS yhat FROM labels)"
+
+REPORT = """cc AS (SELECT y, yhat, count(*) AS n FROM pairs WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT y AS label, sum(n) AS support, sum(CASE WHEN y = yhat THEN n ELSE 0 END) AS tp FROM cc GROUP BY y),
+p AS (SELECT yhat AS label, sum(n) AS predicted FROM cc GROUP BY yhat),
+per AS (SELECT label, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted
+        FROM t FULL JOIN p USING (label)),
+m AS (SELECT label, support,
+        CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS precision,
+        CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall,
+        CASE WHEN predicted + support = 0 THEN 0 ELSE 2 * tp / (predicted + support) END AS f1,
+        sum(tp) OVER () / sum(support) OVER () AS accuracy FROM per)
+SELECT label, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1,
+       CAST(support AS BIGINT) AS support, round(accuracy, 8) AS accuracy FROM m
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8), CAST(sum(support) AS BIGINT),
+       round(max(accuracy), 8) FROM m
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 8), round(sum(recall * support) / sum(support), 8),
+       round(sum(f1 * support) / sum(support), 8), CAST(sum(support) AS BIGINT), round(max(accuracy), 8) FROM m"""
+
+CONFUSION = """cc AS (SELECT y, yhat, count(*) AS n FROM pairs WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY 1, 2),
+cls AS (SELECT y AS c FROM cc UNION SELECT yhat FROM cc),
+full_grid AS (SELECT a.c AS y, b.c AS yhat, CAST(coalesce(cc.n, 0) AS BIGINT) AS n
+              FROM cls a CROSS JOIN cls b LEFT JOIN cc ON cc.y = a.c AND cc.yhat = b.c)"""
+
+
+def store_and_ml_queries() -> dict[str, str]:
+    q = {}
+    sel = ", ".join(["datetime", "province"] + [rnd(c) + f" AS {c}" if c in _STORE_DOUBLES else c
+                                                for c in STORE_VALUE_COLS])
+    q["merge_day_into_base"] = (with_(*STORE_CTES) + f"""SELECT {sel} FROM (
+  SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY src DESC, seq DESC) AS rn FROM (
+    SELECT *, 0 AS src FROM base
+    UNION ALL SELECT *, 1 AS src FROM batch WHERE CAST(datetime AS DATE) = DATE '2024-01-18') u) x WHERE rn = 1""")
+    up = with_(*STORE_CTES) + f"SELECT {_upsert_select()} FROM tgt t FULL JOIN bd b ON t.datetime = b.datetime AND t.province = b.province"
+    q["upsert_store"] = up
+    q["store_scan"] = up
+    same = " AND ".join(f"t.{c} IS NOT DISTINCT FROM b.{c}" for c in STORE_VALUE_COLS)
+    q["upsert_counts"] = (with_(*STORE_CTES) + f"""SELECT
+  count(*) FILTER (WHERE b.province IS NOT NULL AND t.province IS NULL) AS inserted,
+  count(*) FILTER (WHERE b.province IS NOT NULL AND t.province IS NOT NULL) AS matched,
+  count(*) FILTER (WHERE b.province IS NOT NULL AND t.province IS NOT NULL AND NOT ({same})) AS modified,
+  (SELECT count(*) FROM batch WHERE datetime IS NULL OR province IS NULL) AS skipped,
+  count(*) FILTER (WHERE b.province IS NOT NULL AND t.province IS NULL)
+    + count(*) FILTER (WHERE b.province IS NOT NULL AND t.province IS NOT NULL AND NOT ({same})) AS saved
+FROM tgt t FULL JOIN bd b ON t.datetime = b.datetime AND t.province = b.province""")
+    base_ctes = [OBS, CLEAN, PLACES, TRAIN_TABLE]
+    q["stratified_split"] = with_(*base_ctes, SPLIT) + "SELECT obs_id, weather_condition, split FROM sp"
+    q["undersample"] = (with_(*base_ctes) + """SELECT obs_id, weather_condition FROM (
+  SELECT obs_id, weather_condition,
+         row_number() OVER (PARTITION BY weather_condition ORDER BY md5(concat(CAST(obs_id AS VARCHAR), '#42')), obs_id) AS rn,
+         min(n) OVER () AS minority
+  FROM (SELECT *, count(*) OVER (PARTITION BY weather_condition) AS n FROM tt) a) b WHERE rn <= minority""")
+    enc_in = [TARGET, *LABEL_LAG_COLS]
+    enc_out = ["target_encoded_24h", *[f"{c}_encoded" for c in LABEL_LAG_COLS]]
+    dom = ("dom AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM ("
+           + " UNION ".join(f"SELECT {c} AS label FROM ff" for c in enc_in) + ") u)")
+    joins = " ".join(f"JOIN dom d{i} ON d{i}.label = ff.{c}" for i, c in enumerate(enc_in))
+    q["encode_labels"] = (with_(OBS, CLEAN, FEAT, FORECAST_CTE, dom) + "SELECT ff.obs_id, "
+                          + ", ".join(f"d{i}.code AS {o}" for i, o in enumerate(enc_out)) + f" FROM ff {joins}")
+    q["decode_labels"] = (with_(OBS, CLEAN, FEAT, FORECAST_CTE) + f"SELECT obs_id, {TARGET} AS target_decoded FROM ff")
+    q["scaler_stats"] = (with_(*base_ctes, SPLIT) + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg({c}), 8) AS mean, round(stddev_pop({c}), 8) AS std_pop, count(*) AS n "
+        f"FROM sp WHERE split = 'train'" for c in FEATS))
+    stats = ("st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 OR stddev_pop({c}) IS NULL "
+                                          f"THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in FEATS)
+             + " FROM sp WHERE split = 'train')")
+    q["standard_scale"] = (with_(*base_ctes, SPLIT, stats) + "SELECT obs_id, split, "
+                           + ", ".join(f"round(({c} - m_{c}) / s_{c}, 8) AS {c}" for c in FEATS) + " FROM sp, st")
+    q["classification_report"] = "WITH " + PAIRS_OBS + ",\n" + REPORT
+    q["classification_report_binary"] = "WITH " + PAIRS_LABELS + ",\n" + REPORT
+    q["confusion_matrix"] = with_(PAIRS_OBS, CONFUSION) + "SELECT y, yhat, n FROM full_grid"
+    q["confusion_matrix_binary"] = with_(PAIRS_LABELS, CONFUSION) + "SELECT y, yhat, n FROM full_grid"
+    q["confusion_matrix_norm"] = (with_(PAIRS_OBS, CONFUSION) + """SELECT y, yhat,
+  round(CASE WHEN sum(n) OVER (PARTITION BY y) = 0 THEN 0 ELSE n / sum(n) OVER (PARTITION BY y) END, 8) AS rate
+FROM full_grid""")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(obs_queries())
     q.update(source_queries())
+    q.update(store_and_ml_queries())
     return q

@@ -80,12 +80,18 @@ def with_day(df: DataFrame, time_col: str = DATETIME) -> DataFrame:
     return df.withColumn(STORE_PARTITION, F.to_date(F.col(time_col)))
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Store scan with a fixed schema; an absent store is an empty typed table."""
+def read_store(spark: SparkSession, path: str, days: Sequence | None = None) -> DataFrame:
+    """Store scan with a fixed schema; an absent store is an empty typed table.
+
+    ``days`` restricts the scan to those day partitions (partition pruning).
+    """
     schema = T.StructType([*STORE_SCHEMA.fields, T.StructField(STORE_PARTITION, T.DateType())])
     if not _exists(spark, path):
         return spark.createDataFrame([], schema).select(*STORE_COLS)
-    return spark.read.schema(schema).parquet(path).select(*STORE_COLS)
+    df = spark.read.schema(schema).parquet(path)
+    if days is not None:
+        df = df.where(F.col(STORE_PARTITION).isin(list(days)))
+    return df.select(*STORE_COLS)
 
 
 def write_store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
