@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -29,11 +29,14 @@ def classify_description(desc: Column | str) -> Column:
 
     Idempotent: every class name contains one of its own keywords and none of an
     earlier class's, so classifying a class name returns it unchanged.
+
+    One ``rlike`` per class (keywords joined by ``|``), so re-classifying a classified
+    column stays a small expression after Catalyst inlines the inner one.
     """
     c = F.col(desc) if isinstance(desc, str) else desc
     low = F.lower(c)
     expr = None
     for name, keys in CONDITION_KEYWORDS:
-        hit = reduce(lambda a, b: a | b, [low.contains(k) for k in keys])
+        hit = low.rlike("|".join(re.escape(k) for k in keys))
         expr = F.when(hit, F.lit(name)) if expr is None else expr.when(hit, F.lit(name))
     return expr.otherwise(F.lit(UNKNOWN))

@@ -16,7 +16,7 @@ from ..config import (CALENDAR_COLS, CITY, FEATURES, LABEL, LABEL_LAG_COLS, LAG_
 from ..config import STORE_COLS
 from ..functions.conditions import classify_description
 from ..functions.scalars import celsius_to_kelvin, kmph_to_mps, parse_timestamp, to_double
-from ..operators import cleaning, encoding, metrics, reshape, sampling, store, windows
+from ..operators import cleaning, encoding, metrics, modeling, reshape, sampling, store, windows
 from ..sources import files, payloads
 from . import fixtures as fx
 
@@ -302,6 +302,75 @@ def q_confusion_matrix_binary(spark, sf_dir):
     return metrics.confusion_matrix(fx.labels_pairs(spark, sf_dir), "y", "yhat")
 
 
+# ---------------------------------------------------------------------------
+# Training and scoring (rows-only checks: predictions have no SQL oracle)
+# ---------------------------------------------------------------------------
+
+# Registry model sizes: the reference's 150-250 boosting rounds are available via
+# ``modeling.DEFAULT_PARAMS`` etc.; the registered queries train small forests.
+REGISTRY_OVERRIDES = {"n_estimators": 20, "max_depth": 6}
+
+
+def _fit_quick(spark, sf_dir, algorithm="random_forest", where=None):
+    tt = training_table(spark, sf_dir)
+    if where is not None:
+        tt = tt.where(where)
+    sp = sampling.stratified_split(tt, LABEL, "obs_id")
+    train = sp.where(F.col("split") == "train")
+    labels = encoding.fit_labels(tt, [LABEL])
+    stats = encoding.fit_scaler(train, FEATURES)
+    params, _ = modeling.resolve_params(REGISTRY_OVERRIDES)
+    return modeling.train_classifier(train, labels, stats, params, algorithm), sp
+
+
+def q_train_report(spark, sf_dir):
+    # training_table's label is already a class (classified in this plan)
+    _, report, _ = modeling.retrain(spark, training_table(spark, sf_dir), "obs_id", REGISTRY_OVERRIDES,
+                                    classify_label=False)
+    return round_doubles(report)
+
+
+def q_train_full(spark, sf_dir):
+    """Full refit from the persisted history table (store scan → retrain → result row)."""
+    path = fx.scratch(spark, "history")
+    files.write_store(fx.store_target(spark, sf_dir), path)
+    hist = files.read_store(spark, path).withColumn("_key", F.concat_ws("|", F.col("datetime").cast("string"),
+                                                                        "province"))
+    _, _, result = modeling.retrain(spark, hist, "_key", REGISTRY_OVERRIDES, defaults=modeling.FULL_REFIT_PARAMS)
+    return result
+
+
+def q_score_batch(spark, sf_dir):
+    model, _ = _fit_quick(spark, sf_dir)
+    req = training_table(spark, sf_dir).withColumn(
+        "humidity", F.when(F.col("obs_id") % 29 == 0, F.lit(None).cast("double")).otherwise(F.col("humidity")))
+    return modeling.score(model, req, keep=["obs_id"])
+
+
+def q_score_fallback(spark, sf_dir):
+    model, _ = _fit_quick(spark, sf_dir)
+    cur = payloads.current_as_features(payloads.parse_current(fx.current_payloads(spark, sf_dir), keep=("obs_id",)))
+    out = modeling.classify_or_predict(cur, model)
+    return out.select("obs_id", LABEL, "condition_source")
+
+
+def q_train_incremental(spark, sf_dir):
+    """MLP fitted on days 1-20, continued on day 21 (warm start), evaluated on days 22+."""
+    day = F.dayofmonth("datetime")
+    model, _ = _fit_quick(spark, sf_dir, "mlp", where=day <= 20)
+    tt = training_table(spark, sf_dir)
+    updated = modeling.train_incremental(model, tt.where(day == 21), {"n_estimators": 20}, classify_label=False)
+    return round_doubles(modeling.evaluate(updated, tt.where(day >= 22)))
+
+
+def q_model_roundtrip(spark, sf_dir):
+    model, sp = _fit_quick(spark, sf_dir)
+    root = fx.scratch(spark, "models")
+    modeling.save_model(model, root)
+    loaded = modeling.load_latest(root)
+    return modeling.score(loaded, sp.where(F.col("split") == "test"), keep=["obs_id", LABEL])
+
+
 def queries() -> dict[str, Query]:
     return {
         "classify_description": q_classify_description,
@@ -346,4 +415,10 @@ def queries() -> dict[str, Query]:
         "confusion_matrix_norm": q_confusion_matrix_norm,
         "classification_report_binary": q_classification_report_binary,
         "confusion_matrix_binary": q_confusion_matrix_binary,
+        "train_report": q_train_report,
+        "train_full": q_train_full,
+        "score_batch": q_score_batch,
+        "score_fallback": q_score_fallback,
+        "train_incremental": q_train_incremental,
+        "model_roundtrip": q_model_roundtrip,
     }
