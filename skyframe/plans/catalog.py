@@ -18,6 +18,7 @@ from ..functions.conditions import classify_description
 from ..functions.scalars import celsius_to_kelvin, kmph_to_mps, parse_timestamp, to_double
 from ..operators import cleaning, encoding, metrics, modeling, reshape, sampling, store, windows
 from ..sources import files, payloads
+from ..streaming import ingest
 from . import fixtures as fx
 
 DECIMALS = 8
@@ -371,6 +372,20 @@ def q_model_roundtrip(spark, sf_dir):
     return modeling.score(loaded, sp.where(F.col("split") == "test"), keep=["obs_id", LABEL])
 
 
+# ---------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------
+
+def q_ingest_stream(spark, sf_dir):
+    """Landing payload files → readStream → parse → foreachBatch upsert → store scan."""
+    landing = fx.write_landing(spark, sf_dir, fx.scratch(spark, "landing"))
+    store_path = fx.scratch(spark, "stream_store")
+    q = ingest.ingest_stream(spark, landing, store_path, fx.scratch(spark, "stream_ckpt"),
+                             fx.scratch(spark, "stream_staging"), max_files_per_trigger=2)
+    q.awaitTermination()
+    return round_doubles(files.read_store(spark, store_path))
+
+
 def queries() -> dict[str, Query]:
     return {
         "classify_description": q_classify_description,
@@ -421,4 +436,5 @@ def queries() -> dict[str, Query]:
         "score_fallback": q_score_fallback,
         "train_incremental": q_train_incremental,
         "model_roundtrip": q_model_roundtrip,
+        "ingest_stream": q_ingest_stream,
     }

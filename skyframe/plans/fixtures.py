@@ -267,3 +267,10 @@ def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("obs_id"), (F.col("value") / 10).alias("temp_c"),
                      ((F.col("event_id") * 11) % 25).cast("double").alias("wind_kmph"))
+
+
+def write_landing(spark: SparkSession, sf_dir: str, landing: str, n_files: int = 4) -> str:
+    """History payloads as JSON-lines landing files (province, latitude, longitude, payload)."""
+    history_payloads(spark, sf_dir).select("province", "latitude", "longitude", "payload") \
+        .repartition(n_files, "province").write.mode("overwrite").json(landing)
+    return landing

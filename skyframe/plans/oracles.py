@@ -370,8 +370,25 @@ FROM full_grid""")
     return q
 
 
+def stream_queries() -> dict[str, str]:
+    """The store after ingesting every payload: per (hour, station) the last hourly entry
+    in payload order (entries of a day are ordered by time, then obs_id)."""
+    q = {}
+    q["ingest_stream"] = (with_(OBS, PLACES) + f"""SELECT datetime, province, humidity, latitude, longitude, pressure,
+  temperature, weather_condition, wind_direction, wind_speed FROM (
+  SELECT date_trunc('hour', o.datetime) AS datetime, o.City AS province,
+    round(o.humidity, 8) AS humidity, round(p.Latitude, 8) AS latitude, round(p.Longitude, 8) AS longitude,
+    round(o.pressure, 8) AS pressure, round(e.value / 10 + 273.15e0, 8) AS temperature,
+    {classify_sql('o.weather_description')} AS weather_condition, round(o.wind_direction, 8) AS wind_direction,
+    round(round(o.wind_speed * {KMPH}, 2), 8) AS wind_speed,
+    row_number() OVER (PARTITION BY date_trunc('hour', o.datetime), o.City ORDER BY o.datetime DESC, o.obs_id DESC) AS rn
+  FROM obs o JOIN events e ON e.event_id = o.obs_id JOIN places p ON p.City = o.City) x WHERE rn = 1""")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
+    q.update(stream_queries())
     q.update(obs_queries())
     q.update(source_queries())
     q.update(store_and_ml_queries())

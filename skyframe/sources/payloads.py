@@ -18,18 +18,22 @@ def _first_desc(arr: Column) -> Column:
 
 
 def parse_history(df: DataFrame, payload: str = "payload", province: str = "province",
-                  latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
+                  latitude: str = "latitude", longitude: str = "longitude",
+                  order_cols: tuple[str, ...] | None = None) -> DataFrame:
     """Historical payload → one row per (day, hour) entry, store columns.
 
     Hours without ``time`` are skipped; ``time`` "0".."2300" gives the hour; °C → K,
     km/h → m/s (2 decimals); the first description (default "Unknown") is classified.
+    With ``order_cols`` a ``seq`` struct (order columns, day position, hour position)
+    is added so that later entries can win a keyed merge.
     """
     doc = F.from_json(F.col(payload), HISTORY_PAYLOAD_SCHEMA)
+    order = list(order_cols or ())
     days = df.select(F.col(province).alias("province"), F.col(latitude).alias("latitude"),
-                     F.col(longitude).alias("longitude"),
-                     F.explode(doc.getField("data").getField("weather")).alias("d"))
-    hours = days.select("province", "latitude", "longitude", F.col("d.date").alias("_date"),
-                        F.explode("d.hourly").alias("h"))
+                     F.col(longitude).alias("longitude"), *order,
+                     F.posexplode(doc.getField("data").getField("weather")).alias("_dp", "d"))
+    hours = days.select("province", "latitude", "longitude", *order, "_dp", F.col("d.date").alias("_date"),
+                        F.posexplode("d.hourly").alias("_hp", "h"))
     hour = hour_from_hhmm(F.col("h.time"))
     stamp = F.try_to_timestamp(
         F.concat(F.col("_date"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00:00")),
@@ -46,6 +50,7 @@ def parse_history(df: DataFrame, payload: str = "payload", province: str = "prov
         classify_description(desc).alias(LABEL),
         to_double("h.winddirDegree").alias("wind_direction"),
         kmph_to_mps("h.windspeedKmph").alias("wind_speed"),
+        *([F.struct(*order, "_dp", "_hp").alias("seq")] if order_cols is not None else []),
     )
     return rows.where(F.col("datetime").isNotNull())
 
