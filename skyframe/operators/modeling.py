@@ -20,6 +20,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassificationModel,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, VectorAssembler
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import (FEATURES, LABEL, SEED, SOURCE_API, SOURCE_MISSING, SOURCE_PREDICTED, TEST_FRACTION,
@@ -199,8 +200,17 @@ def train_classifier(train: DataFrame, labels: Sequence[str], stats: dict[str, t
     est = spark_estimator(params, algorithm, len(features), len(labels))
     if initial_weights is not None and algorithm == "mlp":
         est = est.setInitialWeights(initial_weights)
-    fitted = est.fit(vec.select("features", "label_idx"))
-    return assemble_model(stats, fitted, labels, features)
+    return assemble_model(stats, _fit_persisted(est, vec), labels, features)
+
+
+def _fit_persisted(est, vec: DataFrame):
+    """Fit on a persisted (memory, spilling to disk) copy of the training vectors: the
+    estimators pass over their input several times (metadata, splits, iterations)."""
+    data = vec.select("features", "label_idx").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return est.fit(data)
+    finally:
+        data.unpersist()
 
 
 def retrain(spark: SparkSession, df: DataFrame, key: str, overrides: Mapping[str, object] | None = None,
@@ -213,7 +223,7 @@ def retrain(spark: SparkSession, df: DataFrame, key: str, overrides: Mapping[str
     params, ignored = resolve_params(overrides, defaults)
     clean = prepare(df, features, label, classify_label)
     labels = encoding.fit_labels(clean, [label])
-    split = sampling.stratified_split(clean, label, key, test_fraction, seed).persist()
+    split = sampling.stratified_split(clean, label, key, test_fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     stats = encoding.fit_scaler(train, features)
@@ -269,8 +279,7 @@ def _fit_mlp(rows, labels, stats, params, feats, label, hidden, weights):
     scaled = encoding.scaler_transformer(stats, SCALED).transform(enc)
     vec = VectorAssembler(inputCols=[f"{c}{SCALED}" for c in feats], outputCol="features").transform(scaled)
     est = spark_estimator(params, "mlp", len(feats), len(labels), hidden=hidden).setInitialWeights(weights)
-    fitted = est.fit(vec.select("features", "label_idx"))
-    return assemble_model(stats, fitted, labels, feats)
+    return assemble_model(stats, _fit_persisted(est, vec), labels, feats)
 
 
 _STAT_RE = re.compile(r"\(`(?P<c>[^`]+)` - \((?P<m>[^)]+)\)\) / \((?P<s>[^)]+)\)")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -316,9 +317,9 @@ def _fit_quick(spark, sf_dir, algorithm="random_forest", where=None):
     tt = training_table(spark, sf_dir)
     if where is not None:
         tt = tt.where(where)
-    sp = sampling.stratified_split(tt, LABEL, "obs_id")
+    sp = sampling.stratified_split(tt, LABEL, "obs_id").persist(StorageLevel.MEMORY_AND_DISK)
     train = sp.where(F.col("split") == "train")
-    labels = encoding.fit_labels(tt, [LABEL])
+    labels = encoding.fit_labels(sp, [LABEL])
     stats = encoding.fit_scaler(train, FEATURES)
     params, _ = modeling.resolve_params(REGISTRY_OVERRIDES)
     return modeling.train_classifier(train, labels, stats, params, algorithm), sp
