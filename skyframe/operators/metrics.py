@@ -62,35 +62,41 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """Per-class precision, recall, F1 and support, plus ``macro avg`` and ``weighted avg``
     rows; every row carries the overall ``accuracy``. Classes = labels in y ∪ yhat;
     an undefined ratio is 0.
+
+    One linear plan, so the input is scanned once: confusion counts (partial
+    aggregate) → each count row exploded into its per-class contributions → one
+    aggregate per class → global sums by a window over the per-class rows → a
+    ``rollup`` adds the total level, which is emitted as the two average rows.
     """
     cc = confusion_counts(df, y, yhat)
-    per_true = cc.groupBy(F.col("y").alias("label")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0)).alias("tp"))
-    per_pred = cc.groupBy(F.col("yhat").alias("label")).agg(F.sum("n").alias("predicted"))
-    per = (per_true.join(per_pred, "label", "full")
-           .select("label",
-                   F.coalesce("tp", F.lit(0)).alias("tp"),
-                   F.coalesce("support", F.lit(0)).alias("support"),
-                   F.coalesce("predicted", F.lit(0)).alias("predicted")))
+    parts = F.array(
+        F.struct(F.col("y").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"),
+                 F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
+        F.struct(F.col("yhat").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"),
+                 F.lit(0).cast("long").alias("tp")))
+    per = (cc.select(F.explode(parts).alias("c"))
+             .groupBy(F.col("c.label").alias("label"))
+             .agg(F.sum("c.t").alias("support"), F.sum("c.p").alias("predicted"), F.sum("c.tp").alias("tp")))
+    everyone = Window.partitionBy()
     per = per.select(
         "label", "support",
         _safe_div(F.col("tp"), F.col("predicted")).alias("precision"),
         _safe_div(F.col("tp"), F.col("support")).alias("recall"),
         _safe_div(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"),
-        F.col("tp"),
-    )
-    everyone = Window.partitionBy()
-    per = per.withColumn("accuracy", _safe_div(F.sum("tp").over(everyone), F.sum("support").over(everyone)))
-    macro = per.agg(F.lit("macro avg").alias("label"), F.sum("support").alias("support"),
-                    F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                    F.avg("f1").alias("f1"), F.first("accuracy").alias("accuracy"))
-    weighted = per.agg(F.lit("weighted avg").alias("label"), F.sum("support").alias("support"),
-                       _safe_div(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("precision"),
-                       _safe_div(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("recall"),
-                       _safe_div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1"),
-                       F.first("accuracy").alias("accuracy"))
-    cols = ["label", "precision", "recall", "f1", "support", "accuracy"]
-    return per.select(*cols).unionByName(macro.select(*cols)).unionByName(weighted.select(*cols))
+        _safe_div(F.sum("tp").over(everyone), F.sum("support").over(everyone)).alias("accuracy"))
+    total_s = F.sum("support")
+    lvl = per.rollup("label").agg(
+        F.grouping("label").alias("g"), total_s.alias("support"), F.first("accuracy").alias("accuracy"),
+        *[F.avg(m).alias(f"{m}_m") for m in ("precision", "recall", "f1")],
+        *[_safe_div(F.sum(F.col(m) * F.col("support")), total_s).alias(f"{m}_w") for m in ("precision", "recall", "f1")])
+
+    def row(label, suffix):
+        return F.struct(label.alias("label"), *[F.col(f"{m}_{suffix}").alias(m) for m in ("precision", "recall", "f1")],
+                        F.col("support").alias("support"), F.col("accuracy").alias("accuracy"))
+
+    rows = F.when(F.col("g") == 0, F.array(row(F.col("label"), "m"))).otherwise(
+        F.array(row(F.lit("macro avg"), "m"), row(F.lit("weighted avg"), "w")))
+    return lvl.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def class_list(df: DataFrame, y: str, yhat: str) -> list[str]:
@@ -106,8 +112,17 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str, classes: Sequence[str] |
     ``normalize=True`` divides each true-class row by its total; empty rows stay 0.
     The class grid is generated from the class list (no join of two tables).
     """
-    cls = list(classes) if classes is not None else class_list(df, y, yhat)
     cc = confusion_counts(df, y, yhat)
+    if classes is None:
+        # The counts table (≤ classes² rows) is materialised once in the shared
+        # checkpoint folder; the vocabulary and the matrix both read it, so the
+        # input is scanned a single time.
+        from ..session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        cc = cc.checkpoint(eager=True)
+        cls = class_list(cc, "y", "yhat")
+    else:
+        cls = list(classes)
     grid = (df.sparkSession.createDataFrame([(c,) for c in cls], "y string")
             .select("y", F.explode(F.array(*[F.lit(c) for c in cls])).alias("yhat")))
     full = grid.join(cc, ["y", "yhat"], "left").select("y", "yhat", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
