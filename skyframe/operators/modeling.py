@@ -216,16 +216,26 @@ def _fit_persisted(est, vec: DataFrame):
 def retrain(spark: SparkSession, df: DataFrame, key: str, overrides: Mapping[str, object] | None = None,
             algorithm: str = "random_forest", features: Sequence[str] = FEATURES, label: str = LABEL,
             balance: bool = False, defaults: Mapping[str, object] = DEFAULT_PARAMS,
-            test_fraction: float = TEST_FRACTION, seed: int = SEED, classify_label: bool = True):
-    """Prepare → exact stratified split → fit scaler on train → (undersample) → fit →
-    evaluate on test. Returns (model, report DataFrame, one-row result DataFrame)."""
+            test_fraction: float = TEST_FRACTION, seed: int = SEED, classify_label: bool = True,
+            split: str = "random", time_col: str = "datetime"):
+    """Prepare → split → fit scaler on train → (undersample) → fit → evaluate on test.
+
+    ``split="random"`` is the exact stratified hash split (as the reference);
+    ``split="time"`` holds out the latest rows instead. Returns (model, report
+    DataFrame, one-row result DataFrame)."""
     start = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     params, ignored = resolve_params(overrides, defaults)
     clean = prepare(df, features, label, classify_label)
     labels = encoding.fit_labels(clean, [label])
-    split = sampling.stratified_split(clean, label, key, test_fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
+    if split == "time":
+        parts = sampling.time_split(clean, time_col, key, test_fraction)
+    elif split == "random":
+        parts = sampling.stratified_split(clean, label, key, test_fraction, seed)
+    else:
+        raise ValueError(f"unknown split {split!r}")
+    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+    train = parts.where(F.col("split") == "train")
+    test = parts.where(F.col("split") == "test")
     stats = encoding.fit_scaler(train, features)
     if balance:
         train = sampling.undersample(train, label, key, seed)

@@ -58,3 +58,25 @@ def undersample(df: DataFrame, label: str = LABEL, key: str = "obs_id", seed: in
     """Every class reduced to the minority class size, without replacement."""
     r = _ranked(df, label, key, seed)
     return r.where(F.col("_rank") <= F.col("_minority")).drop(*_HELPERS)
+
+
+def time_split(df: DataFrame, time_col: str, key: str, test_fraction: float = TEST_FRACTION,
+               split_col: str = "split") -> DataFrame:
+    """Chronological split: the latest round(fraction · n) rows (by time, then key) are 'test'.
+
+    Avoids near-identical neighbours of overlapping series falling on both sides of a
+    random split. Exact global positions come from per-day counts and a row_number
+    inside each day (``windows.positions``), so no single task sorts the whole table.
+    """
+    from .windows import positions
+    n = df.count()  # a scalar from a distributed count
+    cut = n - int(_round_half_up(test_fraction * n))
+    pos = positions(df.withColumn("_all", F.lit(0)), ["_all"], time_col, tiebreak=[key])
+    return (pos.withColumn(split_col, F.when(F.col("_pos") >= F.lit(cut), F.lit("test")).otherwise(F.lit("train")))
+               .drop("_all", "_pos"))
+
+
+def _round_half_up(x: float) -> float:
+    """Half-up rounding of a non-negative number (as Spark's ``round``)."""
+    import math
+    return math.floor(x + 0.5)

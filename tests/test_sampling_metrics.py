@@ -89,3 +89,14 @@ def test_label_encoding_roundtrip(spark):
     assert skipped.count() == 3
     back = encoding.decode_labels(skipped, labels, "code", "l2").collect()
     assert all(r.l == r.l2 for r in back)
+
+
+def test_time_split_latest_rows_are_test(spark):
+    tt = catalog.training_table(spark, SF)
+    ts = sampling.time_split(tt, "datetime", "obs_id", 0.2)
+    n = tt.count()
+    test = ts.where("split = 'test'")
+    assert test.count() == int(0.2 * n + 0.5)
+    first_test = test.agg(F.min("datetime")).first()[0]
+    last_train = ts.where("split = 'train'").agg(F.max("datetime")).first()[0]
+    assert last_train <= first_test
