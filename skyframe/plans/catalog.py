@@ -252,7 +252,9 @@ ENC_OUT = ["target_encoded_24h", *[f"{c}_encoded" for c in LABEL_LAG_COLS]]
 
 
 def _encoded(spark, sf_dir):
-    ff = forecast_frame(spark, sf_dir)
+    # The vocabulary is fitted on the feature frame itself (target ∪ label lags), then
+    # applied to it: persist it so the two passes share one feature computation.
+    ff = forecast_frame(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     labels = encoding.fit_labels(ff, ENC_IN)
     return encoding.encode_labels(ff, labels, ENC_IN, ENC_OUT, "skip"), labels
 
