@@ -158,11 +158,14 @@ def fx_obs_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_wide_csvs(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
     """One wide CSV per metric (``datetime`` + one column per station), like the source files."""
-    means = hourly_station_means(spark, sf_dir)
-    for name in ["humidity", "pressure", "temperature", "weather_condition", "wind_direction", "wind_speed"]:
-        agg = F.first(name)
-        wide = means.groupBy("datetime").pivot(CITY).agg(agg)
-        wide.write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}.csv")
+    means = hourly_station_means(spark, sf_dir).persist()
+    try:
+        stations = sorted(r[0] for r in means.select(CITY).distinct().collect())  # one entry per station
+        for name in ["humidity", "pressure", "temperature", "weather_condition", "wind_direction", "wind_speed"]:
+            wide = means.groupBy("datetime").pivot(CITY, stations).agg(F.first(name))
+            wide.write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}.csv")
+    finally:
+        means.unpersist()
     return out_dir
 
 
