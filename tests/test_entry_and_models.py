@@ -29,7 +29,7 @@ def test_registry_contract():
 
 FAST = ["classify_description", "forecast_features", "upsert_counts", "merge_day_into_base",
         "stratified_split", "parse_history_json", "classification_report", "confusion_matrix_norm",
-        "month_ranges", "coverage"]
+        "month_ranges", "coverage", "ingest_stream", "store_scan", "join_metrics", "encode_labels"]
 
 
 @pytest.mark.parametrize("name", FAST)
