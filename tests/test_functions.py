@@ -83,3 +83,19 @@ def test_calendar_monday_is_zero(spark):
     assert rows[0][0] == 0 and rows[1][0] == 6
     assert rows[0][1] == 6 and rows[0][2] == 1
     assert abs(rows[0][3] - 1.0) < 1e-12
+
+
+def test_parse_timestamp_strict_fails_on_bad_input(spark):
+    from skyframe.functions import parse_timestamp_strict
+    ok = _one(spark, parse_timestamp_strict("s"), "s string", [("2024-01-02 03:00:00",)])
+    assert ok == [dt.datetime(2024, 1, 2, 3)]
+    with pytest.raises(Exception):
+        _one(spark, parse_timestamp_strict("s"), "s string", [("junk",)])
+
+
+def test_previous_day_and_day_slice(spark):
+    from skyframe.operators.cleaning import day_slice, previous_day
+    assert previous_day("2024-03-01") == dt.date(2024, 2, 29)
+    df = spark.createDataFrame([(dt.datetime(2024, 2, 29, 0),), (dt.datetime(2024, 2, 29, 23, 59),),
+                                (dt.datetime(2024, 3, 1, 0),)], "datetime timestamp_ntz")
+    assert day_slice(df, previous_day("2024-03-01"), cols=None).count() == 2
