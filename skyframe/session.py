@@ -2,8 +2,8 @@
 
 Jobs never pick a machine-local folder on their own: intermediate tables, landing
 directories and model versions go under the cluster's ``spark.checkpoint.dir``.
-Only when the session has none (unit tests, a laptop) is a fresh temporary folder
-chosen and registered as the checkpoint dir.
+Where the session names none, a single-process (``local``) session gets a fresh temporary
+folder; on a cluster that is an error, because executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the session (``spark.checkpoint.dir``).
 
-    Set here only when the session has none, as happens in tests.
+    Set here only for a ``local`` session that has none, as in tests; a cluster must name one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,7 +45,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="skyframe-ckpt-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="skyframe-ckpt-")  # one process: its disk is the shared one
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
