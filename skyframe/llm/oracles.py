@@ -51,6 +51,19 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+OP6 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload),
+h AS (SELECT p.page_id, strlen(p.payload)::BIGINT AS payload_bytes, sha1(p.payload) AS hex, f.first_id
+      FROM p JOIN f ON p.payload = f.payload)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::INT >> (5 * (3 - i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM h
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op5_decontamination": OP5}
+    return {"op1_line_dedup": OP1, "op5_decontamination": OP5, "op6_warc": OP6}

@@ -20,6 +20,7 @@ documents of their own; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,9 +66,13 @@ class UnitEncoder:
     """ids of texts by a growing table from unit to ids."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -79,15 +84,30 @@ class UnitEncoder:
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
 
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the units one after the other, and how many each has."""
+        if all(map(str.isalpha, units)):  # each is one word, so its last id is one that ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(units):
+                return ids, np.diff(ends, prepend=0)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], dtype="<u4"), np.array([len(ids) for ids in each])
+
     def _learn(self, units: list[bytes], hashes: np.ndarray) -> None:
-        found = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        ends = self.offset[-1] + np.cumsum([len(x) for x in ids])
-        at = np.arange(len(units)) + len(self.offset) - 1
+        words = [u.decode("utf-8", "replace") for u in units]
+        order = sorted(range(len(words)), key=lambda i: not words[i].isalpha())
+        alpha = sum(map(str.isalpha, words))
+        found = [self._ids([words[i] for i in group])
+                 for group in [*(order[i:min(i + 1000, alpha)] for i in range(0, alpha, 1000)), order[alpha:]] if group]
+        ends = self.offset[-1] + np.cumsum(np.concatenate([size for _, size in found]))
+        at = np.arange(len(order)) + len(self.offset) - 1
         self.offset = np.concatenate([self.offset, ends])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype="<u4")])
-        spot = np.searchsorted(self.keys, hashes)
-        self.keys, self.at = np.insert(self.keys, spot, hashes), np.insert(self.at, spot, at)
+        self.flat = np.concatenate([self.flat, *[ids for ids, _ in found]])
+        hashes = hashes[order]
+        rank = np.argsort(hashes)
+        spot = np.searchsorted(self.keys, hashes[rank])
+        self.keys, self.at = np.insert(self.keys, spot, hashes[rank]), np.insert(self.at, spot, at[rank])
 
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
         """ids of each text; none of them needs to be encoded whole."""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, line_dedup, packing, pii, sharding
+from . import ann, decontamination, jaccard_join, language_id, line_dedup, packing, pii, sharding, warc
 from .common import read_table
 
 
@@ -27,6 +27,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "sequence_id", "offset")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -35,6 +40,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the pages have no capture time; their ids stand in for a clock
+    clock = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("page_id", F.lit(10**8)))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html", clock.alias("captured"))
+    out = warc.archive_and_index(pages, min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard(docs, n_shards=16)
