@@ -72,7 +72,7 @@ def item_windows(items: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, known: dict[int, np.ndarray], n: int, k: int) -> DataFrame:
-    """``row, doc_id, n_words, hits``: windows whose fingerprint is in ``known`` (by length)."""
+    """``row, doc_id, text_hash, n_words, hits``: windows whose fingerprint is in ``known`` (by length)."""
     # a bit for the low 16 bits of each known fingerprint spares most of the look-ups
     bits = {}
     for length, keys in known.items():
@@ -87,7 +87,7 @@ def candidates(docs: DataFrame, known: dict[int, np.ndarray], n: int, k: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
             size = np.zeros(len(texts), dtype=np.int64)
             hits: list[list] = [[] for _ in texts]
             for w in scan(texts, n - 1):
@@ -96,11 +96,11 @@ def candidates(docs: DataFrame, known: dict[int, np.ndarray], n: int, k: int) ->
                     for i in matches(w, length).tolist():
                         hits[w.text[i]].append({"start": int(w.index[i]), "length": length, "words": w.phrase(i, length)})
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size), pa.array(hits, pa.list_(HIT))],
-                names=["row", "doc_id", "n_words", "hits"])
+                [*batch.columns[:3], pa.array(size), pa.array(hits, pa.list_(HIT))],
+                names=["row", "doc_id", "text_hash", "n_words", "hits"])
 
-    return (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-            .mapInArrow(run, "row long, doc_id long, n_words long, "
+    return (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+            .mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, "
                              "hits array<struct<start:long,length:int,words:string>>"))
 
 
@@ -118,7 +118,7 @@ def _covered(spans):
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5, share: int = 20,
                   block: int = 1 << 21) -> DataFrame:
-    """``row, doc_id, n_words, n_hit, item_ids`` (sorted as strings), ``contaminated``: some
+    """``row, doc_id, text_hash, n_words, n_hit, item_ids`` (sorted as strings), ``contaminated``: some
     word is hit and the hit words are at least one in ``share``."""
     windows = materialise(item_windows(items, n, k), "decon-windows")
     keys = windows.select("length", "fingerprint").distinct()
@@ -141,7 +141,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5, sh
               .join(windows.where(F.col("item_id").isNotNull()).select("words", "item_id").distinct(), "words")
               .groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return (scans[0].select("row", "doc_id", "n_words").join(covered, "row", "left").join(listed, "row", "left")
-            .select("row", "doc_id", "n_words", n_hit.alias("n_hit"),
+    return (scans[0].select("row", "doc_id", "text_hash", "n_words").join(covered, "row", "left").join(listed, "row", "left")
+            .select("row", "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
                     ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated")))
