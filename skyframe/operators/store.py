@@ -1,39 +1,51 @@
 """Keyed observation store: last-wins merge, presence-aware upsert, counters, and the
-persisted upsert job.
+persisted jobs (upsert, day merge).
 
-Skew: deduplication is an aggregate (``max_by`` over the ordering), not a
-``row_number`` window, so map-side partial aggregation collapses a hot key to one
-row per input partition before anything is shuffled.
+Skew: last-wins keeps ``row_number() = 1``. Spark applies that limit per input partition
+before the shuffle, so a hot key sends one row per task, not all of them.
+
+Persisted jobs read and rewrite only the day partitions they touch. They write the new days
+to a staging folder of their own, made for this call, and then replace exactly those days;
+a job that fails in between is repaired by running it again, because a batch applied twice
+leaves what it leaves when applied once.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..config import STORE_COLS, STORE_KEYS
+from ..functions.scalars import nan_to_null
 from ..sources import files
 from .cleaning import day_slice
 
+MAX_DAYS = 100_000  # day partitions one batch may touch
+
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the row with the greatest ``order`` tuple (must be unique per key).
 
     NULL keys form their own group, as in a drop-duplicates.
     """
-    keys, order = list(keys), list(order)
-    rest = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(c) for c in order])
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), ordering).alias("_r"))
-    return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def nulls_for_nans(df: DataFrame) -> DataFrame:
+    """NaN → NULL in every floating column (what a store keeps for a missing number)."""
+    return df.select(*[nan_to_null(f.name).cast(f.dataType).alias(f.name)
+                       if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields])
 
 
 def merge_day_into_base(base: DataFrame, store: DataFrame, day: str | _dt.date, keys: Sequence[str] = STORE_KEYS,
                         seq: str | None = "seq", cols: Sequence[str] = STORE_COLS) -> DataFrame:
-    """History merge: ``store`` rows of ``day`` (projected to ``cols``) appended to ``base``;
-    per key the later source wins, then the larger ``seq`` inside a source."""
+    """History merge in memory: ``store`` rows of ``day`` (projected to ``cols``) appended to
+    ``base``; per key the later source wins, then the larger ``seq`` inside a source."""
     keep = [*cols, seq] if seq else list(cols)
     today = day_slice(store, day, cols=None).select(*keep)
     both = (base.select(*keep).withColumn("_src", F.lit(0))
@@ -42,6 +54,33 @@ def merge_day_into_base(base: DataFrame, store: DataFrame, day: str | _dt.date,
     return last_wins(both, keys, order).drop("_src")
 
 
+def create_history(df: DataFrame, path: str, keys: Sequence[str] = STORE_KEYS, seq: str = "seq") -> None:
+    """First write of a history: deduplicated once, so that later merges need not look back."""
+    files.write_store(nulls_for_nans(last_wins(df, keys, [seq])), path)
+
+
+def merge_day_into_history(spark: SparkSession, path: str, store: DataFrame, day: str | _dt.date, staging_root: str,
+                           keys: Sequence[str] = STORE_KEYS, seq: str = "seq") -> None:
+    """Persisted day merge: ``store`` rows of ``day`` win over the history's rows of that day.
+    Only that day's partition is read, merged and written."""
+    d = day if isinstance(day, _dt.date) else _dt.date.fromisoformat(str(day))
+    today = last_wins(day_slice(store, d, cols=None).select(*STORE_COLS, seq), keys, [seq]).drop(seq)
+    both = (files.read_store(spark, path, days=[d]).withColumn("_src", F.lit(0))
+            .unionByName(nulls_for_nans(today).withColumn("_src", F.lit(1))))
+    staged = _staging(staging_root)
+    files.write_store(last_wins(both, keys, ["_src"]).drop("_src"), staged)
+    _publish(spark, staged, path, [d])
+
+
+def _staging(root: str) -> str:
+    return f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def _publish(spark: SparkSession, staged: str, path: str, days: Sequence[_dt.date]) -> None:
+    """Replace exactly ``days`` of the store by their staged partitions."""
+    files.write_store(files.read_store(spark, staged, days=days), path)
+
+
 def _all_keys_present(keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -51,7 +90,7 @@ def _all_keys_present(keys: Sequence[str]) -> Column:
 
 def _upsert_join(target: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str | None) -> tuple[DataFrame, list[str]]:
     keys = list(keys)
-    valid = batch.where(_all_keys_present(keys))
+    valid = nulls_for_nans(batch.where(_all_keys_present(keys)))
     if seq:
         valid = last_wins(valid, keys, [seq]).drop(seq)
     set_cols = [c for c in valid.columns if c not in keys and c in target.columns]
@@ -108,32 +147,41 @@ def upsert_counts(target: DataFrame, batch: DataFrame, keys: Sequence[str] = STO
                          (F.col("inserted") + F.col("modified")).alias("saved"))
 
 
-def upsert_into_store(spark: SparkSession, store_path: str, batch: DataFrame, staging_path: str,
+def upsert_into_store(spark: SparkSession, store_path: str, batch: DataFrame, staging_root: str,
                       keys: Sequence[str] = STORE_KEYS, seq: str | None = "seq") -> dict[str, int]:
     """Persisted upsert into the day-partitioned store; only touched days are rewritten.
 
-    1. the batch's day set (one row per day) prunes the store scan to those partitions;
-    2. the upserted days are written to ``staging_path`` while an ``Observation``
-       gathers the counters in the same pass;
-    3. the staged days replace their partitions with dynamic partition overwrite.
-    The store is never read and overwritten by the same plan, and a rerun after a
-    failure is idempotent (upsert twice = once).
+    1. one aggregate over the (persisted) batch gives its days and its skipped rows; the days
+       prune the store scan to their partitions;
+    2. the upserted days are written to a fresh folder under ``staging_root`` while an
+       ``Observation`` gathers the counters in the same pass;
+    3. exactly those days replace their partitions.
+    The store is never read and overwritten by the same plan, and a rerun after a failure is
+    idempotent (upsert twice = once).
     """
-    days = [r[0] for r in batch.where(_all_keys_present(keys))
-            .select(F.to_date(F.col(keys[0])).alias("d")).distinct().collect()]
-    skipped = batch.where(~_all_keys_present(keys)).count()
-    if not days:
-        return {"inserted": 0, "matched": 0, "modified": 0, "skipped": skipped, "saved": 0}
-    current = files.read_store(spark, store_path, days=days)
-    j, set_cols = _upsert_join(current, batch, keys, seq)
-    obs = Observation("upsert")
-    counters = _counter_exprs(set_cols)
-    merged = j.observe(obs, *[v.alias(k) for k, v in counters.items()])
-    cols = [F.col(c) if c in keys or c not in set_cols
-            else F.when(F.col("_in_b"), F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) for c in current.columns]
-    files.write_store(merged.select(*cols), staging_path)
-    got = obs.get
-    files.write_store(files.read_store(spark, staging_path), store_path)
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        present = _all_keys_present(keys)
+        skipped = batch.where(~present).count()
+        days = [r[0] for r in batch.where(present).select(F.to_date(F.col(keys[0])).alias("d")).distinct()
+                .limit(MAX_DAYS + 1).collect()]
+        if len(days) > MAX_DAYS:
+            raise ValueError(f"a batch may touch {MAX_DAYS} days at most")
+        if not days:
+            return {"inserted": 0, "matched": 0, "modified": 0, "skipped": skipped, "saved": 0}
+        current = files.read_store(spark, store_path, days=days)
+        j, set_cols = _upsert_join(current, batch, keys, seq)
+        obs = Observation("upsert")
+        counters = _counter_exprs(set_cols)
+        merged = j.observe(obs, *[v.alias(k) for k, v in counters.items()])
+        cols = [F.col(c) if c in keys or c not in set_cols
+                else F.when(F.col("_in_b"), F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) for c in current.columns]
+        staged = _staging(staging_root)
+        files.write_store(merged.select(*cols), staged)
+        got = obs.get
+        _publish(spark, staged, store_path, days)
+    finally:
+        batch.unpersist()
     out = {k: int(got.get(k, 0) or 0) for k in counters}
     out["skipped"] = skipped
     out["saved"] = out["inserted"] + out["modified"]

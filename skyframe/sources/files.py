@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..config import CITY, DATETIME, LABEL, PROVINCES_JSON_SCHEMA, STORE_COLS, STORE_SCHEMA, WIDE_TABLES
+from ..config import CITY, DATETIME, LABEL, PROVINCES_JSON_SCHEMA, STORE_COLS, STORE_SCHEMA, WIDE_FILES, WIDE_TABLES
 from ..functions.scalars import parse_timestamp, to_double
 from ..operators.cleaning import MissingColumnsError, require_columns
 
@@ -44,9 +44,10 @@ def read_wide_csv(spark: SparkSession, path: str, value_type: str = "double",
 
 
 def read_wide_metrics(spark: SparkSession, directory: str, names: Sequence[str] = WIDE_TABLES) -> dict[str, DataFrame]:
-    """The six wide metric tables (``<name>.csv`` each); a missing file aborts."""
+    """The six wide metric tables by value column (files named by ``WIDE_FILES``); a missing
+    file aborts."""
     d = directory.rstrip("/")
-    return {n: read_wide_csv(spark, f"{d}/{n}.csv", "string" if n == LABEL else "double") for n in names}
+    return {n: read_wide_csv(spark, f"{d}/{WIDE_FILES[n]}.csv", "string" if n == LABEL else "double") for n in names}
 
 
 def read_places_csv(spark: SparkSession, path: str, place: str = CITY,
@@ -69,6 +70,19 @@ def read_places_json(spark: SparkSession, path: str, multi_line: bool = True) ->
     return out.dropna(subset=["latitude", "longitude"])
 
 
+def read_history_csv(spark: SparkSession, path: str) -> DataFrame:
+    """History table kept as CSV: header row, the ten store columns in any order; numbers and
+    timestamps are coerced leniently and rows without a readable timestamp are dropped."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    require_columns(raw, STORE_COLS)
+    kinds = {f.name: f.dataType.typeName() for f in STORE_SCHEMA.fields}
+    cols = [parse_timestamp(c).alias(c) if c == DATETIME else to_double(c).alias(c) if kinds[c] == "double" else F.col(c)
+            for c in STORE_COLS]
+    return raw.select(*cols).where(F.col(DATETIME).isNotNull())
+
+
 # ---------------------------------------------------------------------------
 # Observation store: Parquet partitioned by day
 # ---------------------------------------------------------------------------
@@ -97,13 +111,13 @@ def read_store(spark: SparkSession, path: str, days: Sequence | None = None) ->
 def write_store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write store rows partitioned by day; with dynamic partition overwrite only the
     days present in ``df`` are replaced."""
-    # No repartition by day: one hot day would land in a single task. Each task
-    # writes its own files per day it holds; file size is capped per file.
-    out = with_day(df.select(*STORE_COLS))
+    # Rebalanced by day: a day's rows meet in few files, and adaptive execution splits a day
+    # that is larger than a partition should be.
+    out = with_day(df.select(*STORE_COLS)).hint("rebalance", STORE_PARTITION)
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", 5_000_000)
         .partitionBy(STORE_PARTITION).parquet(path))
 
 
 __all__ = ["MissingColumnsError", "read_wide_csv", "read_wide_metrics", "read_places_csv",
-           "read_places_json", "read_store", "write_store", "with_day"]
+           "read_places_json", "read_history_csv", "read_store", "write_store", "with_day"]

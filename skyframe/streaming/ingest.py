@@ -15,21 +15,24 @@ from ..config import STORE_COLS
 from ..operators.store import upsert_into_store
 from ..sources.payloads import parse_history
 
-# One landing record: the request it answers (place, coordinates) and the raw payload.
+# One landing record: the request it answers (place, coordinates), its number in the order of
+# fetching (unique per file) and the raw payload.
 LANDING_SCHEMA = T.StructType([
     T.StructField("province", T.StringType()),
     T.StructField("latitude", T.DoubleType()),
     T.StructField("longitude", T.DoubleType()),
+    T.StructField("record", T.LongType()),
     T.StructField("payload", T.StringType()),
 ])
 
 
 def parse_landing(records: DataFrame) -> DataFrame:
     """Landing records → store rows with a ``seq`` ordering duplicates: file modification
-    time, file name, then position of the day and of the hour inside the payload."""
+    time, file name, number of the record, then position of the day and of the hour inside
+    the payload, so no two rows are equal in it."""
     with_file = records.select("*", F.col("_metadata.file_modification_time").alias("_ft"),
                                F.col("_metadata.file_name").alias("_fn"))
-    return parse_history(with_file, order_cols=("_ft", "_fn"))
+    return parse_history(with_file, order_cols=("_ft", "_fn", "record"))
 
 
 def ingest_stream(spark: SparkSession, landing: str, store_path: str, checkpoint: str, staging_root: str,
@@ -45,12 +48,7 @@ def ingest_stream(spark: SparkSession, landing: str, store_path: str, checkpoint
     rows = parse_landing(stream)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            upsert_into_store(batch.sparkSession, store_path, batch.select(*STORE_COLS, "seq"),
-                              f"{staging_root.rstrip('/')}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        upsert_into_store(batch.sparkSession, store_path, batch.select(*STORE_COLS, "seq"), staging_root)
 
     writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
