@@ -65,8 +65,8 @@ def time_split(df: DataFrame, time_col: str, key: str, test_fraction: float = TE
     """Chronological split: the latest round(fraction · n) rows (by time, then key) are 'test'.
 
     Avoids near-identical neighbours of overlapping series falling on both sides of a
-    random split. Exact global positions come from per-day counts and a row_number
-    inside each day (``windows.positions``), so no single task sorts the whole table.
+    random split. Exact global positions come from sorted ranges (``windows.positions``),
+    so no single task sorts the whole table or a day of it.
     """
     from .windows import positions
     n = df.count()  # a scalar from a distributed count

@@ -10,11 +10,11 @@ parallelism is capped by the number of places and one hot place (a third of all
 rows) becomes one giant sort. Instead the frame is cut into **blocks of at most
 ``block_rows`` consecutive rows per place**:
 
-1. ``positions``: per (place, day) row counts (partial aggregation, tiny output),
-   a running sum over those counts gives each day's starting offset, and
-   ``row_number`` inside (place, day) adds the local rank. Result: the exact
-   0-based row index ``_pos`` of every row inside its place, computed with
-   windows keyed by (place, day), never by place alone.
+1. ``positions``: the rows are range-partitioned and sorted by (place, time) and
+   written once. A range ends wherever the data say, also inside a place or a day, so no
+   place, day or hour is a task of its own. The number a row gets in its sorted range,
+   corrected by one small row per (place, range), is the exact 0-based row index ``_pos``
+   of every row inside its place.
 2. ``_blk = _pos div block_rows``. Each row is emitted into its own block and, when
    it lies within ``back`` rows of the block end (or ``ahead`` rows of its start),
    also as a *halo* copy into the neighbouring block. Window functions run over
@@ -28,39 +28,47 @@ result is identical to the per-place window, while each task handles at most
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import (CALENDAR_COLS, CITY, DATETIME, FORECAST_HORIZON, LABEL, LAG_STEPS, METRICS,
-                      NUMERIC_LAG_COLS, LABEL_LAG_COLS, TARGET, WINDOW_COLS, WINDOW_SIZES, lag_name,
-                      window_name)
+from ..config import (CALENDAR_COLS, CITY, DATETIME, FORECAST_HORIZON, LABEL, LAG_STEPS, METRICS, WINDOW_SIZES,
+                      lag_name, window_name)
 from ..functions.scalars import calendar_columns
+from ..session import scratch_path
 
 DEFAULT_BLOCK_ROWS = 500_000
 
-_HELPERS = ["_bkt", "_base", "_pos", "_blk", "_home", "_t"]
+_HELPERS = ["_pos", "_blk", "_home", "_dup"]
 
 
 def positions(df: DataFrame, partition_cols: Sequence[str], order_col: str,
-              tiebreak: Sequence[str] = (),
-              bucket: Callable[[Column], Column] = F.to_date) -> DataFrame:
+              tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add ``_pos``: the 0-based index of each row within its partition, ordered by
-    ``(order_col, *tiebreak)``. Partition and order columns must be non-null.
+    ``(order_col, *tiebreak)``. Rows with a null partition form one of their own; null order
+    values come first.
 
-    Work is keyed by (partition, bucket) so no task holds a whole partition.
+    One scan of ``df``: its sorted ranges are written under the shared checkpoint folder,
+    where the counts and the result read them.
     """
-    parts = list(partition_cols)
-    with_bkt = df.withColumn("_bkt", bucket(F.col(order_col)))
-    counts = with_bkt.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*parts, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    # ``offsets`` has one row per (place, day); AQE broadcasts it when its runtime
-    # size is under the broadcast threshold and keeps a sort-merge join otherwise.
-    joined = with_bkt.join(offsets, on=[*parts, "_bkt"], how="inner")
-    local = Window.partitionBy(*parts, "_bkt").orderBy(F.col(order_col), *[F.col(c) for c in tiebreak])
-    return joined.withColumn("_pos", F.col("_base") + F.row_number().over(local) - F.lit(1)) \
-        .drop("_bkt", "_base")
+    parts, order = list(partition_cols), [order_col, *tiebreak]
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranges")
+    # the id is (number of the range << 33) + place in it
+    ranged = (df.repartitionByRange(n, *parts, *order).sortWithinPartitions(*parts, *order)
+              .withColumn("_at", F.monotonically_increasing_id()))
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    counts = ranged.groupBy(*parts, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*parts).orderBy("_range")  # a row per (place, range)
+    shifts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(parts)], F.col("_range").alias("_r"),
+                           (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_shift"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(parts):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return (ranged.join(shifts, same).withColumn("_pos", F.col("_at") + F.col("_shift"))
+            .select(*df.columns, "_pos"))
 
 
 def blocked_frame(df: DataFrame, partition_cols: Sequence[str], order_col: str, back: int, ahead: int,
@@ -75,7 +83,8 @@ def blocked_frame(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     parts = list(partition_cols)
     order = [F.col(order_col), *[F.col(c) for c in tiebreak]]
     if strategy == "partition":
-        return df.withColumn("_home", F.lit(True)), Window.partitionBy(*parts).orderBy(*order)
+        w = Window.partitionBy(*parts).orderBy(*order)
+        return df.withColumn("_home", F.lit(True)).withColumn("_dup", _repeats(order, w)), w
     if strategy != "blocked":
         raise ValueError(f"unknown strategy {strategy!r}")
     if block_rows < back + ahead or block_rows < 1:
@@ -89,12 +98,21 @@ def blocked_frame(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     targets = F.filter(F.array(home, to_next, to_prev), lambda x: x.isNotNull())
     framed = (pos.withColumn("_t", F.explode(targets))
                  .withColumn("_blk", F.col("_t.b")).withColumn("_home", F.col("_t.h")).drop("_t"))
-    return framed, Window.partitionBy(*parts, "_blk").orderBy("_pos")
+    w = Window.partitionBy(*parts, "_blk").orderBy("_pos")
+    return framed.withColumn("_dup", _repeats(order, w)), w
+
+
+def _repeats(order: Sequence[Column], w: Window) -> Column:
+    """Whether the row before it has the same place in the order."""
+    return F.lag(F.struct(*order)).over(w).eqNullSafe(F.struct(*order))
 
 
 def finish_frame(df: DataFrame) -> DataFrame:
-    """Keep home rows and drop helper columns."""
-    out = df.where(F.col("_home"))
+    """Keep home rows and drop helper columns. An order that leaves rows equal has no defined
+    result and is an error."""
+    unique = F.when(F.col("_dup"), F.raise_error(F.lit("rows of a place are equal in order; pass tiebreak"))
+                    .cast("boolean")).otherwise(F.lit(True))
+    out = df.where(F.col("_home") & unique)
     return out.drop(*[c for c in _HELPERS if c in out.columns])
 
 
@@ -185,6 +203,3 @@ def forecast_features(df: DataFrame, place: str = CITY, time_col: str = DATETIME
     out = finish_frame(out)
     required = [target, *lags.keys(), *means.keys()]
     return out.dropna(subset=required)
-
-
-FORECAST_OUTPUT_COLS = [TARGET, *NUMERIC_LAG_COLS, *LABEL_LAG_COLS, *WINDOW_COLS, *CALENDAR_COLS]
