@@ -33,9 +33,12 @@ WINDOW_SIZES = [6, 12, 24, 48]
 CALENDAR_COLS = ["hour", "dayofweek", "dayofyear", "month", "year",
                  "hour_sin", "hour_cos", "dayofyear_sin", "dayofyear_cos"]
 
-# Wide metric tables, one CSV each, named after the value column.
+# Wide metric tables, one CSV each, by value column.
 WIDE_TABLES = ["humidity", "pressure", "temperature", "weather_condition", "wind_direction", "wind_speed"]
 
+# Files of the wide tables: named like the value, but for the descriptions.
+WIDE_FILES = {**{name: name for name in WIDE_TABLES}, "weather_condition": "weather_description"}
+
 KELVIN_OFFSET = 273.15
 KMPH_TO_MPS = 10 / 36
 TEST_FRACTION = 0.2
@@ -87,13 +90,6 @@ STORE_SCHEMA = T.StructType([
     T.StructField("wind_speed", T.DoubleType()),
 ])
 
-PLACES_CSV_SCHEMA = T.StructType([
-    T.StructField("City", T.StringType()),
-    T.StructField("Country", T.StringType()),
-    T.StructField("Latitude", T.StringType()),
-    T.StructField("Longitude", T.StringType()),
-])
-
 PROVINCES_JSON_SCHEMA = T.StructType([
     T.StructField("province_name", T.StringType()),
     T.StructField("latitude", T.StringType()),

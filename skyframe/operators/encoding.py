@@ -11,12 +11,12 @@ from collections.abc import Sequence
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel
 from pyspark.sql import DataFrame, functions as F
 
-from .metrics import label_domain
+from .metrics import collect_labels, label_domain
 
 
 def fit_labels(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Sorted distinct labels across ``cols`` (codes = position in this list)."""
-    return sorted(r["label"] for r in label_domain(df, cols).collect())
+    return collect_labels(label_domain(df, cols))
 
 
 def label_indexer(labels: Sequence[str], cols: Sequence[str], out_cols: Sequence[str],

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import DATETIME, LABEL
 
 
+MAX_CLASSES = 10_000
+
+
 def label_counts(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
@@ -25,11 +28,6 @@ def label_shares(df: DataFrame, label: str = LABEL) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def minority_size(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """One row: the smallest class count."""
-    return label_counts(df, label).agg(F.min("n").alias("minority"))
-
-
 def label_domain(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct non-null values across several label columns (one column ``label``)."""
     arr = F.array(*[F.col(c).cast("string") for c in cols])
@@ -37,8 +35,9 @@ def label_domain(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def coverage(df: DataFrame, place: str, time_col: str = DATETIME) -> DataFrame:
-    """First/last timestamp and row count per place plus an overall row (place NULL)."""
-    return df.rollup(place).agg(F.min(time_col).alias("first_datetime"),
+    """First/last timestamp and row count per place plus an overall row. ``is_total`` tells the
+    overall row (place NULL) from the rows of a NULL place."""
+    return df.rollup(place).agg((F.grouping(place) == 1).alias("is_total"), F.min(time_col).alias("first_datetime"),
                                 F.max(time_col).alias("last_datetime"),
                                 F.count(F.lit(1)).alias("n_rows"))
 
@@ -100,9 +99,16 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def class_list(df: DataFrame, y: str, yhat: str) -> list[str]:
-    """Sorted distinct labels of y ∪ yhat — the class vocabulary (bounded by #classes)."""
-    dom = label_domain(df, [y, yhat])
-    return sorted(r["label"] for r in dom.collect())
+    """Sorted distinct labels of y ∪ yhat: the class vocabulary."""
+    return collect_labels(label_domain(df, [y, yhat]))
+
+
+def collect_labels(domain: DataFrame) -> list[str]:
+    """A label domain on the driver; a column with more than ``MAX_CLASSES`` values is none."""
+    found = [r["label"] for r in domain.limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} distinct labels: not a class column")
+    return sorted(found)
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str, classes: Sequence[str] | None = None,
@@ -132,6 +138,13 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str, classes: Sequence[str] |
     return full.select("y", "yhat", _safe_div(F.col("n").cast("double"), row_total).alias("rate"))
 
 
-def confusion_matrix_wide(long_df: DataFrame, classes: Sequence[str], value: str = "n") -> DataFrame:
-    """Pivot a long confusion matrix into one column per predicted class."""
-    return long_df.groupBy("y").pivot("yhat", list(classes)).agg(F.first(value))
+def log_loss(df: DataFrame, y: str, probabilities: str, labels: Sequence[str]) -> DataFrame:
+    """One row: mean of -ln p(true class) over rows whose label is known, and their number.
+
+    ``probabilities`` is an array in the order of ``labels``; p is clipped away from 0 and 1
+    by the spacing of doubles at 1, as is usual.
+    """
+    code = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col(y).cast("string")).cast("int")
+    eps = 2.0 ** -52
+    p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.get(F.col(probabilities), code - 1)))
+    return (df.where(code > 0).agg(F.avg(-F.log(p)).alias("log_loss"), F.count(F.lit(1)).alias("n")))

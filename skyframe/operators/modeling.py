@@ -4,7 +4,8 @@ retrain job, on ``pyspark.ml``.
 A fitted model is ONE ``PipelineModel``: population-std scaler (SQLTransformer) →
 VectorAssembler → classifier → IndexToString. Saving it under ``<root>/v=<n>``
 and loading the newest complete version keeps scaler, classes and classifier in
-one artifact, so they can never be mixed across versions.
+one artifact, so they can never be mixed across versions. The scaler's statistics are kept
+beside the stages and come back with the model (``scaler_of``).
 
 Spark has no multiclass boosted tree; ``algorithm`` picks ``random_forest``
 (default), ``gbt_ovr`` (OneVsRest over GBT) or ``mlp`` (supports warm start).
@@ -13,18 +14,22 @@ Spark has no multiclass boosted tree; ``algorithm`` picks ``random_forest``
 from __future__ import annotations
 
 import datetime as _dt
-import re
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassificationModel,
-                                       MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+                                       MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
-from ..config import (FEATURES, LABEL, SEED, SOURCE_API, SOURCE_MISSING, SOURCE_PREDICTED, TEST_FRACTION,
-                      UNKNOWN)
+from ..config import (FEATURES, LABEL, SEED, SOURCE_API, SOURCE_MISSING, SOURCE_PRED_ERROR, SOURCE_PREDICTED,
+                      TEST_FRACTION, UNKNOWN)
 from . import encoding, metrics, sampling
 
 # ---------------------------------------------------------------------------
@@ -43,16 +48,32 @@ FORECAST_PARAMS = {**DEFAULT_PARAMS, "n_estimators": 250, "learning_rate": 0.07,
 FULL_REFIT_PARAMS = {**DEFAULT_PARAMS, "n_estimators": 150, "max_depth": 7}
 
 ALIASES = {"lambda": "reg_lambda", "alpha": "reg_alpha"}
+# Boosting options that no Spark estimator has.
 NO_SPARK_EQUIVALENT = ("reg_lambda", "reg_alpha", "booster", "sampling_method", "tree_method")
+# Parameters each algorithm makes use of.
+EFFECTIVE = {
+    "random_forest": ("n_estimators", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight", "random_state"),
+    "gbt_ovr": ("n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight",
+                "random_state"),
+    "mlp": ("n_estimators", "learning_rate", "random_state"),
+}
+MAX_TREE_DEPTH = 30  # Spark's own limit
 _ENUMS = {"booster": {"gbtree", "gblinear", "dart"}, "sampling_method": {"uniform", "gradient_based"},
           "tree_method": {"auto", "exact", "approx", "hist"}}
 
 
-def resolve_params(overrides: Mapping[str, object] | None,
-                   defaults: Mapping[str, object] = DEFAULT_PARAMS) -> tuple[dict[str, object], list[str]]:
-    """Overlay ``overrides`` on ``defaults``. ``lambda``/``alpha`` are aliases; NULL or
-    unknown names are ignored and returned; out-of-range values raise ValueError."""
-    params = dict(defaults)
+def resolve_params(overrides: Mapping[str, object] | None, defaults: Mapping[str, object] = DEFAULT_PARAMS,
+                   algorithm: str = "random_forest") -> tuple[dict[str, object], list[str]]:
+    """Overlay ``overrides`` on ``defaults``. ``lambda``/``alpha`` are aliases.
+
+    Returns the parameters that take effect with ``algorithm``, and the names given that do
+    not: NULL or unknown ones, and those the estimator has no use for. Out-of-range values
+    raise ValueError, whether they would take effect or not.
+    """
+    if algorithm not in EFFECTIVE:
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    useful = EFFECTIVE[algorithm]
+    params = {k: v for k, v in defaults.items() if k in useful}
     ignored = []
     for k, v in (overrides or {}).items():
         name = ALIASES.get(k, k)
@@ -60,7 +81,10 @@ def resolve_params(overrides: Mapping[str, object] | None,
             ignored.append(k)
             continue
         _validate(name, v)
-        params[name] = v
+        if name in useful:
+            params[name] = v
+        else:
+            ignored.append(k)
     return params, ignored
 
 
@@ -70,10 +94,12 @@ def _validate(name: str, v) -> None:
         bad = not (float(v) > 0)
     elif name in ("subsample", "colsample_bytree"):
         bad = not (0 < float(v) <= 1)
-    elif name in ("gamma", "min_child_weight", "reg_lambda", "reg_alpha"):
+    elif name in ("gamma", "reg_lambda", "reg_alpha"):
         bad = float(v) < 0
-    elif name == "max_depth":
-        bad = int(v) < 0
+    elif name == "min_child_weight":  # rows, not weights, in Spark: whole numbers only
+        bad = float(v) < 0 or float(v) != int(float(v))
+    elif name == "max_depth":  # 0 means "no limit", which Spark's trees do not have
+        bad = not (1 <= int(v) <= MAX_TREE_DEPTH)
     elif name == "n_estimators":
         bad = int(v) <= 0
     elif name in _ENUMS:
@@ -85,26 +111,20 @@ def _validate(name: str, v) -> None:
 def spark_estimator(params: Mapping[str, object], algorithm: str, n_features: int, n_classes: int,
                     hidden: Sequence[int] = (16,), features_col: str = "features", label_col: str = "label_idx"):
     """Map resolved parameters onto a ``pyspark.ml`` estimator."""
-    depth = int(params["max_depth"]) or 30
-    depth = min(depth, 30)
     common = dict(featuresCol=features_col, labelCol=label_col, seed=int(params["random_state"]))
-    subset = str(float(params["colsample_bytree"]))
-    if algorithm == "random_forest":
-        return RandomForestClassifier(numTrees=int(params["n_estimators"]), maxDepth=depth,
-                                      subsamplingRate=float(params["subsample"]), featureSubsetStrategy=subset,
-                                      minInstancesPerNode=max(1, int(float(params["min_child_weight"]))),
-                                      minInfoGain=float(params["gamma"]), **common)
-    if algorithm == "gbt_ovr":
-        gbt = GBTClassifier(maxIter=int(params["n_estimators"]), stepSize=float(params["learning_rate"]),
-                            maxDepth=depth, subsamplingRate=float(params["subsample"]),
-                            featureSubsetStrategy=subset, minInfoGain=float(params["gamma"]),
-                            minInstancesPerNode=max(1, int(float(params["min_child_weight"]))),
-                            featuresCol=features_col, labelCol=label_col, seed=int(params["random_state"]))
-        return OneVsRest(classifier=gbt, featuresCol=features_col, labelCol=label_col)
     if algorithm == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes],
                                               maxIter=int(params["n_estimators"]),
                                               stepSize=float(params["learning_rate"]), **common)
+    tree = dict(maxDepth=int(params["max_depth"]), subsamplingRate=float(params["subsample"]),
+                featureSubsetStrategy=str(float(params["colsample_bytree"])), minInfoGain=float(params["gamma"]),
+                # a leaf has a row at least: 0 and 1 are the same
+                minInstancesPerNode=max(1, int(float(params["min_child_weight"]))), **common)
+    if algorithm == "random_forest":
+        return RandomForestClassifier(numTrees=int(params["n_estimators"]), **tree)
+    if algorithm == "gbt_ovr":
+        gbt = GBTClassifier(maxIter=int(params["n_estimators"]), stepSize=float(params["learning_rate"]), **tree)
+        return OneVsRest(classifier=gbt, featuresCol=features_col, labelCol=label_col)
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
@@ -122,7 +142,21 @@ def assemble_model(stats: dict[str, tuple[float, float]], fitted_classifier, lab
     assembler = VectorAssembler(inputCols=[f"{c}{SCALED}" for c in features], outputCol="features",
                                 handleInvalid="keep")
     decoder = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(labels))
-    return PipelineModel(stages=[scaler, assembler, fitted_classifier, decoder])
+    model = PipelineModel(stages=[scaler, assembler, fitted_classifier, decoder])
+    model.scaler_stats = dict(stats)
+    return model
+
+
+def scaler_of(model: PipelineModel) -> dict[str, tuple[float, float]]:
+    """(mean, standard deviation) per feature, as fitted with the model."""
+    return dict(model.scaler_stats)
+
+
+def model_algorithm(model: PipelineModel) -> str:
+    classifier = model.stages[2]
+    if isinstance(classifier, MultilayerPerceptronClassificationModel):
+        return "mlp"
+    return "gbt_ovr" if isinstance(classifier, OneVsRestModel) else "random_forest"
 
 
 def model_labels(model: PipelineModel) -> list[str]:
@@ -152,21 +186,22 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None
 
 
 def classify_or_predict(df: DataFrame, model: PipelineModel, label: str = LABEL) -> DataFrame:
-    """Keep the description class; rows classed ``unknown`` with all features present get
-    the model's prediction (source ``predicted (fallback)``); unknown rows lacking a
-    feature stay ``unknown`` with a failure tag. Only fallback rows are scored: the two
-    disjoint branches are unioned, no join and no shuffle."""
+    """Keep the description class; rows classed ``unknown`` (or NULL) with all features present
+    get the model's prediction (source ``predicted (fallback)``). An unknown row that lacks a
+    feature, or whose features are not finite so that no prediction is possible, stays
+    ``unknown`` with the tag that says so. One pass, every row comes out once."""
     feats = model_features(model)
-    ok = _complete(feats)
-    need = (F.col(label) == F.lit(UNKNOWN)) & ok
-    scored = (model.transform(df.where(need))
-              .select(*df.columns, F.col("predicted_label").alias("_pred"))
-              .withColumn(label, F.col("_pred")).drop("_pred")
-              .withColumn("condition_source", F.lit(SOURCE_PREDICTED)))
-    rest = df.where(~need).withColumn(
-        "condition_source",
-        F.when(F.col(label) == F.lit(UNKNOWN), F.lit(SOURCE_MISSING)).otherwise(F.lit(SOURCE_API)))
-    return scored.unionByName(rest)
+    finite = F.lit(True)
+    for c in feats:
+        finite = finite & (F.abs(F.col(c)) != F.lit(float("inf")))
+    known = F.coalesce(F.col(label), F.lit(UNKNOWN))
+    scored = model.transform(df.withColumn("_ok", _complete(feats)).withColumn("_finite", finite))
+    need = known == F.lit(UNKNOWN)
+    usable = F.col("_ok") & F.col("_finite") & F.col("predicted_label").isNotNull()
+    source = (F.when(~need, F.lit(SOURCE_API)).when(~F.col("_ok"), F.lit(SOURCE_MISSING))
+              .when(usable, F.lit(SOURCE_PREDICTED)).otherwise(F.lit(SOURCE_PRED_ERROR)))
+    return scored.select(*[F.when(need & usable, F.col("predicted_label")).otherwise(known).alias(label) if c == label
+                           else F.col(c) for c in df.columns], source.alias("condition_source"))
 
 
 # ---------------------------------------------------------------------------
@@ -222,11 +257,13 @@ def retrain(spark: SparkSession, df: DataFrame, key: str, overrides: Mapping[str
 
     ``split="random"`` is the exact stratified hash split (as the reference);
     ``split="time"`` holds out the latest rows instead. Returns (model, report
-    DataFrame, one-row result DataFrame)."""
-    start = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    params, ignored = resolve_params(overrides, defaults)
+    DataFrame, summary): the summary holds the evaluated metrics, the parameters that took
+    effect, the ignored names and the rows of each split."""
+    params, ignored = resolve_params(overrides, defaults, algorithm)
     clean = prepare(df, features, label, classify_label)
     labels = encoding.fit_labels(clean, [label])
+    if not labels:
+        raise ValueError("no usable training rows")
     if split == "time":
         parts = sampling.time_split(clean, time_col, key, test_fraction)
     elif split == "random":
@@ -234,16 +271,28 @@ def retrain(spark: SparkSession, df: DataFrame, key: str, overrides: Mapping[str
     else:
         raise ValueError(f"unknown split {split!r}")
     parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
-    train = parts.where(F.col("split") == "train")
-    test = parts.where(F.col("split") == "test")
-    stats = encoding.fit_scaler(train, features)
-    if balance:
-        train = sampling.undersample(train, label, key, seed)
-    model = train_classifier(train, labels, stats, params, algorithm, features, label)
-    report = evaluate(model, test, label)
-    end = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    result = result_row(spark, report, params, ignored, algorithm, start, end)
-    return model, report, result
+    try:
+        train = parts.where(F.col("split") == "train")
+        test = parts.where(F.col("split") == "test")
+        stats = encoding.fit_scaler(train, features)
+        rows = {r["split"]: r["n"] for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+        fitted = sampling.undersample(train, label, key, seed) if balance else train
+        model = train_classifier(fitted, labels, stats, params, algorithm, features, label)
+        # the report has a row per class; evaluated here, while the split is at hand
+        report = _on_driver(spark, evaluate(model, test, label))
+        loss = evaluate_log_loss(model, test, label).first()
+    finally:
+        parts.unpersist()
+    macro = report.where(F.col("label") == "macro avg").first()
+    summary = {"accuracy": macro["accuracy"], "precision_macro": macro["precision"], "recall_macro": macro["recall"],
+               "f1_score_macro": macro["f1"], "log_loss": loss["log_loss"], "n_train": rows.get("train", 0),
+               "n_test": rows.get("test", 0), "params_used": params, "ignored_params": ignored}
+    return model, report, summary
+
+
+def _on_driver(spark: SparkSession, report: DataFrame) -> DataFrame:
+    """A report (a row per class and two averages) evaluated once."""
+    return spark.createDataFrame(report.collect(), report.schema)
 
 
 def evaluate(model: PipelineModel, test: DataFrame, label: str = LABEL) -> DataFrame:
@@ -251,36 +300,68 @@ def evaluate(model: PipelineModel, test: DataFrame, label: str = LABEL) -> DataF
     return metrics.classification_report(pred, label, "prediction")
 
 
-def result_row(spark: SparkSession, report: DataFrame, params, ignored, algorithm, start, end) -> DataFrame:
-    """One-row job result: status, accuracy, macro precision/recall/F1, parameters, times."""
-    macro = report.where(F.col("label") == "macro avg")
-    p = F.create_map(*[x for k, v in sorted(params.items()) for x in (F.lit(k), F.lit(str(v)))])
-    return macro.select(
-        F.lit("completed").alias("status"), F.lit(algorithm).alias("algorithm"),
-        F.col("accuracy"), F.col("precision").alias("precision_macro"), F.col("recall").alias("recall_macro"),
-        F.col("f1").alias("f1_score_macro"), p.alias("params_used"),
-        F.array(*[F.lit(i) for i in ignored]).cast("array<string>").alias("ignored_params"),
-        F.lit(start).cast("timestamp_ntz").alias("start_time"), F.lit(end).cast("timestamp_ntz").alias("end_time"))
+def evaluate_log_loss(model: PipelineModel, test: DataFrame, label: str = LABEL) -> DataFrame:
+    """One row (log_loss, n); NULL for models that give no probabilities (one-vs-rest)."""
+    if model_algorithm(model) == "gbt_ovr":
+        return test.agg(F.lit(None).cast("double").alias("log_loss"), F.count(F.lit(1)).alias("n"))
+    scored = model.transform(test.where(_complete(model_features(model))))
+    return metrics.log_loss(scored.select(label, vector_to_array("probability").alias("_p")), label, "_p", model_labels(model))
+
+
+JOB_SCHEMA = T.StructType([
+    T.StructField("status", T.StringType()), T.StructField("message", T.StringType()),
+    T.StructField("algorithm", T.StringType()), T.StructField("version", T.StringType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("accuracy", "precision_macro", "recall_macro", "f1_score_macro", "log_loss")],
+    T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
+    T.StructField("params_used", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("ignored_params", T.ArrayType(T.StringType())),
+    T.StructField("start_time", T.TimestampNTZType()), T.StructField("end_time", T.TimestampNTZType())])
+
+
+def retrain_job(spark: SparkSession, df: DataFrame, key: str, root: str, **options) -> tuple[DataFrame, DataFrame | None]:
+    """The retrain job: train, evaluate, save the model as the next version under ``root`` (the
+    newest complete version is the active one) and report the outcome.
+
+    Returns (one-row result, report or None). A job that fails leaves the active version as it
+    was and gives a ``failed`` row with the message instead of raising.
+    """
+    start = _now()
+    algorithm = options.get("algorithm", "random_forest")
+    try:
+        model, report, summary = retrain(spark, df, key, **options)
+        path = save_model(model, root)
+        row = {"status": "completed", "message": f"trained on {summary['n_train']} rows, active as {path.rsplit('/', 1)[-1]}",
+               "version": path.rsplit("/", 1)[-1], **summary,
+               "params_used": {k: str(v) for k, v in sorted(summary["params_used"].items())}}
+    except Exception as e:  # the job's outcome is its result
+        report, row = None, {"status": "failed", "message": f"{type(e).__name__}: {str(e)[:500]}", "params_used": {},
+                             "ignored_params": []}
+    row |= {"algorithm": algorithm, "start_time": start, "end_time": _now()}
+    return spark.createDataFrame([tuple(row.get(f.name) for f in JOB_SCHEMA.fields)], JOB_SCHEMA), report
+
+
+def _now() -> _dt.datetime:
+    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
 def train_incremental(prev: PipelineModel, day_rows: DataFrame, params: Mapping[str, object] | None = None,
-                      label: str = LABEL, classify_label: bool = True) -> PipelineModel:
+                      label: str = LABEL, classify_label: bool = True, history: DataFrame | None = None) -> PipelineModel:
     """Continue training on one day's rows, reusing the saved scaler and classes.
 
-    MLP models warm-start from the previous weights. Tree models in Spark cannot
-    continue boosting; for them pass the accumulated history (see ``train_full``).
+    MLP models warm-start from the previous weights. Tree models in Spark cannot continue
+    from a fitted model, so they need ``history``, the rows accumulated so far (which include
+    the day): the same algorithm is fitted anew on it with the saved scaler and classes.
     """
-    clf = prev.stages[2]
-    feats = model_features(prev)
-    labels = model_labels(prev)
-    stats = _stats_of(prev)
-    resolved, _ = resolve_params(params or {}, DEFAULT_PARAMS)
-    rows = prepare(day_rows, feats, label, classify_label)  # unseen classes are skipped by the indexer
-    if isinstance(clf, MultilayerPerceptronClassificationModel):
-        hidden = clf.getLayers()[1:-1]
-        est_params = {**resolved}
-        return _fit_mlp(rows, labels, stats, est_params, feats, label, hidden, clf.weights)
-    return train_classifier(rows, labels, stats, resolved, "random_forest", feats, label)
+    algorithm = model_algorithm(prev)
+    feats, labels, stats = model_features(prev), model_labels(prev), scaler_of(prev)
+    resolved, _ = resolve_params(params or {}, DEFAULT_PARAMS, algorithm)
+    if algorithm == "mlp":
+        clf = prev.stages[2]
+        rows = prepare(day_rows, feats, label, classify_label)  # unseen classes are skipped by the indexer
+        return _fit_mlp(rows, labels, stats, resolved, feats, label, clf.getLayers()[1:-1], clf.weights)
+    if history is None:
+        raise ValueError(f"a {algorithm} model cannot continue from its last state: pass the accumulated history")
+    return train_classifier(prepare(history, feats, label, classify_label), labels, stats, resolved, algorithm, feats, label)
 
 
 def _fit_mlp(rows, labels, stats, params, feats, label, hidden, weights):
@@ -292,37 +373,61 @@ def _fit_mlp(rows, labels, stats, params, feats, label, hidden, weights):
     return assemble_model(stats, _fit_persisted(est, vec), labels, feats)
 
 
-_STAT_RE = re.compile(r"\(`(?P<c>[^`]+)` - \((?P<m>[^)]+)\)\) / \((?P<s>[^)]+)\)")
-
-
-def _stats_of(model: PipelineModel) -> dict[str, tuple[float, float]]:
-    stmt = model.stages[0].getStatement()
-    return {m["c"]: (float(m["m"]), float(m["s"])) for m in _STAT_RE.finditer(stmt)}
-
-
 # ---------------------------------------------------------------------------
 # Versioned artifacts
 # ---------------------------------------------------------------------------
 
+COMPLETE = "_COMPLETE"
+
+
 def save_model(model: PipelineModel, root: str) -> str:
-    """Save as the next version ``<root>/v=<n>``; a version counts once its metadata
-    is complete, so a half-written directory is never loaded."""
+    """Save as the next version ``<root>/v=<n>``.
+
+    The number is claimed by creating a file that must not exist yet, so two writers never
+    take the same one. The marker is written last: a version without it is never loaded.
+    """
     spark = SparkSession.getActiveSession()
-    versions = _versions(spark, root)
-    path = f"{root.rstrip('/')}/v={(max(versions) + 1) if versions else 1}"
+    root = root.rstrip("/")
+    n = max(_versions(spark, root), default=0) + 1
+    while not _create(spark, f"{root}/_claims/{n}", uuid.uuid4().hex):
+        n += 1
+    path = f"{root}/v={n}"
     model.write().overwrite().save(path)
+    stats = json.dumps({k: list(v) for k, v in scaler_of(model).items()})
+    _create(spark, f"{path}/scaler.json", stats)
+    _create(spark, f"{path}/{COMPLETE}", "")
     return path
 
 
 def load_latest(root: str) -> PipelineModel:
+    """The newest version whose marker is there."""
     spark = SparkSession.getActiveSession()
     for v in sorted(_versions(spark, root), reverse=True):
         path = f"{root.rstrip('/')}/v={v}"
-        if _fs_exists(spark, f"{path}/metadata/_SUCCESS") and _fs_exists(spark, f"{path}/stages"):
-            return PipelineModel.load(path)
+        if _fs_exists(spark, f"{path}/{COMPLETE}"):
+            model = PipelineModel.load(path)
+            text = spark.read.text(f"{path}/scaler.json", wholetext=True).first()["value"]
+            model.scaler_stats = {k: tuple(v) for k, v in json.loads(text).items()}
+            return model
     raise FileNotFoundError(f"no complete model version under {root}")
 
 
+def _create(spark, path: str, text: str) -> bool:
+    """Create a small file that must not exist yet; False if it does."""
+    p, fs = _fs(spark, path)
+    if fs.exists(p):
+        return False
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):  # another writer was first
+            return False
+        raise e
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
 def _fs(spark, path):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

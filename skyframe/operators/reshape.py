@@ -12,19 +12,27 @@ from ..config import CITY, DATETIME
 from ..functions.scalars import month_ranges
 from .cleaning import require_columns
 
-# A dimension is broadcast only when it is proven to be at most this many rows.
-MAX_BROADCAST_ROWS = 1_000_000
+# A dimension is broadcast only when its measured size is at most this.
+MAX_BROADCAST_BYTES = 8 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Rows times width, strings measured: one aggregate over a dimension."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        fixed = f.dataType.typeName() not in ("string", "binary", "array", "map", "struct")
+        width = width + (F.lit(8) if fixed else 16 + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()["b"]
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
-               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join with a dimension; broadcast it only after counting it under ``max_rows``.
+               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Join with a dimension; broadcast it only if it measures at most ``max_bytes``.
 
     Above the bound the plain join is kept and the planner picks a shuffle join (AQE
     can still demote it at runtime).
     """
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
+    side = F.broadcast(small) if measured_bytes(small) <= max_bytes else small
     return big.join(side, on=on, how=how)
 
 
@@ -53,23 +61,29 @@ def wide_to_long(df: DataFrame, value_name: str, places: Sequence[str] | None =
     return df.unpivot([key], cols, place_name, value_name)
 
 
-def join_metrics(longs: Mapping[str, DataFrame], key: Sequence[str] = (DATETIME, CITY)) -> DataFrame:
-    """Inner equi-join of the long metric tables on (datetime, place).
+def join_metrics(wide: Mapping[str, DataFrame], places: Sequence[str] | None = None, key: str = DATETIME,
+                 place_name: str = CITY) -> DataFrame:
+    """Wide metric tables → one long table (key, place, one column per metric).
 
-    Null datetimes never match, so they are dropped up front. All joins share one
-    key, so each input is hash-partitioned once and the joined output keeps that
-    partitioning for the next join (no re-shuffle between joins).
+    The tables are joined on the key while wide, each row carrying all places at once, and
+    unpivoted once at the end: the joins shuffle one row per key instead of one per (key,
+    place). Null keys never match. A key that repeats in a table repeats in the result, as it
+    would after unpivoting first.
     """
-    keys = list(key)
-    frames = [df.where(F.col(keys[0]).isNotNull()) for df in longs.values()]
-    return reduce(lambda a, b: a.join(b, keys, "inner"), frames)
+    shared = list(places) if places is not None else common_columns(wide, key)
+    frames = [df.where(F.col(key).isNotNull()).select(key, F.struct(*[F.col(f"`{p}`") for p in shared]).alias(name))
+              for name, df in wide.items()]
+    joined = reduce(lambda a, b: a.join(b, key, "inner"), frames)
+    rows = F.array(*[F.struct(F.lit(p).alias(place_name), *[F.col(name).getField(p).alias(name) for name in wide])
+                     for p in shared])
+    return joined.select(key, F.inline(rows))
 
 
 def join_places(df: DataFrame, places: DataFrame, on: str = CITY,
-                cols: Sequence[str] = ("Latitude", "Longitude"), max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                cols: Sequence[str] = ("Latitude", "Longitude"), max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Attach place coordinates (inner join: places without coordinates drop out)."""
     dim = places.select(on, *cols)
-    return join_small(df, dim, on, "inner", max_rows)
+    return join_small(df, dim, on, "inner", max_bytes)
 
 
 def fetch_plan(places: DataFrame, start: str | _dt.date, end: str | _dt.date,
