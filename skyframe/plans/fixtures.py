@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import CITY
+from ..config import CITY, WIDE_FILES
 from ..functions.conditions import classify_description
 from ..functions.scalars import truncate_hour
 from ..session import scratch_path
@@ -23,8 +23,11 @@ DESCRIPTIONS = [
 ]  # event_id % 12 = 0..10; 11 → NULL
 
 BASE_DAYS = (1, 20)      # store base: days 1-20
-BATCH_DAYS = (15, 25)    # incoming batch: days 15-25
+BATCH_DAYS = (15, 31)    # incoming batch: day 15 to the end of the table
+CORRECTION_DAYS = (12, 22)  # a second batch, overlapping both
 MERGE_DAY = "2024-01-18"
+PAYLOAD_IDS = 200        # a payload holds the entries of at most so many consecutive ids
+MAX_STATIONS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,11 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(*_obs_columns())
 
 
+def obs_celsius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``obs`` with the measured temperature in °C."""
+    return table(spark, sf_dir, "events").select(*_obs_columns(), (F.col("value") / 10).alias("temp_c"))
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``nation`` read as a place dimension: City, Country, Latitude, Longitude."""
     n = table(spark, sf_dir, "nation")
@@ -110,6 +118,15 @@ def store_rows(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataF
     )
 
 
+def store_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second batch, days 12-22, every 5th id: temperature up by one degree, every 31st
+    humidity not a number, every 89th no province."""
+    b = store_rows(spark, sf_dir).where(_day_between(CORRECTION_DAYS) & (F.col("seq") % 5 == 0))
+    return (b.withColumn("temperature", F.col("temperature") + 1)
+            .withColumn("humidity", F.when(F.col("seq") % 31 == 0, F.lit(float("nan"))).otherwise(F.col("humidity")))
+            .withColumn("province", F.when(F.col("seq") % 89 != 0, F.col("province"))))
+
+
 def _day_between(days: tuple[int, int]) -> Column:
     d = F.dayofmonth("datetime")
     return (d >= days[0]) & (d <= days[1])
@@ -121,7 +138,7 @@ def store_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming rows of days 15-25 with changed temperatures; every 97th has no province."""
+    """Incoming rows from day 15 on with changed temperatures; every 97th has no province."""
     b = store_rows(spark, sf_dir, changed=True).where(_day_between(BATCH_DAYS))
     return b.withColumn("province", F.when(F.col("seq") % 97 == 0, F.lit(None).cast("string"))
                         .otherwise(F.col("province")))
@@ -160,10 +177,12 @@ def write_wide_csvs(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
     """One wide CSV per metric (``datetime`` + one column per station), like the source files."""
     means = hourly_station_means(spark, sf_dir).persist()
     try:
-        stations = sorted(r[0] for r in means.select(CITY).distinct().collect())  # one entry per station
-        for name in ["humidity", "pressure", "temperature", "weather_condition", "wind_direction", "wind_speed"]:
+        stations = sorted(r[0] for r in means.select(CITY).distinct().limit(MAX_STATIONS + 1).collect())
+        if len(stations) > MAX_STATIONS:
+            raise ValueError(f"a wide table has {MAX_STATIONS} places at most")
+        for name, file in WIDE_FILES.items():
             wide = means.groupBy("datetime").pivot(CITY, stations).agg(F.first(name))
-            wide.write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}.csv")
+            wide.write.mode("overwrite").option("header", True).csv(f"{out_dir}/{file}.csv")
     finally:
         means.unpersist()
     return out_dir
@@ -185,19 +204,36 @@ def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_provinces_json(spark: SparkSession, sf_dir: str, path: str) -> str:
-    provinces(spark, sf_dir).write.mode("overwrite").json(path)
+    """One JSON array (``nation`` has 25 rows at every scale)."""
+    whole = provinces(spark, sf_dir).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
+def write_history_csv(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The store rows as a CSV history with a header; every 41st timestamp is unreadable."""
+    rows = store_rows(spark, sf_dir)
+    text = F.when(F.col("seq") % 41 == 0, F.lit("soon")).otherwise(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
+    rows.withColumn("datetime", text).drop("seq").write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def class_probabilities(spark: SparkSession, sf_dir: str, classes: list[str]) -> DataFrame:
+    """(obs_id, y, p): the row's class and a probability per class, weights by id over their sum."""
+    weights = F.array(*[(F.col("obs_id") * (i + 3) % 17).cast("double") for i in range(len(classes))])
+    total = F.aggregate(weights, F.lit(1.0), lambda a, x: a + x)
+    return obs(spark, sf_dir).select("obs_id", classify_description("weather_description").alias("y"),
+                                     F.transform(weights, lambda x: x / total).alias("p"))
+
+
 def _text(c: Column) -> Column:
     return c.cast("string")
 
 
 def history_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One historical payload per (station, day): the station's ``obs`` rows of that day as hourly entries."""
-    o = obs(spark, sf_dir)
-    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("obs_id"), (F.col("value") / 10).alias("temp_c"))
-    o = o.join(ev, "obs_id")
+    """Historical payloads of a station and day, each with the ``obs`` rows of at most
+    PAYLOAD_IDS consecutive ids as hourly entries; ``record`` is the number of the run of ids."""
+    o = obs_celsius(spark, sf_dir)
     hourly = F.struct(
         _text(F.hour("datetime") * 100).alias("time"),
         _text(F.col("humidity")).alias("humidity"),
@@ -208,14 +244,14 @@ def history_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.col("weather_description").alias("value"))).alias("weatherDesc"),
     )
     per_day = (o.withColumn("date", F.date_format("datetime", "yyyy-MM-dd"))
-                .groupBy(CITY, "date")
+                .groupBy(CITY, "date", F.floor(F.col("obs_id") / PAYLOAD_IDS).cast("long").alias("record"))
                 .agg(F.sort_array(F.collect_list(F.struct(F.col("datetime").alias("_ts"), F.col("obs_id").alias("_id"),
                                                           hourly.alias("h")))).alias("hs")))
     payload = F.to_json(F.struct(F.struct(F.array(F.struct(
         F.col("date").alias("date"), F.transform("hs", lambda x: x.getField("h")).alias("hourly"))).alias("weather"))
         .alias("data")))
     p = places(spark, sf_dir)
-    return (per_day.select(F.col(CITY).alias("province"), payload.alias("payload"))
+    return (per_day.select(F.col(CITY).alias("province"), "record", payload.alias("payload"))
             .join(p.select(F.col(CITY).alias("province"), F.col("Latitude").alias("latitude"),
                            F.col("Longitude").alias("longitude")), "province"))
 
@@ -223,9 +259,7 @@ def history_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One current-conditions payload per ``obs`` row. Every 50th has an empty
     ``current_condition``; n % 50 = 7 carries a non-numeric humidity."""
-    o = obs(spark, sf_dir)
-    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("obs_id"), (F.col("value") / 10).alias("temp_c"))
-    o = o.join(ev, "obs_id")
+    o = obs_celsius(spark, sf_dir)
     humidity = F.when(F.col("obs_id") % 50 == 7, F.lit("abc")).otherwise(_text(F.col("humidity")))
     cond = F.struct(
         _text(F.col("temp_c")).alias("temp_C"),
@@ -274,6 +308,6 @@ def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_landing(spark: SparkSession, sf_dir: str, landing: str, n_files: int = 4) -> str:
     """History payloads as JSON-lines landing files (province, latitude, longitude, payload)."""
-    history_payloads(spark, sf_dir).select("province", "latitude", "longitude", "payload") \
+    history_payloads(spark, sf_dir).select("province", "latitude", "longitude", "record", "payload") \
         .repartition(n_files, "province").write.mode("overwrite").json(landing)
     return landing

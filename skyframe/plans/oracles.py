@@ -6,24 +6,46 @@ decimals on both sides; integers are cast to the Spark result's width.
 
 from __future__ import annotations
 
-from ..config import (CALENDAR_COLS, FORECAST_HORIZON, LABEL_LAG_COLS, LAG_STEPS, METRICS,
-                      NUMERIC_LAG_COLS, TARGET, WINDOW_COLS, WINDOW_SIZES, lag_name, window_name)
-from ..functions.conditions import CONDITION_KEYWORDS
-from ..operators.windows import min_periods
-from .fixtures import DESCRIPTIONS
-
 R = 8  # decimals
 
+# Everything the jobs are checked against is written out here; nothing is taken from their code.
+METRICS = ["humidity", "pressure", "temperature", "wind_direction", "wind_speed"]
+CALENDAR_COLS = ["hour", "dayofweek", "dayofyear", "month", "year", "hour_sin", "hour_cos", "dayofyear_sin",
+                 "dayofyear_cos"]
+LAG_STEPS = [1, 3, 6, 12, 24, 48]
+MIN_PERIODS = {6: 3, 12: 6, 24: 12, 48: 24}  # by window size
+TARGET = "target_weather_condition_24h"
+
+
+def lag_name(col: str, k: int) -> str:
+    return f"{col}_lag_{k}h"
+
+
+def window_name(col: str, size: int) -> str:
+    return f"{col}_win_{size}h_mean"
+
+
+NUMERIC_LAG_COLS = [lag_name(c, k) for c in METRICS for k in LAG_STEPS]
+LABEL_LAG_COLS = [lag_name("weather_condition", k) for k in LAG_STEPS]
+WINDOW_SIZES = list(MIN_PERIODS)
+WINDOW_COLS = [window_name(c, w) for c in METRICS for w in WINDOW_SIZES]
+
 
 def classify_sql(x: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches(lower({x}), '{'|'.join(keys)}') THEN '{name}'"
-                     for name, keys in CONDITION_KEYWORDS)
-    return f"(CASE {whens} ELSE 'unknown' END)"
+    low = f"lower({x})"
+    return f"""(CASE WHEN regexp_matches({low}, 'squall|thunderstorm') THEN 'thunderstorm'
+      WHEN regexp_matches({low}, 'drizzle|rain') THEN 'rainy'
+      WHEN regexp_matches({low}, 'sleet|snow') THEN 'snowy'
+      WHEN regexp_matches({low}, 'cloud|overcast') THEN 'cloudy'
+      WHEN regexp_matches({low}, 'fog|mist|haze|smoke|dust') THEN 'foggy'
+      WHEN regexp_matches({low}, 'clear|sun') THEN 'sunny' ELSE 'unknown' END)"""
 
 
 def description_sql(eid: str) -> str:
-    whens = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(DESCRIPTIONS))
-    return f"(CASE ({eid}) % 12 {whens} END)"
+    return f"""(CASE ({eid}) % 12 WHEN 0 THEN 'Light rain' WHEN 1 THEN 'Thunderstorm with heavy rain'
+      WHEN 2 THEN 'Light snow' WHEN 3 THEN 'Partly Cloudy' WHEN 4 THEN 'Mist' WHEN 5 THEN 'Clear'
+      WHEN 6 THEN 'sky is clear' WHEN 7 THEN 'overcast clouds' WHEN 8 THEN 'Light rain and snow'
+      WHEN 9 THEN 'Thundery outbreaks possible' WHEN 10 THEN 'Blizzard' END)"""
 
 
 OBS = f"""obs AS (
@@ -74,7 +96,7 @@ def _lag_sql(col: str, k: int) -> str:
 
 def _mean_sql(col: str, size: int) -> str:
     frame = f"({W} ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING)"
-    return f"CASE WHEN count({col}) OVER {frame} >= {min_periods(size)} THEN avg({col}) OVER {frame} END"
+    return f"CASE WHEN count({col}) OVER {frame} >= {MIN_PERIODS[size]} THEN avg({col}) OVER {frame} END"
 
 
 def calendar_sql(ts: str = "datetime") -> dict[str, str]:
@@ -96,7 +118,7 @@ def _double_cols():
         "hour_sin", "hour_cos", "dayofyear_sin", "dayofyear_cos"}
 
 
-FEAT = (f"feat AS (SELECT *, lead(weather_condition, {FORECAST_HORIZON}) OVER ({W}) AS {TARGET}, "
+FEAT = (f"feat AS (SELECT *, lead(weather_condition, 24) OVER ({W}) AS {TARGET}, "
         + ", ".join(f"{_lag_sql(c, k)} AS {lag_name(c, k)}" for c in [*METRICS, "weather_condition"]
                     for k in LAG_STEPS)
         + ", " + ", ".join(f"{_mean_sql(c, s)} AS {window_name(c, s)}" for c in METRICS for s in WINDOW_SIZES)
@@ -141,7 +163,7 @@ FROM obs"""
     q["select_features"] = (with_(OBS, CLEAN, PLACES, TRAIN_TABLE)
                             + "SELECT obs_id, " + ", ".join(f"{rnd(c)} AS {c}" for c in feats) + " FROM tt")
     lead = (with_(OBS, CLEAN) + f"SELECT * FROM (SELECT obs_id, datetime, City, weather_condition, "
-            f"lead(weather_condition, {FORECAST_HORIZON}) OVER ({W}) AS {TARGET} FROM clean) t "
+            f"lead(weather_condition, 24) OVER ({W}) AS {TARGET} FROM clean) t "
             f"WHERE {TARGET} IS NOT NULL")
     q["lead_target"] = lead
     q["lag_features"] = (with_(OBS, CLEAN) + "SELECT obs_id, datetime, City, "
@@ -162,7 +184,7 @@ FROM obs"""
     q["label_domain"] = (with_(OBS, CLEAN, FEAT, FORECAST_CTE) + "SELECT DISTINCT label FROM ("
                          + " UNION ALL ".join(f"SELECT {c} AS label FROM ff" for c in [TARGET, *LABEL_LAG_COLS])
                          + ") u")
-    q["coverage"] = (with_(OBS) + "SELECT City, min(datetime) AS first_datetime, max(datetime) AS last_datetime, "
+    q["coverage"] = (with_(OBS) + "SELECT City, grouping(City) = 1 AS is_total, min(datetime) AS first_datetime, max(datetime) AS last_datetime, "
                      "count(*) AS n_rows FROM obs GROUP BY ROLLUP (City)")
     q["day_slice"] = (with_(OBS) + "SELECT obs_id, datetime, City, " + ", ".join(f"{rnd(c)} AS {c}" for c in METRICS)
                       + ", weather_description FROM obs WHERE CAST(datetime AS DATE) = DATE '2024-01-15'")
@@ -170,6 +192,7 @@ FROM obs"""
 
 
 STATIONS = [f"station_{i}" for i in range(10)]
+WIDE = ["humidity", "pressure", "temperature", "weather_condition", "wind_direction", "wind_speed"]
 
 HOURLY = f"""h AS (
   SELECT date_trunc('hour', datetime) AS datetime, City, avg(humidity) AS humidity, avg(pressure) AS pressure,
@@ -196,11 +219,18 @@ KMPH = "(10e0 / 36e0)"
 
 def source_queries() -> dict[str, str]:
     q = {}
-    q["src_wide_csv"] = (with_(OBS, HOURLY) + "SELECT datetime, "
-                         + ", ".join(f"{rnd(f'max(temperature) FILTER (WHERE City = {chr(39)}{c}{chr(39)})')} AS {c}"
-                                     for c in STATIONS) + " FROM h GROUP BY datetime")
-    q["wide_to_long"] = (with_(OBS, HOURLY, GRID, LONG)
-                         + f"SELECT datetime, City, {rnd('temperature')} AS temperature FROM lng")
+    numbers = [m for m in WIDE if m != "weather_condition"]
+    def cell(c, v):
+        return f"max({v}) FILTER (WHERE City = '{c}')"
+    q["src_wide_csv"] = with_(OBS, HOURLY) + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, datetime, "
+        + ", ".join((rnd(cell(c, m)) if m in numbers else "CAST(NULL AS DOUBLE)") + f" AS {c}, "
+                    + ("CAST(NULL AS VARCHAR)" if m in numbers else cell(c, m)) + f" AS {c}_text" for c in STATIONS)
+        + " FROM h GROUP BY datetime" for m in WIDE)
+    q["wide_to_long"] = with_(OBS, HOURLY, GRID, LONG) + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, datetime, City, "
+        + (f"{rnd(m)} AS value, CAST(NULL AS VARCHAR) AS value_text" if m in numbers
+           else f"CAST(NULL AS DOUBLE) AS value, {m} AS value_text") + " FROM lng" for m in WIDE)
     q["join_metrics"] = with_(OBS, HOURLY, GRID, LONG) + f"SELECT {_select(MERGED_COLS, _MERGED_DOUBLES)} FROM lng"
     q["join_places"] = (with_(OBS, HOURLY, GRID, LONG, PLACES)
                         + f"SELECT {_select(MERGED_COLS + ['Latitude', 'Longitude'], _MERGED_DOUBLES)} "
@@ -263,12 +293,18 @@ def store_rows_sql(changed: bool) -> str:
 STORE_CTES = [
     f"base AS (SELECT * FROM ({store_rows_sql(False)}) r WHERE day(datetime) BETWEEN 1 AND 20)",
     f"batch AS (SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN NULL ELSE province END AS province) "
-    f"FROM ({store_rows_sql(True)}) r WHERE day(datetime) BETWEEN 15 AND 25)",
+    f"FROM ({store_rows_sql(True)}) r WHERE day(datetime) BETWEEN 15 AND 31)",
     "tgt AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn "
     "FROM base) x WHERE rn = 1)",
     "bd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn "
     "FROM batch WHERE datetime IS NOT NULL AND province IS NOT NULL) x WHERE rn = 1)",
 ]
+CORRECTION = f"""fix AS (SELECT datetime, CASE WHEN seq % 89 <> 0 THEN province END AS province,
+    CASE WHEN seq % 31 = 0 THEN NULL ELSE humidity END AS humidity, latitude, longitude, pressure,
+    temperature + 1 AS temperature, weather_condition, wind_direction, wind_speed, seq
+  FROM ({store_rows_sql(False)}) r WHERE day(datetime) BETWEEN 12 AND 22 AND seq % 5 = 0),
+fd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn
+  FROM fix WHERE province IS NOT NULL) x WHERE rn = 1)"""
 STORE_VALUE_COLS = ["humidity", "latitude", "longitude", "pressure", "temperature", "weather_condition",
                     "wind_direction", "wind_speed"]
 _STORE_DOUBLES = {"humidity", "latitude", "longitude", "pressure", "temperature", "wind_direction", "wind_speed"}
@@ -327,7 +363,14 @@ def store_and_ml_queries() -> dict[str, str]:
     UNION ALL SELECT *, 1 AS src FROM batch WHERE CAST(datetime AS DATE) = DATE '2024-01-18') u) x WHERE rn = 1""")
     up = with_(*STORE_CTES) + f"SELECT {_upsert_select()} FROM tgt t FULL JOIN bd b ON t.datetime = b.datetime AND t.province = b.province"
     q["upsert_store"] = up
-    q["store_scan"] = up
+    last = "CASE WHEN f.province IS NOT NULL THEN f.{c} WHEN b.province IS NOT NULL THEN b.{c} ELSE t.{c} END"
+    q["store_scan"] = (with_(*STORE_CTES, CORRECTION) + "SELECT coalesce(f.datetime, b.datetime, t.datetime) AS datetime, "
+                       "coalesce(f.province, b.province, t.province) AS province, "
+                       + ", ".join((rnd(last.format(c=c)) if c in _STORE_DOUBLES else last.format(c=c)) + f" AS {c}"
+                                   for c in STORE_VALUE_COLS)
+                       + """ FROM tgt t FULL JOIN bd b ON t.datetime = b.datetime AND t.province = b.province
+  FULL JOIN fd f ON f.datetime = coalesce(b.datetime, t.datetime) AND f.province = coalesce(b.province, t.province)""")
+    q["history_csv"] = f"SELECT {sel} FROM ({store_rows_sql(False)}) r WHERE seq % 41 <> 0"
     same = " AND ".join(f"t.{c} IS NOT DISTINCT FROM b.{c}" for c in STORE_VALUE_COLS)
     q["upsert_counts"] = (with_(*STORE_CTES) + f"""SELECT
   count(*) FILTER (WHERE b.province IS NOT NULL AND t.province IS NULL) AS inserted,
@@ -370,9 +413,77 @@ FROM full_grid""")
     return q
 
 
+CLASSES = ["cloudy", "foggy", "rainy", "snowy", "sunny", "thunderstorm"]
+
+# parameters that take effect in a random forest: 150 trees of depth 7 for the full refit
+FULL_REFIT = "colsample_bytree=0.8;gamma=0;max_depth=7;min_child_weight=1;n_estimators=150;random_state=42;subsample=0.8"
+
+FORECAST_FEATURES = (METRICS + ["Latitude", "Longitude"] + NUMERIC_LAG_COLS + [f"{c}_encoded" for c in LABEL_LAG_COLS]
+                     + WINDOW_COLS + CALENDAR_COLS)
+
+
+def supports_sql(split_cte: str, label: str) -> str:
+    """Label, support of the test rows, with the two averages."""
+    return f"""SELECT {label} AS label, count(*) AS support FROM {split_cte} WHERE split = 'test' GROUP BY 1
+UNION ALL SELECT a, (SELECT count(*) FROM {split_cte} WHERE split = 'test') FROM (VALUES ('macro avg'), ('weighted avg')) v(a)"""
+
+
+def model_queries() -> dict[str, str]:
+    q = {}
+    base = [OBS, CLEAN, PLACES, TRAIN_TABLE]
+    weights = [f"CAST((event_id * {i + 3}) % 17 AS DOUBLE)" for i in range(6)]
+    y = classify_sql(description_sql("event_id"))
+    p = "CASE y " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in zip(CLASSES, weights)) + " END / (1 + " + " + ".join(weights) + ")"
+    q["log_loss"] = (f"SELECT round(avg(-ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, {p})))), 8) AS log_loss, "
+                     f"count(*) AS n FROM (SELECT event_id, {y} AS y FROM events) e WHERE y <> 'unknown'")
+    q["train_report"] = with_(*base, SPLIT) + supports_sql("sp", "weather_condition")
+    last = "(SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn FROM (" + store_rows_sql(False) + ") r)"
+    key = "concat(CAST(datetime AS VARCHAR), '|', province)"
+    q["train_full"] = f"""WITH hist AS (SELECT *, {key} AS k FROM {last} x WHERE rn = 1 AND weather_condition <> 'unknown'),
+n AS (SELECT weather_condition, count(*) AS n, CAST(round(0.2 * count(*)) AS BIGINT) AS test FROM hist GROUP BY 1)
+SELECT CAST(sum(n) - sum(test) AS BIGINT) AS n_train, CAST(sum(test) AS BIGINT) AS n_test,
+  '{FULL_REFIT}' AS params_used, 'lambda,bogus' AS ignored_params FROM n"""
+    q["retrain_job"] = with_(*base, SPLIT) + """SELECT 'completed' AS status, 'v=1' AS version,
+  count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test,
+  (SELECT string_agg(DISTINCT weather_condition, ',' ORDER BY weather_condition) FROM tt) AS active_classes FROM sp
+UNION ALL SELECT 'failed', NULL, NULL, NULL, (SELECT string_agg(DISTINCT weather_condition, ',' ORDER BY weather_condition) FROM tt)"""
+    q["score_batch"] = with_(*base) + """SELECT obs_id, CASE WHEN obs_id % 29 = 0 THEN 'missing_features' ELSE 'ok' END AS status,
+  obs_id % 29 <> 0 AS predicted FROM tt"""
+    cond = classify_sql("o.weather_description")
+    q["score_fallback"] = with_(OBS, PLACES) + f"""SELECT obs_id,
+  CASE WHEN c <> 'unknown' THEN 'api' WHEN obs_id % 50 = 7 THEN 'api (prediction fallback failed - missing features)'
+       ELSE 'predicted (fallback)' END AS condition_source,
+  CASE WHEN c <> 'unknown' THEN c END AS api_condition, c = 'unknown' AND obs_id % 50 = 7 AS still_unknown
+FROM (SELECT o.obs_id, {cond} AS c FROM obs o JOIN places p ON p.City = o.City WHERE o.obs_id % 50 <> 0) x"""
+    q["train_incremental"] = with_(*base) + """SELECT count(*) FILTER (WHERE day(datetime) = 21) AS n_day,
+  string_agg(DISTINCT weather_condition, ',' ORDER BY weather_condition) FILTER (WHERE day(datetime) <= 20) AS classes,
+  TRUE AS scaler_kept, TRUE AS weights_moved FROM tt"""
+    q["model_roundtrip"] = with_(*base, SPLIT) + "SELECT obs_id, TRUE AS same_prediction FROM sp WHERE split = 'test'"
+
+    feat = FEAT.replace(" FROM clean)", " FROM clean JOIN places USING (City))")
+    labels = [TARGET, *LABEL_LAG_COLS]
+    dom = ("dom AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM ("
+           + " UNION ".join(f"SELECT {c} AS label FROM ff" for c in labels) + ") u)")
+    names = ["target_encoded_24h", *[f"{c}_encoded" for c in LABEL_LAG_COLS]]
+    rows = ("fr AS (SELECT ff.*, " + ", ".join(f"d{i}.code AS {n}" for i, n in enumerate(names)) + " FROM ff "
+            + " ".join(f"JOIN dom d{i} ON d{i}.label = ff.{c}" for i, c in enumerate(labels)) + ")")
+    split = SPLIT.replace("PARTITION BY weather_condition", f"PARTITION BY {TARGET}").replace("FROM tt)", "FROM fr)")
+    ctes = [OBS, CLEAN, PLACES, feat, FORECAST_CTE, dom, rows, split]
+    stats = "st AS (SELECT " + ", ".join(
+        f"avg({c}) AS m_{i}, CASE WHEN stddev_pop({c}) = 0 OR stddev_pop({c}) IS NULL THEN 1 ELSE stddev_pop({c}) END AS s_{i}"
+        for i, c in enumerate(FORECAST_FEATURES)) + " FROM sp WHERE split = 'train')"
+    q["forecast_matrix"] = (with_(*ctes, stats) + "SELECT obs_id, split, target_encoded_24h, "
+                            + ", ".join(f"round(({c} - m_{i}) / s_{i}, 8) AS {c}" for i, c in enumerate(FORECAST_FEATURES))
+                            + " FROM sp, st")
+    q["forecast_balance"] = (with_(*ctes) + f"SELECT {TARGET}, (SELECT min(n) FROM (SELECT count(*) AS n FROM sp "
+                             f"WHERE split = 'train' GROUP BY {TARGET}) c) AS n FROM sp WHERE split = 'train' GROUP BY 1")
+    q["train_forecast"] = with_(*ctes) + supports_sql("sp", TARGET)
+    return q
+
+
 def stream_queries() -> dict[str, str]:
-    """The store after ingesting every payload: per (hour, station) the last hourly entry
-    in payload order (entries of a day are ordered by time, then obs_id)."""
+    """The store after ingesting every payload: per (hour, station) the last hourly entry by
+    record (200 consecutive ids), then time, then obs_id."""
     q = {}
     q["ingest_stream"] = (with_(OBS, PLACES) + f"""SELECT datetime, province, humidity, latitude, longitude, pressure,
   temperature, weather_condition, wind_direction, wind_speed FROM (
@@ -381,7 +492,7 @@ def stream_queries() -> dict[str, str]:
     round(o.pressure, 8) AS pressure, round(e.value / 10 + 273.15e0, 8) AS temperature,
     {classify_sql('o.weather_description')} AS weather_condition, round(o.wind_direction, 8) AS wind_direction,
     round(round(o.wind_speed * {KMPH}, 2), 8) AS wind_speed,
-    row_number() OVER (PARTITION BY date_trunc('hour', o.datetime), o.City ORDER BY o.datetime DESC, o.obs_id DESC) AS rn
+    row_number() OVER (PARTITION BY date_trunc('hour', o.datetime), o.City ORDER BY o.obs_id // 200 DESC, o.datetime DESC, o.obs_id DESC) AS rn
   FROM obs o JOIN events e ON e.event_id = o.obs_id JOIN places p ON p.City = o.City) x WHERE rn = 1""")
     return q
 
@@ -392,4 +503,5 @@ def oracle_sql() -> dict[str, str]:
     q.update(obs_queries())
     q.update(source_queries())
     q.update(store_and_ml_queries())
+    q.update(model_queries())
     return q

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -19,9 +20,8 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="skyframe-tests-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from skyframe.session import checkpoint_root
-    checkpoint_root(s)  # tests set a folder only where the session names none
     yield s
     s.stop()

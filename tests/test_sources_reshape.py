@@ -44,8 +44,7 @@ def test_common_columns_and_join(spark):
     a = spark.createDataFrame([("2024-01-01", 1.0, 2.0)], "datetime string, X double, Y double")
     b = spark.createDataFrame([("2024-01-01", 3.0)], "datetime string, Y double")
     assert common_columns({"a": a, "b": b}) == ["Y"]
-    longs = {"a": wide_to_long(a, "a", ["Y"]), "b": wide_to_long(b, "b", ["Y"])}
-    row = join_metrics(longs).collect()[0]
+    row = join_metrics({"a": a, "b": b}).collect()[0]
     assert (row.City, row.a, row.b) == ("Y", 2.0, 3.0)
     c = spark.createDataFrame([("2024-01-01", 3.0)], "datetime string, Z double")
     with pytest.raises(ValueError):
@@ -83,3 +82,42 @@ def test_hot_place_is_split_into_blocks(spark):
     assert framed.count() == 1000 + 10 * 48 + 9 * 24
     pos = windows.positions(df, ["City"], "datetime").orderBy("_pos").collect()
     assert [r._pos for r in pos] == list(range(1000)) and [r.obs_id for r in pos] == list(range(1000))
+
+
+def test_join_metrics_equals_unpivot_then_join(spark):
+    a = spark.createDataFrame([("t1", 1.0, 2.0), ("t2", None, 3.0), (None, 9.0, 9.0)], "datetime string, `San Diego` double, Y double")
+    b = spark.createDataFrame([("t1", "u", "v"), ("t2", None, "w"), ("t3", "x", "y")], "datetime string, `San Diego` string, Y string")
+    got = sorted(join_metrics({"a": a, "b": b}).collect(), key=str)
+    long = wide_to_long(a, "a").join(wide_to_long(b, "b"), ["datetime", "City"])
+    assert got == sorted(long.select("datetime", "City", "a", "b").collect(), key=str) and len(got) == 4
+
+
+def test_wide_files_of_the_documented_layout(spark, tmp_path):
+    from skyframe.sources.files import read_history_csv, read_wide_metrics
+    for name in ("humidity", "pressure", "temperature", "weather_description", "wind_direction", "wind_speed"):
+        cell = "light rain" if name == "weather_description" else "1.5"
+        (tmp_path / f"{name}.csv").write_text(f"datetime,San Diego\n2012-10-01 12:00:00,{cell}\n")
+    wide = read_wide_metrics(spark, str(tmp_path))
+    assert wide["weather_condition"].first()["San Diego"] == "light rain" and wide["humidity"].first()["San Diego"] == 1.5
+    (tmp_path / "history.csv").write_text(
+        "province,datetime,humidity,latitude,longitude,pressure,temperature,weather_condition,wind_direction,wind_speed\n"
+        "Bắc Kạn,2024-01-01 10:00:00,50,x,2,1000,280.5,rainy,90,NaN\nB,never,1,1,1,1,1,rainy,1,1\n")
+    r = read_history_csv(spark, str(tmp_path / "history.csv")).collect()
+    assert len(r) == 1 and r[0].province == "Bắc Kạn" and r[0].latitude is None and r[0].wind_speed is None
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from skyframe.operators.reshape import join_small, measured_bytes
+    dim = spark.createDataFrame([("a", "x" * 1000), ("b", None)], "k string, wide string")
+    assert 1000 < measured_bytes(dim) < 1300
+    fact = spark.createDataFrame([("a",)], "k string")
+    def hinted(limit):
+        return "rightHint=(strategy=broadcast)" in join_small(fact, dim, "k", max_bytes=limit)._jdf.queryExecution().optimizedPlan().toString()
+    assert hinted(2000) and not hinted(100)
+
+
+def test_coverage_tells_total_from_null_place(spark):
+    from skyframe.operators.metrics import coverage
+    df = spark.createDataFrame([("A", 1), (None, 2), (None, 5)], "City string, datetime int")
+    got = {(r.City, r.is_total): r.n_rows for r in coverage(df, "City").collect()}
+    assert got == {("A", False): 1, (None, False): 2, (None, True): 3}

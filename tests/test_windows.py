@@ -1,9 +1,10 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from skyframe.config import CALENDAR_COLS, LABEL_LAG_COLS, METRICS, NUMERIC_LAG_COLS, TARGET, WINDOW_COLS
+from skyframe.config import CALENDAR_COLS, LABEL_LAG_COLS, NUMERIC_LAG_COLS, TARGET, WINDOW_COLS
 from skyframe.operators import windows
 from skyframe.plans import catalog
 
@@ -56,9 +57,7 @@ def test_blocked_equals_partition_with_tiny_blocks(spark):
     a = windows.forecast_features(clean, block_rows=72).select(*cols).collect()
     b = windows.forecast_features(clean, strategy="partition").select(*cols).collect()
     assert len(a) == len(b) > 0
-    key = lambda r: r.obs_id
     assert sorted(map(tuple, a), key=lambda t: t[0]) == sorted(map(tuple, b), key=lambda t: t[0])
-    assert key(a[0]) is not None
 
 
 def test_rolling_means_match_pandas(spark):
@@ -86,8 +85,37 @@ def test_forecast_row_count_property(spark):
 
 def test_single_window_operator(spark):
     clean = catalog.cleaned_obs(spark, "/root/testdata/sf0.001")
-    plan = windows.forecast_features(clean)._jdf.queryExecution().executedPlan().toString()
-    # one Window for the features (+ the small ones inside the position step)
-    assert plan.count("Window [") >= 1
-    assert "lead(" in plan and "lag(" in plan
-    assert F is not None and METRICS
+    plan = windows.forecast_features(clean)._jdf.queryExecution().optimizedPlan().toString()
+    operators = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window [")]
+    # one for the features (lead, lags and means), one over the small counts table
+    assert len(operators) == 2
+    assert sum("lead(" in line and "lag(" in line for line in operators) == 1
+    assert sum("_n" in line and "_range" in line for line in operators) == 1
+    assert "events.parquet" not in plan  # the input was scanned once, into sorted ranges
+
+
+def test_one_place_and_day_is_many_tasks(spark):
+    """All rows in one place and one day: the ranges still share the work evenly."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(40_000).select(F.col("id").alias("obs_id"), F.lit("A").alias("City"),
+                                      F.timestamp_micros(F.col("id") * 1000).cast("timestamp_ntz").alias("datetime"))
+    pos = windows.positions(rows, ["City"], "datetime")
+    sizes = [r["count"] for r in pos.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == n and max(sizes) < 2 * 40_000 / n
+    assert pos.where("_pos <> obs_id").count() == 0
+
+
+def test_null_place_and_time_are_kept(spark):
+    rows = _place("A", 5) + [(90, None, "A", *([1.0] * 5), "sunny"), *[(91 + i, r[1], None, *r[3:]) for i, r in enumerate(_place("A", 3))]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {s: sorted((r.obs_id, r.humidity_lag_1h) for r in windows.add_lags(df, strategy=s).collect()) for s in ("blocked", "partition")}
+    assert len(got["blocked"]) == len(rows) and got["blocked"] == got["partition"]
+
+
+def test_equal_order_is_an_error(spark):
+    rows = _place("A", 5) + [(99, *_place("A", 5)[2][1:])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for strategy in ("blocked", "partition"):
+        with pytest.raises(Exception, match="equal in order"):
+            windows.add_lags(df, strategy=strategy).collect()
+    assert windows.add_lags(df, tiebreak=["obs_id"]).count() == 6
