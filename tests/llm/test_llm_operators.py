@@ -479,8 +479,17 @@ def test_crf_gradient_and_decoding():
             losses.append(tagger._gradients(x, y)[0])
         tagger.w[name][at] = keep
         assert abs((losses[0] - losses[1]) / (2 * eps) - g[name][at]) < 2e-3 * max(1, abs(g[name][at]))
-    paths = tagger.decode([rng.normal(size=(n, pii.TAGS)) for n in (1, 4, 9)])
+    some = [rng.normal(size=(n, pii.TAGS)) for n in (1, 4, 9)]
+    paths = [tags for tags, _ in tagger.decode(some)]
     ok = pii.allowed()
+    trans, start = tagger._constraints()
+    import itertools
+    short = [p for p in itertools.product(range(pii.TAGS), repeat=4)]
+    scores = np.array([start[p[0]] + sum(some[1][t, p[t]] for t in range(4)) + sum(trans[p[t], p[t + 1]] for t in range(3)) for p in short])
+    assert short[int(scores.argmax())] == tuple(paths[1])
+    weights = np.exp(scores - scores.max())
+    marginal = [sum(w for p, w in zip(short, weights) if p[t] == paths[1][t]) / weights.sum() for t in range(4)]
+    assert np.allclose(tagger.decode(some)[1][1], marginal, atol=1e-6)
     assert all(ok[a, b] for p in paths for a, b in zip(p[:-1], p[1:])) and [len(p) for p in paths] == [1, 4, 9]
 
 
@@ -494,7 +503,7 @@ def test_pii_operator_cases(spark):
     rows = [(i, f"write to ann.{i}@mail{i % 7}.example.com or call +49 30 {1000000 + i * 37} today") for i in range(300)]
     rows += [(900, None), (901, ""), (902, "plain words " * 20000 + "10.0.0.1"), (None, "a@b.cc"), (3, rows[3][1])]
     docs = docs_of(spark, rows, "base spans n_email")
-    tagger = pii.train(docs.select("doc_id", "text"), max_windows=300, epochs=4)
+    tagger = pii.train(docs.select("doc_id", "text"), max_windows=600, epochs=12)
     out = pii.find(docs, tagger).collect()
     assert len(out) == len(rows)
     texts = dict(rows)
