@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions
 
 
-def shuffled_buckets(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
-    """Written table (bucket, index, record): every bucket in Fisher-Yates order."""
+BROADCAST_ROWS = 1 << 20  # bucket offsets sent to every task: 32 MB at most
+
+
+def shuffled_buckets(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """Written table (bucket, index, record), every bucket in Fisher-Yates order, and the
+    number of buckets."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
@@ -42,17 +46,19 @@ def shuffled_buckets(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame
                  .sortWithinPartitions("bucket", "spot"))
     mixed = (scattered.groupBy("bucket").agg(F.collect_list("record").alias("records"))
              .select("bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("index", "record")))
-    return materialise(mixed, "shard-buckets")
+    return materialise(mixed, "shard-buckets"), buckets
 
 
 def shard(docs: DataFrame, n_shards: int = 16, seed: int = 20240229,
           bucket_bytes: int = 16 << 20) -> DataFrame:
     """``record`` (all input columns), ``shard`` (0 to n_shards - 1) and ``slot`` (from 0)."""
-    mixed = shuffled_buckets(docs, seed, bucket_bytes)
+    mixed, buckets = shuffled_buckets(docs, seed, bucket_bytes)
     counts = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     w = W.orderBy("bucket")
     offsets = counts.select("bucket", (F.sum("n").over(w) - F.col("n")).alias("before"),
                             F.sum("n").over(W.partitionBy()).alias("total"))
+    if buckets <= BROADCAST_ROWS:  # else a join by bucket shuffles the records once more
+        offsets = F.broadcast(offsets)
     place = F.col("before") + F.col("index")
     # integer arithmetic: shard s holds the places from ceil(s * total / k) on
     return (mixed.join(offsets, "bucket")
