@@ -5,8 +5,9 @@ trained from labelled spans (the base spans of a bounded sample) and tags every
 outside or as beginning or continuing one of four kinds. A text is read in windows of
 ``WINDOW`` characters that overlap by half. Where windows overlap their emissions are
 averaged, and one Viterbi pass over each stretch of joined windows decides globally. Spans it
-adds must hold a digit or ``@``, must not touch a base span and must have a mean tag
-probability of at least ``MIN_PROBABILITY``.
+adds must hold a digit or ``@``, must not touch a base span and must have tags with a mean
+marginal probability of at least ``MIN_PROBABILITY``. A stretch of more than ``MAX_JOINED``
+windows is decided in parts that overlap by half a window.
 
 Windows without a digit or ``@`` cannot give a span under that rule, and a stretch ends where
 they begin, so they are not computed.
@@ -37,6 +38,7 @@ TRAIN_WINDOW, PER_TEXT = 64, 4
 MIN_PROBABILITY = 0.95
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 BATCH = 512
+MAX_JOINED = 256  # windows in a stretch
 SYMBOLS = 99  # printable ASCII, then padding, line break, letters beyond ASCII, the rest
 
 
@@ -160,7 +162,7 @@ class Tagger:
             g["x" + side], g["h" + side] = gx, gh
         return loss, g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.02, seed: int = 5) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 48, rate: float = 0.03, seed: int = 5) -> float:
         """Adam on the CRF's negative log-likelihood; the last epoch's mean loss."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -185,33 +187,54 @@ class Tagger:
         self.trained = bool((y > 0).any())
         return loss
 
-    def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each stretch of emissions, stretches of like length at once."""
-        trans = np.where(allowed(), self.w["t"], -1e4)
-        start = np.array([0.0] + [0.0, -1e4] * len(KINDS))
+    def decode(self, stretches: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Best tags of each stretch of emissions and their marginal probabilities; stretches
+        of like length at once."""
         out: list = [None] * len(stretches)
         order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
-        for begin in range(0, len(order), 256):
-            some = order[begin:begin + 256]
-            longest = len(stretches[some[-1]])
+        while order:
+            longest = len(stretches[order[-1]])
+            some = order[-max(1, (1 << 16) // longest):]
+            del order[-len(some):]
             size = np.array([len(stretches[i]) for i in some])
-            best = np.stack([stretches[i][0] for i in some]) + start
-            back = np.zeros((longest, len(some), TAGS), dtype=np.int8)
-            for t in range(1, longest):
-                live = size > t
-                e = np.stack([stretches[i][min(t, len(stretches[i]) - 1)] for i in some])
-                total = best[:, :, None] + trans
-                back[t] = total.argmax(1)
-                best = np.where(live[:, None], total.max(1) + e, best)
-            last = best.argmax(1)
-            for j, i in enumerate(some):
-                tags = np.zeros(size[j], dtype=np.int64)
-                tags[-1] = last[j]
-                for t in range(size[j] - 1, 0, -1):
-                    tags[t - 1] = back[t, j, tags[t]]
-                out[i] = tags
+            e = np.zeros((len(some), longest, TAGS))
+            for row, i in enumerate(some):
+                e[row, :size[row]] = stretches[i]
+            tags, chance = self._viterbi(e, size), self._marginals(e, size)
+            for row, i in enumerate(some):
+                best = tags[row, :size[row]]
+                out[i] = best, chance[row, np.arange(size[row]), best]
         return out
 
+    def _constraints(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(allowed(), self.w["t"], -1e4), np.array([0.0] + [0.0, -1e4] * len(KINDS))
+
+    def _viterbi(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
+        trans, start = self._constraints()
+        n, longest, _ = e.shape
+        best, back = e[:, 0] + start, np.zeros((longest, n, TAGS), dtype=np.int8)
+        for t in range(1, longest):
+            total = best[:, :, None] + trans
+            back[t] = total.argmax(1)
+            best = np.where((size > t)[:, None], total.max(1) + e[:, t], best)
+        tags = np.zeros((n, longest), dtype=np.int64)
+        last = best.argmax(1)
+        for t in range(longest - 1, -1, -1):
+            tags[:, t] = last
+            last = np.where(size > t, back[t, np.arange(n), last], last)
+        return tags
+
+    def _marginals(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
+        trans, start = self._constraints()
+        longest = e.shape[1]
+        a, b = np.zeros_like(e), np.zeros_like(e)
+        a[:, 0] = e[:, 0] + start
+        for t in range(1, longest):
+            a[:, t] = np.where((size > t)[:, None], e[:, t] + _lse(a[:, t - 1][:, :, None] + trans, 1), a[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            b[:, t] = np.where((size > t + 1)[:, None], _lse((e[:, t + 1] + b[:, t + 1])[:, None, :] + trans, 2), 0)
+        return np.exp(a + b - _lse(a[:, -1], 1)[:, None, None])
+
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
@@ -229,48 +252,59 @@ def live_windows(text: str) -> list[int]:
     return [s * STRIDE for s in sorted(steps)]
 
 
+def stretches(text: str) -> list[list[int]]:
+    """Starts of live windows, those that overlap together; MAX_JOINED at most."""
+    out: list[list[int]] = []
+    for s in live_windows(text):
+        if out and s - out[-1][-1] < WINDOW and len(out[-1]) < MAX_JOINED:
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """Spans the tagger finds in each text, before they are held against the base spans."""
     found: list[list] = [[] for _ in texts]
-    if not tagger.trained:
-        return found
-    places = [(i, s) for i, t in enumerate(texts) for s in live_windows(t)]
-    for begin in range(0, len(places), 4 * BATCH):
-        end = begin + 4 * BATCH
-        _decode_places(texts, places[begin:end], tagger, found)
+    if tagger.trained:
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            for starts in stretches(text):
+                group.append((i, starts))
+                size += len(starts)
+                if size >= 4 * BATCH:
+                    _decode_group(texts, group, tagger, found)
+                    group, size = [], 0
+        if group:
+            _decode_group(texts, group, tagger, found)
     return found
 
 
-def _decode_places(texts, places, tagger, found) -> None:
+def _decode_group(texts: list[str], group: list[tuple[int, list[int]]], tagger: Tagger, found: list[list]) -> None:
+    places = [(i, s) for i, starts in group for s in starts]
     x = np.full((len(places), WINDOW), PAD, dtype=np.int64)
     for row, (i, s) in enumerate(places):
         part = symbols(texts[i][s:s + WINDOW])
         x[row, :len(part)] = part
     e = np.concatenate([tagger.emissions(x[b:b + BATCH]) for b in range(0, len(x), BATCH)])
-    stretches, at = [], []
-    for row, (i, s) in enumerate(places):
-        length = min(WINDOW, len(texts[i]) - s)
-        if at and at[-1][0] == i and s < at[-1][1] + len(stretches[-1][0]):
-            total, times = stretches[-1]
-            offset = s - at[-1][1]
-            grown = max(len(total), offset + length)
-            total = np.concatenate([total, np.zeros((grown - len(total), TAGS), np.float32)])
-            times = np.concatenate([times, np.zeros(grown - len(times), np.float32)])
-            total[offset:offset + length] += e[row, :length]
-            times[offset:offset + length] += 1
-            stretches[-1] = (total, times)
-        else:
-            stretches.append((e[row, :length].copy(), np.ones(length, np.float32)))
-            at.append((i, s))
-    means = [total / times[:, None] for total, times in stretches]
-    for (i, s), mean, tags in zip(at, means, tagger.decode(means)):
-        chance = np.exp(mean - _lse(mean, 1)[:, None])[np.arange(len(tags)), tags]
-        for b in np.flatnonzero((tags > 0) & (tags % 2 == 1)).tolist():
+    means, row = [], 0
+    for i, starts in group:
+        length = min(len(texts[i]), starts[-1] + WINDOW) - starts[0]
+        total, times = np.zeros((length, TAGS)), np.zeros((length, 1))
+        for s in starts:
+            here = slice(s - starts[0], min(s - starts[0] + WINDOW, length))
+            total[here] += e[row, :here.stop - here.start]
+            times[here] += 1
+            row += 1
+        means.append(total / times)
+    for (i, starts), (tags, chance) in zip(group, tagger.decode(means)):
+        for b in np.flatnonzero(tags % 2 == 1).tolist():
             stop = b + 1
             while stop < len(tags) and tags[stop] == tags[b] + 1:
                 stop += 1
-            if chance[b:stop].mean() >= MIN_PROBABILITY and TRIGGER.search(texts[i], s + b, s + stop):
-                found[i].append((s + b, int(tags[b] - 1) // 2, s + stop))
+            s, z = starts[0] + b, starts[0] + stop
+            if chance[b:stop].mean() >= MIN_PROBABILITY and TRIGGER.search(texts[i], s, z):
+                found[i].append((s, int(tags[b] - 1) // 2, z))
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
@@ -314,7 +348,7 @@ def training_windows(docs: DataFrame, sample_docs: int = 4000, max_windows: int
     return [(r["part"], r["labels"]) for r in sample.orderBy(order, "part", "labels").limit(max_windows).collect()]
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, max_windows: int = 1200, epochs: int = 6) -> Tagger:
+def train(docs: DataFrame, sample_docs: int = 4000, max_windows: int = 1200, epochs: int = 12) -> Tagger:
     tagger = Tagger()
     windows = training_windows(docs, sample_docs, max_windows)
     if windows:
