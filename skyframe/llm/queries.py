@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, jaccard_join, language_id, line_dedup, packing, pii, sharding, warc
+from . import ann, decontamination, jaccard_join, language_id, line_dedup, packing, pii, sharding, token_counts, warc
 from .common import read_table
 
 
@@ -27,6 +27,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "sequence_id", "offset")
 
 
+def _stand_in_edits(docs: DataFrame) -> DataFrame:
+    """Three edits a document: places, lengths and replacements (parts of the text) by hash."""
+    n = F.char_length("text")
+
+    def edit(i: int):
+        def draw(k: int, below):
+            return F.pmod(F.xxhash64("doc_id", F.lit(i), F.lit(k)), below.cast("long")).cast("int")
+        return F.struct(F.lit(i).alias("seq"), draw(0, n + 1).alias("start"), draw(1, F.lit(40)).alias("length"),
+                        F.substring("text", draw(2, n + 1) + 1, draw(3, F.lit(60))).alias("replacement"))
+
+    return docs.where(n > 0).select("doc_id", F.inline(F.array(*[edit(i) for i in range(3)])))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    trees = token_counts.build_trees(docs, tokenizer)
+    out = token_counts.apply_edits(docs, trees, _stand_in_edits(docs), tokenizer)
+    return out.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "chars_reencoded")
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe.llm import (ann, components, decontamination, jaccard_join, language_id, line_dedup,
-                          packing, pii, pii_rules, sharding, warc, words)
+                          packing, pii, pii_rules, sharding, token_counts, warc, words)
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -332,6 +332,11 @@ def test_cross_polytope_rotation_keeps_lengths():
     assert np.allclose(np.linalg.norm(polytope.rotate(x, 1), axis=1), 1, atol=1e-5)
     near = polytope.buckets(x, 1)
     assert near.shape == (20, 2) and (near[:, 1] >= 128).all()
+    deep = ann.CrossPolytope(48, 1, depth=2)
+    best = deep.buckets(x, 1)[:, 0]
+    both = [np.concatenate([y, -y], axis=1) for y in (deep.rotate(x, 0), deep.rotate(x, 1))]
+    assert (best == both[0].argmax(1) * 128 + both[1].argmax(1)).all()
+    assert all(b in p for b, p in zip(best, deep.buckets(x, 9).tolist()))
 
 
 def brute_nearest(rows, k, asked):
@@ -362,9 +367,10 @@ def test_nearest_recall_and_ties(spark, block):
     for q, found in got.items():  # all axes probed: exact, ties included
         assert [v for _, v in found] == [v for _, v in want[q]]
         assert np.allclose([s for s, _ in found], [s for s, _ in want[q]], atol=1e-12)
-    part = ann.nearest(df, F.col("vec_id") % 10 == 0, k=20, probes=6, block=block).collect()
-    hits = sum((r.vec_id in [v for _, v in want[r.query_id]]) for r in part)
-    assert hits >= 0.9 * sum(map(len, want.values()))
+    for probes, depth in ((6, 1), (120, 2)):
+        part = ann.nearest(df, F.col("vec_id") % 10 == 0, k=20, probes=probes, depth=depth, block=block).collect()
+        hits = sum((r.vec_id in [v for _, v in want[r.query_id]]) for r in part)
+        assert hits >= 0.9 * sum(map(len, want.values()))
 
 
 def test_nearest_few_candidates_and_empty(spark):
@@ -577,3 +583,59 @@ def test_warc_min_bytes_and_empty(spark):
     got = sorted((r.page_id, r.record_type) for r in warc.archive_and_index(pages, min_bytes=3).collect())
     assert got == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
     assert warc.archive_and_index(pages.where("false")).collect() == []
+
+
+# ---- token counts
+
+def brute_edits(text, edits):
+    for _, start, length, new in sorted(edits, key=lambda e: tuple((v is not None, v) for v in e)):
+        start = min(max(start or 0, 0), len(text))
+        text = text[:start] + (new or "") + text[start + max(length or 0, 0):]
+    return text
+
+
+def test_token_counts_follow_edits(spark, tokenizer_path, monkeypatch):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    def count(t):
+        return len(tokenizer.encode(t, add_special_tokens=False).ids)
+    rng = np.random.default_rng(9)
+    rows = [(i, prose(rng, int(rng.integers(0, 400))).replace(" w1", "\n w1")) for i in range(40)]
+    rows += [(100 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(3, rows[3][1]), (3, "another text with the same id"), (None, "no id")]
+    pieces = [None, "", " ", "x", "two words", "'s", "é", "<|endoftext|>", "\n\n", "a" * 900, prose(rng, 600)]
+    edits = [(int(i), int(s), int(a), int(b), pieces[int(p)]) for i, s, a, b, p in zip(
+        rng.integers(0, 120, 900), rng.integers(0, 30, 900), rng.integers(-5, 900, 900), rng.integers(-1, 60, 900), rng.integers(0, len(pieces), 900))]
+    edits += [(7, 100 + k, 0, 10**6 if k % 5 == 0 else 3, "new start of it " * (k % 4)) for k in range(60)]
+    edits += [(1, None, None, None, None), (None, 1, 0, 5, "x"), (9999, 1, 0, 5, "x")]
+    log = spark.createDataFrame(edits, "doc_id long, seq int, start int, length int, replacement string")
+    docs = docs_of(spark, rows, "chars tokens edits")
+    trees = token_counts.build_trees(docs, tokenizer_path)
+    out = token_counts.apply_edits(docs, trees, log, tokenizer_path).collect()
+    def last(i, t):
+        mine = [e[1:] for e in edits if e[0] == i and i is not None]
+        return (i is None, i or 0, count(t or ""), len(mine), count(brute_edits(t or "", mine)), len(brute_edits(t or "", mine)))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_edits, r.n_tokens_edited, r.n_chars_edited) for r in out)
+    assert got == sorted(last(i, t) for i, t in rows)
+    for r in out:  # the trees that come back are whole and sum up
+        n = len(r.chars) // 2
+        assert all(r.tokens[i] == r.tokens[2 * i] + r.tokens[2 * i + 1] for i in range(1, n)) and r.tokens[1] == r.n_tokens_edited
+    assert all(r.chars_reencoded == 0 for r in out if not r.n_edits)
+    long = [r for r in out if r.n_edits == 1 and r.n_chars_edited > 1500]
+    assert all(r.chars_reencoded < 0.7 * r.n_chars_edited + 5000 for r in long)
+
+
+def test_one_small_edit_encodes_one_region(spark, tokenizer_path):
+    docs = docs_of(spark, [(1, "some words here " * 20000)])
+    trees = token_counts.build_trees(docs, tokenizer_path)
+    log = spark.createDataFrame([(1, 1, 160001, 3, "new")], "doc_id long, seq int, start int, length int, replacement string")
+    r = token_counts.apply_edits(docs, trees, log, tokenizer_path).first()
+    assert r.n_chars_edited == 320000 and 0 < r.chars_reencoded < 600
+
+
+def test_token_counts_empty_tables(spark, tokenizer_path):
+    log = spark.createDataFrame([], "doc_id long, seq int, start int, length int, replacement string")
+    for rows in ([], [(1, "text"), (2, None)]):
+        docs = docs_of(spark, rows)
+        trees = token_counts.build_trees(docs, tokenizer_path)
+        out = token_counts.apply_edits(docs, trees, log, tokenizer_path).collect()
+        assert len(out) == len(rows) and all(r.n_tokens == r.n_tokens_edited for r in out)
