@@ -9,7 +9,13 @@ Equal vectors form a class first: classes are hashed and compared, their rows ar
 ``k + 1`` smallest ids of a class are all that any answer can need, so a vector repeated over
 a third of the rows costs one comparison. Vectors and queries meet in their buckets; a bucket
 is dealt into a grid of at most ``block`` vectors by ``block`` queries, so a task's group is
-bounded. Sizes of buckets are broadcast: ``tables`` x 2 x dimension rows whatever the input.
+bounded. Sizes of buckets are broadcast: ``tables`` x (2 x dimension) ^ ``depth`` rows whatever
+the input, and only up to ``BROADCAST_ROWS`` of them.
+
+A table of more than one rotation (``depth``) concatenates their axes: (2 x dimension) ^ depth
+buckets, probed in the order of the summed axis scores. One rotation suits tables up to some
+millions of vectors; with two, buckets of billions stay small, at the price of more tables or
+probes for the same recall.
 
 The inner product ranks by direction and length, the hash sees directions only: recall is
 measured for vectors of about equal length. On vectors without structure (64 dimensions,
@@ -35,12 +41,15 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions
 
 
+BROADCAST_ROWS = 1 << 20
+
+
 class CrossPolytope:
-    def __init__(self, dimension: int, tables: int, seed: int = 3):
-        self.dimension, self.tables = dimension, tables
+    def __init__(self, dimension: int, tables: int, depth: int = 1, seed: int = 3):
+        self.dimension, self.tables, self.depth = dimension, tables, depth
         self.size = 1 << max(0, dimension - 1).bit_length()
         rng = np.random.default_rng(seed)
-        self.signs = rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (tables, 3, self.size))
+        self.signs = rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (tables * depth, 3, self.size))
 
     def _hadamard(self, x: np.ndarray) -> np.ndarray:
         half = 1
@@ -50,23 +59,37 @@ class CrossPolytope:
             half *= 2
         return x / np.float32(np.sqrt(self.size))
 
-    def rotate(self, x: np.ndarray, table: int) -> np.ndarray:
+    def rotate(self, x: np.ndarray, rotation: int) -> np.ndarray:
         y = np.zeros((len(x), self.size), dtype=np.float32)
         y[:, :self.dimension] = x / np.linalg.norm(x, axis=1, keepdims=True)
-        for signs in self.signs[table]:
+        for signs in self.signs[rotation]:
             y = self._hadamard(y * signs)
         return y
 
     def buckets(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """Numbers of the ``probes`` nearest signed axes in every table, all tables' in a row."""
+        """Numbers of the ``probes`` best buckets in every table, all tables' in a row."""
+        axes, rows = 2 * self.size, np.arange(len(x))[:, None]
         out = []
-        probes = min(probes, 2 * self.size)
         for table in range(self.tables):
-            y = self.rotate(x, table)
-            both = np.concatenate([y, -y], axis=1)
-            near = np.argpartition(-both, probes - 1, axis=1)[:, :probes] if probes < 2 * self.size else np.tile(np.arange(2 * self.size), (len(x), 1))
-            out.append(near + table * 2 * self.size)
-        return np.concatenate(out, axis=1).astype(np.int32)
+            code, total = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1), dtype=np.float32)
+            for level in range(self.depth):
+                y = self.rotate(x, table * self.depth + level)
+                both = np.concatenate([y, -y], axis=1)
+                near = _largest(both, probes)
+                # every way to go on from the best so far with one of the best axes here
+                code = (code[:, :, None] * axes + near[:, None, :]).reshape(len(x), -1)
+                total = (total[:, :, None] + both[rows, near][:, None, :]).reshape(len(x), -1)
+                best = _largest(total, probes)
+                code, total = code[rows, best], total[rows, best]
+            out.append(code + table * axes ** self.depth)
+        return np.concatenate(out, axis=1)
+
+
+def _largest(x: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest values of each row, in any order."""
+    if n >= x.shape[1]:
+        return np.tile(np.arange(x.shape[1]), (len(x), 1))
+    return np.argpartition(-x, n - 1, axis=1)[:, :n]
 
 
 def usable(vector: Column) -> Column:
@@ -78,24 +101,24 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dimension)
 
 
-def hashed(classes: DataFrame, dimension: int, tables: int, probes: int) -> DataFrame:
+def hashed(classes: DataFrame, dimension: int, tables: int, probes: int, depth: int) -> DataFrame:
     """``classes`` (class, vector, asked) with ``buckets`` of the vector, and ``probed`` ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        polytope = CrossPolytope(dimension, tables)
+        polytope = CrossPolytope(dimension, tables, depth)
         for batch in batches:
             x = _matrix(batch.column(2), dimension)
             asked = np.asarray(batch.column(3))
-            own = polytope.buckets(x, 1) if len(x) else np.zeros((0, tables), np.int32)
+            own = polytope.buckets(x, 1) if len(x) else np.zeros((0, tables), np.int64)
             wide = polytope.buckets(x[asked], probes).tolist() if asked.any() else []
             wide = iter(wide)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(own.tolist(), pa.list_(pa.int32())),
-                 pa.array([next(wide) if a else [] for a in asked], pa.list_(pa.int32()))],
+                [*batch.columns[:3], pa.array(own.tolist(), pa.list_(pa.int64())),
+                 pa.array([next(wide) if a else [] for a in asked], pa.list_(pa.int64()))],
                 names=["class", "least", "vector", "buckets", "probed"])
 
     return classes.select("class", F.get("ids", F.lit(0)).alias("least"), "vector", "asked").mapInArrow(
-        run, "class long, least long, vector array<float>, buckets array<int>, probed array<int>")
+        run, "class long, least long, vector array<float>, buckets array<long>, probed array<long>")
 
 
 def best_pairs(queries: np.ndarray, vectors: np.ndarray, least: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -158,7 +181,7 @@ def compare_buckets(placed: DataFrame, dimension: int, keep: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, probes: int = 16,
-            block: int = 2048) -> DataFrame:
+            block: int = 2048, depth: int = 1) -> DataFrame:
     """For every row (vec_id, embedding) where ``asked`` holds: query_id, rank, vec_id, score."""
     rows = (vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
             .select("vec_id", F.col("embedding").cast("array<float>").alias("vector"),
@@ -174,14 +197,16 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, pro
                        F.monotonically_increasing_id().alias("class")))
     classes = materialise(classes, "ann-classes")
 
-    codes = materialise(hashed(classes, dimension, tables, probes), "ann-codes")
+    codes = materialise(hashed(classes, dimension, tables, probes, depth), "ann-codes")
     mine = codes.select("class", "least", "vector", F.explode("buckets").alias("bucket"))
     theirs = codes.select("class", "least", "vector", F.explode("probed").alias("bucket"))
     sizes = (mine.select("bucket", F.lit(1).alias("v"), F.lit(0).alias("q"))
              .unionAll(theirs.select("bucket", F.lit(0), F.lit(1))).groupBy("bucket")
              .agg(F.ceil(F.sum("v") / block).cast("int").alias("nv"), F.ceil(F.sum("q") / block).cast("int").alias("nq"))
              .where((F.col("nv") > 0) & (F.col("nq") > 0)))
-    sizes = F.broadcast(materialise(sizes, "ann-sizes"))  # tables * 2 * dimension rows at most
+    sizes = materialise(sizes, "ann-sizes")
+    if tables * (2 * CrossPolytope(dimension, 1).size) ** depth <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
 
     def dealt(side: DataFrame, own: str, other: str, i: str, j: str, is_query: bool) -> DataFrame:
         return (side.join(sizes, "bucket")
