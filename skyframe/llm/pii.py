@@ -5,13 +5,17 @@ trained from labelled spans (the base spans of a bounded sample) and tags every
 outside or as beginning or continuing one of four kinds. A text is read in windows of
 ``WINDOW`` characters that overlap by half. Where windows overlap their emissions are
 averaged, and one Viterbi pass over each stretch of joined windows decides globally. Spans it
-adds must hold a digit or ``@``, must not touch a base span and must have tags with a mean
-marginal probability of at least ``MIN_PROBABILITY``. A stretch of more than ``MAX_JOINED``
+adds must hold a digit or ``@``, must not touch a base span, must pass the test of their kind
+(a card number its checksum) and must have tags with a mean marginal probability of at least
+``MIN_PROBABILITY``. A stretch of more than ``MAX_JOINED``
 windows is decided in parts that overlap by half a window.
 
 Windows without a digit or ``@`` cannot give a span under that rule, and a stretch ends where
 they begin, so they are not computed.
 
+So that it adds what the rules cannot see, a share of the training windows is shown again with
+an address or number spelt in another way (``variant``).
+
 Sampling: rows are drawn by hash with a share that yields ``sample_docs`` on average, at most
 ``PER_TEXT`` training windows are taken from one text, and ``max_windows`` in all.
 
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pii_rules import KINDS, TRIGGER, base_spans, joined
+from .pii_rules import KINDS, TRIGGER, base_spans, joined, plausible
 
 WINDOW, STRIDE = 128, 64
 TRAIN_WINDOW, PER_TEXT = 64, 4
@@ -314,7 +318,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
         base = base_spans(text)
         spans = list(base)
         for s, k, e in sorted(set(extra)):
-            if all(e <= a or z <= s for a, _, z in spans):
+            if all(e <= a or z <= s for a, _, z in spans) and plausible(k, text[s:e]):
                 spans.append((s, k, e))
         out.append((base, sorted(spans)))
     return out
@@ -348,15 +352,41 @@ def training_windows(docs: DataFrame, sample_docs: int = 4000, max_windows: int
     return [(r["part"], r["labels"]) for r in sample.orderBy(order, "part", "labels").limit(max_windows).collect()]
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, max_windows: int = 1200, epochs: int = 12) -> Tagger:
-    tagger = Tagger()
-    windows = training_windows(docs, sample_docs, max_windows)
+def variant(part: str, spans: list[tuple[int, int, int]], draw: float) -> tuple[str, list[tuple[int, int, int]]]:
+    """The window with its first address or number written as the rules cannot read it: spaces
+    around the @, or 00 for the +. Labels move along; windows without one come back unchanged."""
+    for at, (s, k, e) in enumerate(spans):
+        text = part[s:e]
+        if KINDS[k] == "email" and "@" in text:
+            new = text.replace("@", " @ " if draw < 0.5 else "@ " if draw < 0.75 else " @", 1)
+        elif KINDS[k] == "phone":
+            new = "00" + text[1:]
+        else:
+            continue
+        more = len(new) - len(text)
+        moved = [(a + more * (a > s), j, b + more * (a >= s)) for a, j, b in spans]
+        return part[:s] + new + part[e:], moved
+    return part, spans
+
+
+def train(docs: DataFrame, sample_docs: int = 4000, max_windows: int = 1200, epochs: int = 12,
+          variants: float = 0.25) -> Tagger:
+    """Fit a tagger; a share of ``variants`` of the windows is shown in another spelling too."""
+    tagger, rng = Tagger(), np.random.default_rng(17)
+    windows = []
+    for part, labels in training_windows(docs, sample_docs, max_windows):
+        spans = [tuple(map(int, s.split(","))) for s in labels.split(";") if s]
+        windows.append((part, spans))
+        if rng.random() < variants:
+            other = variant(part, spans, rng.random())
+            if other[0] != part:
+                windows.append(other)
     if windows:
-        x = np.full((len(windows), TRAIN_WINDOW), PAD, dtype=np.int64)
-        y = np.zeros((len(windows), TRAIN_WINDOW), dtype=np.int64)
-        for row, (part, labels) in enumerate(windows):
+        length = TRAIN_WINDOW + 2  # a variant may be two longer
+        x = np.full((len(windows), length), PAD, dtype=np.int64)
+        y = np.zeros((len(windows), length), dtype=np.int64)
+        for row, (part, spans) in enumerate(windows):
             x[row, :len(part)] = symbols(part)
-            spans = [tuple(map(int, s.split(","))) for s in labels.split(";") if s]
             y[row, :len(part)] = tag_array(len(part), spans)
         tagger.fit(x, y, epochs=epochs)
     return tagger

@@ -55,6 +55,21 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def plausible(kind: int, span: str) -> bool:
+    """Whether a span found in another way passes the test of its kind: digits and checksum,
+    parts of an address, something on either side of an @."""
+    digits = _digits(span)
+    if KINDS[kind] == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if KINDS[kind] == "phone":
+        return 9 <= len(digits) <= 15
+    if KINDS[kind] == "ip":
+        parts = re.findall(r"[0-9]+", span)
+        return len(parts) == 4 and all(map(_small, parts))
+    left, at, right = span.partition("@")
+    return bool(at and left.strip() and "." in right.strip(" ."))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) by start and kind."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []

@@ -523,6 +523,23 @@ def test_pii_operator_cases(spark):
     found = pii.model_spans(fresh, tagger)
     hit = sum(b in f for f, t in zip(found, fresh) for b in brute_pii(t))
     assert hit >= 0.5 * sum(len(brute_pii(t)) for t in fresh)
+    # and it adds spellings that the rules cannot read
+    odd = [f"write to ann.{i} @ mail{i % 7}.example.com or call today" for i in range(40)]
+    assert not any(brute_pii(t) for t in odd)
+    added = [pii.all_spans([t], tagger)[0][1] for t in odd]
+    assert sum(bool(a) for a in added) >= 20
+
+
+def test_pii_variants_move_labels():
+    part = "mail a@b.cc or +49 30 1234567 now"
+    spans = brute_pii(part)
+    for draw in (0.1, 0.6, 0.9):
+        new, moved = pii.variant(part, spans, draw)
+        (s, k, e), (a, j, b) = moved
+        assert (k, j) == (0, 3) and "@" in new[s:e] and new[s:e].replace(" ", "") == "a@b.cc" and new[a:b] == "+49 30 1234567"
+    new, moved = pii.variant(part[15:], brute_pii(part[15:]), 0.1)
+    assert new == "0049 30 1234567 now" and moved == [(0, 3, 15)]
+    assert pii.variant("plain", [], 0.1) == ("plain", [])
 
 
 # ---- WARC
