@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and an equi-join, so no neighbourhood is ever gathered in
-one place; the edge table never grows beyond its first size times a constant and is written
-once a round.
+one place. Minima are written before they are joined: both sides of each join then come from
+files, and adaptive execution can split the partition of a node with very many edges. The
+edge table never grows beyond its first size times a constant.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(
             e.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least")
         large = (both.where(F.col("b") > F.col("a")).join(least, "a")
                  .select(F.col("b").alias("u"), F.col("m").alias("v")).distinct())
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "star-large")
+        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "star-lowest")
         small = (large.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         e = materialise(small, "components")
