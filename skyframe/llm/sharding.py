@@ -33,10 +33,11 @@ def shuffled_buckets(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[Dat
     """Written table (bucket, index, record), every bucket in Fisher-Yates order, and the
     number of buckets."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
     total = docs.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("t")).first()["t"]
-    buckets = max(2 * n, math.ceil(total / bucket_bytes))
+    # a task shuffles some buckets, not more than about four of full size
+    n = max(shuffle_partitions(spark), math.ceil(total / (4 * bucket_bytes)))
+    buckets = max(8 * n, math.ceil(total / bucket_bytes))
     spot = F.xxhash64(F.lit(seed), "doc_id", "text", F.col("__row"))
     scattered = (docs.select(F.struct(*docs.columns).alias("record"), "doc_id", "text",
                              F.monotonically_increasing_id().alias("__row"))
