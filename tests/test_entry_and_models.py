@@ -66,7 +66,7 @@ def _model(spark, algorithm="random_forest"):
     train = sp.where("split = 'train'")
     labels = encoding.fit_labels(tt, [LABEL])
     stats = encoding.fit_scaler(train, FEATURES)
-    params, _ = modeling.resolve_params({"n_estimators": 5, "max_depth": 4}, algorithm=algorithm)
+    params, _ = modeling.resolve_params({"n_estimators": 2 if algorithm == "gbt_ovr" else 5, "max_depth": 3}, algorithm=algorithm)
     return modeling.train_classifier(train, labels, stats, params, algorithm), sp
 
 
@@ -130,7 +130,7 @@ def test_tree_models_need_history_to_continue(spark):
         model, _ = _model(spark, algorithm)
         with pytest.raises(ValueError, match="history"):
             modeling.train_incremental(model, tt.where(day == 21), classify_label=False)
-        upd = modeling.train_incremental(model, tt.where(day == 21), {"n_estimators": 3, "max_depth": 3}, classify_label=False,
+        upd = modeling.train_incremental(model, tt.where(day == 21), {"n_estimators": 2, "max_depth": 2}, classify_label=False,
                                          history=tt.where(day <= 21))
         assert modeling.model_algorithm(upd) == algorithm
         assert modeling.scaler_of(upd) == modeling.scaler_of(model)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyframe.config import CALENDAR_COLS, LABEL_LAG_COLS, NUMERIC_LAG_COLS, TARGET, WINDOW_COLS
 from skyframe.operators import windows
 from skyframe.plans import catalog
+from skyframe.session import scratch_path
 
 SCHEMA = ("obs_id long, datetime timestamp_ntz, City string, humidity double, pressure double, "
           "temperature double, wind_direction double, wind_speed double, weather_condition string")
@@ -94,13 +95,15 @@ def test_single_window_operator(spark):
     assert "events.parquet" not in plan  # the input was scanned once, into sorted ranges
 
 
-def test_one_place_and_day_is_many_tasks(spark):
+def test_one_place_and_day_is_many_tasks(spark, monkeypatch):
     """All rows in one place and one day: the ranges still share the work evenly."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spark.range(40_000).select(F.col("id").alias("obs_id"), F.lit("A").alias("City"),
                                       F.timestamp_micros(F.col("id") * 1000).cast("timestamp_ntz").alias("datetime"))
+    path = scratch_path(spark, "t_ranges")
+    monkeypatch.setattr(windows, "scratch_path", lambda *_: path)
     pos = windows.positions(rows, ["City"], "datetime")
-    sizes = [r["count"] for r in pos.groupBy(F.input_file_name()).count().collect()]
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == n and max(sizes) < 2 * 40_000 / n
     assert pos.where("_pos <> obs_id").count() == 0
 
