@@ -120,25 +120,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5, sh
                   block: int = 1 << 21) -> DataFrame:
     """``row, doc_id, text_hash, n_words, n_hit, item_ids`` (sorted as strings), ``contaminated``: some
     word is hit and the hit words are at least one in ``share``."""
-    windows = materialise(item_windows(items, n, k), "decon-windows")
+    windows = materialise(item_windows(items, n, k).distinct(), "decon-windows")
+    phrases = materialise(windows.select("words").distinct(), "decon-phrases")
     keys = windows.select("length", "fingerprint").distinct()
     blocks = max(1, -(-keys.count() // block))
     scans = []
     for b in range(blocks):
-        known: dict[int, list] = {}
-        for r in keys.where(F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)) == b).toLocalIterator():
-            known.setdefault(r["length"], []).append(r["fingerprint"])
-        arrays = {length: np.sort(np.array(v, dtype=np.int64).view(np.uint64)) for length, v in known.items()}
+        known = keys.where(F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)) == b).toPandas()
+        arrays = {int(length): np.sort(v.to_numpy(np.int64).view(np.uint64)) for length, v in known.groupby("length")["fingerprint"]}
         scans.append(materialise(candidates(docs, arrays, n, k), "decon-candidates"))
     hits = scans[0]
     for other in scans[1:]:
         hits = hits.unionByName(other)
     hits = hits.select("row", F.inline("hits"))
-    real = materialise(hits.join(windows.select("words").distinct(), "words", "left_semi"), "decon-hits")
+    # what the joins read comes from files, so that a passage that very many documents share
+    # can be split
+    real = materialise(hits.join(phrases, "words", "left_semi"), "decon-hits")
     covered = (real.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
                .select("row", _covered(F.col("spans")).alias("n_hit")))
     listed = (real.select("row", "words").distinct()
-              .join(windows.where(F.col("item_id").isNotNull()).select("words", "item_id").distinct(), "words")
+              .join(windows.where(F.col("item_id").isNotNull()).select("words", "item_id"), "words")
               .groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return (scans[0].select("row", "doc_id", "text_hash", "n_words").join(covered, "row", "left").join(listed, "row", "left")
