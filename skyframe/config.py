@@ -49,6 +49,7 @@ SOURCE_API = "api"
 SOURCE_PREDICTED = "predicted (fallback)"
 SOURCE_MISSING = "api (prediction fallback failed - missing features)"
 SOURCE_PRED_ERROR = "api (prediction fallback failed - prediction error)"
+SOURCE_EXCEPTION = "api (prediction fallback failed - exception)"
 
 # ---------------------------------------------------------------------------
 # Derived names

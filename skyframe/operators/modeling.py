@@ -28,8 +28,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..config import (FEATURES, LABEL, SEED, SOURCE_API, SOURCE_MISSING, SOURCE_PRED_ERROR, SOURCE_PREDICTED,
-                      TEST_FRACTION, UNKNOWN)
+from ..config import (FEATURES, LABEL, SEED, SOURCE_API, SOURCE_EXCEPTION, SOURCE_MISSING, SOURCE_PRED_ERROR,
+                      SOURCE_PREDICTED, TEST_FRACTION, UNKNOWN)
 from . import encoding, metrics, sampling
 
 # ---------------------------------------------------------------------------
@@ -204,6 +204,19 @@ def classify_or_predict(df: DataFrame, model: PipelineModel, label: str = LABEL)
                            else F.col(c) for c in df.columns], source.alias("condition_source"))
 
 
+def classify_or_predict_latest(df: DataFrame, root: str, features: Sequence[str] = FEATURES, label: str = LABEL) -> DataFrame:
+    """The same with the active model under ``root``. If none can be loaded, the rows that
+    would need it stay ``unknown`` with the exception tag, and all others come out as ever."""
+    try:
+        model = load_latest(root)
+    except Exception:  # the tag says that it failed
+        known = F.coalesce(F.col(label), F.lit(UNKNOWN))
+        source = (F.when(known != F.lit(UNKNOWN), F.lit(SOURCE_API)).when(~_complete(features), F.lit(SOURCE_MISSING))
+                  .otherwise(F.lit(SOURCE_EXCEPTION)))
+        return df.select(*[known.alias(label) if c == label else F.col(c) for c in df.columns], source.alias("condition_source"))
+    return classify_or_predict(df, model, label)
+
+
 # ---------------------------------------------------------------------------
 # Training
 # ---------------------------------------------------------------------------

@@ -390,8 +390,10 @@ def q_score_batch(spark, sf_dir):
 
 def q_score_fallback(spark, sf_dir):
     model, _ = _fitted(spark, sf_dir)
+    root = fx.scratch(spark, "fallback_models")
+    modeling.save_model(model, root)
     cur = payloads.current_as_features(payloads.parse_current(fx.current_payloads(spark, sf_dir), keep=("obs_id",)))
-    out = modeling.classify_or_predict(cur, model)
+    out = modeling.classify_or_predict_latest(cur, root)
     own = F.when(F.col("condition_source") == SOURCE_API, F.col(LABEL))
     return out.select("obs_id", "condition_source", own.alias("api_condition"),
                       (F.col(LABEL) == UNKNOWN).alias("still_unknown"))

@@ -107,6 +107,13 @@ def test_classify_or_predict_sources(spark):
     assert out[5].condition_source.endswith("missing features)") and out[5].weather_condition == "unknown"
     assert out[6].condition_source.endswith("prediction error)") and out[6].weather_condition == "unknown"
     assert out[7].condition_source == "api" and out[7].weather_condition == "rainy"
+    root = scratch_path(spark, "t_latest")
+    none = {r.id: (r.condition_source, r.weather_condition) for r in modeling.classify_or_predict_latest(df, root).collect()}
+    failed = ("api (prediction fallback failed - exception)", "unknown")
+    assert none[2] == none[4] == failed and none[1] == ("api", "sunny") and none[5][0].endswith("missing features)")
+    modeling.save_model(model, root)
+    some = {r.id: r.condition_source for r in modeling.classify_or_predict_latest(df, root).collect()}
+    assert some == {i: r.condition_source for i, r in out.items()}
     assert out[1].condition_source == "api" and out[1].weather_condition == "sunny"
     assert out[2].condition_source == "predicted (fallback)" and out[2].weather_condition != "unknown"
     assert out[3].condition_source.startswith("api (prediction fallback failed") and out[3].weather_condition == "unknown"
