@@ -3,7 +3,8 @@
 Every document keeps a segment tree over its pre-token segments: a leaf is a stretch of about
 ``LEAF`` code points that ends after white space, where no token can cross, with its length
 and its number of tokens; an inner node holds the sums of its subtree, the root those of the
-document. The trees are written once (``build_trees``).
+document. The trees are written once (``build_trees``): what is stored are the leaves, the sums
+above them are put back when a tree is loaded.
 
 An edit (``doc_id, seq, start, length, replacement``; code points of the text as the edits
 before it left it) descends the tree to the leaves it touches. Their new text, with the leaf
@@ -62,14 +63,22 @@ def heap(values: list[int]) -> list[int]:
 
 
 class SegmentTree:
+    """Of leaves given by their code points and tokens."""
+
     def __init__(self, text: str, chars: list[int], tokens: list[int]):
-        self.chars, self.tokens, self.size = chars, tokens, len(chars) // 2
+        self.chars, self.tokens = heap(chars), heap(tokens)
+        self.size = len(self.chars) // 2
         self.texts, at = [], 0
-        for n in chars[self.size:]:
+        for n in self.chars[self.size:]:
             self.texts.append(text[at:at + n])
             at += n
         self.counted = 0  # code points encoded again
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Code points and tokens of the leaves that have any text."""
+        some = [i for i in range(self.size, 2 * self.size) if self.chars[i]]
+        return [self.chars[i] for i in some], [self.tokens[i] for i in some]
+
     def locate(self, place: int) -> tuple[int, int]:
         """Leaf that holds code point ``place`` (or the last that has any), and the place in it."""
         node = 1
@@ -128,11 +137,11 @@ def build_trees(docs: DataFrame, tokenizer: str, by_unit: bool = True) -> DataFr
             for part in _slices(texts):
                 cut = [leaves(t.decode("utf-8", "replace")) if t else [] for t in texts[part]]
                 found = iter(count_many(encoder, [x for one in cut for x in one], by_unit))
-                chars = [heap([len(x) for x in one]) for one in cut]
-                tokens = [heap([next(found) for _ in one]) for one in cut]
+                chars = [[len(x) for x in one] for one in cut]
+                tokens = [[next(found) for _ in one] for one in cut]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.start, len(cut)), batch.column(1).slice(part.start, len(cut)),
-                     pa.array([t[1] if len(t) > 1 else 0 for t in tokens], pa.int64()),
+                     pa.array([sum(t) for t in tokens], pa.int64()),
                      pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))],
                     names=["doc_id", "text_hash", "n_tokens", "chars", "tokens"])
 
@@ -169,7 +178,7 @@ def edit_all(documents: list[EditedDocument], encoder: UnitEncoder, by_unit: boo
             if d.done < len(d.edits) and len(d.new) > GROWN:
                 whole = leaves("".join(d.tree.texts))
                 counted = d.tree.counted + d.tree.chars[1]
-                d.tree = SegmentTree("".join(whole), heap([len(x) for x in whole]), heap(count_many(encoder, whole, by_unit)))
+                d.tree = SegmentTree("".join(whole), [len(x) for x in whole], count_many(encoder, whole, by_unit))
                 d.tree.counted = counted
 
 
@@ -179,8 +188,9 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer:
     order = F.struct("seq", "start", "length", "replacement")
     logs = (edits.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
             .agg(F.sort_array(F.collect_list(order)).alias("edits")))  # one document's history
-    once = trees.select("doc_id", "text_hash", "chars", "tokens").dropDuplicates(["doc_id", "text_hash"])
-    wanted = once.join(logs, "doc_id")
+    # rows that repeat a document are dropped where the join by id has brought them together
+    wanted = (trees.select("doc_id", "text_hash", "chars", "tokens").join(logs, "doc_id")
+              .dropDuplicates(["doc_id", "text_hash"]))
     texts = (docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
              .join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]))
 
@@ -194,12 +204,13 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer:
                     texts[part], *[rows.column(i).to_pylist() for i in (3, 4, 5)])]
                 edit_all(edited, encoder, by_unit)
                 trees = [d.tree for d in edited]
+                new = [t.leaves() for t in trees]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array([len(d.edits) for d in edited], pa.int64()),
                      pa.array([t.tokens[1] for t in trees], pa.int64()), pa.array([t.chars[1] for t in trees], pa.int64()),
                      pa.array([t.counted for t in trees], pa.int64()),
-                     pa.array([t.chars for t in trees], pa.list_(pa.int32())),
-                     pa.array([t.tokens for t in trees], pa.list_(pa.int32()))],
+                     pa.array([c for c, _ in new], pa.list_(pa.int32())),
+                     pa.array([k for _, k in new], pa.list_(pa.int32()))],
                     names=["doc_id", "text_hash", "n_edits", "n_tokens_edited", "n_chars_edited", "chars_reencoded",
                            "new_chars", "new_tokens"])
 
@@ -207,7 +218,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer:
         run, "doc_id long, text_hash long, n_edits long, n_tokens_edited long, n_chars_edited long, "
              "chars_reencoded long, new_chars array<int>, new_tokens array<int>"), "token-edits")
     zero = F.lit(0).cast("long")
-    root = F.coalesce(F.get("chars", F.lit(1)), F.lit(0)).cast("long")
+    root = F.aggregate("chars", zero, lambda a, x: a + x)
     return (trees.join(changed, ["doc_id", "text_hash"], "left")
             .select("doc_id", "text_hash", "n_tokens", F.coalesce("n_edits", zero).alias("n_edits"),
                     F.coalesce("n_tokens_edited", "n_tokens").alias("n_tokens_edited"),

@@ -634,13 +634,21 @@ def test_token_counts_follow_edits(spark, tokenizer_path, monkeypatch):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_edits, r.n_tokens_edited, r.n_chars_edited) for r in out)
     assert got == sorted(last(i, t) for i, t in rows)
     for r in out:  # the trees that come back are whole and sum up
-        n = len(r.chars) // 2
-        assert all(r.tokens[i] == r.tokens[2 * i] + r.tokens[2 * i + 1] for i in range(1, n)) and r.tokens[1] == r.n_tokens_edited
+        assert sum(r.tokens) == r.n_tokens_edited and sum(r.chars) == r.n_chars_edited and len(r.chars) == len(r.tokens)
     assert all(r.chars_reencoded == 0 for r in out if not r.n_edits)
     long = [r for r in out if r.n_edits == 1 and r.n_chars_edited > 1500]
     assert all(r.chars_reencoded < 0.7 * r.n_chars_edited + 5000 for r in long)
 
 
+def test_segment_tree_sums():
+    tree = token_counts.SegmentTree("aa bbb c dd", [3, 4, 2, 2], [1, 1, 1, 1])
+    assert tree.locate(0) == (0, 0) and tree.locate(3) == (1, 0) and tree.locate(11) == (3, 2)
+    tree.put(1, "", 0)
+    tree.put(2, "new text ", 2)
+    assert tree.chars[1] == 3 + 9 + 2 and tree.tokens[1] == 4 and tree.leaves() == ([3, 9, 2], [1, 2, 1])
+    assert all(t[i] == t[2 * i] + t[2 * i + 1] for t in (tree.chars, tree.tokens) for i in range(1, 4))
+
+
 def test_one_small_edit_encodes_one_region(spark, tokenizer_path):
     docs = docs_of(spark, [(1, "some words here " * 20000)])
     trees = token_counts.build_trees(docs, tokenizer_path)
