@@ -48,9 +48,7 @@ FORECAST_PARAMS = {**DEFAULT_PARAMS, "n_estimators": 250, "learning_rate": 0.07,
 FULL_REFIT_PARAMS = {**DEFAULT_PARAMS, "n_estimators": 150, "max_depth": 7}
 
 ALIASES = {"lambda": "reg_lambda", "alpha": "reg_alpha"}
-# Boosting options that no Spark estimator has.
-NO_SPARK_EQUIVALENT = ("reg_lambda", "reg_alpha", "booster", "sampling_method", "tree_method")
-# Parameters each algorithm makes use of.
+# Parameters each algorithm makes use of; no Spark estimator has the booster options and penalties.
 EFFECTIVE = {
     "random_forest": ("n_estimators", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight", "random_state"),
     "gbt_ovr": ("n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight",

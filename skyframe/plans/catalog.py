@@ -11,9 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..config import (CALENDAR_COLS, CITY, FEATURES, LABEL, LABEL_LAG_COLS, LAG_STEPS, METRICS,
-                      NUMERIC_LAG_COLS, TARGET, WINDOW_COLS, WINDOW_SIZES, lag_name, window_name)
-from ..config import FORECAST_FEATURES, SOURCE_API, STORE_COLS, TARGET_ENCODED, UNKNOWN
+from ..config import (CALENDAR_COLS, CITY, FEATURES, FORECAST_FEATURES, LABEL, LABEL_LAG_COLS, METRICS, NUMERIC_LAG_COLS,
+                      SOURCE_API, STORE_COLS, TARGET, TARGET_ENCODED, UNKNOWN, WINDOW_COLS)
 from ..functions.conditions import CONDITION_CLASSES, classify_description
 from ..functions.scalars import celsius_to_kelvin, kmph_to_mps, parse_timestamp, to_double
 from ..operators import cleaning, encoding, forecast, metrics, modeling, reshape, sampling, store, windows
