@@ -101,5 +101,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+QUERIES = (op1_line_dedup, op2_packing, op3_token_counts, op4_nearest_neighbours, op5_decontamination, op6_warc,
+           op7_sharding, op8_jaccard_join, op9_language_id, op10_pii)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {f.__name__: f for f in QUERIES}

@@ -4,11 +4,9 @@ empty tables and columns whose names clash with an operator's own."""
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
