@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CURRENT_PAYLOAD_SCHEMA, HISTORY_PAYLOAD_SCHEMA, LABEL, UNKNOWN
 from ..functions.conditions import classify_description
-from ..functions.scalars import celsius_to_kelvin, hour_from_hhmm, kmph_to_mps, parse_timestamp, to_double
+from ..functions.scalars import celsius_to_kelvin, hour_from_hhmm, hour_text, kmph_to_mps, parse_timestamp, to_double
 
 
 def _first_desc(arr: Column) -> Column:
@@ -36,8 +36,7 @@ def parse_history(df: DataFrame, payload: str = "payload", province: str = "prov
                         F.posexplode("d.hourly").alias("_hp", "h"))
     hour = hour_from_hhmm(F.col("h.time"))
     # try_cast to timestamp_ntz: naive wall-clock time, no session time zone involved
-    stamp = parse_timestamp(F.concat(F.col("_date"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"),
-                                     F.lit(":00:00")))
+    stamp = parse_timestamp(F.concat(F.col("_date"), F.lit(" "), hour_text("h.time"), F.lit(":00:00")))
     stamp = F.when((hour >= 0) & (hour <= 23), stamp)
     desc = F.coalesce(_first_desc(F.col("h.weatherDesc")), F.lit("Unknown"))
     rows = hours.where(F.col("h.time").isNotNull()).select(
