@@ -146,7 +146,8 @@ def build_trees(docs: DataFrame, tokenizer: str, by_unit: bool = True) -> DataFr
                     names=["doc_id", "text_hash", "n_tokens", "chars", "tokens"])
 
     return materialise(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, n_tokens long, chars array<int>, tokens array<int>"), "token-trees")
+        run, "doc_id long, text_hash long, n_tokens long, chars array<int>, tokens array<int>"), "token-trees",
+        compression="zstd")
 
 
 class EditedDocument:
@@ -216,7 +217,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer:
 
     changed = materialise(texts.select("doc_id", "text_hash", "text", "chars", "tokens", "edits").mapInArrow(
         run, "doc_id long, text_hash long, n_edits long, n_tokens_edited long, n_chars_edited long, "
-             "chars_reencoded long, new_chars array<int>, new_tokens array<int>"), "token-edits")
+             "chars_reencoded long, new_chars array<int>, new_tokens array<int>"), "token-edits", compression="zstd")
     zero = F.lit(0).cast("long")
     root = F.aggregate("chars", zero, lambda a, x: a + x)
     return (trees.join(changed, ["doc_id", "text_hash"], "left")
