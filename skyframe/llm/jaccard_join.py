@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
@@ -224,10 +224,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     buckets = materialise(buckets, "jaccard-buckets")
     members = (cell.join(buckets, "key").groupBy("class")
                .agg(F.collect_list(F.struct("key", "n")).alias("buckets"))  # at most one per band
-               .join(classes.select("class", "rep.doc_id", "rep.text_hash"), "class"))
-    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), "text")
-    placed = (members.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-              .dropDuplicates(["class"])
+               .join(classes.select("class", F.struct("rep.doc_id", "rep.text_hash").alias("row")), "class"))
+    # rows that repeat a document are dropped where the join has brought them together
+    placed = (docs.select(row_of().alias("row"), "text").join(members, "row").dropDuplicates(["row"])
               .select("class", "buckets", F.transform("buckets", lambda b: b["key"]).alias("keys"), "text"))
     found = materialise(compare_groups(placed, n, threshold, block), "jaccard-links")
 
@@ -250,13 +249,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         (wordless | mine.eqNullSafe(F.col("head"))).alias("keeper"))
 
 
+def row_of() -> Column:
+    """What identifies a row: its id, null or not, and the hash of its text."""
+    return F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+
+
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one row left of each class; rows without words all stay."""
-    found = jaccard_classes(docs, **params).where("keeper").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("group").alias("__group"))
-    worded = (docs.join(found.where(F.col("__group").isNotNull()).distinct(),
-                        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
-              .dropDuplicates(["__group"]).select(*[docs[c] for c in docs.columns]))
-    bare = found.where(F.col("__group").isNull()).select("__id", "__hash").distinct()
-    wordless = docs.join(bare, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
-    return worded.unionByName(wordless)
+    found = (jaccard_classes(docs, **params).where("keeper")
+             .select(F.struct("doc_id", "text_hash").alias("__row"), F.col("group").isNull().alias("__bare")).distinct())
+    rows = docs.withColumn("__row", row_of())
+    worded = rows.join(found.where(~F.col("__bare")), "__row").dropDuplicates(["__row"])
+    wordless = rows.join(found.where("__bare"), "__row", "left_semi")
+    return worded.select(*docs.columns).unionByName(wordless.select(*docs.columns))
