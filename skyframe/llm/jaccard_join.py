@@ -10,8 +10,9 @@ one n-gram). Two texts are linked if the Jaccard similarity of their n-gram sets
    allow with a chance of at least ``recall`` that a pair at the threshold shares a band.
 3. Band hashes are shuffled and counted; buckets of one class are dropped, and of buckets with
    exactly the same classes one is kept.
-4. Classes meet in their buckets with their texts. A bucket of more than ``block`` classes is
-   dealt into blocks, and every pair of blocks is a group of its own, so a group is bounded.
+4. Classes meet in their buckets with their texts. A bucket of more than ``block`` classes, or
+   of more than ``block_grams`` n-grams, is dealt into blocks, and every pair of blocks is a
+   group of its own, so a group is bounded in texts and in bytes.
    A group compares full n-gram sets by counting common n-grams, and counts a pair in the
    least bucket it shares only. It returns each class's number of links and a spanning
    forest of the links, never the pairs.
@@ -163,7 +164,7 @@ def compare_group(key: int, first: int, second: int, classes: list[int], blocks:
     return [(c, int(links[i]), classes[root[i]]) for i, c in enumerate(classes) if linked[i].any()]
 
 
-def compare_groups(placed: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+def compare_groups(placed: DataFrame, n: int, threshold: float) -> DataFrame:
     """(class, links, root) from classes placed in groups (key, first, second)."""
     parts = shuffle_partitions(placed.sparkSession)
 
@@ -192,11 +193,10 @@ def compare_groups(placed: DataFrame, n: int, threshold: float, block: int) -> D
             yield from emit(out)
         yield from emit(done())
 
-    nb = F.ceil(F.col("b.n") / F.lit(block)).cast("int")
     grouped = (placed.select("class", "keys", "text", F.explode("buckets").alias("b"))
-               .select("class", "keys", "text", F.col("b.key").alias("key"), nb.alias("nb"))
-               .withColumn("block", F.pmod(F.xxhash64("class"), F.col("nb")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+               .select("class", "keys", "text", F.col("b.key").alias("key"), F.col("b.blocks").alias("blocks"))
+               .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
                        "class", "block", "keys", "text")
                .repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second"))
@@ -204,7 +204,7 @@ def compare_groups(placed: DataFrame, n: int, threshold: float, block: int) -> D
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999,
-                    hashes: int = 192, block: int = 256) -> DataFrame:
+                    hashes: int = 192, block: int = 256, block_grams: int = 1 << 20) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, group (null without words), class_id (least id
     of the connected component), n_links (other n-gram sets it is linked to), n_copies (rows
     with an equal set, itself included) and keeper (the row that stands for its component)."""
@@ -213,22 +213,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     classes = materialise(
         sigs.where(F.col("n_grams") > 0).groupBy("set_a", "set_b")
-        .agg(F.min(rank).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
+        .agg(F.min(rank).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"),
+             F.first("n_grams").alias("n_grams"))
         .withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
 
-    cell = classes.select("class", F.explode("bands").alias("key"))
-    buckets = (cell.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"),
+    cell = classes.select("class", "n_grams", F.explode("bands").alias("key"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("g") / block_grams)).cast("int")
+    buckets = (cell.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"), F.bit_xor(F.xxhash64("class")).alias("x"),
                                        F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"))
                .where(F.col("n") > 1)
-               .groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
+               .groupBy("n", "g", "x", "y").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks")))
     buckets = materialise(buckets, "jaccard-buckets")
     members = (cell.join(buckets, "key").groupBy("class")
-               .agg(F.collect_list(F.struct("key", "n")).alias("buckets"))  # at most one per band
+               .agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))  # at most one per band
                .join(classes.select("class", F.struct("rep.doc_id", "rep.text_hash").alias("row")), "class"))
     # rows that repeat a document are dropped where the join has brought them together
     placed = (docs.select(row_of().alias("row"), "text").join(members, "row").dropDuplicates(["row"])
               .select("class", "buckets", F.transform("buckets", lambda b: b["key"]).alias("keys"), "text"))
-    found = materialise(compare_groups(placed, n, threshold, block), "jaccard-links")
+    found = materialise(compare_groups(placed, n, threshold), "jaccard-links")
 
     links = found.groupBy("class").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))

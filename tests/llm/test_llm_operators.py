@@ -260,9 +260,9 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_jaccard_matches_brute_force(spark, near_rows, block):
-    out = jaccard_join.jaccard_classes(docs_of(spark, near_rows, "class keys group links n"), block=block)
+@pytest.mark.parametrize("block,block_grams", [(256, 1 << 20), (3, 1 << 20), (256, 300)])
+def test_jaccard_matches_brute_force(spark, near_rows, block, block_grams):
+    out = jaccard_join.jaccard_classes(docs_of(spark, near_rows, "class keys group links n"), block=block, block_grams=block_grams)
     def name(i):
         return (i is None, i or 0)
     got = sorted((name(r.doc_id), name(r.class_id), r.n_links, r.n_copies) for r in out.collect())
