@@ -260,7 +260,8 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one row left of each class; rows without words all stay."""
     found = (jaccard_classes(docs, **params).where("keeper")
              .select(F.struct("doc_id", "text_hash").alias("__row"), F.col("group").isNull().alias("__bare")).distinct())
-    rows = docs.withColumn("__row", row_of())
-    worded = rows.join(found.where(~F.col("__bare")), "__row").dropDuplicates(["__row"])
-    wordless = rows.join(found.where("__bare"), "__row", "left_semi")
-    return worded.select(*docs.columns).unionByName(wordless.select(*docs.columns))
+    # one join brings the texts in; repeated rows of a keeper meet there and leave one, rows
+    # without words keep a number of their own
+    own = F.when(F.col("__bare"), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    return (docs.withColumn("__row", row_of()).join(found, "__row").withColumn("__own", own)
+            .dropDuplicates(["__row", "__own"]).select(*docs.columns))
