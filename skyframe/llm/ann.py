@@ -12,6 +12,11 @@ is dealt into a grid of at most ``block`` vectors by ``block`` queries, so a tas
 bounded. Sizes of buckets are broadcast: ``tables`` x (2 x dimension) ^ ``depth`` rows whatever
 the input, and only up to ``BROADCAST_ROWS`` of them.
 
+Buckets promise nothing about a query that lies apart from the bulk of the vectors: what it
+probes may be all but empty. An asked class that met fewer than ``enough`` classes, or found
+more than half of its probed buckets empty, is therefore compared with every class, in a grid
+of the same blocks (``compare_all``): so no list is shorter than the candidates allow.
+
 A table of more than one rotation (``depth``) concatenates their axes: (2 x dimension) ^ depth
 buckets, probed in the order of the summed axis scores. One rotation suits tables up to some
 millions of vectors; with two, buckets of billions stay small, at the price of more tables or
@@ -180,8 +185,20 @@ def compare_buckets(placed: DataFrame, dimension: int, keep: int) -> DataFrame:
             .mapInArrow(run, "query long, near array<struct<class:long,score:double>>"))
 
 
+def compare_all(queries: DataFrame, n_queries: int, vectors: DataFrame, n_vectors: int, dimension: int, keep: int, block: int) -> DataFrame:
+    """(query, near) of every group (i, j): exact, queries by vectors in a grid of blocks."""
+    nq, nv = max(1, -(-n_queries // block)), max(1, -(-n_vectors // block))
+
+    def dealt(side: DataFrame, own: int, other: int, i: str, j: str, is_query: bool) -> DataFrame:
+        return side.select(F.lit(0).cast("long").alias("bucket"), "class", "least", "vector", F.lit(is_query).alias("is_query"),
+                           F.pmod(F.xxhash64("class"), F.lit(own)).cast("int").alias(i),
+                           F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(j))
+
+    return compare_buckets(dealt(vectors, nv, nq, "i", "j", False).unionByName(dealt(queries, nq, nv, "j", "i", True)), dimension, keep)
+
+
 def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, probes: int = 16,
-            block: int = 2048, depth: int = 1) -> DataFrame:
+            block: int = 2048, depth: int = 1, enough: int | None = None) -> DataFrame:
     """For every row (vec_id, embedding) where ``asked`` holds: query_id, rank, vec_id, score."""
     rows = (vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
             .select("vec_id", F.col("embedding").cast("array<float>").alias("vector"),
@@ -215,13 +232,30 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, pro
                         F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j)))
 
     placed = dealt(mine, "nv", "nq", "i", "j", False).unionByName(dealt(theirs, "nq", "nv", "j", "i", True))
-    near = compare_buckets(placed, dimension, k + 1).select("query", F.inline("near"))
+    met = compare_buckets(placed, dimension, k + 1).select("query", F.inline("near"))
 
     # Per asked class: its best classes, ties by smallest member, then the best member rows.
+    # The row numbered ``enough`` says no more than that there are so many.
     least = classes.select(F.col("class"), F.col("ids"), F.get("ids", F.lit(0)).alias("least"))
-    ranked = (near.groupBy("query", "class").agg(F.max("score").alias("score")).join(least, "class")
-              .withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "least")))
-              .where(F.col("n") <= k + 1))
+    enough = max(k + 1, 4 * k + 1 if enough is None else enough)
+
+    def best(near: DataFrame, n: int) -> DataFrame:
+        return (near.groupBy("query", "class").agg(F.max("score").alias("score"))
+                .join(least.select("class", "least"), "class")
+                .withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "least")))
+                .where((F.col("n") <= n) & ((F.col("n") <= k + 1) | (F.col("n") == n))).select("query", "class", "score", "n"))
+
+    near = materialise(best(met, enough), "ann-near")
+    asking = codes.where(F.size("probed") > 0)
+    filled = (asking.select("class", F.size("probed").alias("probes"), F.explode("probed").alias("bucket"))
+              .join(sizes, "bucket").groupBy("class", "probes").agg(F.count(F.lit(1)).alias("full")).where(F.col("full") * 2 >= F.col("probes")))
+    served = near.where(F.col("n") == enough).select(F.col("query").alias("class")).join(filled, "class")
+    short = materialise(asking.select("class", "least", "vector").join(served, "class", "left_anti"), "ann-short")
+    if n_short := short.count():
+        every = compare_all(short, n_short, codes.select("class", "least", "vector"), classes.count(), dimension, k + 1, block)
+        near = (near.join(short.select(F.col("class").alias("query")), "query", "left_anti")
+                .unionByName(best(every.select("query", F.inline("near")), k + 1)))
+    ranked = near.where(F.col("n") <= k + 1).join(least, "class")
     lists = (ranked.groupBy("query").agg(F.flatten(F.collect_list(
         F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("vec_id"))))).alias("found"))
         .select("query", F.slice(F.sort_array("found"), 1, (k + 1) ** 2).alias("found")))

@@ -378,6 +378,40 @@ def test_nearest_few_candidates_and_empty(spark):
     assert ann.nearest(none, F.col("vec_id") == 0).collect() == []
 
 
+def recall_of(rows, out, asked, k=20):
+    """Exact neighbours found, as a share of each query's, and the lists' lengths."""
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.query_id].append(r.vec_id)
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], dtype=float)
+    shares, lengths = [], []
+    for at, i in enumerate(ids.tolist()):
+        if asked(i):
+            score = v @ v[at]
+            score[at] = -np.inf
+            want = ids[np.argsort(-score, kind="stable")[:min(k, len(ids) - 1)]]
+            shares.append(np.isin(want, got[i]).mean())
+            lengths.append(len(got[i]))
+    return np.array(shares), lengths
+
+
+@pytest.mark.parametrize("block", [2048, 300])
+def test_nearest_outliers_beside_a_cluster_get_whole_lists(spark, block):
+    rng = np.random.default_rng(6)
+    spread, centre = rng.normal(size=(30, 64)), rng.normal(size=64)
+    tight = centre / np.linalg.norm(centre) + 0.01 * rng.normal(size=(3000, 64)) / 8
+    v = np.concatenate([spread, tight])
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    shares, lengths = recall_of(rows, ann.nearest(df, F.col("vec_id") < 30, block=block), lambda i: i < 30)
+    assert lengths == [20] * 30
+    assert shares.mean() >= 0.9
+    few = rows[:21]
+    shares, lengths = recall_of(few, ann.nearest(df.where("vec_id < 21"), F.lit(True)), lambda i: True)
+    assert lengths == [20] * 21 and (shares == 1).all()
+
+
 # ---- language id
 
 TRAIN = [("the quick brown fox jumps over the lazy dog and the cat", "en"), ("der schnelle braune fuchs springt über den faulen hund", "de"),
