@@ -22,9 +22,11 @@ buckets, probed in the order of the summed axis scores. One rotation suits table
 millions of vectors; with two, buckets of billions stay small, at the price of more tables or
 probes for the same recall.
 
-The inner product ranks by direction and length, the hash sees directions only: recall is
-measured for vectors of about equal length. On vectors without structure (64 dimensions,
-neighbours at a cosine of 0.35) the defaults probe an eighth of the axes.
+The inner product ranks by direction and length, the hash sees directions only. So where
+lengths differ, every asked class is also compared with the longest ``long`` of the classes,
+those that a query may want at a moderate angle; with about equal lengths there are none. On
+vectors without structure (64 dimensions, neighbours at a cosine of 0.35) the defaults probe
+an eighth of the axes.
 
 Defined cases: vectors that are null, zero, hold a null or a non-finite component, or have
 another dimension than the longest take no part; an id may repeat (each row is a candidate,
@@ -47,6 +49,7 @@ from .common import materialise, shuffle_partitions
 
 
 BROADCAST_ROWS = 1 << 20
+LONGER = 1.1  # times the median: classes below it are not long, whatever their rank
 
 
 class CrossPolytope:
@@ -126,6 +129,16 @@ def hashed(classes: DataFrame, dimension: int, tables: int, probes: int, depth:
         run, "class long, least long, vector array<float>, buckets array<long>, probed array<long>")
 
 
+def longest(codes: DataFrame, share: float) -> DataFrame:
+    """Classes that are among the longest ``share`` and longer than most."""
+    top = F.array_max(F.transform("vector", F.abs)).cast("double")
+    length = top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
+    sized = codes.select("class", "least", "vector", length.alias("length"))
+    edge = sized.agg(F.percentile_approx("length", [0.5, 1 - share]).alias("p")).select(
+        F.greatest(LONGER * F.col("p")[0], F.col("p")[1]).alias("edge"))
+    return sized.join(F.broadcast(edge), F.col("length") >= F.col("edge")).select("class", "least", "vector")
+
+
 def best_pairs(queries: np.ndarray, vectors: np.ndarray, least: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per query the row numbers of the ``keep`` vectors with the largest inner products (ties
     by ``least``) and those products in double precision, summed in one order wherever a pair
@@ -198,7 +211,7 @@ def compare_all(queries: DataFrame, n_queries: int, vectors: DataFrame, n_vector
 
 
 def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, probes: int = 16,
-            block: int = 2048, depth: int = 1, enough: int | None = None) -> DataFrame:
+            block: int = 2048, depth: int = 1, enough: int | None = None, long: float = 0.1) -> DataFrame:
     """For every row (vec_id, embedding) where ``asked`` holds: query_id, rank, vec_id, score."""
     rows = (vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
             .select("vec_id", F.col("embedding").cast("array<float>").alias("vector"),
@@ -232,7 +245,13 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, pro
                         F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j)))
 
     placed = dealt(mine, "nv", "nq", "i", "j", False).unionByName(dealt(theirs, "nq", "nv", "j", "i", True))
-    met = compare_buckets(placed, dimension, k + 1).select("query", F.inline("near"))
+    met = compare_buckets(placed, dimension, k + 1)
+    asking = codes.where(F.size("probed") > 0)
+    if long > 0:
+        far = materialise(longest(codes, long), "ann-long")
+        if n_long := far.count():
+            met = met.unionByName(compare_all(asking.select("class", "least", "vector"), asking.count(), far, n_long, dimension, k + 1, block))
+    met = met.select("query", F.inline("near"))
 
     # Per asked class: its best classes, ties by smallest member, then the best member rows.
     # The row numbered ``enough`` says no more than that there are so many.
@@ -246,7 +265,6 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, pro
                 .where((F.col("n") <= n) & ((F.col("n") <= k + 1) | (F.col("n") == n))).select("query", "class", "score", "n"))
 
     near = materialise(best(met, enough), "ann-near")
-    asking = codes.where(F.size("probed") > 0)
     filled = (asking.select("class", F.size("probed").alias("probes"), F.explode("probed").alias("bucket"))
               .join(sizes, "bucket").groupBy("class", "probes").agg(F.count(F.lit(1)).alias("full")).where(F.col("full") * 2 >= F.col("probes")))
     served = near.where(F.col("n") == enough).select(F.col("query").alias("class")).join(filled, "class")

@@ -412,6 +412,17 @@ def test_nearest_outliers_beside_a_cluster_get_whole_lists(spark, block):
     assert lengths == [20] * 21 and (shares == 1).all()
 
 
+def test_nearest_finds_long_vectors_at_an_angle(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(rng.normal(size=(3000, 1)))).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    shares, lengths = recall_of(rows, ann.nearest(df, F.col("vec_id") % 20 == 0), lambda i: i % 20 == 0)
+    assert set(lengths) == {20}
+    assert shares.mean() >= 0.98 and shares.min() >= 0.9
+
+
 # ---- language id
 
 TRAIN = [("the quick brown fox jumps over the lazy dog and the cat", "en"), ("der schnelle braune fuchs springt über den faulen hund", "de"),
