@@ -9,8 +9,8 @@ Equal vectors form a class first: classes are hashed and compared, their rows ar
 ``k + 1`` smallest ids of a class are all that any answer can need, so a vector repeated over
 a third of the rows costs one comparison. Vectors and queries meet in their buckets; a bucket
 is dealt into a grid of at most ``block`` vectors by ``block`` queries, so a task's group is
-bounded. Sizes of buckets are broadcast: ``tables`` x (2 x dimension) ^ ``depth`` rows whatever
-the input, and only up to ``BROADCAST_ROWS`` of them.
+bounded. Sizes of buckets are broadcast: for a dimension ``tables`` x (2 x dimension) ^ ``depth``
+rows whatever the input, and only up to ``BROADCAST_ROWS`` of them.
 
 Buckets promise nothing about a query that lies apart from the bulk of the vectors: what it
 probes may be all but empty. An asked class that met fewer than ``enough`` classes, or found
@@ -28,8 +28,9 @@ those that a query may want at a moderate angle; with about equal lengths there
 vectors without structure (64 dimensions, neighbours at a cosine of 0.35) the defaults probe
 an eighth of the axes.
 
-Defined cases: vectors that are null, zero, hold a null or a non-finite component, or have
-another dimension than the longest take no part; an id may repeat (each row is a candidate,
+Defined cases: vectors that are null, zero or hold a null or a non-finite component take no
+part; vectors of different dimensions have no product, each dimension is searched by itself;
+components keep their type (float or double), only the hash is computed in floats; an id may repeat (each row is a candidate,
 and a row is no candidate for a query with its own id); a null id takes no part; fewer
 candidates than ``k`` give shorter lists; an empty table gives an empty result; other columns
 are ignored.
@@ -105,38 +106,49 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dimension)
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All components in a row, and where each vector begins and how many it has."""
+    size = np.asarray(column.value_lengths(), dtype=np.int64)
+    return np.asarray(column.flatten()), np.cumsum(size) - size, size
 
 
-def hashed(classes: DataFrame, dimension: int, tables: int, probes: int, depth: int) -> DataFrame:
-    """``classes`` (class, vector, asked) with ``buckets`` of the vector, and ``probed`` ones."""
+def hashed(classes: DataFrame, kind: str, tables: int, probes: int, depth: int) -> DataFrame:
+    """``classes`` (class, ids, vector, asked) with ``buckets`` of the vector, and ``probed`` ones;
+    bucket numbers hold within a dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        polytope = CrossPolytope(dimension, tables, depth)
         for batch in batches:
-            x = _matrix(batch.column(2), dimension)
+            flat, begin, size = _ragged(batch.column(2))
             asked = np.asarray(batch.column(3))
-            own = polytope.buckets(x, 1) if len(x) else np.zeros((0, tables), np.int64)
-            wide = polytope.buckets(x[asked], probes).tolist() if asked.any() else []
-            wide = iter(wide)
+            own, wide = [[]] * len(size), [[]] * len(size)
+            for dimension in np.unique(size).tolist():
+                at = np.flatnonzero(size == dimension)
+                x = flat[begin[at][:, None] + np.arange(dimension)].astype(np.float64)
+                x = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
+                polytope = CrossPolytope(dimension, tables, depth)
+                for i, found in zip(at.tolist(), polytope.buckets(x, 1).tolist()):
+                    own[i] = found
+                if asked[at].any():
+                    for i, found in zip(at[asked[at]].tolist(), polytope.buckets(x[asked[at]], probes).tolist()):
+                        wide[i] = found
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(own.tolist(), pa.list_(pa.int64())),
-                 pa.array([next(wide) if a else [] for a in asked], pa.list_(pa.int64()))],
-                names=["class", "least", "vector", "buckets", "probed"])
+                [*batch.columns[:3], pa.array(size.astype(np.int32)), pa.array(own, pa.list_(pa.int64())),
+                 pa.array(wide, pa.list_(pa.int64()))],
+                names=["class", "least", "vector", "dimension", "buckets", "probed"])
 
     return classes.select("class", F.get("ids", F.lit(0)).alias("least"), "vector", "asked").mapInArrow(
-        run, "class long, least long, vector array<float>, buckets array<long>, probed array<long>")
+        run, f"class long, least long, vector {kind}, dimension int, buckets array<long>, probed array<long>")
 
 
 def longest(codes: DataFrame, share: float) -> DataFrame:
-    """Classes that are among the longest ``share`` and longer than most."""
+    """Classes that are among the longest ``share`` of their dimension and longer than most."""
     top = F.array_max(F.transform("vector", F.abs)).cast("double")
     length = top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
-    sized = codes.select("class", "least", "vector", length.alias("length"))
-    edge = sized.agg(F.percentile_approx("length", [0.5, 1 - share]).alias("p")).select(
-        F.greatest(LONGER * F.col("p")[0], F.col("p")[1]).alias("edge"))
-    return sized.join(F.broadcast(edge), F.col("length") >= F.col("edge")).select("class", "least", "vector")
+    sized = codes.select("class", "least", "vector", "dimension", length.alias("length"))
+    edge = sized.groupBy("dimension").agg(F.percentile_approx("length", [0.5, 1 - share]).alias("p")).select(
+        "dimension", F.greatest(LONGER * F.col("p")[0], F.col("p")[1]).alias("edge"))
+    return (sized.join(edge, "dimension").where(F.col("length") >= F.col("edge"))
+            .select("class", "least", "vector", "dimension"))
 
 
 def best_pairs(queries: np.ndarray, vectors: np.ndarray, least: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -148,7 +160,7 @@ def best_pairs(queries: np.ndarray, vectors: np.ndarray, least: np.ndarray, keep
     out = []
     for one, row in zip(q, rough):
         near = np.arange(len(v))
-        if len(v) > keep:  # rough products may differ from exact ones in the last bits
+        if len(v) > keep and np.isfinite(row).all():  # rough products may differ from exact ones in the last bits
             edge = np.partition(row, len(v) - keep)[len(v) - keep]
             near = np.flatnonzero(row >= edge - 1e-9 * max(1.0, np.abs(row).max()))
         exact = np.sum(one[None, :] * v[near], axis=1)
@@ -157,8 +169,26 @@ def best_pairs(queries: np.ndarray, vectors: np.ndarray, least: np.ndarray, keep
     return out
 
 
-def compare_buckets(placed: DataFrame, dimension: int, keep: int) -> DataFrame:
-    """(query, near) of every group (bucket, i, j): the query's best classes there."""
+def sides(vectors: DataFrame, queries: DataFrame, block: int) -> DataFrame:
+    """Blocks of vectors (nv) and of queries (nq) in every bucket that holds both."""
+    keys = ["dimension", "bucket"]
+    sizes = (vectors.select(*keys, F.lit(1).alias("v"), F.lit(0).alias("q"))
+             .unionAll(queries.select(*keys, F.lit(0), F.lit(1))).groupBy(*keys)
+             .agg(F.ceil(F.sum("v") / block).cast("int").alias("nv"), F.ceil(F.sum("q") / block).cast("int").alias("nq"))
+             .where((F.col("nv") > 0) & (F.col("nq") > 0)))
+    sizes = materialise(sizes, "ann-sizes")
+    return F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+
+
+def compare_buckets(vectors: DataFrame, queries: DataFrame, sizes: DataFrame, keep: int) -> DataFrame:
+    """(query, near) of every group (dimension, bucket, i, j): the query's best classes there."""
+    def dealt(side: DataFrame, own: str, other: str, i: str, j: str, is_query: bool) -> DataFrame:
+        return (side.join(sizes, ["dimension", "bucket"])
+                .select("dimension", "bucket", "class", "least", "vector", F.lit(is_query).alias("is_query"),
+                        F.pmod(F.xxhash64("class"), F.col(own)).cast("int").alias(i),
+                        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j)))
+
+    placed = dealt(vectors, "nv", "nq", "i", "j", False).unionByName(dealt(queries, "nq", "nv", "j", "i", True))
     parts = shuffle_partitions(placed.sparkSession)
     pair = pa.struct([("class", pa.int64()), ("score", pa.float64())])
 
@@ -184,41 +214,37 @@ def compare_buckets(placed: DataFrame, dimension: int, keep: int) -> DataFrame:
                                                   pa.array([n for _, n in out], pa.list_(pair))], names=["query", "near"])
 
         for batch in batches:
-            x = _matrix(batch.column(6), dimension)
-            keys = zip(*[batch.column(i).to_pylist() for i in range(6)])
-            for row, (bucket, i, j, is_query, c, first) in enumerate(keys):
-                if at != (bucket, i, j):
+            flat, begin, size = _ragged(batch.column(7))
+            x = [flat[a:a + n] for a, n in zip(begin.tolist(), size.tolist())]
+            keys = zip(*[batch.column(i).to_pylist() for i in range(7)])
+            for row, (dimension, bucket, i, j, is_query, c, first) in enumerate(keys):
+                if at != (dimension, bucket, i, j):
                     yield from emit()
-                    at, queries, vectors = (bucket, i, j), [], []
+                    at, queries, vectors = (dimension, bucket, i, j), [], []
                 (queries if is_query else vectors).append((c, first, x[row]))
         yield from emit()
 
-    return (placed.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            .select("bucket", "i", "j", "is_query", "class", "least", "vector")
+    group_of = ["dimension", "bucket", "i", "j"]
+    return (placed.repartition(parts, *group_of).sortWithinPartitions(*group_of)
+            .select("dimension", "bucket", "i", "j", "is_query", "class", "least", "vector")
             .mapInArrow(run, "query long, near array<struct<class:long,score:double>>"))
 
 
-def compare_all(queries: DataFrame, n_queries: int, vectors: DataFrame, n_vectors: int, dimension: int, keep: int, block: int) -> DataFrame:
-    """(query, near) of every group (i, j): exact, queries by vectors in a grid of blocks."""
-    nq, nv = max(1, -(-n_queries // block)), max(1, -(-n_vectors // block))
-
-    def dealt(side: DataFrame, own: int, other: int, i: str, j: str, is_query: bool) -> DataFrame:
-        return side.select(F.lit(0).cast("long").alias("bucket"), "class", "least", "vector", F.lit(is_query).alias("is_query"),
-                           F.pmod(F.xxhash64("class"), F.lit(own)).cast("int").alias(i),
-                           F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(j))
-
-    return compare_buckets(dealt(vectors, nv, nq, "i", "j", False).unionByName(dealt(queries, nq, nv, "j", "i", True)), dimension, keep)
+def compare_all(vectors: DataFrame, queries: DataFrame, block: int, keep: int) -> DataFrame:
+    """The same for all queries and all vectors of a dimension: one bucket, exact."""
+    vectors, queries = (side.select("class", "least", "vector", "dimension", F.lit(0).cast("long").alias("bucket"))
+                        for side in (vectors, queries))
+    return compare_buckets(vectors, queries, sides(vectors, queries, block), keep)
 
 
 def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, probes: int = 16,
             block: int = 2048, depth: int = 1, enough: int | None = None, long: float = 0.1) -> DataFrame:
     """For every row (vec_id, embedding) where ``asked`` holds: query_id, rank, vec_id, score."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = (vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-            .select("vec_id", F.col("embedding").cast("array<float>").alias("vector"),
+            .select("vec_id", F.col("embedding").cast(kind).alias("vector"),
                     F.coalesce(asked, F.lit(False)).alias("asked")))
-    dimension = rows.agg(F.max(F.size("vector")).alias("d")).first()["d"] or 1
-    rows = materialise(rows.where(F.size("vector") == dimension)
-                       .withColumn("a", F.xxhash64("vector")).withColumn("b", F.xxhash64(F.lit(1), "vector")), "ann-rows")
+    rows = materialise(rows.withColumn("a", F.xxhash64("vector")).withColumn("b", F.xxhash64(F.lit(1), "vector")), "ann-rows")
     few = (rows.select("a", "b", "vec_id", "vector")
            .withColumn("n", F.row_number().over(W.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("n") <= k + 1))
     classes = (few.groupBy("a", "b").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector"))
@@ -227,30 +253,17 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, pro
                        F.monotonically_increasing_id().alias("class")))
     classes = materialise(classes, "ann-classes")
 
-    codes = materialise(hashed(classes, dimension, tables, probes, depth), "ann-codes")
-    mine = codes.select("class", "least", "vector", F.explode("buckets").alias("bucket"))
-    theirs = codes.select("class", "least", "vector", F.explode("probed").alias("bucket"))
-    sizes = (mine.select("bucket", F.lit(1).alias("v"), F.lit(0).alias("q"))
-             .unionAll(theirs.select("bucket", F.lit(0), F.lit(1))).groupBy("bucket")
-             .agg(F.ceil(F.sum("v") / block).cast("int").alias("nv"), F.ceil(F.sum("q") / block).cast("int").alias("nq"))
-             .where((F.col("nv") > 0) & (F.col("nq") > 0)))
-    sizes = materialise(sizes, "ann-sizes")
-    if tables * (2 * CrossPolytope(dimension, 1).size) ** depth <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-
-    def dealt(side: DataFrame, own: str, other: str, i: str, j: str, is_query: bool) -> DataFrame:
-        return (side.join(sizes, "bucket")
-                .select("bucket", "class", "least", "vector", F.lit(is_query).alias("is_query"),
-                        F.pmod(F.xxhash64("class"), F.col(own)).cast("int").alias(i),
-                        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j)))
-
-    placed = dealt(mine, "nv", "nq", "i", "j", False).unionByName(dealt(theirs, "nq", "nv", "j", "i", True))
-    met = compare_buckets(placed, dimension, k + 1)
+    codes = materialise(hashed(classes, kind, tables, probes, depth), "ann-codes")
+    every = codes.select("class", "least", "vector", "dimension")
+    mine = codes.select("class", "least", "vector", "dimension", F.explode("buckets").alias("bucket"))
+    theirs = codes.select("class", "least", "vector", "dimension", F.explode("probed").alias("bucket"))
+    sizes = sides(mine, theirs, block)
+    met = compare_buckets(mine, theirs, sizes, k + 1)
     asking = codes.where(F.size("probed") > 0)
     if long > 0:
         far = materialise(longest(codes, long), "ann-long")
-        if n_long := far.count():
-            met = met.unionByName(compare_all(asking.select("class", "least", "vector"), asking.count(), far, n_long, dimension, k + 1, block))
+        if not far.isEmpty():
+            met = met.unionByName(compare_all(far, asking, block, k + 1))
     met = met.select("query", F.inline("near"))
 
     # Per asked class: its best classes, ties by smallest member, then the best member rows.
@@ -265,12 +278,12 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, tables: int = 8, pro
                 .where((F.col("n") <= n) & ((F.col("n") <= k + 1) | (F.col("n") == n))).select("query", "class", "score", "n"))
 
     near = materialise(best(met, enough), "ann-near")
-    filled = (asking.select("class", F.size("probed").alias("probes"), F.explode("probed").alias("bucket"))
-              .join(sizes, "bucket").groupBy("class", "probes").agg(F.count(F.lit(1)).alias("full")).where(F.col("full") * 2 >= F.col("probes")))
+    filled = (asking.select("class", "dimension", F.size("probed").alias("probes"), F.explode("probed").alias("bucket"))
+              .join(sizes, ["dimension", "bucket"]).groupBy("class", "probes").agg(F.count(F.lit(1)).alias("full")).where(F.col("full") * 2 >= F.col("probes")))
     served = near.where(F.col("n") == enough).select(F.col("query").alias("class")).join(filled, "class")
-    short = materialise(asking.select("class", "least", "vector").join(served, "class", "left_anti"), "ann-short")
-    if n_short := short.count():
-        every = compare_all(short, n_short, codes.select("class", "least", "vector"), classes.count(), dimension, k + 1, block)
+    short = materialise(asking.select("class", "least", "vector", "dimension").join(served, "class", "left_anti"), "ann-short")
+    if not short.isEmpty():
+        every = compare_all(every, short, block, k + 1)
         near = (near.join(short.select(F.col("class").alias("query")), "query", "left_anti")
                 .unionByName(best(every.select("query", F.inline("near")), k + 1)))
     ranked = near.where(F.col("n") <= k + 1).join(least, "class")

@@ -423,6 +423,23 @@ def test_nearest_finds_long_vectors_at_an_angle(spark):
     assert shares.mean() >= 0.98 and shares.min() >= 0.9
 
 
+def test_nearest_searches_every_dimension_in_doubles(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 16))
+    v[30:] = v[:30] * (1 + 1e-10)  # equal as floats
+    far = 1e60 * rng.normal(size=(25, 8))  # beyond floats
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100 + i, x.tolist()) for i, x in enumerate(far)]
+    df = spark.createDataFrame(rows + [(500, [1.0] * 17)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.lit(True)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == {i for i, _ in rows}
+    for group, first in ((v, 0), (far, 100)):
+        for at, x in enumerate(group):
+            want = sorted((-float(np.sum(x * y)), first + j) for j, y in enumerate(group) if j != at)[:20]
+            assert got[first + at] == [(j, -s) for s, j in want]
+
+
 # ---- language id
 
 TRAIN = [("the quick brown fox jumps over the lazy dog and the cat", "en"), ("der schnelle braune fuchs springt über den faulen hund", "de"),
