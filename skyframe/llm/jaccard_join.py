@@ -14,8 +14,8 @@ one n-gram). Two texts are linked if the Jaccard similarity of their n-gram sets
    of more than ``block_grams`` n-grams, is dealt into blocks, and every pair of blocks is a
    group of its own, so a group is bounded in texts and in bytes.
    A group compares full n-gram sets by counting common n-grams, and counts a pair in the
-   least bucket it shares only. It returns each class's number of links and a spanning
-   forest of the links, never the pairs.
+   least bucket it shares only. It returns each class's number of links, how many texts
+   the linked classes hold, and a spanning forest of the links, never the pairs.
 5. Links are summed, and the forests' edges joined into connected components.
 
 Defined cases: texts without words (null, empty, signs only) link to nothing and are classes
@@ -146,9 +146,9 @@ def _forest(linked: np.ndarray) -> list[int]:
     return root
 
 
-def compare_group(key: int, first: int, second: int, classes: list[int], blocks: list[int], keys: list[np.ndarray],
-                  texts: list[bytes], n: int, threshold: float) -> list[tuple[int, int, int | None]]:
-    """(class, links found here, root) of one group's classes that have a link."""
+def compare_group(key: int, first: int, second: int, classes: list[int], blocks: list[int], held: list[int], keys: list[np.ndarray],
+                  texts: list[bytes], n: int, threshold: float) -> list[tuple[int, int, int, int | None]]:
+    """(class, links found here, texts ``held`` by the linked, root) of one group's classes that have a link."""
     found = gram_sets(texts, n)
     sets = [found[i] for i in range(len(texts))]
     common = shared_counts(sets)
@@ -160,12 +160,12 @@ def compare_group(key: int, first: int, second: int, classes: list[int], blocks:
         linked &= (block[:, None] == first) & (block[None, :] == second) | (block[:, None] == second) & (block[None, :] == first)
     np.fill_diagonal(linked, False)
     here = linked & (shared_counts([k[k < key] for k in keys]) == 0)
-    links, root = here.sum(axis=1), _forest(linked)
-    return [(c, int(links[i]), classes[root[i]]) for i, c in enumerate(classes) if linked[i].any()]
+    links, others, root = here.sum(axis=1), here @ np.array(held, dtype=np.int64), _forest(linked)
+    return [(c, int(links[i]), int(others[i]), classes[root[i]]) for i, c in enumerate(classes) if linked[i].any()]
 
 
 def compare_groups(placed: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(class, links, root) from classes placed in groups (key, first, second)."""
+    """(class, links, texts, root) from classes placed in groups (key, first, second)."""
     parts = shuffle_partitions(placed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,47 +174,49 @@ def compare_groups(placed: DataFrame, n: int, threshold: float) -> DataFrame:
         def done() -> list:
             if len(rows) < 2:
                 return []
-            return compare_group(*at, [r[0] for r in rows], [r[1] for r in rows],
-                                 [np.array(r[2], dtype=np.int64) for r in rows], [r[3] for r in rows], n, threshold)
+            return compare_group(*at, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows],
+                                 [np.array(r[3], dtype=np.int64) for r in rows], [r[4] for r in rows], n, threshold)
 
         def emit(out: list) -> Iterator[pa.RecordBatch]:
             if out:
-                c, k, r = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (c, k, r)], names=["class", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["class", "links", "texts", "root"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)] + [batch.column(6).cast(pa.binary()).to_pylist()]
+            cols = [batch.column(i).to_pylist() for i in range(7)] + [batch.column(7).cast(pa.binary()).to_pylist()]
             out = []
-            for key, first, second, c, b, keys, text in zip(*cols):
+            for key, first, second, c, b, held, keys, text in zip(*cols):
                 if at != (key, first, second):
                     out += done()
                     at, rows = (key, first, second), []
-                rows.append((c, b, keys, text))
+                rows.append((c, b, held, keys, text))
             yield from emit(out)
         yield from emit(done())
 
-    grouped = (placed.select("class", "keys", "text", F.explode("buckets").alias("b"))
-               .select("class", "keys", "text", F.col("b.key").alias("key"), F.col("b.blocks").alias("blocks"))
+    grouped = (placed.select("class", "held", "keys", "text", F.explode("buckets").alias("b"))
+               .select("class", "held", "keys", "text", F.col("b.key").alias("key"), F.col("b.blocks").alias("blocks"))
                .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-                       "class", "block", "keys", "text")
+                       "class", "block", "held", "keys", "text")
                .repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second"))
-    return grouped.mapInArrow(run, "class long, links long, root long")
+    return grouped.mapInArrow(run, "class long, links long, texts long, root long")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999,
                     hashes: int = 192, block: int = 256, block_grams: int = 1 << 20) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, group (null without words), class_id (least id
     of the connected component), n_links (other n-gram sets it is linked to), n_copies (rows
-    with an equal set, itself included) and keeper (the row that stands for its component)."""
+    with an equal set, itself included), n_texts (other texts it is linked to, those with an equal
+    set included) and keeper (the row that stands for its component)."""
     bands, rows = band_plan(threshold, recall, hashes)
     sigs = materialise(signatures(docs, n, bands, rows), "jaccard-signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    worded = sigs.where(F.col("n_grams") > 0)
+    held = worded.select("set_a", "set_b", "text_hash").distinct().groupBy("set_a", "set_b").agg(F.count(F.lit(1)).alias("held"))
     classes = materialise(
-        sigs.where(F.col("n_grams") > 0).groupBy("set_a", "set_b")
+        worded.groupBy("set_a", "set_b")
         .agg(F.min(rank).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"),
-             F.first("n_grams").alias("n_grams"))
+             F.first("n_grams").alias("n_grams")).join(held, ["set_a", "set_b"])
         .withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
 
     cell = classes.select("class", "n_grams", F.explode("bands").alias("key"))
@@ -226,17 +228,18 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     buckets = materialise(buckets, "jaccard-buckets")
     members = (cell.join(buckets, "key").groupBy("class")
                .agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))  # at most one per band
-               .join(classes.select("class", F.struct("rep.doc_id", "rep.text_hash").alias("row")), "class"))
+               .join(classes.select("class", "held", F.struct("rep.doc_id", "rep.text_hash").alias("row")), "class"))
     # rows that repeat a document are dropped where the join has brought them together
     placed = (docs.select(row_of().alias("row"), "text").join(members, "row").dropDuplicates(["row"])
-              .select("class", "buckets", F.transform("buckets", lambda b: b["key"]).alias("keys"), "text"))
+              .select("class", "held", "buckets", F.transform("buckets", lambda b: b["key"]).alias("keys"), "text"))
     found = materialise(compare_groups(placed, n, threshold), "jaccard-links")
 
-    links = found.groupBy("class").agg(F.sum("links").alias("n_links"))
+    links = found.groupBy("class").agg(F.sum("links").alias("n_links"), F.sum("texts").alias("texts"))
     roots = components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))
     named = (classes.join(roots.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left")
              .select("set_a", "set_b", "rep", "n_copies", F.coalesce("root", "class").alias("group"),
-                     F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+                     F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+                     (F.coalesce("texts", F.lit(0).cast("long")) + F.col("held") - 1).alias("n_texts")))
     named = materialise(named, "jaccard-named")
     heads = named.groupBy("group").agg(F.min("rep").alias("head"))
     table = materialise(named.drop("rep").join(heads, "group"), "jaccard-groups")
@@ -248,6 +251,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         F.when(wordless, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         F.when(wordless, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(wordless, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        F.when(wordless, F.lit(0)).otherwise(F.col("n_texts")).cast("long").alias("n_texts"),
         (wordless | mine.eqNullSafe(F.col("head"))).alias("keeper"))
 
 

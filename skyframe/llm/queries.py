@@ -83,7 +83,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = jaccard_join.jaccard_classes(docs, n=5, threshold=0.8)
-    return out.select("doc_id", "class_id", "n_links", "n_copies")
+    return out.select("doc_id", "class_id", "n_links", "n_copies", "n_texts")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

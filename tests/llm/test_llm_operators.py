@@ -270,6 +270,15 @@ def test_jaccard_matches_brute_force(spark, near_rows, block, block_grams):
     assert got == want
 
 
+def test_jaccard_counts_texts_that_share_a_set(spark):
+    base = prose(np.random.default_rng(9), 150)
+    near = base.rsplit(" ", 1)[0] + " other"
+    texts = [base, near, near.upper(), near.replace(" ", ", "), near + "!", near]
+    out = jaccard_join.jaccard_classes(docs_of(spark, list(enumerate(texts)) + [(9, "alone"), (10, "!")])).collect()
+    assert {r.doc_id: (r.n_links, r.n_copies, r.n_texts) for r in out} == {
+        0: (1, 1, 4), **{i: (1, 5, 4) for i in range(1, 6)}, 9: (0, 1, 0), 10: (0, 1, 0)}
+
+
 def test_keep_one_of_each_class(spark, near_rows):
     docs = docs_of(spark, near_rows, "class group keeper")
     kept = jaccard_join.keep_one(docs)
