@@ -64,6 +64,77 @@ SELECT page_id, payload_bytes,
 FROM h
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (SELECT count(*) AS N, sum(len(w))::BIGINT AS L FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 100 - 25 + ((25 * len(w) * N) // L) AS m FROM d, s WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+t AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+g AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM t, s),
+i AS (
+  SELECT row_number() OVER () AS ir, item_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+q AS (SELECT ir, term, count(*)::BIGINT AS times FROM (SELECT ir, unnest(w) AS term FROM i) GROUP BY ir, term),
+c AS (
+  SELECT q.ir, tf.r, sum(q.times * g.weight * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m)))::BIGINT AS score
+  FROM q JOIN tf ON q.term = tf.term JOIN g ON q.term = g.term JOIN m ON tf.r = m.r GROUP BY q.ir, tf.r),
+k AS (
+  SELECT c.ir, m.doc_id, c.score,
+         row_number() OVER (PARTITION BY c.ir ORDER BY c.score DESC, m.doc_id NULLS FIRST) AS rank
+  FROM c JOIN m ON c.r = m.r WHERE c.score > 0)
+SELECT i.item_id, k.rank::INT AS rank, k.doc_id, k.score FROM k JOIN i ON k.ir = i.ir WHERE k.rank <= 20
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+         sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+digits AS (
+  SELECT DISTINCT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)) AS b FROM t),
+c AS (  -- crc32 by its definition, a bit at a time
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         (xor(list_reduce(list_concat([4294967295], range(0, 8 * len(b))), lambda a, j:
+            xor((CASE WHEN j % 8 = 0 THEN xor(a, b[j // 8 + 1]) ELSE a END) >> 1,
+                3988292384 * ((CASE WHEN j % 8 = 0 THEN xor(a, b[j // 8 + 1]) ELSE a END) & 1))), 4294967295) % 4)::INT AS h
+  FROM digits),
+r AS (
+  SELECT c.conv_id, 0 AS src, t.i, t.key, t.words FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.i, t.key, t.words FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, words, string_agg(key, '') OVER w AS path,
+         count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY src, i ROWS UNBOUNDED PRECEDING)),
+a AS (
+  SELECT conv_id, depth, words, path, depth = turns AS last FROM p
+  UNION ALL
+  SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+n AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM a GROUP BY path),
+k AS (SELECT p.path, count(x.path) AS n_children FROM n p
+      LEFT JOIN n x ON x.depth = p.depth + 1 AND substr(x.path, 1, 64 * p.depth::INT) = p.path GROUP BY p.path),
+u AS (  -- every node with all nodes above it and itself
+  SELECT substr(n.path, 1, (64 * z)::INT) AS path, (n.n_convs - 1) * n.words AS saved, (k.n_children = 0)::INT AS leaf
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS z FROM n) n JOIN k ON n.path = k.path),
+s AS (SELECT path, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM u GROUP BY path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       k.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN k ON n.path = k.path JOIN s ON n.path = s.path
+LEFT JOIN n q ON n.depth > 0 AND q.path = substr(n.path, 1, (64 * (n.depth - 1))::INT)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op5_decontamination": OP5, "op6_warc": OP6}
+    return {"op1_line_dedup": OP1, "op5_decontamination": OP5, "op6_warc": OP6,
+            "op12_ranked_search": OP12, "op13_prefix_trie": OP13}

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, jaccard_join, language_id, line_dedup, packing, pii, sharding, token_counts, warc
+from . import (ann, decontamination, html_extract, jaccard_join, language_id, line_dedup, packing, pii, prefix_trie,
+               ranked_search, sharding, token_counts, warc)
 from .common import read_table
 
 
@@ -101,8 +102,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_extract.extract(pages, html_extract.train(pages))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return ranked_search.search(docs, items, k=20)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_rows(read_table(spark, sf_dir, "conversations"))
+    taken = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(4))
+    begin = prefix_trie.leads(turns, F.col("conv_id") - F.col("conv_id") % 20, taken, most=3)
+    return prefix_trie.trie(turns, begin).drop("key", "words")
+
+
 QUERIES = (op1_line_dedup, op2_packing, op3_token_counts, op4_nearest_neighbours, op5_decontamination, op6_warc,
-           op7_sharding, op8_jaccard_join, op9_language_id, op10_pii)
+           op7_sharding, op8_jaccard_join, op9_language_id, op10_pii, op11_html_extraction, op12_ranked_search,
+           op13_prefix_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
