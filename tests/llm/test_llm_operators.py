@@ -365,7 +365,7 @@ def test_nearest_recall_and_ties(spark, block):
     rows += [(2000, None), (2010, [0.0] * 16), (2020, [nan] * 16), (2030, [inf] + [0.0] * 15), (2040, [None] + [1.0] * 15),
              (2050, [1.0] * 5), (None, rows[0][1]), (2060, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("class", F.lit(1)).withColumn("bucket", F.lit(2))
-    out = ann.nearest(df, F.col("vec_id") % 10 == 0, k=20, probes=32, block=block)
+    out = ann.nearest(df, F.col("vec_id") % 10 == 0, k=20, plan=ann.Plan(1, 8, 32, 1, 1), block=block)
     got = defaultdict(list)
     for r in out.orderBy("query_id", "rank").collect():
         got[r.query_id].append((-r.score, r.vec_id))
@@ -375,7 +375,7 @@ def test_nearest_recall_and_ties(spark, block):
         assert [v for _, v in found] == [v for _, v in want[q]]
         assert np.allclose([s for s, _ in found], [s for s, _ in want[q]], atol=1e-12)
     for probes, depth in ((6, 1), (120, 2)):
-        part = ann.nearest(df, F.col("vec_id") % 10 == 0, k=20, probes=probes, depth=depth, block=block).collect()
+        part = ann.nearest(df, F.col("vec_id") % 10 == 0, k=20, plan=ann.Plan(depth, 8, probes, 1, 1), block=block).collect()
         hits = sum((r.vec_id in [v for _, v in want[r.query_id]]) for r in part)
         assert hits >= 0.9 * sum(map(len, want.values()))
 
@@ -421,13 +421,63 @@ def test_nearest_outliers_beside_a_cluster_get_whole_lists(spark, block):
     assert lengths == [20] * 21 and (shares == 1).all()
 
 
+def test_nearest_repeated_ids_lose_no_neighbour(spark):
+    rng = np.random.default_rng(16)
+    x = [1.0, 0.5, 0.25, 0.0]
+    rows = [(0, x)] * 25 + [(i, x) for i in range(1, 6)] + [(i, rng.normal(size=4).tolist()) for i in range(10, 60)]
+    # one id in many classes that lie nearer to it than anything else
+    rows += [(100, [5.0, 0.0, 0.0, i / 1000]) for i in range(40)] + [(101, x), (101, x), (120, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    v = {}
+    for q in (0, 20, 40, 100, 120):
+        own = [i for i, (j, _) in enumerate(rows) if j == q]
+        want = Counter()
+        for o in own:
+            ranked = sorted((-float(np.sum(np.array(rows[o][1]) * np.array(w))), j) for j, w in rows if j != q)[:20]
+            want.update((n + 1, j, -s) for n, (s, j) in enumerate(ranked))
+        assert Counter(got[q]) == want, q
+
+
+@pytest.mark.parametrize("dimension, clustered", [(128, False), (256, True), (768, False)])
+def test_nearest_reaches_its_recall_in_many_dimensions(spark, dimension, clustered):
+    rng = np.random.default_rng(dimension)
+    n = 2500
+    v = rng.normal(size=(n, dimension))
+    if clustered:
+        v = rng.normal(size=(60, dimension))[rng.integers(0, 60, n)] + 0.5 * v
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    shares, lengths = recall_of(rows, ann.nearest(df, F.col("vec_id") % 20 == 0), lambda i: i % 20 == 0)
+    assert set(lengths) == {20}
+    assert shares.mean() >= 0.9
+
+
+def test_plans_follow_the_structure_of_the_vectors():
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(2000, 64))
+
+    def plan(noise, depths):
+        rows = centres + noise * rng.normal(size=(2000, 64))
+        asked = np.arange(0, 2000, 25)
+        near = [centres[[i]] + noise * rng.normal(size=(20, 64)) for i in asked]
+        return ann.choose(rows[asked], near, rows[:500], 10**7, 0.95, depths)
+
+    tight, loose = plan(0.05, (1, 2)), plan(1.0, (1, 2))
+    assert tight.recall >= 0.95 and loose.recall >= 0.95
+    assert tight.depth == 2 and tight.visited < 0.01 < loose.visited
+
+
 def test_nearest_finds_long_vectors_at_an_angle(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(3000, 64))
     v = (v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(rng.normal(size=(3000, 1)))).astype(np.float32)
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    shares, lengths = recall_of(rows, ann.nearest(df, F.col("vec_id") % 20 == 0), lambda i: i % 20 == 0)
+    shares, lengths = recall_of(rows, ann.nearest(df, F.col("vec_id") % 20 == 0, target=0.995), lambda i: i % 20 == 0)
     assert set(lengths) == {20}
     assert shares.mean() >= 0.98 and shares.min() >= 0.9
 
