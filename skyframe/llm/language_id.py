@@ -21,6 +21,7 @@ others; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 18  # bytes scored at once
 MAX_LANGUAGES = 1000
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: bytes | None) -> bool:
+    """Whether a sign of the text is a letter (Unicode category L; numbers such as Ⅷ or ½ are none)."""
     if not text:
         return False
-    return bool(ASCII_LETTER.search(text)) or bool(LETTER.search(text.decode("utf-8", "replace")))
+    return bool(ASCII_LETTER.search(text)) or any(
+        unicodedata.category(c).startswith("L") for c in set(text.decode("utf-8", "replace")))
 
 
 def _runs(padded: bytes) -> np.ndarray:
@@ -59,14 +61,15 @@ def count_runs(training: DataFrame, sample_docs: int) -> pd.DataFrame:
         return pd.DataFrame({"lang": [], "run": [], "n": []})
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]))])
     draw = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).select("lang", "text")
+    sample = (rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+              .select("lang", F.col("text").cast("binary").alias("text")))  # bytes need not be UTF-8
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lang, texts in frame.groupby("lang")["text"]:
                 group: list[bytes] = []
                 for t in texts:
-                    group.append(t.encode("utf-8", "replace").translate(LOWER))
+                    group.append(bytes(t).translate(LOWER))
                     if sum(map(len, group)) > 4 * CHUNK:
                         yield _counted(lang, group)
                         group = []

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .words import CHUNK, hash_spans
+from .words import CHUNK, hash_spans, same_bytes
 
 SPACE, LETTER, DIGIT, SIGN, QUOTE, OTHER = range(6)
 TABLE_LIMIT = 1 << 20  # distinct units a worker keeps; beyond, it starts anew
@@ -77,9 +77,11 @@ class UnitEncoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)  # sorted hashes of units
-        self.at = np.zeros(0, dtype=np.int64)  # their places in the next two
+        self.at = np.zeros(0, dtype=np.int64)  # their places in the next four
         self.offset = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype="<u4")
+        self.name_offset = np.zeros(1, dtype=np.int64)
+        self.names = np.zeros(0, dtype=np.uint8)
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
@@ -104,13 +106,17 @@ class UnitEncoder:
         at = np.arange(len(order)) + len(self.offset) - 1
         self.offset = np.concatenate([self.offset, ends])
         self.flat = np.concatenate([self.flat, *[ids for ids, _ in found]])
+        names = [units[i] for i in order]
+        self.name_offset = np.concatenate([self.name_offset, self.name_offset[-1] + np.cumsum([len(u) for u in names])])
+        self.names = np.concatenate([self.names, np.frombuffer(b"".join(names), dtype=np.uint8)])
         hashes = hashes[order]
         rank = np.argsort(hashes)
         spot = np.searchsorted(self.keys, hashes[rank])
         self.keys, self.at = np.insert(self.keys, spot, hashes[rank]), np.insert(self.at, spot, at[rank])
 
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
-        """ids of each text; none of them needs to be encoded whole."""
+        """ids of each text; none of them needs to be encoded whole. Units are looked up by hash and
+        compared by bytes; a text with one that only shares its hash is encoded whole after all."""
         low = b" ".join(texts).translate(_LOWER)
         kind = CLASS[np.frombuffer(low, dtype=np.uint8)]
         before = np.concatenate([[np.uint8(SPACE)], kind[:-1]])
@@ -137,7 +143,17 @@ class UnitEncoder:
         ids = self.flat[np.repeat(self.offset[unit] - (stop - size), size) + np.arange(stop[-1])]
         text_ends = np.cumsum([len(t) + 1 for t in texts])
         cuts = np.concatenate([[0], stop])[np.searchsorted(starts, text_ends)]
-        return np.split(ids, cuts[:-1])
+        out = np.split(ids, cuts[:-1])
+        for i in np.unique(np.searchsorted(text_ends, starts[~self._known(low, starts, ends, unit)], side="right")).tolist():
+            out[i] = self.whole(texts[i])
+        return out
+
+    def _known(self, low: bytes, starts: np.ndarray, ends: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Whether each unit found in ``low`` is, byte by byte, the one of the table."""
+        same = ends - starts == self.name_offset[unit + 1] - self.name_offset[unit]
+        at = np.flatnonzero(same)
+        same[at] = same_bytes(np.frombuffer(low, dtype=np.uint8), starts[at], self.names, self.name_offset[unit[at]], (ends - starts)[at])
+        return same
 
     def encode(self, texts: list[bytes | None], by_unit: bool) -> Iterator[np.ndarray]:
         group: list[bytes] = []

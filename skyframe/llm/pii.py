@@ -7,8 +7,8 @@ outside or as beginning or continuing one of four kinds. A text is read in windo
 averaged, and one Viterbi pass over each stretch of joined windows decides globally. Spans it
 adds must hold a digit or ``@``, must not touch a base span, must pass the test of their kind
 (a card number its checksum) and must have tags with a mean marginal probability of at least
-``MIN_PROBABILITY``. A stretch of more than ``MAX_JOINED``
-windows is decided in parts that overlap by half a window.
+``MIN_PROBABILITY``. A stretch of more than ``MAX_JOINED`` windows is decoded in parts that overlap by
+a thousand characters, and every span is taken from the part in which it lies far from the edges.
 
 Windows without a digit or ``@`` cannot give a span under that rule, and a stretch ends where
 they begin, so they are not computed.
@@ -42,7 +42,7 @@ TRAIN_WINDOW, PER_TEXT = 64, 4
 MIN_PROBABILITY = 0.95
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 BATCH = 512
-MAX_JOINED = 256  # windows in a stretch
+MAX_JOINED, OVERLAP = 256, 16  # windows decoded at once, and those that two parts of a stretch share
 SYMBOLS = 99  # printable ASCII, then padding, line break, letters beyond ASCII, the rest
 
 
@@ -245,6 +245,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+def decoded(text: bytes | None) -> str:
+    """Null is empty; bytes that are not UTF-8 become U+FFFD."""
+    return bytes(text or b"").decode("utf-8", "replace")
+
+
 def live_windows(text: str) -> list[int]:
     """Starts of the windows, in steps of STRIDE, that hold a digit or @."""
     steps: set[int] = set()
@@ -256,14 +261,25 @@ def live_windows(text: str) -> list[int]:
     return [s * STRIDE for s in sorted(steps)]
 
 
-def stretches(text: str) -> list[list[int]]:
-    """Starts of live windows, those that overlap together; MAX_JOINED at most."""
-    out: list[list[int]] = []
+def stretches(text: str) -> list[tuple[list[int], int, int]]:
+    """Starts of live windows, those that overlap together, and between which characters a span may
+    begin that is taken from there. More than MAX_JOINED windows come in parts that share
+    OVERLAP windows; every begin belongs to one part, in which it lies half the overlap from the
+    edge, so the parts decide as the whole would."""
+    runs: list[list[int]] = []
     for s in live_windows(text):
-        if out and s - out[-1][-1] < WINDOW and len(out[-1]) < MAX_JOINED:
-            out[-1].append(s)
+        if runs and s - runs[-1][-1] < WINDOW:
+            runs[-1].append(s)
         else:
-            out.append([s])
+            runs.append([s])
+    out = []
+    for run in runs:
+        least = run[0]
+        for begin in range(0, max(1, len(run) - OVERLAP), MAX_JOINED - OVERLAP):
+            part = run[begin:begin + MAX_JOINED]
+            end = part[-OVERLAP // 2] if begin + MAX_JOINED < len(run) else part[-1] + WINDOW
+            out.append((part, least, end))
+            least = end
     return out
 
 
@@ -273,9 +289,9 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
     if tagger.trained:
         group, size = [], 0
         for i, text in enumerate(texts):
-            for starts in stretches(text):
-                group.append((i, starts))
-                size += len(starts)
+            for part in stretches(text):
+                group.append((i, *part))
+                size += len(part[0])
                 if size >= 4 * BATCH:
                     _decode_group(texts, group, tagger, found)
                     group, size = [], 0
@@ -284,15 +300,15 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
     return found
 
 
-def _decode_group(texts: list[str], group: list[tuple[int, list[int]]], tagger: Tagger, found: list[list]) -> None:
-    places = [(i, s) for i, starts in group for s in starts]
+def _decode_group(texts: list[str], group: list[tuple[int, list[int], int, int]], tagger: Tagger, found: list[list]) -> None:
+    places = [(i, s) for i, starts, _, _ in group for s in starts]
     x = np.full((len(places), WINDOW), PAD, dtype=np.int64)
     for row, (i, s) in enumerate(places):
         part = symbols(texts[i][s:s + WINDOW])
         x[row, :len(part)] = part
     e = np.concatenate([tagger.emissions(x[b:b + BATCH]) for b in range(0, len(x), BATCH)])
     means, row = [], 0
-    for i, starts in group:
+    for i, starts, _, _ in group:
         length = min(len(texts[i]), starts[-1] + WINDOW) - starts[0]
         total, times = np.zeros((length, TAGS)), np.zeros((length, 1))
         for s in starts:
@@ -301,13 +317,13 @@ def _decode_group(texts: list[str], group: list[tuple[int, list[int]]], tagger:
             times[here] += 1
             row += 1
         means.append(total / times)
-    for (i, starts), (tags, chance) in zip(group, tagger.decode(means)):
+    for (i, starts, least, end), (tags, chance) in zip(group, tagger.decode(means)):
         for b in np.flatnonzero(tags % 2 == 1).tolist():
             stop = b + 1
             while stop < len(tags) and tags[stop] == tags[b] + 1:
                 stop += 1
             s, z = starts[0] + b, starts[0] + stop
-            if chance[b:stop].mean() >= MIN_PROBABILITY and TRIGGER.search(texts[i], s, z):
+            if least <= s < end and chance[b:stop].mean() >= MIN_PROBABILITY and TRIGGER.search(texts[i], s, z):
                 found[i].append((s, int(tags[b] - 1) // 2, z))
 
 
@@ -326,14 +342,14 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
 
 def training_windows(docs: DataFrame, sample_docs: int = 4000, max_windows: int = 1200) -> list[tuple[str, str]]:
     """(text of a window, its labelled spans) from a bounded sample."""
-    rows = docs.where(F.col("text").isNotNull()).select("text")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
     share = min(1.0, sample_docs / max(1, rows.count()))
     draw = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = []
-            for text in frame["text"]:
+            for text in map(decoded, frame["text"]):
                 spans = base_spans(text)
                 marks = [s for s, _, _ in spans] or [m.start() for m in [TRIGGER.search(text)] if m]
                 for n, mark in enumerate(marks[:PER_TEXT]):
@@ -398,7 +414,7 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [decoded(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             found = all_spans(texts, tagger)
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .words import scan
+from .words import same_bytes, scan
 
 POSTINGS = "doc_id long, n long, terms array<int>, tfs array<long>"
 FOUND = "item int, doc_id long, score long"
@@ -81,7 +81,7 @@ class Vocabulary:
             term = self.ids[spot[hit]]
             same = ends[hit] - starts[hit] == self.lengths[term]
             hit, term = hit[same], term[same]
-            same = self._equal(np.frombuffer(low, dtype=np.uint8), starts[hit], term)
+            same = same_bytes(np.frombuffer(low, dtype=np.uint8), starts[hit], self.bytes, self.offsets[term], self.lengths[term])
             words.append(hit[same])
             terms.append(term[same])
             ties += 1
@@ -89,15 +89,6 @@ class Vocabulary:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate(words), np.concatenate(terms)
 
-    def _equal(self, text: np.ndarray, starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[terms]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return np.zeros(0, dtype=bool)
-        inside = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-        differs = text[np.repeat(starts, lengths) + inside] != self.bytes[np.repeat(self.offsets[terms], lengths) + inside]
-        return np.add.reduceat(differs, ends - lengths) == 0
-
 
 def postings(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``doc_id``, number of terms ``n`` (with repeats), and the vocabulary's terms in the text

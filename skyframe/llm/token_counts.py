@@ -1,15 +1,17 @@
 """Token counts that follow edits without counting whole texts again.
 
 Every document keeps a segment tree over its pre-token segments: a leaf is a stretch of about
-``LEAF`` code points that ends after white space, where no token can cross, with its length
-and its number of tokens; an inner node holds the sums of its subtree, the root those of the
+``LEAF`` code points that ends where no token can cross, with its length and its number of tokens.
+That is after white space or, where there is none for long, between letters, digits and other
+signs of ASCII, which the tokenizer parts. (Text with neither, such as a long run of letters or
+CJK signs without punctuation, is one token segment and one leaf.) An inner node holds the sums of its subtree, the root those of the
 document. The trees are written once (``build_trees``): what is stored are the leaves, the sums
 above them are put back when a tree is loaded.
 
 An edit (``doc_id, seq, start, length, replacement``; code points of the text as the edits
-before it left it) descends the tree to the leaves it touches. Their new text, with the leaf
-behind as boundary context if the edit took away the white space between them, is encoded
-again and put into the first of them; the sums on the paths to the root are updated, nothing
+before it left it) descends the tree to the leaves it touches. Their new text, with the leaves
+beside it as boundary context if the edit took away the border between them, is encoded
+again and put into the first of them (a leaf that has grown is split, and only that leaf); the sums on the paths to the root are updated, nothing
 else is read or counted. Edits of one document depend on each other and are applied in order
 in one task; documents are independent of each other. Edits that come next in their documents
 are encoded together.
@@ -39,20 +41,33 @@ from .packing import UnitEncoder, _encoders, _slices
 LEAF = 256
 GROWN = 8 * LEAF  # a leaf that edits have made larger is split into leaves again
 BLANK, SOLID = re.compile(r"[ \t\n\r]"), re.compile(r"[^ \t\n\r]")
+_SIGN = r"[^A-Za-z0-9' \t\n\r\x0b\x0c\x1c-\x1f\x80-\U0010ffff]"
+UNIT = re.compile(rf"(?<=[A-Za-z])(?=[0-9']|{_SIGN})|(?<=[0-9])(?=[A-Za-z0-9']|{_SIGN})|(?<={_SIGN})(?=[A-Za-z0-9])")
+SPECIAL = "<|"  # may open a special token, which holds such borders
 
 
 def leaves(text: str) -> list[str]:
-    """``text`` cut after white space, every LEAF code points or as soon as possible then."""
+    """``text`` cut after white space, every LEAF code points or as soon as possible then; at a unit
+    border where white space is farther than as many again."""
     out, begin = [], 0
+    by_unit = SPECIAL not in text
     while begin < len(text):
         blank = BLANK.search(text, begin + LEAF)
         solid = blank and SOLID.search(text, blank.end())
         end = solid.start() if solid else len(text)
+        if by_unit and end > begin + 2 * LEAF:
+            unit = UNIT.search(text, begin + LEAF, end)
+            end = unit.start() if unit else end
         out.append(text[begin:end])
         begin = end
     return out
 
 
+def parted(before: str, behind: str) -> bool:
+    """Whether no token crosses from one text into the next."""
+    return bool(BLANK.match(before[-1])) or (SPECIAL not in before and bool(UNIT.match(before[-1] + behind[0], 1)))
+
+
 def heap(values: list[int]) -> list[int]:
     """Sums of all subtrees: node 1 is the root, node i has the children 2i and 2i + 1."""
     size = 1 << max(0, len(values) - 1).bit_length()
@@ -91,6 +106,16 @@ class SegmentTree:
                 node = 2 * node + 1
         return node - self.size, place
 
+    def split(self, leaf: int, texts: list[str], tokens: list[int]) -> None:
+        """Several leaves in the place of one; the others keep their counts."""
+        some = [i for i, t in enumerate(self.texts) if t]
+        at = some.index(leaf)
+        kept = [self.tokens[i + self.size] for i in some]
+        counted, own = self.counted + sum(map(len, texts)), [self.texts[i] for i in some]
+        own[at:at + 1], kept[at:at + 1] = texts, tokens
+        self.__init__("".join(own), [len(t) for t in own], kept)
+        self.counted = counted
+
     def put(self, leaf: int, text: str, tokens: int) -> None:
         self.texts[leaf] = text
         node, chars, more = leaf + self.size, len(text) - self.chars[leaf + self.size], tokens - self.tokens[leaf + self.size]
@@ -106,17 +131,18 @@ class SegmentTree:
         end = min(start + max(length, 0), total)
         first, offset = self.locate(start)
         last, _ = self.locate(max(start, end - 1))
-        inside = list(range(first, last + 1))
-        old = "".join(self.texts[i] for i in inside)
+        left, right = first, last + 1
+        old = "".join(self.texts[left:right])
         new = old[:offset] + replacement + old[offset + end - start:]
-        behind = last + 1
-        # boundary context: text that ends without white space belongs with what is behind it;
-        # what is before it ends in white space, as all leaves do that have any text behind them
-        while new and behind < self.size and not BLANK.match(new[-1]):
-            inside.append(behind)
-            new += self.texts[behind]
-            behind += 1
-        return inside, new
+        while True:  # boundary context: what a token may share with the new text belongs to it
+            before = next((i for i in range(left - 1, -1, -1) if self.texts[i]), None)
+            behind = next((i for i in range(right, self.size) if self.texts[i]), None)
+            if before is not None and not parted(self.texts[before], new or (self.texts[behind] if behind is not None else " ")):
+                left, new = before, self.texts[before] + new
+            elif new and behind is not None and not parted(new, self.texts[behind]):
+                right, new = behind + 1, new + self.texts[behind]
+            else:
+                return list(range(left, right)), new
 
 
 def count_many(encoder: UnitEncoder, texts: list[str], by_unit: bool) -> list[int]:
@@ -177,16 +203,16 @@ def edit_all(documents: list[EditedDocument], encoder: UnitEncoder, by_unit: boo
             d.settle(n)
         for d in todo:
             if d.done < len(d.edits) and len(d.new) > GROWN:
-                whole = leaves("".join(d.tree.texts))
-                counted = d.tree.counted + d.tree.chars[1]
-                d.tree = SegmentTree("".join(whole), [len(x) for x in whole], count_many(encoder, whole, by_unit))
-                d.tree.counted = counted
+                pieces = leaves(d.new)
+                if len(pieces) > 1:
+                    d.tree.split(d.inside[0], pieces, count_many(encoder, pieces, by_unit))
 
 
 def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer: str, by_unit: bool = True) -> DataFrame:
     """Per row of ``trees``: doc_id, text_hash, n_tokens, n_edits, n_tokens_edited, n_chars_edited,
     chars_reencoded and the updated tree (chars, tokens)."""
-    order = F.struct("seq", "start", "length", "replacement")
+    # a replacement that is no UTF-8 is decoded as texts are
+    order = F.struct("seq", "start", "length", F.make_valid_utf8("replacement").alias("replacement"))
     logs = (edits.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
             .agg(F.sort_array(F.collect_list(order)).alias("edits")))  # one document's history
     # rows that repeat a document are dropped where the join by id has brought them together

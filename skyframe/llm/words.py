@@ -12,6 +12,8 @@ from typing import NamedTuple
 
 import numpy as np
 
+from . import modular
+
 CHUNK = 1 << 20  # bytes handled at once; arrays take about 40 times as much
 
 
@@ -27,23 +29,21 @@ def _byte_map() -> bytes:
 
 
 BYTE_MAP = _byte_map()
-_RNG = np.random.Generator(np.random.PCG64(7919))
-_BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
+_BASE = 0x0F3A_5D29_C417_86E3 % modular.PRIME
+_BASE_INV = pow(_BASE, -1, modular.PRIME)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
+_LOW = np.uint64((1 << 32) - 1)
+_LONG = 1 << 22  # bytes whose sum of (byte * 32 bits) surely fits 64 bits
+_tables: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** (0 .. n-1) modulo 2 ** 64."""
-    have = _powers.get(base)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** (0 .. n-1) modulo the prime."""
+    have = _tables.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK + 1), np.uint64(base))
-        have[0] = 1
-        have = np.multiply.accumulate(have)
+        have = modular.Powers(base)(np.arange(max(n, CHUNK + 1)))
         if n <= 3 * CHUNK:
-            _powers[base] = have
+            _tables[base] = have
     return have[:n]
 
 
@@ -86,10 +86,29 @@ def _spans(low: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(low: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    codes = _BYTE_CODE[np.frombuffer(low, dtype=np.uint8)]
-    total = np.zeros(len(low) + 1, dtype=np.uint64)
-    np.cumsum(codes * _power(_BASE, len(low)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_BASE_INV, len(low) + 1)[starts])
+    """Hash of the bytes of each span: a polynomial in them modulo a prime, mixed. (Modulo a power of
+    two some words have equal hashes whatever the base.)"""
+    codes = np.frombuffer(low, dtype=np.uint8).astype(np.uint64)
+    powers = _powers(_BASE, len(low))
+    high, rest = np.zeros(len(low) + 1, dtype=np.uint64), np.zeros(len(low) + 1, dtype=np.uint64)
+    np.cumsum(codes * (powers >> np.uint64(32)), out=high[1:])
+    np.cumsum(codes * (powers & _LOW), out=rest[1:])
+    total = modular.join(high[ends] - high[starts], rest[ends] - rest[starts])
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():  # sums of the parts, each of which fits
+        cuts = np.append(np.arange(starts[i], ends[i], _LONG), ends[i])
+        parts = modular.join(np.diff(high[cuts]), np.diff(rest[cuts]))
+        total[i] = sum(parts.tolist()) % modular.PRIME
+    return mix(modular.mul(total, _powers(_BASE_INV, len(low) + 1)[starts]))
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``a`` and ``b`` (bytes as numbers) of equal, positive lengths are equal."""
+    if not len(lengths):
+        return np.zeros(0, dtype=bool)
+    ends = np.cumsum(lengths)
+    inside = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    differs = a[np.repeat(a_starts, lengths) + inside] != b[np.repeat(b_starts, lengths) + inside]
+    return np.add.reduceat(differs, ends - lengths) == 0
 
 
 def scan(texts: list[bytes | None], overlap: int, chunk: int = CHUNK) -> Iterator[Words]:
