@@ -68,10 +68,8 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, flo
 
 def standard_scale(df: DataFrame, stats: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:
     """(x − mean) / std for each fitted feature (in place, or into ``<col><suffix>``)."""
-    out = df
-    for c, (mean, std) in stats.items():
-        out = out.withColumn(f"{c}{suffix}", (F.col(c) - F.lit(mean)) / F.lit(std))
-    return out
+    scaled = {f"{c}{suffix}": ((F.col(c) - F.lit(mean)) / F.lit(std)).alias(f"{c}{suffix}") for c, (mean, std) in stats.items()}
+    return df.select(*[scaled.pop(c, F.col(c)) for c in df.columns], *scaled.values())
 
 
 def scaler_transformer(stats: dict[str, tuple[float, float]], suffix: str = "_scaled") -> SQLTransformer:

@@ -7,8 +7,10 @@ and loading the newest complete version keeps scaler, classes and classifier in
 one artifact, so they can never be mixed across versions. The scaler's statistics are kept
 beside the stages and come back with the model (``scaler_of``).
 
-Spark has no multiclass boosted tree; ``algorithm`` picks ``random_forest``
-(default), ``gbt_ovr`` (OneVsRest over GBT) or ``mlp`` (supports warm start).
+``algorithm`` picks ``random_forest`` (default), ``softmax_boost`` (multiclass boosting,
+``boosting``; continues from a fitted model and gives a loss per round), ``gbt_ovr``
+(OneVsRest over GBT) or ``mlp`` (supports warm start). A boosted model is an artifact of its
+own kind, a table of tree nodes, with the same scaler statistics, classes and version marker.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import types as T
 
 from ..config import (FEATURES, LABEL, SEED, SOURCE_API, SOURCE_EXCEPTION, SOURCE_MISSING, SOURCE_PRED_ERROR,
                       SOURCE_PREDICTED, TEST_FRACTION, UNKNOWN)
-from . import encoding, metrics, sampling
+from . import boosting, encoding, metrics, sampling, store
+from .boosting import BoostedModel
 
 # ---------------------------------------------------------------------------
 # Hyper-parameters
@@ -53,6 +56,8 @@ EFFECTIVE = {
     "random_forest": ("n_estimators", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight", "random_state"),
     "gbt_ovr": ("n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight",
                 "random_state"),
+    "softmax_boost": ("n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma",
+                      "min_child_weight", "reg_lambda", "reg_alpha", "random_state"),
     "mlp": ("n_estimators", "learning_rate", "random_state"),
 }
 MAX_TREE_DEPTH = 30  # Spark's own limit
@@ -150,18 +155,24 @@ def scaler_of(model: PipelineModel) -> dict[str, tuple[float, float]]:
     return dict(model.scaler_stats)
 
 
-def model_algorithm(model: PipelineModel) -> str:
+def model_algorithm(model: PipelineModel | BoostedModel) -> str:
+    if isinstance(model, BoostedModel):
+        return "softmax_boost"
     classifier = model.stages[2]
     if isinstance(classifier, MultilayerPerceptronClassificationModel):
         return "mlp"
     return "gbt_ovr" if isinstance(classifier, OneVsRestModel) else "random_forest"
 
 
-def model_labels(model: PipelineModel) -> list[str]:
+def model_labels(model: PipelineModel | BoostedModel) -> list[str]:
+    if isinstance(model, BoostedModel):
+        return list(model.labels)
     return list(model.stages[-1].getLabels())
 
 
-def model_features(model: PipelineModel) -> list[str]:
+def model_features(model: PipelineModel | BoostedModel) -> list[str]:
+    if isinstance(model, BoostedModel):
+        return list(model.features)
     return [c[: -len(SCALED)] for c in model.stages[1].getInputCols()]
 
 
@@ -238,7 +249,9 @@ def prepare(df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABE
 def train_classifier(train: DataFrame, labels: Sequence[str], stats: dict[str, tuple[float, float]],
                      params: Mapping[str, object], algorithm: str = "random_forest",
                      features: Sequence[str] = FEATURES, label: str = LABEL,
-                     initial_weights=None) -> PipelineModel:
+                     initial_weights=None) -> PipelineModel | BoostedModel:
+    if algorithm == "softmax_boost":  # trees split the same way whether features are scaled or not
+        return boosting.fit(train, labels, stats, params, features, label)
     enc = encoding.encode_labels(train, labels, [label], ["label_idx"], "skip")
     enc = enc.withColumn("label_idx", F.col("label_idx").cast("double"))
     scaled = encoding.scaler_transformer(stats, SCALED).transform(enc)
@@ -312,11 +325,24 @@ def evaluate(model: PipelineModel, test: DataFrame, label: str = LABEL) -> DataF
 
 
 def evaluate_log_loss(model: PipelineModel, test: DataFrame, label: str = LABEL) -> DataFrame:
-    """One row (log_loss, n); NULL for models that give no probabilities (one-vs-rest)."""
-    if model_algorithm(model) == "gbt_ovr":
-        return test.agg(F.lit(None).cast("double").alias("log_loss"), F.count(F.lit(1)).alias("n"))
-    scored = model.transform(test.where(_complete(model_features(model))))
-    return metrics.log_loss(scored.select(label, vector_to_array("probability").alias("_p")), label, "_p", model_labels(model))
+    """One row (log_loss, n)."""
+    scored = class_probabilities(model, test.where(_complete(model_features(model))))
+    return metrics.log_loss(scored.select(label, F.col("probability").alias("_p")), label, "_p", model_labels(model))
+
+
+def class_probabilities(model: PipelineModel | BoostedModel, df: DataFrame) -> DataFrame:
+    """``df`` scored, with ``probability`` as an array in the order of the labels. One-vs-rest
+    margins become the binary models' own probabilities, 1 / (1 + exp(-2 margin)), normalised to
+    sum up to one."""
+    scored = model.transform(df)
+    if isinstance(model, BoostedModel):
+        return scored
+    if model_algorithm(model) != "gbt_ovr":
+        return scored.withColumn("probability", vector_to_array("probability"))
+    each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+    scored = scored.withColumn("probability", each)
+    return scored.withColumn("probability", F.transform(
+        "probability", lambda v: v / F.aggregate("probability", F.lit(0.0), lambda a, b: a + b)))
 
 
 JOB_SCHEMA = T.StructType([
@@ -359,8 +385,9 @@ def train_incremental(prev: PipelineModel, day_rows: DataFrame, params: Mapping[
                       label: str = LABEL, classify_label: bool = True, history: DataFrame | None = None) -> PipelineModel:
     """Continue training on one day's rows, reusing the saved scaler and classes.
 
-    MLP models warm-start from the previous weights. Tree models in Spark cannot continue
-    from a fitted model, so they need ``history``, the rows accumulated so far (which include
+    MLP models warm-start from the previous weights; boosted models add ``n_estimators`` rounds
+    behind the ones they have, which stay as they are. Other tree models in Spark cannot
+    continue from a fitted model, so they need ``history``, the rows accumulated so far (which include
     the day): the same algorithm is fitted anew on it with the saved scaler and classes.
     """
     algorithm = model_algorithm(prev)
@@ -370,11 +397,41 @@ def train_incremental(prev: PipelineModel, day_rows: DataFrame, params: Mapping[
         clf = prev.stages[2]
         rows = prepare(day_rows, feats, label, classify_label)  # unseen classes are skipped by the indexer
         return _fit_mlp(rows, labels, stats, resolved, feats, label, clf.getLayers()[1:-1], clf.weights)
+    if algorithm == "softmax_boost":
+        return boosting.fit(prepare(day_rows, feats, label, classify_label), labels, stats, resolved, feats, label, start=prev)
     if history is None:
         raise ValueError(f"a {algorithm} model cannot continue from its last state: pass the accumulated history")
     return train_classifier(prepare(history, feats, label, classify_label), labels, stats, resolved, algorithm, feats, label)
 
 
+UPDATE_SCHEMA = T.StructType([
+    T.StructField("status", T.StringType()), T.StructField("message", T.StringType()), T.StructField("day", T.DateType()),
+    T.StructField("n_rows", T.LongType()), T.StructField("from_version", T.StringType()), T.StructField("version", T.StringType())])
+
+
+def update_from_store(spark: SparkSession, store_path: str, day: _dt.date, root: str,
+                      params: Mapping[str, object] | None = None, label: str = LABEL) -> DataFrame:
+    """The day's model update: the store's rows of ``day`` (one partition), the active model under ``root``
+    continued on them, saved and active as the next version. Trees that cannot continue are
+    fitted anew on the whole store up to the day. One row tells the outcome: ``completed``,
+    ``no data`` (the day has no usable rows), or ``failed`` with the message; then the active version stays."""
+    row = {"day": day}
+    try:
+        model, row["from_version"] = load_active(root)
+        rows = store.day_of_store(spark, store_path, day)
+        row["n_rows"] = prepare(rows, model_features(model), label).count()
+        if not row["n_rows"]:
+            row |= {"status": "no data", "message": f"no usable rows of {day}"}
+        else:
+            again = model_algorithm(model) in ("random_forest", "gbt_ovr")
+            history = store.until(spark, store_path, day) if again else None
+            path = save_model(train_incremental(model, rows, params, label, history=history), root)
+            row |= {"status": "completed", "message": None, "version": path.rsplit("/", 1)[-1]}
+    except Exception as e:  # the job's outcome is its result
+        row |= {"status": "failed", "message": f"{type(e).__name__}: {str(e)[:500]}"}
+    return spark.createDataFrame([tuple(row.get(f.name) for f in UPDATE_SCHEMA.fields)], UPDATE_SCHEMA)
+
+
 def _fit_mlp(rows, labels, stats, params, feats, label, hidden, weights):
     enc = encoding.encode_labels(rows, labels, [label], ["label_idx"], "skip")
     enc = enc.withColumn("label_idx", F.col("label_idx").cast("double"))
@@ -389,6 +446,7 @@ def _fit_mlp(rows, labels, stats, params, feats, label, hidden, weights):
 # ---------------------------------------------------------------------------
 
 COMPLETE = "_COMPLETE"
+BOOSTED = "boosted.json"  # marks a table of tree nodes instead of a pipeline
 
 
 def save_model(model: PipelineModel, root: str) -> str:
@@ -403,23 +461,34 @@ def save_model(model: PipelineModel, root: str) -> str:
     while not _create(spark, f"{root}/_claims/{n}", uuid.uuid4().hex):
         n += 1
     path = f"{root}/v={n}"
-    model.write().overwrite().save(path)
+    if isinstance(model, BoostedModel):
+        _create(spark, f"{path}/{BOOSTED}", boosting.write(model, path, spark))
+    else:
+        model.write().overwrite().save(path)
     stats = json.dumps({k: list(v) for k, v in scaler_of(model).items()})
     _create(spark, f"{path}/scaler.json", stats)
     _create(spark, f"{path}/{COMPLETE}", "")
     return path
 
 
-def load_latest(root: str) -> PipelineModel:
+def load_latest(root: str) -> PipelineModel | BoostedModel:
     """The newest version whose marker is there."""
+    return load_active(root)[0]
+
+
+def load_active(root: str) -> tuple[PipelineModel | BoostedModel, str]:
+    """The newest version whose marker is there, and its name."""
     spark = SparkSession.getActiveSession()
     for v in sorted(_versions(spark, root), reverse=True):
         path = f"{root.rstrip('/')}/v={v}"
         if _fs_exists(spark, f"{path}/{COMPLETE}"):
-            model = PipelineModel.load(path)
             text = spark.read.text(f"{path}/scaler.json", wholetext=True).first()["value"]
-            model.scaler_stats = {k: tuple(v) for k, v in json.loads(text).items()}
-            return model
+            stats = {k: tuple(v) for k, v in json.loads(text).items()}
+            if _fs_exists(spark, f"{path}/{BOOSTED}"):
+                return boosting.read(path, spark.read.text(f"{path}/{BOOSTED}", wholetext=True).first()["value"], stats, spark), f"v={v}"
+            model = PipelineModel.load(path)
+            model.scaler_stats = stats
+            return model, f"v={v}"
     raise FileNotFoundError(f"no complete model version under {root}")
 
 

@@ -6,19 +6,20 @@ with doubles rounded to 8 decimals so results compare exactly with the oracle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from ..config import (CALENDAR_COLS, CITY, FEATURES, FORECAST_FEATURES, LABEL, LABEL_LAG_COLS, METRICS, NUMERIC_LAG_COLS,
                       SOURCE_API, STORE_COLS, TARGET, TARGET_ENCODED, UNKNOWN, WINDOW_COLS)
 from ..functions.conditions import CONDITION_CLASSES, classify_description
 from ..functions.scalars import celsius_to_kelvin, kmph_to_mps, parse_timestamp, to_double
-from ..operators import cleaning, encoding, forecast, metrics, modeling, reshape, sampling, store, windows
+from ..operators import boosting, cleaning, encoding, forecast, metrics, modeling, reshape, sampling, store, windows
 from ..session import materialise
-from ..sources import files, payloads
-from ..streaming import ingest
+from ..sources import files, payloads, snapshots
+from ..streaming import ingest, scoring
 from . import fixtures as fx
 
 DECIMALS = 8
@@ -423,6 +424,151 @@ def q_model_roundtrip(spark, sf_dir):
     return both.select("obs_id", F.col("prediction").eqNullSafe(F.col("before")).alias("same_prediction"))
 
 
+# ---------------------------------------------------------------------------
+# Boosting, and what models predict: saved predictions are judged once by the library's
+# operators and once by plain SQL.
+# ---------------------------------------------------------------------------
+
+BOOST = {"n_estimators": 5, "max_depth": 5}
+STUMP_FEATURES = ["humidity", "wind_speed"]  # fewer values than bins: every split is tried
+_trained: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
+def _boosted(spark, sf_dir) -> tuple[str, DataFrame]:
+    """(root of the saved model, split table); trained once in a session and loaded where it is used."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _trained:
+        model, split = _fitted(spark, sf_dir, "softmax_boost", params=BOOST)
+        root = fx.scratch(spark, "boosted")
+        modeling.save_model(model, root)
+        _trained[known] = root, split
+    return _trained[known]
+
+
+REPORT_SQL = """
+WITH l AS (SELECT explode(array(y, yhat)) AS label FROM {pairs}),
+c AS (SELECT d.label, (SELECT count(*) FROM {pairs} p WHERE p.y = d.label) AS support,
+        (SELECT count(*) FROM {pairs} p WHERE p.yhat = d.label) AS told,
+        (SELECT count(*) FROM {pairs} p WHERE p.y = d.label AND p.yhat = d.label) AS hit FROM (SELECT DISTINCT label FROM l) d),
+r AS (SELECT label, support, coalesce(try_divide(hit, told), 0) AS precision, coalesce(try_divide(hit, support), 0) AS recall,
+        coalesce(try_divide(2 * hit, told + support), 0) AS f1 FROM c),
+a AS (SELECT avg(CASE WHEN y = yhat THEN 1.0D ELSE 0.0D END) AS accuracy FROM {pairs}),
+m AS (SELECT max(support) / sum(support) AS majority FROM r)
+SELECT r.*, a.accuracy, m.majority FROM r, a, m
+UNION ALL SELECT 'macro avg', sum(support), avg(precision), avg(recall), avg(f1), max(accuracy), max(majority) FROM r, a, m
+UNION ALL SELECT 'weighted avg', sum(support), sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), max(accuracy), max(majority) FROM r, a, m"""
+
+
+def _judged(spark, model, test, label=LABEL):
+    """Report of ``model`` on ``test``: label, support, whether SQL over the saved predictions gives the same
+    figures, and whether the accuracy beats the share of the largest class."""
+    pairs = materialise(modeling.score(model, test, keep=[label]).where("status = 'ok'")
+                        .select(F.col(label).alias("y"), F.col("prediction").alias("yhat")), "predictions")
+    own = metrics.classification_report(pairs, "y", "yhat")
+    sql = spark.sql(REPORT_SQL, pairs=pairs)
+    figures = ["precision", "recall", "f1", "accuracy", "support"]
+    same = F.lit(True)
+    for c in figures:
+        same = same & (F.abs(own[c] - sql[c]) < 1e-9)
+    return own.join(sql, "label", "full").select("label", own["support"], F.coalesce(same, F.lit(False)).alias("same_by_sql"),
+                                                 (own["accuracy"] > sql["majority"]).alias("beats_majority"))
+
+
+def q_boost_first_round(spark, sf_dir):
+    """The trees of the first round, one split deep, on all rows: their splits and leaf values are exact."""
+    tt = training_table(spark, sf_dir)
+    labels = encoding.fit_labels(tt, [LABEL])
+    params, _ = modeling.resolve_params({"n_estimators": 1, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0,
+                                         "reg_lambda": 2, "reg_alpha": 0.5}, algorithm="softmax_boost")
+    model = boosting.fit(tt, labels, {}, params, STUMP_FEATURES)
+    rows = [(c, STUMP_FEATURES[int(t.feature[0])], float(t.threshold[0]), float(t.value[t.left[0]]), float(t.value[t.right[0]]))
+            for c, t in zip(labels, model.rounds[0])]
+    return round_doubles(spark.createDataFrame(rows, "label string, feature string, threshold double, value_left double, value_right double"))
+
+
+def q_boost_report(spark, sf_dir):
+    root, split = _boosted(spark, sf_dir)
+    return _judged(spark, modeling.load_latest(root), split.where("split = 'test'"))
+
+
+def q_boost_losses(spark, sf_dir):
+    """Log-loss on the test rows after each round, in one pass, beside that of each prefix scored alone."""
+    root, split = _boosted(spark, sf_dir)
+    model, test = modeling.load_latest(root), split.where("split = 'test'")
+    staged = boosting.staged_log_loss(model, test)
+    alone = None
+    for r in range(1, len(model.rounds) + 1):
+        prefix = boosting.BoostedModel(model.labels, model.features, model.scaler_stats, model.rounds[:r])
+        one = modeling.evaluate_log_loss(prefix, test).select(F.lit(r).alias("round"), F.col("log_loss").alias("alone"))
+        alone = one if alone is None else alone.unionByName(one)
+    falls = F.col("log_loss") < F.coalesce(F.lag("log_loss").over(Window.orderBy("round")), F.lit(math.log(len(model.labels))))
+    return staged.join(alone, "round").select("round", "n", (F.abs(F.col("log_loss") - F.col("alone")) < 1e-9).alias("same_alone"),
+                                              falls.alias("falls"))
+
+
+def q_boost_update(spark, sf_dir):
+    """The day's update from the store: a model of the history's first twenty days is continued on the
+    twenty-first, and on a day that is not there."""
+    path, root = fx.scratch(spark, "history"), fx.scratch(spark, "update_models")
+    store.create_history(fx.store_rows(spark, sf_dir), path)
+    history = files.read_store(spark, path)
+    past = modeling.prepare(history.where(F.dayofmonth("datetime") <= 20))
+    labels, stats = encoding.fit_labels(past, [LABEL]), encoding.fit_scaler(past, FEATURES)
+    params, _ = modeling.resolve_params({**BOOST, "n_estimators": 3}, algorithm="softmax_boost")
+    modeling.save_model(modeling.train_classifier(past, labels, stats, params, "softmax_boost"), root)
+    before = modeling.load_latest(root)
+    day = history.agg(F.to_date(F.min("datetime")).alias("d")).first()["d"].replace(day=21)
+    done = modeling.update_from_store(spark, path, day, root, {**BOOST, "n_estimators": 2})
+    none = modeling.update_from_store(spark, path, day.replace(year=day.year + 1), root, BOOST)
+    after = modeling.load_latest(root)
+    kept = all((a == b).all() for old, new in zip(before.rounds, after.rounds) for s, t in zip(old, new) for a, b in zip(s, t))
+    rows = modeling.prepare(store.day_of_store(spark, path, day))
+    earlier, later = (boosting.staged_log_loss(m, rows).orderBy(F.desc("round")).first()["log_loss"] for m in (before, after))
+    return done.unionByName(none).select("status", "n_rows", "from_version", "version", F.lit(len(before.rounds)).alias("rounds_before"),
+                                         F.lit(len(after.rounds)).alias("rounds_after"), F.lit(bool(kept)).alias("trees_kept"),
+                                         F.lit(bool(later < earlier)).alias("fits_the_day_better"))
+
+
+def q_forest_report(spark, sf_dir):
+    model, split = _fitted(spark, sf_dir, params={"n_estimators": 50})
+    return _judged(spark, model, split.where("split = 'test'"))
+
+
+def q_log_loss_ovr(spark, sf_dir):
+    """Log-loss of a one-vs-rest model, held against SQL over its saved probabilities."""
+    model, split = _fitted(spark, sf_dir, "gbt_ovr", params={"n_estimators": 3, "max_depth": 4})
+    test = split.where("split = 'test'")
+    saved = materialise(modeling.class_probabilities(model, test).select(F.col(LABEL).alias("y"), F.col("probability").alias("p")), "probabilities")
+    places = ", ".join(f"'{c}'" for c in modeling.model_labels(model))
+    sql = spark.sql(f"SELECT avg(-ln(p[array_position(array({places}), y) - 1])) AS by_sql, "
+                    "min(abs(aggregate(p, 0D, (a, x) -> a + x) - 1) < 1e-9) AS sums_to_one FROM {saved}", saved=saved)
+    loss = modeling.evaluate_log_loss(model, test)
+    return loss.crossJoin(sql).select("n", (F.abs(F.col("log_loss") - F.col("by_sql")) < 1e-9).alias("same_by_sql"), "sums_to_one",
+                                      (F.col("log_loss") < math.log(len(modeling.model_labels(model)))).alias("beats_chance"))
+
+
+def q_train_wide(spark, sf_dir):
+    """The historical classifier: wide tables joined, coordinates, classes, split, boosting, and the
+    normalised confusion matrix of the test rows (a row per true class)."""
+    merged = reshape.join_places(reshape.join_metrics(_wide_tables(spark, sf_dir)), fx.places(spark, sf_dir))
+    named = merged.withColumnsRenamed({"Latitude": "latitude", "Longitude": "longitude"}).withColumn(
+        "_key", F.concat_ws("|", F.col("datetime").cast("string"), CITY))
+    split = materialise(sampling.stratified_split(modeling.prepare(named), LABEL, "_key"), "wide-split")
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    labels, stats = encoding.fit_labels(split, [LABEL]), encoding.fit_scaler(train, FEATURES)
+    params, _ = modeling.resolve_params(BOOST, algorithm="softmax_boost")
+    model = modeling.train_classifier(train, labels, stats, params, "softmax_boost")
+    pairs = materialise(modeling.score(model, test, keep=[LABEL]), "wide-predictions")
+    matrix = metrics.confusion_matrix(pairs, LABEL, "prediction", classes=labels, normalize=True)
+    support = pairs.groupBy(F.col(LABEL).alias("y")).agg(F.count(F.lit(1)).alias("support"))
+    hit = F.sum(F.when(F.col("y") == F.col("yhat"), F.col("rate")).otherwise(0.0))
+    rows = matrix.groupBy("y").agg(F.count(F.lit(1)).alias("n_classes"), F.sum("rate").alias("rates"), hit.alias("hit")).join(support, "y")
+    accuracy = F.sum(F.col("hit") * F.col("support")).over(Window.partitionBy()) / F.sum("support").over(Window.partitionBy())
+    majority = F.max("support").over(Window.partitionBy()) / F.sum("support").over(Window.partitionBy())
+    return round_doubles(rows.select("y", "n_classes", "rates", "support", (accuracy > majority).alias("beats_majority")))
+
+
 # ---------------------------------------------------------------------------
 # The T+24h forecaster
 # ---------------------------------------------------------------------------
@@ -466,6 +612,45 @@ def q_ingest_stream(spark, sf_dir):
     return round_doubles(files.read_store(spark, store_path))
 
 
+def q_ingest_ledger(spark, sf_dir):
+    """Totals of the ledger after an ingest in which every payload comes once whole and once cut off,
+    and after a full replay from a new checkpoint: what had been stored is stored."""
+    landing = fx.write_landing(spark, sf_dir, fx.scratch(spark, "landing"), broken=True)
+    path = fx.scratch(spark, "ledger_store")
+    checkpoints = [fx.scratch(spark, "ledger_ckpt") for _ in range(2)]
+    for checkpoint in (checkpoints[0], checkpoints[0], checkpoints[1]):  # the second run finds nothing new
+        ingest.ingest_stream(spark, landing, path, checkpoint, max_files_per_trigger=2).awaitTermination()
+    run = F.when(F.col("writer") == checkpoints[0], 1).otherwise(2)
+    return snapshots.ledger(spark, path).groupBy(run.alias("run")).agg(
+        *[F.sum(c).alias(c) for c in ("records", "malformed", "inserted", "skipped")],
+        F.min(F.col("saved") == F.col("inserted") + F.col("modified")).alias("adds_up"))
+
+
+def q_store_day_slice(spark, sf_dir):
+    """One day of the persisted store after an upsert: only that day's partition is read."""
+    path = fx.scratch(spark, "slice_store")
+    files.write_store(fx.store_target(spark, sf_dir), path)
+    store.upsert_into_store(spark, path, fx.store_batch(spark, sf_dir))
+    return round_doubles(store.day_of_store(spark, path, fx.MERGE_DAY))
+
+
+def q_score_stream(spark, sf_dir):
+    """Requests that land in two lots, scored as a stream that is started again from its checkpoint
+    after the second; every row is held against batch scoring."""
+    root, _ = _boosted(spark, sf_dir)
+    requests, out, checkpoint = (fx.scratch(spark, n) for n in ("requests", "scored", "score_ckpt"))
+    rows = training_table(spark, sf_dir).withColumn(
+        "humidity", F.when(F.col("obs_id") % 29 == 0, F.lit(None).cast("double")).otherwise(F.col("humidity")))
+    for lot in range(2):
+        rows.where(F.col("obs_id") % 2 == lot).write.mode("append").parquet(requests)
+        scoring.score_stream(spark, requests, rows.schema, root, out, checkpoint, ["obs_id"]).awaitTermination()
+    model, version = modeling.load_active(root)
+    batch = modeling.score(model, rows, keep=["obs_id"]).select("obs_id", F.col("prediction").alias("alone"))
+    return scoring.read_scored(spark, out).join(batch, "obs_id").select(
+        "obs_id", "status", F.col("prediction").eqNullSafe(F.col("alone")).alias("same_as_batch"),
+        (F.col("model_version") == version).alias("version_told"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "classify_description": q_classify_description,
@@ -523,4 +708,14 @@ def queries() -> dict[str, Query]:
         "train_incremental": q_train_incremental,
         "model_roundtrip": q_model_roundtrip,
         "ingest_stream": q_ingest_stream,
+        "boost_first_round": q_boost_first_round,
+        "boost_report": q_boost_report,
+        "boost_losses": q_boost_losses,
+        "boost_update": q_boost_update,
+        "forest_report": q_forest_report,
+        "log_loss_ovr": q_log_loss_ovr,
+        "train_wide": q_train_wide,
+        "ingest_ledger": q_ingest_ledger,
+        "store_day_slice": q_store_day_slice,
+        "score_stream": q_score_stream,
     }

@@ -306,8 +306,12 @@ def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ((F.col("event_id") * 11) % 25).cast("double").alias("wind_kmph"))
 
 
-def write_landing(spark: SparkSession, sf_dir: str, landing: str, n_files: int = 4) -> str:
-    """History payloads as JSON-lines landing files (province, latitude, longitude, payload)."""
-    history_payloads(spark, sf_dir).select("province", "latitude", "longitude", "record", "payload") \
-        .repartition(n_files, "province").write.mode("overwrite").json(landing)
+def write_landing(spark: SparkSession, sf_dir: str, landing: str, n_files: int = 4, broken: bool = False) -> str:
+    """History payloads as JSON-lines landing files (province, latitude, longitude, payload). With
+    ``broken`` every payload comes a second time without its second half."""
+    rows = history_payloads(spark, sf_dir).select("province", "latitude", "longitude", "record", "payload")
+    if broken:
+        half = F.expr("substring(payload, 1, length(payload) div 2)")
+        rows = rows.select(*rows.columns[:-1], F.explode(F.array("payload", half)).alias("payload"))
+    rows.repartition(n_files, "province").write.mode("overwrite").json(landing)
     return landing

@@ -363,6 +363,7 @@ def store_and_ml_queries() -> dict[str, str]:
     UNION ALL SELECT *, 1 AS src FROM batch WHERE CAST(datetime AS DATE) = DATE '2024-01-18') u) x WHERE rn = 1""")
     up = with_(*STORE_CTES) + f"SELECT {_upsert_select()} FROM tgt t FULL JOIN bd b ON t.datetime = b.datetime AND t.province = b.province"
     q["upsert_store"] = up
+    q["store_day_slice"] = f"SELECT * FROM ({up}) u WHERE CAST(datetime AS DATE) = DATE '2024-01-18'"
     last = "CASE WHEN f.province IS NOT NULL THEN f.{c} WHEN b.province IS NOT NULL THEN b.{c} ELSE t.{c} END"
     q["store_scan"] = (with_(*STORE_CTES, CORRECTION) + "SELECT coalesce(f.datetime, b.datetime, t.datetime) AS datetime, "
                        "coalesce(f.province, b.province, t.province) AS province, "
@@ -481,6 +482,46 @@ FROM (SELECT o.obs_id, {cond} AS c FROM obs o JOIN places p ON p.City = o.City W
     return q
 
 
+def boosting_queries() -> dict[str, str]:
+    """What is exact about boosting (the first round's splits and leaves), and what must hold of any
+    model's saved predictions."""
+    q = {}
+    base = [OBS, CLEAN, PLACES, TRAIN_TABLE]
+    # one split per class: the threshold between two values that parts the residuals [y = k] - 1/K best
+    stumps = [f"({i}, '{f}', {f})" for i, f in enumerate(["humidity", "wind_speed"])]
+    q["boost_first_round"] = with_(
+        *base, "k AS (SELECT DISTINCT weather_condition AS label FROM tt)", "n AS (SELECT count(*) AS classes FROM k)",
+        f"c AS (SELECT k.label, x.i, x.f, x.v, count(*) AS rows, count(*) FILTER (WHERE tt.weather_condition = k.label) AS own "
+        f"FROM tt, LATERAL (VALUES {', '.join(stumps)}) x(i, f, v), k GROUP BY ALL)",
+        "s AS (SELECT label, i, f, v, lead(v) OVER w AS nx, sum(rows) OVER w AS nl, sum(own) OVER w AS ol, "
+        "sum(rows) OVER (PARTITION BY label, i) AS nt, sum(own) OVER (PARTITION BY label, i) AS ot "
+        "FROM c WINDOW w AS (PARTITION BY label, i ORDER BY v))",
+        "g AS (SELECT *, (ol - nl::DOUBLE / classes) AS gl, (ot - ol - (nt - nl)::DOUBLE / classes) AS gr, nt - nl AS nr, "
+        "2 * (1::DOUBLE / classes) * (1 - 1::DOUBLE / classes) AS h FROM s, n WHERE nx IS NOT NULL)",
+        "b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gl * gl / nl + gr * gr / nr DESC, i, v) AS rn FROM g)",
+    ) + """SELECT label, f AS feature, round((v + nx) / 2, 8) AS threshold,
+  round(0.1 * sign(gl) * greatest(abs(gl) - 0.5, 0) / (nl * h + 2), 8) AS value_left,
+  round(0.1 * sign(gr) * greatest(abs(gr) - 0.5, 0) / (nr * h + 2), 8) AS value_right FROM b WHERE rn = 1"""
+    supports = supports_sql("sp", "weather_condition")
+    for name in ("boost_report", "forest_report"):
+        q[name] = with_(*base, SPLIT) + f"SELECT label, support, TRUE AS same_by_sql, TRUE AS beats_majority FROM ({supports}) s"
+    test = "SELECT count(*) AS n FROM sp WHERE split = 'test'"
+    q["boost_losses"] = with_(*base, SPLIT) + f"SELECT r::INT AS round, n, TRUE AS same_alone, TRUE AS falls FROM range(1, 6) t(r), ({test}) x"
+    q["log_loss_ovr"] = with_(*base, SPLIT) + f"SELECT n, TRUE AS same_by_sql, TRUE AS sums_to_one, TRUE AS beats_chance FROM ({test}) x"
+    last = "(SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn FROM (" + store_rows_sql(False) + ") r)"
+    q["boost_update"] = f"""WITH hist AS (SELECT * FROM {last} x WHERE rn = 1 AND weather_condition <> 'unknown')
+SELECT 'completed' AS status, count(*) AS n_rows, 'v=1' AS from_version, 'v=2' AS version, 3 AS rounds_before, 5 AS rounds_after,
+  TRUE AS trees_kept, TRUE AS fits_the_day_better FROM hist WHERE day(datetime) = 21
+UNION ALL SELECT 'no data', 0, 'v=2', NULL, 3, 5, TRUE, TRUE"""
+    cls = classify_sql("weather_condition")
+    known = " AND ".join(f"{m} IS NOT NULL" for m in METRICS)
+    q["train_wide"] = with_(
+        OBS, HOURLY, GRID, LONG, PLACES, f"w AS (SELECT {cls} AS y FROM lng JOIN places USING (City) WHERE {known} AND {cls} <> 'unknown')",
+        "t AS (SELECT y, CAST(round(0.2 * count(*)) AS BIGINT) AS support FROM w GROUP BY y)",
+    ) + "SELECT y, (SELECT count(*) FROM t) AS n_classes, 1.0::DOUBLE AS rates, support, TRUE AS beats_majority FROM t WHERE support > 0"
+    return q
+
+
 def stream_queries() -> dict[str, str]:
     """The store after ingesting every payload: per (hour, station) the last hourly entry by
     record (200 consecutive ids), then time, then obs_id."""
@@ -494,6 +535,12 @@ def stream_queries() -> dict[str, str]:
     round(round(o.wind_speed * {KMPH}, 2), 8) AS wind_speed,
     row_number() OVER (PARTITION BY date_trunc('hour', o.datetime), o.City ORDER BY o.obs_id // 200 DESC, o.datetime DESC, o.obs_id DESC) AS rn
   FROM obs o JOIN events e ON e.event_id = o.obs_id JOIN places p ON p.City = o.City) x WHERE rn = 1""")
+    q["ingest_ledger"] = with_(OBS, PLACES) + """SELECT run::INT AS run, 2 * payloads AS records, payloads AS malformed,
+  CASE WHEN run = 1 THEN keys ELSE 0 END AS inserted, 0::BIGINT AS skipped, TRUE AS adds_up
+FROM range(1, 3) t(run), (SELECT count(DISTINCT (City, CAST(datetime AS DATE), obs_id // 200)) AS payloads,
+  count(DISTINCT (City, date_trunc('hour', datetime))) AS keys FROM obs JOIN places USING (City)) x"""
+    q["score_stream"] = with_(OBS, CLEAN, PLACES, TRAIN_TABLE) + """SELECT obs_id,
+  CASE WHEN obs_id % 29 = 0 THEN 'missing_features' ELSE 'ok' END AS status, TRUE AS same_as_batch, TRUE AS version_told FROM tt"""
     return q
 
 
@@ -504,4 +551,5 @@ def oracle_sql() -> dict[str, str]:
     q.update(source_queries())
     q.update(store_and_ml_queries())
     q.update(model_queries())
+    q.update(boosting_queries())
     return q

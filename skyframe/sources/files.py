@@ -6,6 +6,7 @@ pushdown reach the files; numeric text is coerced with ``try_cast`` (bad → NUL
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,9 +15,10 @@ from pyspark.sql import types as T
 from ..config import CITY, DATETIME, LABEL, PROVINCES_JSON_SCHEMA, STORE_COLS, STORE_SCHEMA, WIDE_FILES, WIDE_TABLES
 from ..functions.scalars import parse_timestamp, to_double
 from ..operators.cleaning import MissingColumnsError, require_columns
+from . import snapshots
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -29,7 +31,7 @@ def read_wide_csv(spark: SparkSession, path: str, value_type: str = "double",
 
     Place columns are discovered from the header; values are coerced leniently.
     """
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     require_columns(raw, [key])
@@ -73,7 +75,7 @@ def read_places_json(spark: SparkSession, path: str, multi_line: bool = True) ->
 def read_history_csv(spark: SparkSession, path: str) -> DataFrame:
     """History table kept as CSV: header row, the ten store columns in any order; numbers and
     timestamps are coerced leniently and rows without a readable timestamp are dropped."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     require_columns(raw, STORE_COLS)
@@ -94,20 +96,42 @@ def with_day(df: DataFrame, time_col: str = DATETIME) -> DataFrame:
     return df.withColumn(STORE_PARTITION, F.to_date(F.col(time_col)))
 
 
-def read_store(spark: SparkSession, path: str, days: Sequence | None = None) -> DataFrame:
+def read_store(spark: SparkSession, path: str, days: Sequence | None = None,
+               snapshot: snapshots.Snapshot | None = None) -> DataFrame:
     """Store scan with a fixed schema; an absent store is an empty typed table.
 
-    ``days`` restricts the scan to those day partitions (partition pruning).
+    The days come from the folders that the newest (or the given) snapshot names, and from the
+    table's first write. ``days`` restricts the scan to those day partitions.
     """
     schema = T.StructType([*STORE_SCHEMA.fields, T.StructField(STORE_PARTITION, T.DateType())])
-    if not _exists(spark, path):
+    snapshot = snapshots.latest(spark, path) if snapshot is None else snapshot
+    wanted = None if days is None else {str(d) for d in days}
+    parts = []
+    if _has_days(spark, path):
+        first = spark.read.schema(schema).parquet(path)
+        replaced = [_dt.date.fromisoformat(d) for d in snapshot.days if wanted is None or d in wanted]
+        parts.append(first.where(~F.col(STORE_PARTITION).isin(replaced)) if replaced else first)
+    here = [f"{snapshots.folder_of(path, c)}/{STORE_PARTITION}={d}" for d, c in snapshot.days.items()
+            if c and (wanted is None or d in wanted)]
+    if here:
+        named = T.StructType([*schema.fields, T.StructField("commit", T.StringType())])
+        parts.append(spark.read.schema(named).option("basePath", f"{path}/{snapshots.DATA}").parquet(*here).drop("commit"))
+    if not parts:
         return spark.createDataFrame([], schema).select(*STORE_COLS)
-    df = spark.read.schema(schema).parquet(path)
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if days is not None:
         df = df.where(F.col(STORE_PARTITION).isin(list(days)))
     return df.select(*STORE_COLS)
 
 
+def _has_days(spark: SparkSession, path: str) -> bool:
+    """Whether the table's own folder holds day partitions."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(jpath) and any(s.getPath().getName().startswith(f"{STORE_PARTITION}=") for s in fs.listStatus(jpath))
+
+
 def write_store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write store rows partitioned by day; with dynamic partition overwrite only the
     days present in ``df`` are replaced."""

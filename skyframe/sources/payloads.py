@@ -54,6 +54,12 @@ def parse_history(df: DataFrame, payload: str = "payload", province: str = "prov
     return rows.where(F.col("datetime").isNotNull())
 
 
+def is_malformed(payload: str | Column) -> Column:
+    """Whether a historical payload holds no list of days: no JSON, or not the expected document."""
+    column = F.col(payload) if isinstance(payload, str) else payload
+    return F.from_json(column, HISTORY_PAYLOAD_SCHEMA).getField("data").getField("weather").isNull()
+
+
 CURRENT_COLS = ["latitude", "longitude", "observed_time_utc", "temperature_celsius", "temperature_kelvin",
                 "humidity", "pressure", "wind_speed_mps", "wind_direction_degree", LABEL]
 
