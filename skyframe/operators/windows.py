@@ -172,6 +172,59 @@ def add_rolling_means(df: DataFrame, cols: Sequence[str] = METRICS, sizes: Seque
     return finish_frame(framed.select("*", *[e.alias(n) for n, e in exprs.items()]))
 
 
+# ---------------------------------------------------------------------------
+# The same features by time instead of by row
+# ---------------------------------------------------------------------------
+
+HOUR = 3_600_000_000  # microseconds
+
+
+def _micros(time_col: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{time_col}`)")
+
+
+def exact_time_features(df: DataFrame, place: str = CITY, time_col: str = DATETIME, label: str = LABEL,
+                        cols: Sequence[str] = (*METRICS, LABEL), horizon: int = FORECAST_HORIZON,
+                        lag_steps: Sequence[int] = LAG_STEPS, window_sizes: Sequence[int] = WINDOW_SIZES,
+                        block_hours: int = 720) -> DataFrame:
+    """Target, lags and trailing means counted in hours: a lag of k is the value exactly k hours
+    before and NULL if there is none, a mean takes the rows of the hours before (the current
+    time excluded; NULL with fewer values than half the window has hours).
+
+    Places are cut into blocks of ``block_hours``; a row also goes, as a copy, to the next block if that
+    block's rows may look back at it, and to the one before if they may look ahead at it. The
+    blocks are windows with range frames over the time, so a place is many tasks' work. Rows
+    without a time have no features and are left out; two rows of a place with one time are an error.
+    """
+    back, ahead = max([*lag_steps, *window_sizes]) * HOUR, horizon * HOUR
+    block = block_hours * HOUR
+    if block < max(back, ahead):
+        raise ValueError("a block must be as long as the longest lag, window and horizon")
+    timed = df.where(F.col(time_col).isNotNull()).withColumn("_pos", _micros(time_col))
+    blk = F.floor(F.col("_pos") / F.lit(block))
+    off = F.col("_pos") - blk * F.lit(block)
+    home = F.struct(blk.alias("b"), F.lit(True).alias("h"))
+    to_next = F.when(off >= F.lit(block - back), F.struct((blk + 1).alias("b"), F.lit(False).alias("h")))
+    to_prev = F.when(off <= F.lit(ahead), F.struct((blk - 1).alias("b"), F.lit(False).alias("h")))
+    framed = (timed.withColumn("_t", F.explode(F.filter(F.array(home, to_next, to_prev), lambda x: x.isNotNull())))
+              .withColumn("_blk", F.col("_t.b")).withColumn("_home", F.col("_t.h")).drop("_t"))
+    w = Window.partitionBy(place, "_blk").orderBy("_pos")
+
+    def at(c: str, hours: int) -> Column:
+        return F.first(c).over(w.rangeBetween(hours * HOUR, hours * HOUR))
+
+    means = {}
+    for c in [c for c in cols if c != label]:
+        for size in window_sizes:
+            frame = w.rangeBetween(-size * HOUR, -1)
+            means[window_name(c, size)] = F.when(F.count(F.col(c)).over(frame) >= F.lit(min_periods(size)), F.avg(F.col(c)).over(frame))
+    out = framed.select("*", (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) > 1).alias("_dup"),
+                        at(label, horizon).alias(f"target_{label}_{horizon}h"),
+                        *[at(c, -k).alias(lag_name(c, k)) for c in cols for k in lag_steps],
+                        *[e.alias(n) for n, e in means.items()])
+    return finish_frame(out)
+
+
 def add_calendar(df: DataFrame, time_col: str = DATETIME) -> DataFrame:
     cal = calendar_columns(time_col)
     return df.select("*", *[cal[n].alias(n) for n in CALENDAR_COLS])

@@ -98,6 +98,16 @@ def q_forecast_features(spark, sf_dir):
     return round_doubles(forecast_frame(spark, sf_dir).select(*FORECAST_COLS))
 
 
+EXACT_COLS = ["datetime", CITY, TARGET, *NUMERIC_LAG_COLS, *LABEL_LAG_COLS, *WINDOW_COLS]
+
+
+def q_exact_time_features(spark, sf_dir):
+    """Features by time on the hourly rows that have values, so there are gaps; blocks of four days."""
+    merged = reshape.join_metrics(_wide_tables(spark, sf_dir))
+    rows = merged.dropna(subset=["temperature"]).withColumn(LABEL, classify_description(LABEL))
+    return round_doubles(windows.exact_time_features(rows, block_hours=96).select(*EXACT_COLS))
+
+
 def q_label_counts(spark, sf_dir):
     return metrics.label_counts(cleaned_obs(spark, sf_dir))
 
@@ -662,6 +672,7 @@ def queries() -> dict[str, Query]:
         "rolling_means": q_rolling_means,
         "calendar_features": q_calendar_features,
         "forecast_features": q_forecast_features,
+        "exact_time_features": q_exact_time_features,
         "label_counts": q_label_counts,
         "label_shares": q_label_shares,
         "label_domain": q_label_domain,

@@ -118,6 +118,17 @@ def _double_cols():
         "hour_sin", "hour_cos", "dayofyear_sin", "dayofyear_cos"}
 
 
+def _exact_sql(col: str, hours: int) -> str:
+    """The value exactly ``hours`` hours later (earlier if negative)."""
+    bound = f"INTERVAL {abs(hours)} HOURS {'FOLLOWING' if hours > 0 else 'PRECEDING'}"
+    return f"first({col}) OVER ({W} RANGE BETWEEN {bound} AND {bound})"
+
+
+def _exact_mean_sql(col: str, size: int) -> str:
+    frame = f"({W} RANGE BETWEEN INTERVAL {size} HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+    return f"CASE WHEN count({col}) OVER {frame} >= {MIN_PERIODS[size]} THEN avg({col}) OVER {frame} END"
+
+
 FEAT = (f"feat AS (SELECT *, lead(weather_condition, 24) OVER ({W}) AS {TARGET}, "
         + ", ".join(f"{_lag_sql(c, k)} AS {lag_name(c, k)}" for c in [*METRICS, "weather_condition"]
                     for k in LAG_STEPS)
@@ -232,6 +243,12 @@ def source_queries() -> dict[str, str]:
         + (f"{rnd(m)} AS value, CAST(NULL AS VARCHAR) AS value_text" if m in numbers
            else f"CAST(NULL AS DOUBLE) AS value, {m} AS value_text") + " FROM lng" for m in WIDE)
     q["join_metrics"] = with_(OBS, HOURLY, GRID, LONG) + f"SELECT {_select(MERGED_COLS, _MERGED_DOUBLES)} FROM lng"
+    classed = f"x AS (SELECT * REPLACE ({classify_sql('weather_condition')} AS weather_condition) FROM lng WHERE temperature IS NOT NULL)"
+    q["exact_time_features"] = with_(OBS, HOURLY, GRID, LONG, classed) + (
+        f"SELECT datetime, City, {_exact_sql('weather_condition', 24)} AS {TARGET}, "
+        + ", ".join((rnd(_exact_sql(c, -k)) if c in METRICS else _exact_sql(c, -k)) + f" AS {lag_name(c, k)}"
+                    for c in [*METRICS, "weather_condition"] for k in LAG_STEPS) + ", "
+        + ", ".join(f"{rnd(_exact_mean_sql(c, s))} AS {window_name(c, s)}" for c in METRICS for s in WINDOW_SIZES) + " FROM x")
     q["join_places"] = (with_(OBS, HOURLY, GRID, LONG, PLACES)
                         + f"SELECT {_select(MERGED_COLS + ['Latitude', 'Longitude'], _MERGED_DOUBLES)} "
                           "FROM lng JOIN places USING (City)")
