@@ -10,9 +10,15 @@ each set of archives), and readers split the files at it.
 Reading. Headers are parsed and checked: the block must have the stated length, and the digest
 of a response's payload must be the stated one; anything else is an error.
 
+Archives of others. ``read_warc`` reads any WARC 1.x file, plain, gzipped as a whole or record by
+record, as a stream of its records by their Content-Length, with the place of each in its file.
+It gives the same columns, so foreign captures go into the same index. Each file is one task's
+stream, of which it holds one record at a time.
+
 Index. The captures read from each part of the archives are sorted into a run and written.
-Runs are dealt by ranges of (URL key, time, id), and each range merges its slices of the runs
-with a loser tree. The result is globally ordered by URL key and time.
+Runs are dealt by ranges of (URL key, time, id) of about ``RANGE_ROWS`` entries, however many there
+are in all (an entry's number makes its key unique, so no key can fill a range), and each range
+merges its slices of the runs with a loser tree. The result is globally ordered by URL key and time.
 
 Defined cases: a null payload is the empty one, and empty payloads are equal to each other;
 rows with a null id are responses that nothing refers to; rows that repeat an id with an equal
@@ -23,18 +29,26 @@ empty index; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyframe.session import scratch_path
 
 from .common import materialise, shuffle_partitions
 
 CRLF = "\r\n"
+CHUNK = 1 << 20  # bytes read at once
+RANGE_ROWS = 100_000  # index entries that a merging task holds, about
 # fixed values: digits of base 32 as Spark's conv writes them, and as RFC 4648 does
 CONV_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -135,6 +149,134 @@ def read_archives(spark: SparkSession, path: str, mark: str) -> DataFrame:
         "payload", "archive")
 
 
+class _Bytes:
+    """Bytes of a WARC file, unzipped where it is gzipped, read in order."""
+
+    def __init__(self, stream):
+        self.stream, self.buffer, self.at = stream, b"", 0  # at: place of the buffer's begin
+        self.packed, self.member, self.zipped = b"", 0, None  # member: place of the gzip member being read
+        self.read_from = 0
+        self.unzip = None
+
+    def _more(self) -> bool:
+        chunk = self.packed or self.stream.read(CHUNK)
+        self.packed = b""
+        if not chunk:
+            if self.unzip is not None and not self.unzip.eof:
+                raise ValueError("the archive ends within a gzip member")
+            return False
+        if self.zipped is None:
+            self.zipped = chunk[:2] == b"\x1f\x8b"
+        if not self.zipped:
+            self.buffer += chunk
+            return True
+        if self.unzip is None or self.unzip.eof:
+            self.unzip, self.member = zlib.decompressobj(31), self.read_from
+        self.buffer += self.unzip.decompress(chunk)
+        self.packed = self.unzip.unused_data
+        self.read_from += len(chunk) - len(self.packed)
+        return True
+
+    def place(self) -> int:
+        """Place of the record that begins here: of its gzip member, or of its first byte."""
+        while not self.buffer and self._more():
+            pass
+        return self.member if self.zipped else self.at
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.buffer], len(self.buffer)
+        while have < n:
+            self.buffer = b""
+            if not self._more():
+                break
+            parts.append(self.buffer)
+            have += len(self.buffer)
+        whole = b"".join(parts)
+        self.buffer = whole[n:]
+        self.at += min(n, len(whole))
+        return whole[:n]
+
+    def line(self) -> bytes:
+        while b"\n" not in self.buffer and self._more():
+            pass
+        end = self.buffer.find(b"\n")
+        return self.take(end + 1 if end >= 0 else len(self.buffer))
+
+
+def warc_records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(place, fields, block) of the records of one file; field names in lower case, of a repeated one
+    the first."""
+    source = _Bytes(stream)
+    while True:
+        place, line = source.place(), source.line()
+        while line in (b"\r\n", b"\n"):
+            place, line = source.place(), source.line()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {place}")
+        fields: dict[str, str] = {}
+        while (line := source.line().rstrip(b"\r\n")):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields.setdefault(name.strip().lower(), value.strip())
+        length = int(fields["content-length"])
+        block = source.take(length)
+        if len(block) < length:
+            raise ValueError(f"the record at {place} is cut off")
+        yield place, fields, block
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Captures of all WARC files under ``path``, with the columns of ``read_archives`` and ``offset``. The
+    payload is what follows the HTTP header, or the whole block of records that hold no HTTP
+    message; transfer codings are not undone. Page ids are those that archives of this library name."""
+    schema = T.StructType([T.StructField(n, t) for n, t in (
+        ("url", T.StringType()), ("date", T.StringType()), ("record_type", T.StringType()), ("record_id", T.StringType()),
+        ("refers", T.StringType()), ("payload_digest", T.StringType()), ("payload_bytes", T.LongType()),
+        ("payload", T.BinaryType()), ("archive", T.StringType()), ("offset", T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                files, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                rows, size = [], 0
+                with files.open_input_stream(name, compression=None) as stream:
+                    for place, fields, block in warc_records(stream):
+                        kind = fields.get("warc-type", "")
+                        http = fields.get("content-type", "").startswith("application/http")
+                        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+                        told = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)", head)
+                        payload = None if kind == "revisit" else body
+                        digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if payload is not None else (
+                            fields.get("warc-payload-digest", "").rpartition(":")[2] or None)
+                        n = len(body) if payload is not None else int(told[1]) if told else None
+                        rows.append((fields.get("warc-target-uri", "").strip("<>") or None, fields.get("warc-date"), kind,
+                                     fields.get("warc-record-id"), fields.get("warc-refers-to"), digest, n, payload,
+                                     uri.rpartition("/")[2], place))
+                        size += len(block)
+                        if size > 16 * CHUNK or len(rows) >= 1000:
+                            yield _batch(rows, schema)
+                            rows, size = [], 0
+                if rows:
+                    yield _batch(rows, schema)
+
+    paths = spark.read.format("binaryFile").load(path).select("path")  # the content is not read here
+    n = max(1, min(paths.count(), 1 << 16))
+    rows = paths.repartition(n, "path").mapInArrow(run, schema)
+
+    def page(name: str) -> Column:
+        return F.regexp_extract(name, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+
+    return rows.select(page("record_id").alias("page_id"), "url", F.try_to_timestamp("date").alias("time"), "record_type",
+                       page("refers").alias("refers_to"), "payload_digest", "payload_bytes", "payload", "archive", "offset")
+
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(zip(*rows), schema)],
+                                      names=schema.names)
+
+
 class LoserTree:
     """Merges sorted runs: each inner node keeps the loser of its match, the winner moves up."""
 
@@ -187,9 +329,9 @@ def sorted_runs(captures: DataFrame) -> DataFrame:
     return materialise(entries.sortWithinPartitions(*ORDER), "warc-runs")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures ordered by URL key and time: partitions are ranges, each one merged."""
-    n = shuffle_partitions(runs.sparkSession)
+    n = max(shuffle_partitions(runs.sparkSession), -(-runs.count() // range_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
