@@ -99,7 +99,7 @@ def candidates(docs: DataFrame, known: dict[int, np.ndarray], n: int, k: int) ->
                 [*batch.columns[:3], pa.array(size), pa.array(hits, pa.list_(HIT))],
                 names=["row", "doc_id", "text_hash", "n_words", "hits"])
 
-    return (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return (docs.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
             .mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, "
                              "hits array<struct<start:long,length:int,words:string>>"))
 
@@ -124,11 +124,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5, sh
     phrases = materialise(windows.select("words").distinct(), "decon-phrases")
     keys = windows.select("length", "fingerprint").distinct()
     blocks = max(1, -(-keys.count() // block))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if blocks > 1:  # several scans must give a row the same number
+        numbered = materialise(numbered, "decon-documents")
     scans = []
     for b in range(blocks):
         known = keys.where(F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)) == b).toPandas()
         arrays = {int(length): np.sort(v.to_numpy(np.int64).view(np.uint64)) for length, v in known.groupby("length")["fingerprint"]}
-        scans.append(materialise(candidates(docs, arrays, n, k), "decon-candidates"))
+        scans.append(materialise(candidates(numbered, arrays, n, k), "decon-candidates"))
     hits = scans[0]
     for other in scans[1:]:
         hits = hits.unionByName(other)

