@@ -6,6 +6,7 @@ with doubles rounded to 8 decimals so results compare exactly with the oracle.
 
 from __future__ import annotations
 
+import datetime
 import math
 from collections.abc import Callable
 
@@ -233,9 +234,9 @@ def q_unit_conversions(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def q_merge_day_into_base(spark, sf_dir):
-    """Create the history, merge one day of the store into it, read it back."""
+    """Create the history of all days, merge one day of the store into it, read it back."""
     path = fx.scratch(spark, "history")
-    store.create_history(fx.store_base(spark, sf_dir), path)
+    store.create_history(fx.store_rows(spark, sf_dir), path)
     store.merge_day_into_history(spark, path, fx.store_batch(spark, sf_dir), fx.MERGE_DAY, fx.scratch(spark, "merge_staging"))
     return round_doubles(files.read_store(spark, path))
 
@@ -410,11 +411,12 @@ def q_score_fallback(spark, sf_dir):
 
 
 def q_train_incremental(spark, sf_dir):
-    """MLP fitted on days 1-20 and continued on day 21 (warm start): classes and scaler stay,
-    weights move."""
-    day = F.dayofmonth("datetime")
-    model, sp = _fitted(spark, sf_dir, "mlp", where=day <= 20)
-    rows = training_table(spark, sf_dir).where(day == 21)
+    """MLP fitted on all days but the last and continued on that (warm start): classes and scaler
+    stay, weights move."""
+    day = F.to_date("datetime")
+    last = training_table(spark, sf_dir).agg(F.max(day).alias("d")).first()["d"]
+    model, sp = _fitted(spark, sf_dir, "mlp", where=day < F.lit(last))
+    rows = training_table(spark, sf_dir).where(day == F.lit(last))
     updated = modeling.train_incremental(model, rows, classify_label=False)
     moved = bool((model.stages[2].weights.toArray() != updated.stages[2].weights.toArray()).any())
     return rows.agg(F.count(F.lit(1)).alias("n_day")).select(
@@ -518,19 +520,19 @@ def q_boost_losses(spark, sf_dir):
 
 
 def q_boost_update(spark, sf_dir):
-    """The day's update from the store: a model of the history's first twenty days is continued on the
-    twenty-first, and on a day that is not there."""
+    """The day's update from the store: a model of the history but for its last day is continued on
+    that, and on a day that is not there."""
     path, root = fx.scratch(spark, "history"), fx.scratch(spark, "update_models")
     store.create_history(fx.store_rows(spark, sf_dir), path)
     history = files.read_store(spark, path)
-    past = modeling.prepare(history.where(F.dayofmonth("datetime") <= 20))
+    day = history.agg(F.to_date(F.max("datetime")).alias("d")).first()["d"]
+    past = modeling.prepare(history.where(F.to_date("datetime") < F.lit(day)))
     labels, stats = encoding.fit_labels(past, [LABEL]), encoding.fit_scaler(past, FEATURES)
     params, _ = modeling.resolve_params({**BOOST, "n_estimators": 3}, algorithm="softmax_boost")
     modeling.save_model(modeling.train_classifier(past, labels, stats, params, "softmax_boost"), root)
     before = modeling.load_latest(root)
-    day = history.agg(F.to_date(F.min("datetime")).alias("d")).first()["d"].replace(day=21)
     done = modeling.update_from_store(spark, path, day, root, {**BOOST, "n_estimators": 2})
-    none = modeling.update_from_store(spark, path, day.replace(year=day.year + 1), root, BOOST)
+    none = modeling.update_from_store(spark, path, day + datetime.timedelta(days=366), root, BOOST)
     after = modeling.load_latest(root)
     kept = all((a == b).all() for old, new in zip(before.rounds, after.rounds) for s, t in zip(old, new) for a, b in zip(s, t))
     rows = modeling.prepare(store.day_of_store(spark, path, day))

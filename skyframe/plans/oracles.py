@@ -376,7 +376,7 @@ def store_and_ml_queries() -> dict[str, str]:
                                                 for c in STORE_VALUE_COLS])
     q["merge_day_into_base"] = (with_(*STORE_CTES) + f"""SELECT {sel} FROM (
   SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY src DESC, seq DESC) AS rn FROM (
-    SELECT *, 0 AS src FROM base
+    SELECT *, 0 AS src FROM ({store_rows_sql(False)}) r
     UNION ALL SELECT *, 1 AS src FROM batch WHERE CAST(datetime AS DATE) = DATE '2024-01-18') u) x WHERE rn = 1""")
     up = with_(*STORE_CTES) + f"SELECT {_upsert_select()} FROM tgt t FULL JOIN bd b ON t.datetime = b.datetime AND t.province = b.province"
     q["upsert_store"] = up
@@ -473,9 +473,9 @@ UNION ALL SELECT 'failed', NULL, NULL, NULL, (SELECT string_agg(DISTINCT weather
        ELSE 'predicted (fallback)' END AS condition_source,
   CASE WHEN c <> 'unknown' THEN c END AS api_condition, c = 'unknown' AND obs_id % 50 = 7 AS still_unknown
 FROM (SELECT o.obs_id, {cond} AS c FROM obs o JOIN places p ON p.City = o.City WHERE o.obs_id % 50 <> 0) x"""
-    q["train_incremental"] = with_(*base) + """SELECT count(*) FILTER (WHERE day(datetime) = 21) AS n_day,
-  string_agg(DISTINCT weather_condition, ',' ORDER BY weather_condition) FILTER (WHERE day(datetime) <= 20) AS classes,
-  TRUE AS scaler_kept, TRUE AS weights_moved FROM tt"""
+    q["train_incremental"] = with_(*base) + """SELECT count(*) FILTER (WHERE d = last) AS n_day,
+  string_agg(DISTINCT weather_condition, ',' ORDER BY weather_condition) FILTER (WHERE d < last) AS classes,
+  TRUE AS scaler_kept, TRUE AS weights_moved FROM (SELECT *, CAST(datetime AS DATE) AS d, max(CAST(datetime AS DATE)) OVER () AS last FROM tt) x"""
     q["model_roundtrip"] = with_(*base, SPLIT) + "SELECT obs_id, TRUE AS same_prediction FROM sp WHERE split = 'test'"
 
     feat = FEAT.replace(" FROM clean)", " FROM clean JOIN places USING (City))")
@@ -528,7 +528,7 @@ def boosting_queries() -> dict[str, str]:
     last = "(SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn FROM (" + store_rows_sql(False) + ") r)"
     q["boost_update"] = f"""WITH hist AS (SELECT * FROM {last} x WHERE rn = 1 AND weather_condition <> 'unknown')
 SELECT 'completed' AS status, count(*) AS n_rows, 'v=1' AS from_version, 'v=2' AS version, 3 AS rounds_before, 5 AS rounds_after,
-  TRUE AS trees_kept, TRUE AS fits_the_day_better FROM hist WHERE day(datetime) = 21
+  TRUE AS trees_kept, TRUE AS fits_the_day_better FROM hist WHERE CAST(datetime AS DATE) = (SELECT max(CAST(datetime AS DATE)) FROM {last} y)
 UNION ALL SELECT 'no data', 0, 'v=2', NULL, 3, 5, TRUE, TRUE"""
     cls = classify_sql("weather_condition")
     known = " AND ".join(f"{m} IS NOT NULL" for m in METRICS)

@@ -122,3 +122,36 @@ def test_equal_order_is_an_error(spark):
         with pytest.raises(Exception, match="equal in order"):
             windows.add_lags(df, strategy=strategy).collect()
     assert windows.add_lags(df, tiebreak=["obs_id"]).count() == 6
+
+
+def test_exact_time_features_on_gappy_data(spark):
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skyframe.operators import windows
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(p, start + dt.timedelta(hours=h), float(rng.randrange(50)), rng.choice(["sunny", "rainy"]))
+            for p in ("A", "B") for h in range(400) if rng.random() < 0.7]
+    rows.append(("A", None, 1.0, "sunny"))
+    df = spark.createDataFrame(rows, "City string, datetime timestamp_ntz, humidity double, weather_condition string")
+    out = windows.exact_time_features(df, cols=("humidity", "weather_condition"), lag_steps=(1, 48), window_sizes=(6,), block_hours=48)
+    at = {(p, t): (v, c) for p, t, v, c in rows}
+    got = out.collect()
+    assert len(got) == len(rows) - 1
+    for r in got:
+        def back(h):
+            return at.get((r.City, r.datetime - dt.timedelta(hours=h)), (None, None))
+        assert (r.humidity_lag_1h, r.weather_condition_lag_1h) == back(1) and r.humidity_lag_48h == back(48)[0]
+        assert r.target_weather_condition_24h == back(-24)[1]
+        seen = [v for v in (back(h)[0] for h in range(1, 7)) if v is not None]
+        want = sum(seen) / len(seen) if len(seen) >= 3 else None
+        mean = r[windows.window_name("humidity", 6)]
+        assert (mean is None) == (want is None) and (want is None or abs(mean - want) < 1e-9)
+    twice = df.unionByName(df.where("City = 'A'").limit(1))
+    with pytest.raises(Exception, match="equal in order"):
+        windows.exact_time_features(twice, cols=("humidity", "weather_condition"), lag_steps=(1,), window_sizes=(6,)).select(F.count("City")).collect()
+    with pytest.raises(ValueError):
+        windows.exact_time_features(df, block_hours=10)
