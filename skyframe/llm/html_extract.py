@@ -315,7 +315,8 @@ def train(pages: DataFrame, pages_wanted: int = 500, blocks: int = 8000, pull: f
     count = pages.count()
     share = -(-count // pages_wanted) if count else 1
     chosen = pages.where(F.pmod(F.xxhash64("html"), F.lit(share)) == 0).select("html")
-    rows = (labelled_blocks(chosen).withColumn("h", F.xxhash64("text", "features", "content"))
+    # distinct, so that a page with many copies is one
+    rows = (labelled_blocks(chosen).distinct().withColumn("h", F.xxhash64("text", "features", "content"))
             .orderBy("h").limit(blocks).select("features", "content").toPandas())
     return fit(np.array(rows["features"].tolist()).reshape(-1, len(FEATURES)), rows["content"].to_numpy(dtype=float), pull)
 
