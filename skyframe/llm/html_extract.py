@@ -51,7 +51,7 @@ SCOPE = frozenset("ul ol menu dir dl table tbody thead tfoot body html".split())
 BAD_TAGS = frozenset("nav footer aside dialog menu form".split())
 # words of class and id attributes that name a part of a page
 BAD_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments
-    consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header legal login masthead menu meta modal
+    complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus footer form gdpr header legal login masthead menu meta modal
     nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies
     reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser teasers
     toolbar topbar widget widgets""".split())
@@ -157,6 +157,8 @@ class _Reader(HTMLParser):
         node = Node(tag, parent, nodes[parent].depth + 1)
         words = {w.lower() for name in ("class", "id", "role") for w in WORDS_OF_NAME.findall(attrs.get(name) or "")}
         inside = {nodes[i].tag for i in self.open[-64:]}
+        if inside & {"article", "main"}:
+            words.discard("header")  # of the article, which holds its title
         node.good = tag in ("article", "main") and not inside & {"article", *BAD_TAGS}
         node.bad = (tag in BAD_TAGS or tag == "article" and "article" in inside
                     or tag == "header" and not inside & {"article", "main"}

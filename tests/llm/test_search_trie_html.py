@@ -251,6 +251,12 @@ def test_names_on_wrappers_do_not_condemn_the_article():
     assert html_extract.main_text(page, html_extract.START) == "Text of the page, in one sentence."
 
 
+def test_an_articles_own_header_is_content():
+    page = ('<div class="header"><p>The name of the site, and its motto.</p></div><article><div class="entry-header"><h1>Title</h1></div>'
+            '<p>Text of it, in one sentence.</p><div role="complementary"><p>Something else to read, if you like.</p></div></article>')
+    assert html_extract.main_text(page, html_extract.START) == "Title\n\nText of it, in one sentence."
+
+
 def test_broken_and_odd_pages():
     start = html_extract.START
     assert html_extract.main_text("", start) == ""
