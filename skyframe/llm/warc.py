@@ -2,13 +2,15 @@
 
 Writing. Every page becomes a record: a ``response`` with its payload, or a ``revisit`` of the
 response that has an equal payload. Of the pages with equal payloads of at least
-``min_bytes`` the one with the smallest id is the response. Records are written by Spark's
-text writer, one gzip file per task, so a lost executor's task is simply written again. Each
-record opens with the version line and a mark that no payload can hold (it is drawn anew for
-each set of archives), and readers split the files at it.
+``min_bytes`` the one with the smallest id is the response. Every record is a gzip member of its
+own, so that it can be read from its place in the file. Files are written by Spark's text
+writer, one per task, so a lost executor's task is simply written again. What stands between two
+records is an empty gzip member with a comment that no record can hold (the archives' mark,
+drawn anew for each set of archives): other readers see nothing there, ours split the files at it.
 
-Reading. Headers are parsed and checked: the block must have the stated length, and the digest
-of a response's payload must be the stated one; anything else is an error.
+Reading. Files are split at the mark, however large they are. Headers are parsed and checked: the
+block must have the stated length, and the digest of a response's payload must be the stated one;
+anything else is an error. ``fetch`` reads single records by the places that the index gives.
 
 Archives of others. ``read_warc`` reads any WARC 1.x file, plain, gzipped as a whole or record by
 record, as a stream of its records by their Content-Length, with the place of each in its file.
@@ -23,14 +25,16 @@ merges its slices of the runs with a loser tree. The result is globally ordered
 Defined cases: a null payload is the empty one, and empty payloads are equal to each other;
 rows with a null id are responses that nothing refers to; rows that repeat an id with an equal
 payload are of the same type; a null URL is left out of the record and sorts first; line
-breaks in URLs are percent-encoded; a null capture time is the epoch; an empty table gives an
-empty index; other columns are ignored.
+breaks in URLs are percent-encoded, blanks around them dropped, bytes of them that are not
+UTF-8 become U+FFFD; a null capture time is the epoch, and times are kept to the second; an empty
+table gives an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -48,7 +52,9 @@ from .common import materialise, shuffle_partitions
 
 CRLF = "\r\n"
 CHUNK = 1 << 20  # bytes read at once
+BATCH_BYTES = 16 * CHUNK  # of blocks in a batch that a task returns, about
 RANGE_ROWS = 100_000  # index entries that a merging task holds, about
+PLACE = "X-Member-Offset"  # field of our records: where the record's gzip member begins in its file
 # fixed values: digits of base 32 as Spark's conv writes them, and as RFC 4648 does
 CONV_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -82,10 +88,18 @@ def with_types(pages: DataFrame, min_bytes: int) -> DataFrame:
             .withColumn("digest", base32_sha1(F.col("payload"))))
 
 
+def new_mark() -> bytes:
+    """An empty gzip member with a comment of its own (flag 16: a comment follows the header)."""
+    return b"\x1f\x8b\x08\x10\0\0\0\0\0\xff" + uuid.uuid4().hex.encode() + b"\0" + b"\x03\0" + bytes(8)
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
-    """Write (page_id, url, html, captured) under ``path``; returns the archives' mark."""
-    mark = f"WARC/1.1{CRLF}WARC-Archive-Mark: {uuid.uuid4().hex}{CRLF}"
-    time = F.coalesce(F.col("captured"), F.timestamp_seconds(F.lit(0)))
+    """Write (page_id, url, html, captured) under ``path``; returns the archives' mark (its bytes as
+    ISO-8859-1)."""
+    mark = new_mark()
+    seconds = F.unix_seconds(F.coalesce(F.col("captured"), F.timestamp_seconds(F.lit(0))))
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    date = F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     safe_url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
     def name(page: Column) -> Column:
@@ -99,54 +113,148 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
     revisit = F.col("first").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("n"))
-    record = F.concat(
-        F.lit(mark), field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+    head = F.concat(
+        F.lit(f"WARC/1.1{CRLF}"), field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         field("WARC-Record-ID", name(F.col("page_id"))), field("WARC-Target-URI", safe_url),
-        field("WARC-Date", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        field("WARC-Date", date),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(revisit, field("WARC-Refers-To", name(F.col("first")))).otherwise(F.lit("")),
         field("Content-Type", F.lit("application/http; msgtype=response")),
-        field("Content-Length", length.cast("string")), F.lit(CRLF), block)
-    (with_types(pages, min_bytes).select(record.alias("value"))
-     .write.options(lineSep=CRLF * 2, compression="gzip").text(path))
-    return mark
-
-
-def read_archives(spark: SparkSession, path: str, mark: str) -> DataFrame:
-    """Captures: page_id, url, time, record_type, refers_to, payload_digest, payload_bytes,
-    payload (null for revisits) and archive (the file)."""
-    raw = (spark.read.option("lineSep", mark).text(path)
-           .select("value", F.col("_metadata.file_name").alias("archive")).where(F.octet_length("value") > 0))
-    head = F.substring_index("value", CRLF * 2, 1)
-    rows = raw.select("archive", head.alias("head"), F.octet_length("value").alias("total"),
-                      F.col("value").cast("binary").alias("bytes"))
-
-    def field(key: str) -> Column:
-        return F.regexp_extract(F.concat(F.lit(CRLF), "head"), rf"\r\n{key}: ([^\r\n]*)", 1)
-
-    def page(key: str) -> Column:
-        return F.regexp_extract(field(key), r"^<urn:page:(-?[0-9]+)>$", 1)
-
-    rows = rows.withColumn("begin", F.octet_length("head") + 4).withColumn("length", field("Content-Length").cast("int"))
-    whole = F.col("begin") + F.col("length") + 4 == F.col("total")
-    rows = rows.withColumn("block", F.when(whole, F.expr("substring(bytes, begin + 1, length)")).otherwise(
-        F.raise_error(F.concat(F.lit("damaged record in "), "archive")).cast("binary")))
-    http = F.substring_index(F.col("block").cast("string"), CRLF * 2, 1)
-    rows = rows.withColumn("http", http).withColumn("type", field("WARC-Type"))
-    payload = F.when(F.col("type") == "response", F.expr("substring(block, octet_length(http) + 5, length)"))
-    rows = rows.withColumn("payload", payload).withColumn("stated", F.substring_index(field("WARC-Payload-Digest"), ":", -1))
-    seen = F.when(F.col("payload").isNull(), F.col("stated")).otherwise(base32_sha1(F.col("payload")))
-    digest = F.when(seen == F.col("stated"), seen).otherwise(
-        F.raise_error(F.concat(F.lit("wrong payload digest in "), "archive")))
-    url = F.regexp_extract(F.concat(F.lit(CRLF), "head"), r"\r\nWARC-Target-URI: ([^\r\n]*)", 0)
-    return rows.select(
-        page("WARC-Record-ID").try_cast("long").alias("page_id"),
-        F.when(url != "", field("WARC-Target-URI")).alias("url"),
-        F.to_timestamp(field("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.col("type").alias("record_type"),
-        page("WARC-Refers-To").try_cast("long").alias("refers_to"), digest.alias("payload_digest"),
-        F.coalesce(F.octet_length("payload").cast("long"),
-                   F.regexp_extract("http", r"\r\nContent-Length: ([0-9]+)", 1).cast("long")).alias("payload_bytes"),
-        "payload", "archive")
+        field("Content-Length", length.cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0  # a task writes one file
+        for batch in batches:
+            out, size = [], 0
+            for head, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                zipper = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = b"".join([zipper.compress(head), zipper.compress(b"%s: %d\r\n\r\n" % (PLACE.encode(), place)),
+                                   zipper.compress(block), zipper.compress(b"\r\n\r\n"), zipper.flush()])
+                place += len(member) + len(mark)
+                size += len(member)
+                out.append(member)
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+
+    members = with_types(pages, min_bytes).select(head.cast("binary").alias("head"), block.cast("binary").alias("block"))
+    (members.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write
+     .options(lineSep=mark.decode("latin-1"), encoding="ISO-8859-1", compression="none", maxRecordsPerFile=0).text(path))
+    return mark.decode("latin-1")
+
+
+CAPTURES = T.StructType([T.StructField(n, t) for n, t in (
+    ("url", T.StringType()), ("date", T.StringType()), ("record_type", T.StringType()), ("record_id", T.StringType()),
+    ("refers", T.StringType()), ("payload_digest", T.StringType()), ("payload_bytes", T.LongType()),
+    ("payload", T.BinaryType()), ("archive", T.StringType()), ("offset", T.LongType()), ("length", T.LongType()))])
+
+
+def _sha1(body: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+
+def _capture(fields: dict[str, str], block: bytes) -> tuple:
+    """Columns of a record up to its payload. The payload is what follows the HTTP header, or the
+    whole block if it holds no HTTP message; revisits have none."""
+    kind = fields.get("warc-type", "")
+    http = fields.get("content-type", "").startswith("application/http")
+    head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    stated = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
+    if kind == "revisit":
+        told = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)", head)
+        digest, n, body = stated, int(told[1]) if told else None, None
+    else:
+        digest, n = _sha1(body), len(body)
+    return (fields.get("warc-target-uri"), fields.get("warc-date"), kind, fields.get("warc-record-id"),
+            fields.get("warc-refers-to"), digest, n, body)
+
+
+def _own_capture(member: bytes, archive: str) -> tuple:
+    """``_capture`` of one of our records, which must be whole and hold what it says, and its place."""
+    try:
+        (_, fields, block), = warc_records(io.BytesIO(member))
+        place = int(fields[PLACE.lower()])
+    except (ValueError, KeyError, zlib.error) as e:
+        raise ValueError(f"damaged record in {archive}: {e}") from e
+    row = _capture(fields, block)
+    if row[2] != "revisit" and row[5] != fields.get("warc-payload-digest", "").rpartition(":")[2]:
+        raise ValueError(f"wrong payload digest in {archive} at {place}")
+    return (*row, archive, place, len(member))
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[7] or b"")
+        if size > BATCH_BYTES or len(some) >= 1000:
+            yield _batch(some)
+            some, size = [], 0
+    if some:
+        yield _batch(some)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(zip(*rows), CAPTURES)],
+                                      names=CAPTURES.names)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    def page(name: str) -> Column:
+        return F.regexp_extract(name, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+
+    return rows.select(page("record_id").alias("page_id"), "url", F.try_to_timestamp("date").alias("time"), "record_type",
+                       page("refers").alias("refers_to"), "payload_digest", "payload_bytes", "payload", "archive", "offset",
+                       "length")
+
+
+def read_archives(spark: SparkSession, path: str, mark: str, payloads: bool = True) -> DataFrame:
+    """Captures: page_id, url, time, record_type, refers_to, payload_digest, payload_bytes, payload (null for
+    revisits, and for all without ``payloads``), archive (the file), and offset and length of the record in it."""
+    raw = (spark.read.options(lineSep=mark, encoding="ISO-8859-1").text(path)
+           .select(F.col("value").cast("binary").alias("member"), F.col("_metadata.file_name").alias("archive")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for member, archive in zip(batch.column(0), batch.column(1)):
+                    row = _own_capture(member.as_py(), archive.as_py())
+                    yield row if payloads else (*row[:7], None, *row[8:])
+
+        yield from _batches(rows())
+
+    return _named(raw.mapInArrow(run, CAPTURES))
+
+
+def fetch(captures: DataFrame, path: str) -> DataFrame:
+    """Rows of ``read_archives`` for ``captures`` (archive, offset, length; other columns are ignored): each record is read from
+    its place in the archives under ``path`` alone. Rows that repeat are read once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            files, base = _file_system(path)
+            name, stream = None, None
+            for batch in batches:
+                for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                    if archive != name:  # rows come sorted by file
+                        if stream is not None:
+                            stream.close()
+                        name, stream = archive, files.open_input_file(f"{base}/{archive}")
+                    yield _own_capture(stream.read_at(length, offset), archive)
+            if stream is not None:
+                stream.close()
+
+        yield from _batches(rows())
+
+    wanted = captures.select("archive", "offset", "length").repartition(shuffle_partitions(captures.sparkSession))
+    return _named(wanted.sortWithinPartitions("archive", "offset").mapInArrow(run, CAPTURES))
+
+
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
 
 class _Bytes:
@@ -218,7 +326,7 @@ def warc_records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
         fields: dict[str, str] = {}
         while (line := source.line().rstrip(b"\r\n")):
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields.setdefault(name.strip().lower(), value.strip())
+            fields.setdefault(name.strip().lower(), value.strip(" \t"))
         length = int(fields["content-length"])
         block = source.take(length)
         if len(block) < length:
@@ -227,54 +335,24 @@ def warc_records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all WARC files under ``path``, with the columns of ``read_archives`` and ``offset``. The
-    payload is what follows the HTTP header, or the whole block of records that hold no HTTP
-    message; transfer codings are not undone. Page ids are those that archives of this library name."""
-    schema = T.StructType([T.StructField(n, t) for n, t in (
-        ("url", T.StringType()), ("date", T.StringType()), ("record_type", T.StringType()), ("record_id", T.StringType()),
-        ("refers", T.StringType()), ("payload_digest", T.StringType()), ("payload_bytes", T.LongType()),
-        ("payload", T.BinaryType()), ("archive", T.StringType()), ("offset", T.LongType()))])
+    """Captures of all WARC files under ``path``, with the columns of ``read_archives`` (``length`` is the block's). Transfer
+    codings are not undone. Page ids are those that archives of this library name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                files, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-                rows, size = [], 0
-                with files.open_input_stream(name, compression=None) as stream:
-                    for place, fields, block in warc_records(stream):
-                        kind = fields.get("warc-type", "")
-                        http = fields.get("content-type", "").startswith("application/http")
-                        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
-                        told = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)", head)
-                        payload = None if kind == "revisit" else body
-                        digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if payload is not None else (
-                            fields.get("warc-payload-digest", "").rpartition(":")[2] or None)
-                        n = len(body) if payload is not None else int(told[1]) if told else None
-                        rows.append((fields.get("warc-target-uri", "").strip("<>") or None, fields.get("warc-date"), kind,
-                                     fields.get("warc-record-id"), fields.get("warc-refers-to"), digest, n, payload,
-                                     uri.rpartition("/")[2], place))
-                        size += len(block)
-                        if size > 16 * CHUNK or len(rows) >= 1000:
-                            yield _batch(rows, schema)
-                            rows, size = [], 0
-                if rows:
-                    yield _batch(rows, schema)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for uri in batch.column(0).to_pylist():
+                    files, name = _file_system(uri)
+                    with files.open_input_stream(name, compression=None) as stream:
+                        for place, fields, block in warc_records(stream):
+                            url, *rest = _capture(fields, block)
+                            yield ((url or "").strip("<>") or None, *rest, uri.rpartition("/")[2], place, len(block))
+
+        yield from _batches(rows())
 
     paths = spark.read.format("binaryFile").load(path).select("path")  # the content is not read here
     n = max(1, min(paths.count(), 1 << 16))
-    rows = paths.repartition(n, "path").mapInArrow(run, schema)
-
-    def page(name: str) -> Column:
-        return F.regexp_extract(name, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-
-    return rows.select(page("record_id").alias("page_id"), "url", F.try_to_timestamp("date").alias("time"), "record_type",
-                       page("refers").alias("refers_to"), "payload_digest", "payload_bytes", "payload", "archive", "offset")
-
-
-def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(zip(*rows), schema)],
-                                      names=schema.names)
+    return _named(paths.repartition(n, "path").mapInArrow(run, CAPTURES))
 
 
 class LoserTree:
@@ -347,8 +425,8 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Write the archives, read them back and return the merged capture index."""
+    """Write the archives, read them back and return the merged capture index, with each record's place."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc-archives")
     mark = write_archives(pages, path, min_bytes)
-    return merge_runs(sorted_runs(read_archives(spark, path, mark)))
+    return merge_runs(sorted_runs(read_archives(spark, path, mark, payloads=False)))

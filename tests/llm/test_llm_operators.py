@@ -1,7 +1,9 @@
 """Every operator on small hand-made tables: nulls, empty and long texts, ties, repeated rows,
 empty tables and columns whose names clash with an operator's own."""
 
+import gzip
 import hashlib
+import io
 import math
 import re
 from collections import Counter, defaultdict
@@ -710,10 +712,23 @@ def test_warc_detects_damage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.b/", "payload")], "page_id long, url string, html string").withColumn("captured", F.current_timestamp())
     path = str(tmp_path / "a")
     mark = warc.write_archives(pages, path)
-    text = spark.read.option("lineSep", mark).text(path).where("length(value) > 0").first().value
-    spark.createDataFrame([(mark + text.replace("payload\r\n", "pAyload\r\n").removesuffix("\r\n\r\n"),)], "value string").write.option("lineSep", "\r\n\r\n").text(str(tmp_path / "b"))
+    file, = [f for f in (tmp_path / "a").glob("part-*") if f.stat().st_size]
+    data, end = file.read_bytes(), mark.encode("latin-1")
+    assert data.endswith(end) and len(list(warc.warc_records(io.BytesIO(data)))) == 1
+    record = gzip.decompress(data)
+
+    def written(to, member):
+        (tmp_path / to).mkdir()
+        (tmp_path / to / "part-0.txt").write_bytes(member + end)
+        return warc.read_archives(spark, str(tmp_path / to), mark)
+
+    assert [bytes(r.payload) for r in written("same", gzip.compress(record)).collect()] == [b"payload"]
     with pytest.raises(Exception, match="wrong payload digest"):
-        warc.read_archives(spark, str(tmp_path / "b"), mark).collect()
+        written("b", gzip.compress(record.replace(b"payload\r\n", b"pAyload\r\n"))).collect()
+    for to, member in {"c": gzip.compress(record.replace(b"payload\r\n", b"pay\r\n")), "d": gzip.compress(record)[:-9],
+                       "e": gzip.compress(record)[:40] + b"???" + gzip.compress(record)[43:]}.items():
+        with pytest.raises(Exception, match="damaged record"):
+            written(to, member).collect()
 
 
 def test_warc_min_bytes_and_empty(spark):

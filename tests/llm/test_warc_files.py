@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import io
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,46 @@ def test_own_archives_are_warc_files(spark, tmp_path):
     def rows_of(df):
         return sorted(map(str, df.select(*columns).collect()))
     assert rows_of(warc.read_warc(spark, path)) == rows_of(warc.read_archives(spark, path, mark))
+
+
+def test_records_are_read_from_their_places(spark, tmp_path):
+    """Files are split anywhere, and every record can be read alone, by us and by gzip."""
+    rows = [(i, f"http://h{i % 9}.example/{i}", "".join(chr(97 + (i * j * j) % 23) for j in range(i % 700))) for i in range(1500)]
+    pages = (spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+             .withColumn("captured", F.timestamp_seconds(F.col("page_id") * 86399)))
+    path = str(tmp_path / "own")
+    mark = warc.write_archives(pages, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000b")
+    try:
+        back = warc.read_archives(spark, path, mark)
+        assert back.rdd.getNumPartitions() > 20
+        got = {r["page_id"]: r for r in back.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 1500
+    assert {r["page_id"]: (r["offset"], r["archive"]) for r in warc.read_warc(spark, path).collect()} == {
+        i: (r["offset"], r["archive"]) for i, r in got.items()}
+    for i in (0, 7, 1499):
+        data = (tmp_path / "own" / got[i]["archive"]).read_bytes()
+        (_, fields, _), = warc.warc_records(io.BytesIO(data[got[i]["offset"]:got[i]["offset"] + got[i]["length"]]))
+        assert fields["warc-record-id"] == f"<urn:page:{i}>"
+    index = warc.merge_runs(warc.sorted_runs(warc.read_archives(spark, path, mark, payloads=False)), range_rows=400)
+    found = warc.fetch(index.where("page_id % 10 = 3"), path).collect()
+    assert len(found) == 150 and all(r == got[r["page_id"]] for r in found)
+
+
+def test_times_are_utc_and_urls_are_kept(spark, tmp_path):
+    rows = [(1, "http://x.example/a b", 1), (2, " http://x.example/ ", 1_700_000_000), (3, None, None), (4, "", -86400)]
+    pages = (spark.createDataFrame(rows, "page_id long, url string, s long").withColumn("captured", F.timestamp_seconds("s"))
+             .withColumn("html", F.lit("x")))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        path = str(tmp_path / "own")
+        mark = warc.write_archives(pages, path)
+        got = warc.read_archives(spark, path, mark).select("page_id", "url", F.unix_seconds("time").alias("s")).orderBy("page_id").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [tuple(r) for r in got] == [(1, "http://x.example/a b", 1), (2, "http://x.example/", 1_700_000_000), (3, None, 0), (4, "", -86400)]
+    dates = [f["warc-date"] for p in (tmp_path / "own").glob("part-*") for _, f, _ in warc.warc_records(io.BytesIO(p.read_bytes()))]
+    assert "2023-11-14T22:13:20Z" in dates and "1969-12-31T00:00:00Z" in dates
