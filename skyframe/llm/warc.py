@@ -173,8 +173,12 @@ def _capture(fields: dict[str, str], block: bytes) -> tuple:
 def _own_capture(member: bytes, archive: str) -> tuple:
     """``_capture`` of one of our records, which must be whole and hold what it says, and its place."""
     try:
-        (_, fields, block), = warc_records(io.BytesIO(member))
+        unzip = zlib.decompressobj(31)
+        record = unzip.decompress(member)
+        (_, fields, block), = warc_records(io.BytesIO(record))
         place = int(fields[PLACE.lower()])
+        if not unzip.eof or unzip.unused_data or len(record) != record.index(b"\r\n\r\n") + len(block) + 8:
+            raise ValueError("not of the stated length")
     except (ValueError, KeyError, zlib.error) as e:
         raise ValueError(f"damaged record in {archive}: {e}") from e
     row = _capture(fields, block)
