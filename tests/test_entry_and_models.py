@@ -172,6 +172,12 @@ def test_retrain_job_outcomes(spark):
     wrong = modeling.retrain_job(spark, tt, "obs_id", root, overrides={"max_depth": 99}, classify_label=False)[0].first()
     assert wrong.status == "failed" and "max_depth" in wrong.message
     assert modeling.load_latest(root) is not None
+    stored = modeling.job_results(spark, root).orderBy("start_time").collect()
+    assert [x.status for x in stored] == ["completed", "failed", "failed"] and stored[0] == r
+    wanted = report.select("label", "precision", "recall", "f1", "support").collect()
+    assert sorted(map(tuple, wanted)) == sorted(map(tuple, stored[0].classification_report))
+    assert modeling.job_report(spark, root, "v=1").count() == len(wanted) and modeling.job_report(spark, root, "v=9").count() == 0
+    assert modeling.job_results(spark, scratch_path(spark, "t_no_job")).count() == 0
 
 
 def test_forecaster_trains_on_balanced_rows(spark):
