@@ -57,6 +57,7 @@ BAD_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner
     toolbar topbar widget widgets""".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
 WORDS_OF_NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+STATE = re.compile(r"(?:has|with|without|no)[-_A-Z]")  # names that tell of a part elsewhere: has-sidebar, noComments
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 FEATURES = ("bias", "words", "short", "links", "sentence", "commas", "heading", "paragraph", "item", "cell", "symbols")
@@ -155,7 +156,8 @@ class _Reader(HTMLParser):
                     break
         parent = self.open[-1]
         node = Node(tag, parent, nodes[parent].depth + 1)
-        words = {w.lower() for name in ("class", "id", "role") for w in WORDS_OF_NAME.findall(attrs.get(name) or "")}
+        words = {w.lower() for name in ("class", "id", "role") for part in (attrs.get(name) or "").split()
+                 if not STATE.match(part) for w in WORDS_OF_NAME.findall(part)}
         inside = {nodes[i].tag for i in self.open[-64:]}
         if inside & {"article", "main"}:
             words.discard("header")  # of the article, which holds its title
@@ -169,6 +171,9 @@ class _Reader(HTMLParser):
         if node.good and tag in ("article", "main"):
             for i in self.open:
                 nodes[i].wraps = True
+        elif tag == "h1":  # a form around the whole page, as some servers write it
+            for i in self.open:
+                nodes[i].wraps |= nodes[i].tag == "form"
         nodes.append(node)
         self.open.append(len(nodes) - 1)
 

@@ -99,7 +99,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.find(docs, pii.train(docs))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
-                      F.sha2("base", 256).alias("base_sha256"), "spans")
+                      F.sha2("base", 256).alias("base_sha256"), "spans",
+                      F.size(F.filter(F.split("spans", ","), lambda s: s != "")).cast("long").alias("n_spans"))
 
 
 def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,7 @@ def test_personal_data_query(spark, texts):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in base) for n in range(4)]
         assert not listed or set(listed.split(",")) <= set(r.spans.split(","))
+        assert r.n_spans == len([s for s in r.spans.split(",") if s])
 
 
 def test_letters_are_signs_of_category_l():

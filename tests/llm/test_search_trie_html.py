@@ -295,6 +295,18 @@ def test_classifier_learns_from_marked_parts():
     assert loss(w) < loss(html_extract.START)
 
 
+def test_names_of_state_and_forms_around_a_page_are_no_parts():
+    prose = ["A first sentence of the page, long enough to be prose of its own.", "And a second one, which says a little more than that."]
+    inner = "<h1>Title of it</h1>" + "".join(f"<p>{p}</p>" for p in prose)
+    want = "\n\n".join(["Title of it", *prose])
+    start = html_extract.START
+    for page in (f'<div class="layout has-sidebar noComments"><div class="post">{inner}</div><div class="sidebar"><p>Read this, and that.</p></div></div>',
+                 f'<form id="page" action="/x"><div class="content">{inner}</div><div class="footer">All rights, in all lands.</div></form>'):
+        assert html_extract.main_text(page, start) == want
+    asked = f'<div class="content">{inner}</div><form><p>Tell us your name, and what you think of it.</p><input></form>'
+    assert html_extract.main_text(asked, start) == want
+
+
 def article(html):
     """The template of the given pages, read with regular expressions."""
     body = re.search(r"<article>(.*?)</article>", html, re.S).group(1)
