@@ -22,8 +22,10 @@ def forecast_rows(observations: DataFrame, key: str = "obs_id", place: str = CIT
 
     ``observations`` are cleaned and have Latitude and Longitude. One vocabulary covers the
     target and its lags; the split is stratified by target. The rows are written once, as the
-    vocabulary, the scaler and the training all read them.
+    vocabulary, the scaler and the training all read them. Rows of a place that share their time
+    are ordered by the key.
     """
+    frame_opts = {"tiebreak": windows.total_order(observations, key, place, time_col), **frame_opts}
     framed = materialise(windows.forecast_features(observations, place, time_col, label, **frame_opts), "forecast-rows")
     labels = encoding.fit_labels(framed, [TARGET, *LABEL_LAG_COLS])
     coded = encoding.encode_labels(framed, labels, [TARGET, *LABEL_LAG_COLS], ENCODED_COLS, "skip")

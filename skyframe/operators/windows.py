@@ -23,7 +23,7 @@ rows) becomes one giant sort. Instead the frame is cut into **blocks of at most
 With ``block_rows >= back + ahead`` every home row sees all rows it needs, so the
 result is identical to the per-place window, while each task handles at most
 ``block_rows + back + ahead`` rows whatever the skew. The halo costs
-``(back + ahead) / block_rows`` extra rows (< 0.02 % at the default).
+``(back + ahead) / block_rows`` extra rows (< 0.2 % at the default).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from ..config import (CALENDAR_COLS, CITY, DATETIME, FORECAST_HORIZON, LABEL, LA
 from ..functions.scalars import calendar_columns
 from ..session import scratch_path
 
-DEFAULT_BLOCK_ROWS = 500_000
+DEFAULT_BLOCK_ROWS = 50_000
 
 _HELPERS = ["_pos", "_blk", "_home", "_dup"]
 
@@ -82,9 +82,15 @@ def blocked_frame(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     """
     parts = list(partition_cols)
     order = [F.col(order_col), *[F.col(c) for c in tiebreak]]
+    # an order over all columns leaves only identical rows equal, and those can change places
+    total = set(df.columns) <= {*parts, order_col, *tiebreak}
+
+    def repeats(w: Window) -> Column:
+        return F.lit(False) if total else _repeats(order, w)
+
     if strategy == "partition":
         w = Window.partitionBy(*parts).orderBy(*order)
-        return df.withColumn("_home", F.lit(True)).withColumn("_dup", _repeats(order, w)), w
+        return df.withColumn("_home", F.lit(True)).withColumn("_dup", repeats(w)), w
     if strategy != "blocked":
         raise ValueError(f"unknown strategy {strategy!r}")
     if block_rows < back + ahead or block_rows < 1:
@@ -99,7 +105,7 @@ def blocked_frame(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     framed = (pos.withColumn("_t", F.explode(targets))
                  .withColumn("_blk", F.col("_t.b")).withColumn("_home", F.col("_t.h")).drop("_t"))
     w = Window.partitionBy(*parts, "_blk").orderBy("_pos")
-    return framed.withColumn("_dup", _repeats(order, w)), w
+    return framed.withColumn("_dup", repeats(w)), w
 
 
 def _repeats(order: Sequence[Column], w: Window) -> Column:
@@ -107,9 +113,14 @@ def _repeats(order: Sequence[Column], w: Window) -> Column:
     return F.lag(F.struct(*order)).over(w).eqNullSafe(F.struct(*order))
 
 
+def total_order(df: DataFrame, key: str, place: str = CITY, time_col: str = DATETIME) -> list[str]:
+    """Tiebreak for rows of a place that share their time: the key, then all other columns."""
+    return [key, *[c for c in df.columns if c not in (key, place, time_col)]]
+
+
 def finish_frame(df: DataFrame) -> DataFrame:
-    """Keep home rows and drop helper columns. An order that leaves rows equal has no defined
-    result and is an error."""
+    """Keep home rows and drop helper columns. An order that leaves rows equal which may differ
+    has no defined result and is an error."""
     unique = F.when(F.col("_dup"), F.raise_error(F.lit("rows of a place are equal in order; pass tiebreak"))
                     .cast("boolean")).otherwise(F.lit(True))
     out = df.where(F.col("_home") & unique)

@@ -124,6 +124,42 @@ def test_equal_order_is_an_error(spark):
     assert windows.add_lags(df, tiebreak=["obs_id"]).count() == 6
 
 
+@pytest.fixture()
+def shared_times(spark, tmp_path):
+    """A folder of events in which two of a station share each time, and one row comes twice."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(12 * i + i % 6, start + dt.timedelta(hours=i // 2), 7 + 10 * (i % 2), "view", float(i % 50), "{}") for i in range(240)]
+    rows.append(rows[100])
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+                          ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(7, "seven", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    return str(tmp_path)
+
+
+def test_queries_order_equal_times_by_key(spark, shared_times):
+    got = [r.asDict() for r in catalog.q_lag_features(spark, shared_times).orderBy("datetime", "obs_id").collect()]
+    rows = catalog.cleaned_obs(spark, shared_times).orderBy("datetime", "obs_id").collect()
+    assert len(got) == len(rows) == 241
+    for i, r in enumerate(got):
+        for k in (1, 48):
+            assert r[f"humidity_lag_{k}h"] == (rows[i - k].humidity if i >= k else None)
+            assert r[f"weather_condition_lag_{k}h"] == (rows[i - k].weather_condition if i >= k else None)
+    lead = catalog.q_lead_target(spark, shared_times).orderBy("datetime", "obs_id").collect()
+    assert [r[TARGET] for r in lead] == [r.weather_condition for r in rows[24:]]
+    means = catalog.q_rolling_means(spark, shared_times).orderBy("datetime", "obs_id").collect()
+    assert abs(means[-1]["humidity_win_6h_mean"] - sum(r.humidity for r in rows[-7:-1]) / 6) < 1e-6
+    framed = catalog.q_forecast_features(spark, shared_times)
+    assert framed.count() == 241 - 72 == catalog.q_encode_labels(spark, shared_times).count()
+    decoded = catalog.q_decode_labels(spark, shared_times)
+    assert framed.select("obs_id", TARGET).exceptAll(decoded).isEmpty()
+    assert catalog.q_label_domain(spark, shared_times).count() == 6
+
+
+def test_forecaster_takes_equal_times(spark, shared_times):
+    rows, labels = catalog._forecast_rows(spark, shared_times)
+    assert rows.count() == 241 - 72 and len(labels) == 6
+
+
 def test_exact_time_features_on_gappy_data(spark):
     import datetime as dt
     import random
