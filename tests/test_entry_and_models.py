@@ -199,3 +199,29 @@ def test_log_loss_clips_and_skips(spark):
     r = metrics.log_loss(df, "y", "p", ["a", "b"]).first()
     import math
     assert r.n == 2 and abs(r.log_loss - (math.log(2) + 52 * math.log(2)) / 2) < 1e-9
+
+
+def test_rows_of_one_file_are_many_tasks(spark, tmp_path, monkeypatch):
+    """Training rows in one row group are dealt evenly; what a task keeps is bounded."""
+    from pyspark.sql import functions as F
+
+    from skyframe import session
+
+    path = f"{tmp_path}/one"
+    spark.range(60_000).select(F.col("id").alias("obs_id"), *[(F.col("id") % 7).cast("double").alias(c) for c in FEATURES],
+                               F.lit("sunny").alias(LABEL)).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    cores = min(spark.sparkContext.defaultParallelism, 6)
+
+    def sizes(df):
+        return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+    assert sizes(rows) == [60_000]
+    assert len(sizes(session.spread(rows))) == cores and max(sizes(session.spread(rows))) <= 60_000 / cores + 10
+    params, _ = modeling.resolve_params({"n_estimators": 200})
+    dealt = modeling._dealt(rows, FEATURES, LABEL, params, "random_forest")
+    assert len(sizes(dealt)) == cores and dealt.columns == [*FEATURES, LABEL]
+    monkeypatch.setattr(modeling, "TASK_BYTES", 2_000_000)
+    many = sizes(modeling._dealt(rows, FEATURES, LABEL, params, "random_forest"))
+    assert sum(many) == 60_000 and max(many) < 2_100
+    assert dealt.select(FEATURES[0]).exceptAll(rows.select(FEATURES[0])).isEmpty()
