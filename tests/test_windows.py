@@ -155,6 +155,17 @@ def test_queries_order_equal_times_by_key(spark, shared_times):
     assert catalog.q_label_domain(spark, shared_times).count() == 6
 
 
+def test_cleaned_rows_of_one_file_are_many_tasks(spark, shared_times, tmp_path):
+    """Rows in one row group are cleaned by several tasks, and once: what orders them reads them twice."""
+    one = tmp_path / "one"
+    few = spark.read.parquet(f"{shared_times}/events.parquet").select("ts", "user_id", "event_type", "value", "props").limit(20)
+    spark.range(1500).withColumnRenamed("id", "event_id").crossJoin(few).coalesce(1).write.parquet(f"{one}/events.parquet")
+    rows, _ = catalog._ordered_obs(spark, str(one))
+    assert not rows.exceptAll(catalog.cleaned_obs(spark, str(one))).count() and rows.count() == 22_500
+    assert len(rows.inputFiles()) == min(spark.sparkContext.defaultParallelism, 3)
+    assert not any("events.parquet" in f for f in rows.inputFiles())
+
+
 def test_forecaster_takes_equal_times(spark, shared_times):
     rows, labels = catalog._forecast_rows(spark, shared_times)
     assert rows.count() == 241 - 72 and len(labels) == 6
