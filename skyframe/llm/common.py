@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from skyframe.session import scratch_path
@@ -25,3 +30,18 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy", **options
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+BATCH_BYTES = 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, cut so that the texts of a slice have at most about ``most`` bytes (a longer
+    text comes at the end of one). Batches are cut by rows: what a task makes of one at once
+    would grow with the length of its texts."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(begin, end - begin)

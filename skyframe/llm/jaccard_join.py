@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import materialise, shuffle_partitions, slices
 from .components import components
 from .words import mix, scan
 
@@ -51,10 +51,13 @@ def band_plan(threshold: float, recall: float = 0.9999, hashes: int = 192) -> tu
     return best
 
 
+SCAN_BYTES = 1 << 18  # a quarter of what the scan takes at once: its arrays are the larger part of a task's memory
+
+
 def gram_sets(texts: list[bytes | None], n: int) -> dict[int, np.ndarray]:
     """Sorted distinct n-gram hashes of every text that has words."""
     parts: dict[int, list[np.ndarray]] = {}
-    for w in scan(texts, n - 1):
+    for w in scan(texts, n - 1, SCAN_BYTES):
         gram, whole = w.gram(n), w.within(n)
         cut = np.flatnonzero(np.diff(w.text, prepend=-1, append=-1))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -65,7 +68,7 @@ def gram_sets(texts: list[bytes | None], n: int) -> dict[int, np.ndarray]:
                     total = (total * 0x9E3779B97F4A7C15 + h) % 2**64
                 inside = mix(np.array([total], dtype=np.uint64))
             parts.setdefault(int(w.text[a]), []).append(inside)
-    return {i: np.unique(np.concatenate(p)) for i, p in parts.items()}
+    return {i: np.unique(np.concatenate(parts.pop(i))) for i in list(parts)}
 
 
 class MinHash:
@@ -91,7 +94,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(bands, rows)
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             size, a, b = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
             keys: list = [None] * len(texts)
@@ -181,7 +184,7 @@ def compare_groups(placed: DataFrame, n: int, threshold: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["class", "links", "texts", "root"])
 
-        for batch in batches:
+        for batch in slices(batches, 7):
             cols = [batch.column(i).to_pylist() for i in range(7)] + [batch.column(7).cast(pa.binary()).to_pylist()]
             out = []
             for key, first, second, c, b, held, keys, text in zip(*cols):

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ORDER = 3
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 18  # bytes scored at once
@@ -232,7 +234,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     text_at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_at):
             names, scores = model.predict(batch.column(text_at).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)],
                                              names=[*rest, "lang_pred", "score"])

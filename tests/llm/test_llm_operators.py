@@ -9,10 +9,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skyframe.llm import (ann, components, decontamination, jaccard_join, language_id, line_dedup,
+from skyframe.llm import (ann, common, components, decontamination, jaccard_join, language_id, line_dedup,
                           packing, pii, pii_rules, sharding, token_counts, warc, words)
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -281,6 +282,28 @@ def test_jaccard_counts_texts_that_share_a_set(spark):
         0: (1, 1, 4), **{i: (1, 5, 4) for i in range(1, 6)}, 9: (0, 1, 0), 10: (0, 1, 0)}
 
 
+def test_tasks_hold_texts_of_bounded_size(monkeypatch):
+    """What is made of a batch at once is bounded in bytes of text, not only in rows."""
+    texts = [b"a" * 300, None, b"", b"b" * 900, b"c" * 2500, *[b"d e f g h i j"] * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["i", "text"])
+    parts = list(common.slices([batch, batch.slice(0, 0)], 1, 1000))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert max(sum(len(t or b"") for t in p.column(1).to_pylist()[:-1]) for p in parts if p.num_rows) <= 1000
+    whole = jaccard_join.gram_sets(texts, 5)
+    sizes = []
+
+    def seen(texts, overlap, chunk, scan=jaccard_join.scan):
+        for w in scan(texts, overlap, chunk):
+            sizes.append(len(w.low))
+            yield w
+
+    monkeypatch.setattr(jaccard_join, "scan", seen)
+    monkeypatch.setattr(jaccard_join, "SCAN_BYTES", 500)
+    cut = jaccard_join.gram_sets(texts, 5)
+    assert cut.keys() == whole.keys() and all((cut[i] == whole[i]).all() for i in whole)
+    assert len(sizes) > 10 and sorted(sizes)[-3] <= 1000
+
+
 def test_keep_one_of_each_class(spark, near_rows):
     docs = docs_of(spark, near_rows, "class group keeper")
     kept = jaccard_join.keep_one(docs)
