@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, released
 from .words import Words, scan
 
 HIT = pa.struct([("start", pa.int64()), ("length", pa.int32()), ("words", pa.string())])
@@ -68,7 +68,7 @@ def item_windows(items: DataFrame, n: int, k: int) -> DataFrame:
                     names=["item_id", "length", "fingerprint", "words"])
 
     return (items.select("item_id", "text")
-            .mapInArrow(run, "item_id long, length int, fingerprint long, words string"))
+            .mapInArrow(released(run), "item_id long, length int, fingerprint long, words string"))
 
 
 def candidates(docs: DataFrame, known: dict[int, np.ndarray], n: int, k: int) -> DataFrame:
@@ -100,7 +100,7 @@ def candidates(docs: DataFrame, known: dict[int, np.ndarray], n: int, k: int) ->
                 names=["row", "doc_id", "text_hash", "n_words", "hits"])
 
     return (docs.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-            .mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, "
+            .mapInArrow(released(run), "row long, doc_id long, text_hash long, n_words long, "
                              "hits array<struct<start:long,length:int,words:string>>"))
 
 

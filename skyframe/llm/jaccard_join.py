@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, slices
+from .common import materialise, released, shuffle_partitions, slices
 from .components import components
 from .words import mix, scan
 
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 names=["doc_id", "text_hash", "n_grams", "set_a", "set_b", "bands"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, n_grams long, set_a long, set_b long, bands array<long>")
+        released(run), "doc_id long, text_hash long, n_grams long, set_a long, set_b long, bands array<long>")
 
 
 def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -202,7 +202,7 @@ def compare_groups(placed: DataFrame, n: int, threshold: float) -> DataFrame:
                .select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
                        "class", "block", "held", "keys", "text")
                .repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second"))
-    return grouped.mapInArrow(run, "class long, links long, texts long, root long")
+    return grouped.mapInArrow(released(run), "class long, links long, texts long, root long")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999,

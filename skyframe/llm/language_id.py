@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import released, slices
 
 ORDER = 3
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -78,7 +78,7 @@ def count_runs(training: DataFrame, sample_docs: int) -> pd.DataFrame:
                 if group:
                     yield _counted(lang, group)
 
-    counted = sample.mapInPandas(run, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    counted = sample.mapInPandas(released(run), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     return counted.toPandas()
 
 
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                                              names=[*rest, "lang_pred", "score"])
 
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(released(run), schema)
 
 
 def is_held_out(doc_id: Column, folds: int = 4, held_out: int = 2) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, released
 from .words import CHUNK, hash_spans, same_bytes
 
 SPACE, LETTER, DIGIT, SIGN, QUOTE, OTHER = range(6)
@@ -213,7 +213,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, by_unit: bool = True
 
     return materialise(
         docs.select("doc_id", "text").mapInArrow(
-            run, "doc_id long, part int, before long, doc_tokens long, ids binary"),
+            released(run), "doc_id long, part int, before long, doc_tokens long, ids binary"),
         "packing-ids", compression="zstd")
 
 

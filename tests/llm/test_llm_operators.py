@@ -304,6 +304,30 @@ def test_tasks_hold_texts_of_bounded_size(monkeypatch):
     assert len(sizes) > 10 and sorted(sizes)[-3] <= 1000
 
 
+def test_tasks_give_memory_back(spark, near_rows, monkeypatch):
+    """A task that has ended or was stopped early gives back what it took, on platforms that can;
+    the operators of the pipeline make use of that."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["i"])
+    calls = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": staticmethod(calls.append)}))
+    assert list(common.released(lambda batches: (b.slice(1) for b in batches))(iter([batch]))) == [batch.slice(1)]
+    assert calls == [0]
+    begun = common.released(iter)([batch, batch])
+    next(begun)
+    assert calls == [0]
+    begun.close()
+    assert calls == [0, 0]
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: object())
+    assert list(common.released(iter)([batch])) == [batch]
+
+    docs, ran = docs_of(spark, near_rows), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, *rest: ran.append(f.__qualname__) or plain(df, f, *rest))
+    jaccard_join.signatures(docs, 5, 2, 2)
+    language_id.predict(docs, None)
+    assert len(ran) == 2 and all(name.startswith("released.") for name in ran)
+
+
 def test_keep_one_of_each_class(spark, near_rows):
     docs = docs_of(spark, near_rows, "class group keeper")
     kept = jaccard_join.keep_one(docs)
