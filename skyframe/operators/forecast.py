@@ -29,10 +29,11 @@ def forecast_rows(observations: DataFrame, key: str = "obs_id", place: str = CIT
     framed = materialise(windows.forecast_features(observations, place, time_col, label, **frame_opts), "forecast-rows")
     labels = encoding.fit_labels(framed, [TARGET, *LABEL_LAG_COLS])
     coded = encoding.encode_labels(framed, labels, [TARGET, *LABEL_LAG_COLS], ENCODED_COLS, "skip")
-    ready = coded.dropna(subset=[*FORECAST_FEATURES, TARGET_ENCODED])
+    # written once more: the passes of the split would each encode all columns again
+    ready = materialise(coded.dropna(subset=[*FORECAST_FEATURES, TARGET_ENCODED]).select(
+        key, TARGET, TARGET_ENCODED, *[F.col(c).cast("double").alias(c) for c in FORECAST_FEATURES]), "forecast-coded")
     rows = sampling.stratified_split(ready, TARGET, key, test_fraction, seed)
-    return rows.select(key, "split", TARGET, TARGET_ENCODED,
-                       *[F.col(c).cast("double").alias(c) for c in FORECAST_FEATURES]), labels
+    return rows.select(key, "split", TARGET, TARGET_ENCODED, *FORECAST_FEATURES), labels
 
 
 def forecast_matrix(rows: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]:

@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from skyframe.config import FEATURES, LABEL
-from skyframe.operators import encoding, modeling, sampling
+from skyframe.config import FEATURES, LABEL, LAG_STEPS, METRICS, WINDOW_SIZES
+from skyframe.operators import encoding, forecast, modeling, sampling
 from skyframe.plans import catalog, oracles
 from skyframe.session import scratch_path
 
@@ -225,3 +225,20 @@ def test_rows_of_one_file_are_many_tasks(spark, tmp_path, monkeypatch):
     many = sizes(modeling._dealt(rows, FEATURES, LABEL, params, "random_forest"))
     assert sum(many) == 60_000 and max(many) < 2_100
     assert dealt.select(FEATURES[0]).exceptAll(rows.select(FEATURES[0])).isEmpty()
+
+
+def _own_rows(spark, n=400):
+    """Hourly rows of one place with two classes; features follow the key."""
+    i = F.col("id")
+    return spark.range(n).select(
+        i.alias("obs_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int))").alias("datetime"),
+        F.lit("here").alias("City"), *[((i * (k + 3)) % 17).cast("double").alias(c) for k, c in enumerate(METRICS)],
+        F.lit(1.5).alias("latitude"), F.lit(100.5).alias("longitude"),
+        F.when(i % 3 == 0, "rainy").otherwise("sunny").alias(LABEL))
+
+
+def test_the_split_of_forecast_rows_encodes_no_column_again(spark):
+    located = _own_rows(spark).withColumnsRenamed({"latitude": "Latitude", "longitude": "Longitude"})
+    rows, labels = forecast.forecast_rows(located)
+    assert labels == ["rainy", "sunny"] and rows.count() == 400 - 24 - max(*LAG_STEPS, *WINDOW_SIZES)
+    assert "UDF" not in rows._jdf.queryExecution().optimizedPlan().toString()
