@@ -237,6 +237,17 @@ def _own_rows(spark, n=400):
         F.when(i % 3 == 0, "rainy").otherwise("sunny").alias(LABEL))
 
 
+def test_a_retrain_scores_its_test_rows_once(spark, monkeypatch):
+    calls, transform = [], modeling.PipelineModel.transform
+    monkeypatch.setattr(modeling.PipelineModel, "transform", lambda m, df: calls.append(1) or transform(m, df))
+    model, report, done = modeling.retrain(spark, _own_rows(spark), "obs_id", {"n_estimators": 3, "max_depth": 3})
+    assert len(calls) == 1
+    split = sampling.stratified_split(_own_rows(spark), LABEL, "obs_id").where("split = 'test'")
+    alone = modeling.evaluate_log_loss(model, split).first()
+    assert abs(done["log_loss"] - alone["log_loss"]) < 1e-9 and alone["n"] == done["n_test"]
+    assert sorted(report.collect()) == sorted(modeling.evaluate(model, split).collect())
+
+
 def test_the_split_of_forecast_rows_encodes_no_column_again(spark):
     located = _own_rows(spark).withColumnsRenamed({"latitude": "Latitude", "longitude": "Longitude"})
     rows, labels = forecast.forecast_rows(located)
