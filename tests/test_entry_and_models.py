@@ -248,6 +248,14 @@ def test_a_retrain_scores_its_test_rows_once(spark, monkeypatch):
     assert sorted(report.collect()) == sorted(modeling.evaluate(model, split).collect())
 
 
+def test_a_days_update_makes_its_training_rows_once(spark, monkeypatch):
+    made, rows = [], _own_rows(spark)
+    monkeypatch.setattr(catalog, "training_rows", lambda *_: made.append(1) or rows)
+    monkeypatch.setitem(modeling.DEFAULT_PARAMS, "n_estimators", 3)
+    row = catalog.q_train_incremental(spark, "unused").first()
+    assert len(made) == 1 and row["n_day"] == 400 % 24 and row["classes"] == "rainy,sunny"
+
+
 def test_the_split_of_forecast_rows_encodes_no_column_again(spark):
     located = _own_rows(spark).withColumnsRenamed({"latitude": "Latitude", "longitude": "Longitude"})
     rows, labels = forecast.forecast_rows(located)
