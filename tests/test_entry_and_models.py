@@ -228,13 +228,13 @@ def test_rows_of_one_file_are_many_tasks(spark, tmp_path, monkeypatch):
 
 
 def _own_rows(spark, n=400):
-    """Hourly rows of one place with two classes; features follow the key."""
+    """Hourly rows of one place with three classes; features follow the key."""
     i = F.col("id")
     return spark.range(n).select(
         i.alias("obs_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int))").alias("datetime"),
         F.lit("here").alias("City"), *[((i * (k + 3)) % 17).cast("double").alias(c) for k, c in enumerate(METRICS)],
         F.lit(1.5).alias("latitude"), F.lit(100.5).alias("longitude"),
-        F.when(i % 3 == 0, "rainy").otherwise("sunny").alias(LABEL))
+        F.when(i % 3 == 0, "rainy").when(i % 5 == 0, "foggy").otherwise("sunny").alias(LABEL))
 
 
 def test_a_retrain_scores_its_test_rows_once(spark, monkeypatch):
@@ -253,11 +253,11 @@ def test_a_days_update_makes_its_training_rows_once(spark, monkeypatch):
     monkeypatch.setattr(catalog, "training_rows", lambda *_: made.append(1) or rows)
     monkeypatch.setitem(modeling.DEFAULT_PARAMS, "n_estimators", 3)
     row = catalog.q_train_incremental(spark, "unused").first()
-    assert len(made) == 1 and row["n_day"] == 400 % 24 and row["classes"] == "rainy,sunny"
+    assert len(made) == 1 and row["n_day"] == 400 % 24 and row["classes"] == "foggy,rainy,sunny"
 
 
 def test_the_split_of_forecast_rows_encodes_no_column_again(spark):
     located = _own_rows(spark).withColumnsRenamed({"latitude": "Latitude", "longitude": "Longitude"})
     rows, labels = forecast.forecast_rows(located)
-    assert labels == ["rainy", "sunny"] and rows.count() == 400 - 24 - max(*LAG_STEPS, *WINDOW_SIZES)
+    assert labels == ["foggy", "rainy", "sunny"] and rows.count() == 400 - 24 - max(*LAG_STEPS, *WINDOW_SIZES)
     assert "UDF" not in rows._jdf.queryExecution().optimizedPlan().toString()
