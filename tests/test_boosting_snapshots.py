@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyframe.config import FEATURES, LABEL
 from skyframe.operators import boosting, modeling, sampling, store
+from skyframe.plans import catalog
 from skyframe.session import scratch_path
 from skyframe.sources import files, snapshots
 from skyframe.streaming import ingest, scoring
@@ -88,6 +89,23 @@ def test_regularisation_shrinks_leaves():
     assert got.value.tolist() == [0, 0.5 * 2.5 / 2, 0]
 
 
+def test_the_report_is_of_a_model_of_the_whole_configuration(spark, monkeypatch):
+    """Not of five rounds of depth 5; each configuration is a model of its own."""
+    told = []
+
+    def train(rows, labels, stats, params, algorithm, *rest):
+        told.append({p: params[p] for p in ("n_estimators", "max_depth", "subsample", "colsample_bytree")})
+        return boosting.fit(rows, labels, stats, {**params, "n_estimators": 2}, FEATURES)
+
+    monkeypatch.setattr(catalog, "training_rows", lambda spark, sf_dir: _rows(spark))
+    monkeypatch.setattr(modeling, "train_classifier", train)
+    report = catalog.q_boost_report(spark, "whole").collect()
+    catalog._boosted(spark, "whole", catalog.BOOST)
+    whole = {"n_estimators": 200, "max_depth": 8, "subsample": 0.8, "colsample_bytree": 0.8}
+    assert told == [whole, {**whole, **catalog.BOOST}]
+    assert len(report) == 5 and all(r["same_by_sql"] for r in report)
+
+
 def test_one_vs_rest_probabilities(spark):
     params, _ = modeling.resolve_params({"n_estimators": 2, "max_depth": 2}, algorithm="gbt_ovr")
     model = modeling.train_classifier(_rows(spark), ["cloudy", "rainy", "sunny"], {c: (0.0, 1.0) for c in FEATURES}, params, "gbt_ovr")
