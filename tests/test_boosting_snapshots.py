@@ -89,6 +89,52 @@ def test_regularisation_shrinks_leaves():
     assert got.value.tolist() == [0, 0.5 * 2.5 / 2, 0]
 
 
+def test_large_nodes_are_split_by_the_sums_of_all_tasks(spark, fitted, monkeypatch):
+    """The trees do not depend on where a node's rows are."""
+    monkeypatch.setattr(boosting, "ROWS_A_TASK", 40)
+    monkeypatch.setattr(boosting, "NODES_AT_ONCE", 2)
+    spread = boosting.fit(_rows(spark).repartition(3), fitted.labels, fitted.scaler_stats, {**PARAMS, "subsample": 1.0}, FEATURES)
+    monkeypatch.undo()
+    here = boosting.fit(_rows(spark), fitted.labels, fitted.scaler_stats, {**PARAMS, "subsample": 1.0}, FEATURES)
+    a, b = (m.transform(_rows(spark)).orderBy("obs_id").toPandas()["probability"].tolist() for m in (spread, here))
+    assert np.allclose(a, b) and [len(t.feature) for r in spread.rounds for t in r] == [len(t.feature) for r in here.rounds for t in r]
+
+
+def test_a_node_takes_the_split_that_lowers_the_variance_most(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, r = rng.integers(0, 9, (400, 3)).astype(np.uint8), rng.normal(size=400)
+    limits = boosting.Limits(3, 9, 6, 5, 0.0)
+    grown = boosting.grow_here(x, r, [0, 2], limits)
+    leaves, places = [], {0: np.ones(400, bool)}
+    for i, node in enumerate(grown.itertuples()):
+        at = places[i]
+        assert node.n == at.sum() and math.isclose(node.g, r[at].sum(), abs_tol=1e-9)
+        tried = {(f, c): r[at & low].var() * (at & low).sum() + r[at & ~low].var() * (at & ~low).sum()
+                 for f in (0, 2) for c in range(8) for low in [x[:, f] <= c] if min((at & low).sum(), (at & ~low).sum()) >= 5}
+        if node.feature >= 0:
+            assert math.isclose(tried[node.feature, node.cut], min(tried.values()))
+            low = x[:, node.feature] <= node.cut
+            places[node.left], places[node.right] = at & low, at & ~low
+            assert min((at & low).sum(), (at & ~low).sum()) >= 5
+        else:
+            leaves.append(at)
+    assert (sum(q.astype(int) for q in leaves) == 1).all() and grown["feature"].max() == 2 and len(grown) > 20
+    monkeypatch.setattr(boosting, "NODES_AT_ONCE", 2)
+    assert boosting.grow_here(x, r, [0, 2], limits).equals(grown)
+
+
+def test_thresholds_come_from_all_rows_and_missing_values_go_right(spark):
+    rows = spark.range(3000).select(F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double"), F.lit(None).cast("double"),
+                                            F.when(F.col("id") % 2 == 0, 1.0).otherwise(float("nan"))).alias("x"))
+    cuts = boosting.candidate_cuts(rows, 4)
+    assert 100 < len(cuts[0]) < boosting.MAX_BINS and np.diff(cuts[0]).max() < 60
+    assert [c.tolist() for c in cuts[1:]] == [[0.5, 1.5], [], []]
+    got = rows.orderBy(F.col("x")[0]).select(boosting.binned(F.col("x"), cuts).alias("b")).first()["b"]
+    assert bytes(got) == b"\0\0\0\0"
+    tree = boosting.Tree(np.array([0, -1, -1]), np.array([1.5, 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]), np.zeros(3))
+    assert tree.leaf(np.array([[1.0], [2.0], [np.nan]])).tolist() == [1, 2, 2]
+
+
 def test_the_report_is_of_a_model_of_the_whole_configuration(spark, monkeypatch):
     """Not of five rounds of depth 5; each configuration is a model of its own."""
     told = []
